@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixing
+from ledgerloom.llm import chat, media, mixing
 
 
 def queries() -> dict:
-    return {"op1_source_mixing": mixing.op1_source_mixing}
+    return {
+        "op1_source_mixing": mixing.op1_source_mixing,
+        "op6_chat_formatting": chat.op6_chat_formatting,
+        "op7_media_columns": media.op7_media_columns,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.OP1_SQL}
+    return {"op1_source_mixing": mixing.OP1_SQL, "op6_chat_formatting": chat.OP6_SQL}
