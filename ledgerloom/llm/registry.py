@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, media, mixing
+from ledgerloom.llm import chat, media, mixing, packing, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_source_mixing": mixing.op1_source_mixing,
         "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_media_columns": media.op7_media_columns,
+        "op8_sequence_packing": packing.op8_sequence_packing,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
