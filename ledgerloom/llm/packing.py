@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -38,6 +39,8 @@ STEP_TOKENS = 1 << 17
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 ASCII_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 SENTINEL = "\U0001f60d"
+#: Below this, letters are Latin and composed.
+LATIN = "\u0250"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -50,51 +53,68 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds:
     """Token ids of texts by a tokenizer that drops white space: each distinct word is encoded once and remembered.
 
-    Words that are new are encoded many to a call, with a one-token sentinel between them. Words
-    that hold the sentinel themselves are encoded alone.
+    A word of Latin letters, with or without full stops and commas behind it, is one run of letters
+    and one of marks to the tokenizer; its lower-case letters go to the tokenizer's model alone,
+    once for all such words. All other words pass the whole tokenizer, many to a call, with a
+    one-token sentinel between them; words that hold the sentinel are encoded alone.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         (self.mark,) = self._encode([SENTINEL])[0]
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.runs: dict[str, tuple[int, ...]] = {}
+        self.flat, self.starts, self.lengths = array("I"), array("q"), array("q")
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, run: str) -> tuple[int, ...]:
+        known = self.runs.get(run)
+        if known is None:
+            mapped = run if run.isascii() else self.bytes.pre_tokenize_str(run)[0][0]
+            known = self.runs[run] = tuple([t.id for t in self.model.tokenize(mapped)])
+        return known
+
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if SENTINEL not in w]
+        odd = []
+        for word in new:
+            core = word.rstrip(".,")
+            run = core.lower()
+            if core.isalpha() and run.isalpha() and (run.isascii() or max(run) < LATIN and max(core) < LATIN):
+                self._keep(word, self._letters(run) + self._marks(word[len(core) :]))
+            else:
+                odd.append(word)
+        plain = [w for w in odd if SENTINEL not in w]
         groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         for group, ids in zip(groups, self._encode([f" {SENTINEL} ".join(g) for g in groups]), strict=True):
             got = np.asarray(ids, np.uint32)
-            cuts = np.flatnonzero(got == self.mark)
-            self._keep(group, np.delete(got, cuts), np.diff(np.concatenate([[-1], cuts, [got.size]])) - 1)
-        odd = [w for w in new if SENTINEL in w]
-        for word, ids in zip(odd, self._encode(odd), strict=True):
-            self._keep([word], np.asarray(ids, np.uint32), np.asarray([len(ids)]))
-
-    def _keep(self, group: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, first = len(group), len(self.at)
-        assert lengths.size == n, "a word's ids are not apart from the next one's"
-        while self.used + ids.size > self.flat.size:
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while first + n > self.starts.size:
-            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + ids.size] = ids
-        self.lengths[first : first + n] = lengths
-        self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
-        self.used += ids.size
-        self.at.update(zip(group, range(first, first + n), strict=True))
+            parts = np.split(got, np.flatnonzero(got == self.mark))
+            for word, part in zip(group, [parts[0], *(p[1:] for p in parts[1:])], strict=True):
+                self._keep(word, part.tolist())
+        for word in (w for w in odd if SENTINEL in w):
+            self._keep(word, self._encode([word])[0])
+
+    def _marks(self, marks: str) -> tuple[int, ...]:
+        known = self.runs.get(marks)
+        if known is None:
+            known = self.runs[marks] = tuple(self._encode([marks])[0])
+        return known
+
+    def _keep(self, word: str, ids: Sequence[int]) -> None:
+        self.at[word] = len(self.starts)
+        self.starts.append(len(self.flat))
+        self.lengths.append(len(ids))
+        self.flat.extend(ids)
 
     def ids(self, text: str, end: int | None = END_ID) -> np.ndarray:
         words = ASCII_WORD.findall(text) if RARE_SPACE.search(text) else text.split()
@@ -106,12 +126,14 @@ class WordIds:
             else:
                 self._learn(list({w for w, i in zip(words, found, strict=True) if i is None}))
             found = list(map(self.at.__getitem__, words))
-        where = np.asarray(found, np.int64)
-        lengths = self.lengths[where]
+        where = np.array(found, np.int64)
+        lengths = np.frombuffer(self.lengths, np.int64)[where] if words else where
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if ends.size else 0
         out = np.empty(total + (end is not None), np.uint32)
-        out[:total] = self.flat[np.repeat(self.starts[where] - (ends - lengths), lengths) + np.arange(total)]
+        if total:
+            begins = np.frombuffer(self.starts, np.int64)[where] - ends + lengths
+            out[:total] = np.frombuffer(self.flat, np.uint32)[np.repeat(begins, lengths) + np.arange(total)]
         if end is not None:
             out[total] = end
         return out
