@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, media, mixing, packing, token_counts
+from ledgerloom.llm import chat, media, mixing, packing, quality, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_source_mixing": mixing.op1_source_mixing,
+        "op5_quality_rules": quality.op5_quality_rules,
         "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_media_columns": media.op7_media_columns,
         "op8_sequence_packing": packing.op8_sequence_packing,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.OP1_SQL, "op6_chat_formatting": chat.OP6_SQL}
+    return {"op1_source_mixing": mixing.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op6_chat_formatting": chat.OP6_SQL}
