@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, media, mixing, packing, quality, token_counts
+from ledgerloom.llm import chat, media, mixing, near_duplicates, packing, quality, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_source_mixing": mixing.op1_source_mixing,
+        "op3_ngram_jaccard_join": near_duplicates.op3_ngram_jaccard_join,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_media_columns": media.op7_media_columns,
