@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, media, mixing, near_duplicates, packing, quality, token_counts
+from ledgerloom.llm import chat, media, mixing, near_duplicates, packing, quality, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_source_mixing": mixing.op1_source_mixing,
         "op3_ngram_jaccard_join": near_duplicates.op3_ngram_jaccard_join,
+        "op4_warc": warc.op4_warc,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_media_columns": media.op7_media_columns,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op6_chat_formatting": chat.OP6_SQL}
+    return {"op1_source_mixing": mixing.OP1_SQL, "op4_warc": warc.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op6_chat_formatting": chat.OP6_SQL}
