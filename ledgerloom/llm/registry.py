@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, media, mixing, near_duplicates, packing, quality, token_counts, warc
+from ledgerloom.llm import chat, media, mixing, near_duplicates, packing, quality, token_counts, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_source_mixing": mixing.op1_source_mixing,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_ngram_jaccard_join": near_duplicates.op3_ngram_jaccard_join,
         "op4_warc": warc.op4_warc,
         "op5_quality_rules": quality.op5_quality_rules,
