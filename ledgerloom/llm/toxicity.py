@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import fresh, table
 
 MIN_N, MAX_N, SPAN, BUCKETS, WIDTH = 3, 6, 4, 1 << 18, 8
-MAX_TRAIN, TRAIN_CHARS, EPOCHS, RATE, BATCH, DECAY, MAX_BALANCE = 3000, 20_000, 3, 0.3, 64, 3e-3, 4.0
+MAX_TRAIN, TRAIN_CHARS, STEPS, EPOCHS, RATE, BATCH, DECAY, MAX_BALANCE = 3000, 20_000, 120, (3, 30), 0.3, 64, 3e-3, 4.0
 #: A bucket learns if this share of the toxic texts' number of texts has it, within these bounds.
 MIN_SHARE, MIN_TEXTS = 0.05, (3, 20)
 THRESHOLD, PRIOR = 0.7, 0.1
@@ -129,7 +129,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         ends = np.cumsum(n)
         return bucket[np.repeat(first[words] - ends + n, n) + np.arange(int(ends[-1]))]
 
-    for _ in range(EPOCHS):
+    for _ in range(int(np.clip(STEPS * BATCH // len(docs), *EPOCHS))):
         # What each known word adds to the log odds, for finding the worst runs.
         line = table_ @ (soft[:, 1] - soft[:, 0])
         per_word = np.add.reduceat(line[bucket], first)
