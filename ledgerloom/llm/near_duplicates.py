@@ -25,10 +25,10 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize, table
+from ledgerloom.llm.common import fresh, materialize, table
 from ledgerloom.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -247,3 +247,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The columns of docs, for the first row of each class: smallest doc_id, and of rows with that id one.
+
+    Documents without a doc_id are in no class they could name and are all kept.
+    """
+    order, rows = fresh(docs, "near_order", "near_rows")
+    found = near_duplicates(docs.select("doc_id", "text"), **options).filter(F.col("doc_id") == F.col("class_id"))
+    keep = materialize(found.groupBy("doc_id").agg(F.count("*").alias(rows)), "near-keep")
+    single = docs.join(keep.filter(F.col(rows) == 1).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    # Ids that come more than once, of which there should be none.
+    twice = docs.join(keep.filter(F.col(rows) > 1).select("doc_id"), "doc_id", "left_semi")
+    picked = twice.withColumn(order, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(order) == 1)
+    return single.select(*docs.columns).unionByName(picked.select(*docs.columns)).unionByName(docs.filter("doc_id IS NULL"))

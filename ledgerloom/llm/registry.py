@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import chat, media, mixing, near_duplicates, packing, quality, token_counts, toxicity, warc
+from ledgerloom.llm import chat, html_text, media, mixing, near_duplicates, packing, quality, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_media_columns": media.op7_media_columns,
         "op8_sequence_packing": packing.op8_sequence_packing,
+        "op9_html_extraction": html_text.op9_html_extraction,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
