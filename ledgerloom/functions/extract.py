@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import CLOCK, NUMERIC_DATE, detect_date, detect_time
 from ledgerloom.functions.money import parse_currency
-from ledgerloom.functions.text import digits_only, let, matches, strip
+from ledgerloom.functions.text import digits_only, let, matches, settled, strip
 
 # Patterns and words of receipts.
 MONEY = r"(?i)(?:COP|COL\$|\$)?\s*\d{1,3}(?:[.,\s]\d{3})+(?:[.,]\d{2})?|\b\d{4,}(?:[.,]\d{2})?\b"
@@ -87,20 +87,21 @@ def best_amount(candidates: Column) -> Column:
 
 def with_record(df, text: str = "text", out: str = "record"):
     """df with a struct of the extracted record (null fields without one), `candidates` and `reason` why there is none."""
-    t = "_extract_text"
-    df = df.withColumn(t, F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \t]+", " "))
-    df = df.withColumns({"candidates": amount_candidates(F.col(t)), "_extract_reference": find_reference(F.col(t))})
-    df = df.withColumn("_extract_best", best_amount(F.col("candidates")))
+    t = F.col("_extract_text")
+    df = settled(df, _extract_text=F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \t]+", " "))
+    df = settled(df, candidates=amount_candidates(t), _extract_reference=find_reference(t))
+    df = settled(df, _extract_best=best_amount(F.col("candidates")))
     reason = (
-        F.when(strip(F.col(t)) == "", "empty_text")
+        F.when(strip(t) == "", "empty_text")
         .when(F.col("_extract_best").isNull(), "missing_transaction_amount")
         .when(F.col("_extract_reference").isNull(), "missing_transaction_reference")
         .when(generic_reference(F.col("_extract_reference")), "reference_too_generic")
     )
-    record = F.when(reason.isNull(), F.struct(
-        detect_date(F.col(t)).alias("fecha_consignacion"), detect_time(F.col(t)).alias("hora_consignacion"),
+    df = settled(df, reason=reason)
+    record = F.when(F.col("reason").isNull(), F.struct(
+        detect_date(t).alias("fecha_consignacion"), detect_time(t).alias("hora_consignacion"),
         F.col("_extract_reference").alias("referencia"), F.col("_extract_best.value").alias("valor")))
-    return df.withColumns({out: record, "reason": reason}).drop(t, "_extract_reference", "_extract_best")
+    return settled(df, **{out: record}).drop("_extract_text", "_extract_reference", "_extract_best")
 
 
 def resolve_date(text_date: Column, record_date: Column, context_date: Column) -> Column:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import normalize_date, normalize_time, to_ddmmyyyy
 from ledgerloom.functions.money import normalize_amount, normalize_reference
+from ledgerloom.functions.text import settled
 
 FIELDS = ("fecha_consignacion", "hora_consignacion", "referencia", "valor")
 
 
 def with_keys(c: DataFrame) -> DataFrame:
     """canonical_key and loose_key ('' without reference or amount), with the normalized parts behind n_."""
-    c = c.withColumns({
-        "n_fecha": normalize_date(F.col("fecha_consignacion")), "n_hora": normalize_time(F.col("hora_consignacion")),
-        "n_referencia": normalize_reference(F.col("referencia")), "n_valor": normalize_amount(F.col("valor"))})
+    c = settled(c, n_fecha=normalize_date(F.col("fecha_consignacion")), n_hora=normalize_time(F.col("hora_consignacion")),
+                n_referencia=normalize_reference(F.col("referencia")), n_valor=normalize_amount(F.col("valor")))
     amount, usable = F.col("n_valor").cast("string"), (F.col("n_referencia") != "") & F.col("n_valor").isNotNull()
     key = lambda *parts: F.when(usable, F.concat(F.lit("v1:"), F.sha2(F.concat_ws("|", *parts), 256))).otherwise("")
     return c.withColumns({"canonical_key": key("content_hash", "n_fecha", "n_hora", amount, "n_referencia"), "loose_key": key("content_hash", amount, "n_referencia")})

@@ -1 +1 @@
-
+"""Whole plans made of the operators."""

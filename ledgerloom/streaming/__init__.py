@@ -1 +1 @@
-
+"""Streams over documents and stage events."""
