@@ -103,15 +103,20 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), float(np.log(PRIOR / (1 - PRIOR))))
     rng = np.random.default_rng(seed)
-    split = [tokens(t) for t in texts]
-    names = sorted({w for words in split for w in words})
-    at = {w: i for i, w in enumerate(names)}
-    owner, bucket = subwords(names)
-    order = np.argsort(owner, kind="stable")
-    bucket = bucket[order]
-    n_sub = np.bincount(owner, minlength=len(names))
+    at: dict[str, int] = {}
+    docs = [np.fromiter((at.setdefault(w, len(at)) for w in tokens(t)), np.int32) for t in texts]
+    names = list(at)
+    del at
+    # Words go through in portions: a word has some twenty buckets, and all at once they would fill the driver.
+    portions, lengths = [], []
+    for low in range(0, len(names), 20_000):
+        owner, found = subwords(names[low : low + 20_000])
+        portions.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
+        lengths.append(np.bincount(owner, minlength=min(20_000, len(names) - low)))
+    del names
+    bucket, n_sub = np.concatenate(portions), np.concatenate(lengths)
+    del portions
     first = np.cumsum(n_sub) - n_sub
-    docs = [np.asarray([at[w] for w in words], np.int64) for words in split]
     # Buckets that few texts have learn nothing and stay 0, like those that no text has.
     seen = np.zeros(BUCKETS, np.int32)
     for words in docs:
