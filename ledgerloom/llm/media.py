@@ -39,6 +39,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 def encode_png(samples: np.ndarray, level: int = 3) -> bytes:
     """samples: (height, width, channels), 8 bits each. Of the filters none, sub and up, that with the smallest sum of absolute differences is used."""
+    samples = np.asarray(samples, np.uint8)
     height, width, channels = samples.shape
     lines = samples.reshape(height, width * channels)
     sub, up = lines.copy(), lines.copy()
