@@ -2,7 +2,9 @@
 
 Words are counted per source, each source gets a target, and target / words is the source's
 repetition rate. Every document is then taken floor(rate) times, plus one more time if a hash of
-its id, read as a number in [0, 1), is below the fraction of the rate.
+its id, read as a number in [0, 1), is below the fraction of the rate. The hash has a seed per
+source: of SEEDS fixed ones, that under which the source's taken words come closest to its target,
+so small sources with few long documents are not left to the luck of one seed.
 
 Defined results: null text counts no words; a null source is a source of its own (last in the
 order of sources); a source without words has rate 0; rows with equal ids share one decision;
@@ -22,6 +24,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
+SEEDS = 16
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -54,12 +57,28 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def draw(key: Column, seed: str = SEED) -> Column:
+def draw(key: Column, seed: Column) -> Column:
     """A number in [0, 1) that depends on key and seed alone: 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(seed, F.lit(":"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def _rate(target: Column, size: Column) -> Column:
+    return F.when(size > 0, target / size).otherwise(F.lit(0.0))
+
+
+def with_seeds(targets: DataFrame, sized: DataFrame, seed: str = SEED, seeds: int = SEEDS) -> DataFrame:
+    """targets with `seed`, the closest one of each source. sized: doc_id, source, size. One aggregate over numbers, not texts."""
+    t = targets.select(F.col("source").alias("t_source"), F.col("source_size").alias("t_size"), "target")
+    rows = sized.join(t, sized["source"].eqNullSafe(F.col("t_source")))
+    rate = _rate(F.col("target"), F.col("t_size"))
+    extra = [F.sum(F.when(draw(F.col("doc_id"), F.lit(f"{seed}-{k}")) < rate - F.floor(rate), F.col("size")).otherwise(0)).alias(f"extra_{k}") for k in range(seeds)]
+    taken = rows.groupBy("t_source", "t_size", "target").agg(*extra)
+    whole = F.floor(rate) * F.col("t_size")
+    off = F.array_min(F.array(*[F.struct(F.abs((whole + F.col(f"extra_{k}")).cast("double") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)]))
+    return taken.select(F.col("t_source").alias("source"), F.col("t_size").alias("source_size"), "target", F.concat(F.lit(f"{seed}-"), off["k"].cast("string")).alias("seed"))
+
+
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, prefix: str = "mix_") -> DataFrame:
     """docs with {prefix}size, {prefix}source_size, {prefix}target and {prefix}copies, also for documents taken 0 times.
 
@@ -67,14 +86,15 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
     with the documents is planned on their true size and broadcast by Spark only under its limit.
     """
     size, total, target, copies = fresh(docs, *[prefix + c for c in ("size", "source_size", "target", "copies")])
-    sized = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
-    (key,) = fresh(docs, "mix_key")
-    targets = targets.select(F.col("source").alias(key), F.col("source_size").alias(total), F.col("target").alias(target))
-    rate = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    targets = materialize(with_seeds(materialize(targets, "mix-targets"), sized, seed), "mix-seeds")
+    key, chosen_seed = fresh(docs, "mix_key", "mix_seed")
+    targets = targets.select(F.col("source").alias(key), F.col("source_size").alias(total), F.col("target").alias(target), F.col("seed").alias(chosen_seed))
+    rate = _rate(F.col(target), F.col(total))
     joined = docs.join(targets, docs["source"].eqNullSafe(F.col(key)), "left").drop(key)
-    chosen = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumns({size: word_count(F.col("text")), copies: chosen.cast("int")})
+    chosen = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col(chosen_seed)) < rate - F.floor(rate), 1).otherwise(0)
+    return joined.withColumns({size: word_count(F.col("text")), copies: chosen.cast("int")}).drop(chosen_seed)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -119,12 +139,16 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN found.level IS NULL THEN cap_words ELSE least(cap_words, found.level * weight) END AS target
   FROM ranked CROSS JOIN found
 ), rated AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-         (('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), drawn AS (
+  SELECT r.*, k, (('0x' || substr(md5('mix-1-' || k || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM rated r, range(16) seeds(k)
+), copied AS (
+  SELECT *, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
+), chosen AS (
+  SELECT source, k FROM (SELECT source, k, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM copied GROUP BY source, k)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1
 )
-SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rated
+SELECT doc_id, size, source_size, target, taken FROM copied c JOIN chosen h ON c.source IS NOT DISTINCT FROM h.source AND c.k = h.k
 """
