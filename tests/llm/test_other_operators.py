@@ -345,6 +345,25 @@ def test_open_pages_lose_host_boilerplate(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_large_host_counts_over_its_parts(spark):
+    rng, n = np.random.default_rng(7), 3 * html_text.GROUP_PAGES
+    footer, rare, twice = ["foot%d" % i for i in range(9)], ["rare%d" % i for i in range(10)], ["two%d" % i for i in range(8)]
+    pages = []
+    for i in range(n):
+        words = ["w%d" % k for k in rng.integers(0, 10**6, 12)]
+        pages.append(words + (footer if i % 25 == 0 else []) + (rare if i in (3, 700, 1400) else []) + (twice if i in (9, 1200) else []))
+    codes = {}
+    streams = [[codes.setdefault(w, len(codes)) for w in p] for p in pages]
+    gone = brute_repeated(streams, html_text.MIN_PAGES, html_text.LONG)
+    rows = [(i, f"https://big.example/{i}", f"<p>{' '.join(p)}</p>") for i, p in enumerate(pages)]
+    again = [rows[9]] * 4
+    got = html_text.main_text(spark.createDataFrame(rows + again, "page_id long, url string, html string")).collect()
+    assert len(got) == n + 4
+    for r in got:
+        assert r["text"] == " ".join(w for w, drop in zip(pages[r["page_id"]], gone[r["page_id"]], strict=True) if not drop)
+    assert sum(int(g.sum()) for g in gone) == 60 * 9 + 3 * 10
+
+
 # The pipeline ---------------------------------------------------------------------------------
 
 
