@@ -313,6 +313,23 @@ def test_article_blocks():
     assert html_text.page_blocks("") == ([], False) and html_text.page_blocks("1 < 2 <3") == (["1 < 2 <3"], False)
 
 
+@pytest.mark.parametrize("page, blocks", [
+    ("<article><p class=share>x<p>Body one<p>Body two</article>", ["Body one", "Body two"]),
+    ("<article><ul><li class=ad>x<li>a<li>b</ul><p>c</article>", ["a", "b", "c"]),
+    ("<article><dl><dt class=ad>x<dd>a<dt>b</dl></article>", ["a", "b"]),
+    ("<article><table><tr><td class=ad>x<td>a<tr class=promo><td>y<tr><td>b</table>c</article>", ["a", "b", "c"]),
+    ("<article>a<div class=share>x<p>y</article>z<article>b</article>", ["a", "b"]),
+    ("<article><div>a<section class=ad>x<span>y</div>b</article>", ["a", "b"]),
+    ("<article>a<div class=ad>x<div>y</div>z</div>b</article>", ["a", "b"]),
+    ("<article><p>a <span class=ad>x</p><p>b</article>", ["a", "b"]),
+    ("<article>a<article class=comment>x</article>b</article>", ["a", "b"]),
+    ("<head><title>t</title><meta name=a><p>a<form><select><option>x<option>y</select></form>b", ["a", "b"]),
+    ("<div class=ad>x" * 60 + "<article>y</article>", ["y"]),
+])
+def test_skips_end_as_html_ends_elements(page, blocks):
+    assert html_text.page_blocks(page) == (blocks, "<article" in page)
+
+
 def brute_repeated(streams, least, long):
     where = {}
     for i, s in enumerate(streams):
