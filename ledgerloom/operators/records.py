@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import normalize_date, normalize_time, to_ddmmyyyy
 from ledgerloom.functions.money import normalize_amount, normalize_reference
 from ledgerloom.functions.text import settled
+from ledgerloom.functions.validate import criteria_rules, observations
 
 FIELDS = ("fecha_consignacion", "hora_consignacion", "referencia", "valor")
 
@@ -78,15 +81,23 @@ def unknown_ids_anti(corrections: DataFrame, deposits: DataFrame) -> DataFrame:
     return corrections.join(deposits.select("id"), "id", "left_anti").select("id")
 
 
-def apply_corrections(deposits: DataFrame, corrections: DataFrame, order: str | None = None) -> DataFrame:
-    """Fields replaced where a correction has them, others kept; of several corrections of an id the last by `order` holds. Adds manually_corrected."""
+def apply_corrections(deposits: DataFrame, corrections: DataFrame, order: str | None = None, month: int | None = None, year: int | None = None, criteria: Sequence[dict] = ()) -> DataFrame:
+    """Fields replaced where a correction has them, others kept; of several corrections of an id the last by `order` holds. Adds manually_corrected.
+
+    Of a corrected deposit what follows from the fields is made anew, as far as deposits has it:
+    observations and is_current_month by the period month, year and the criteria, and fecha_date.
+    """
     if order:
         corrections = corrections.withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))).filter("_rn = 1").drop("_rn", order)
     fields = [f for f in FIELDS if f in corrections.columns]
     c = corrections.select(F.col("id").alias("_id"), *[F.col(f).alias(f"_{f}") for f in fields])
     out = deposits.join(c, F.col("id") == F.col("_id"), "left")
     new = {f: F.coalesce(to_ddmmyyyy(F.col(f"_{f}")) if f == "fecha_consignacion" else F.col(f"_{f}"), F.col(f)) for f in fields}
-    return out.withColumns(new | {"manually_corrected": F.col("_id").isNotNull()}).drop("_id", *[f"_{f}" for f in fields])
+    out = out.withColumns(new | {"manually_corrected": F.col("_id").isNotNull()}).drop("_id", *[f"_{f}" for f in fields])
+    rules = criteria_rules(list(criteria), lambda key: F.col(key) if key in FIELDS else F.lit(None).cast("string"))
+    made = observations(F.col("fecha_consignacion"), month, year, rules)
+    follows = {"observations": made["observations"], "is_current_month": made["is_current_month"], "fecha_date": F.try_to_date("fecha_consignacion", "dd/MM/yyyy")}
+    return out.withColumns({k: F.when(F.col("manually_corrected"), v).otherwise(F.col(k)) for k, v in follows.items() if k in deposits.columns})
 
 
 def write_deposits(accepted: DataFrame, stored: DataFrame, path: str) -> DataFrame:

@@ -306,6 +306,16 @@ add("observations", lambda s, d: a.deposits(s, d).select("id", validate.observat
 CRITERIA = [{"key": "valor", "label": "Valor", "required": True, "rules": [{"kind": "min", "value": 20000, "message": "valor bajo"}, {"kind": "max", "value": 150000}]}, {"key": "referencia", "rules": [{"kind": "regex", "pattern": "7$", "message": "sin 7"}]}]
 add("criteria_rules", lambda s, d: a.deposits(s, d).select("id", F.array_join(validate.criteria_rules(CRITERIA), ";").alias("notes")),
     "SELECT id, concat_ws(';', CASE WHEN valor < 20000 THEN 'valor bajo' END, CASE WHEN valor > 150000 THEN 'Valor no es valido' END, CASE WHEN referencia NOT LIKE '%7' THEN 'sin 7' END) AS notes FROM deposits")
+RECORD_CORRECTIONS = lambda s, d: a.logs(s, d).filter("id % 10 = 0").select(
+    "id", F.when(F.col("id") % 30 == 0, "2026-03-15").otherwise("2026-04-22").alias("fecha_consignacion"), F.when(F.col("id") % 20 == 0, "15:45").alias("hora_consignacion"), F.when(F.col("id") % 20 == 0, "REF997").alias("referencia"),
+    F.when(F.col("id") % 40 == 0, 175000).cast("decimal(14,2)").alias("valor"), "created_at")
+add("apply_corrections_record", lambda s, d: rc.apply_corrections(a.deposits(s, d), RECORD_CORRECTIONS(s, d), "created_at", 4, 2026, CRITERIA).select("id", *rc.FIELDS, "fecha_date", F.array_join("observations", ";").alias("notes"), "is_current_month", "manually_corrected"),
+    """WITH c AS (SELECT id FROM logs WHERE id % 10 = 0), k AS (SELECT d.id, c.id IS NOT NULL AS manually_corrected, CASE WHEN c.id IS NULL THEN fecha_date WHEN c.id % 30 = 0 THEN DATE '2026-03-15' ELSE DATE '2026-04-22' END AS fecha_date,
+    CASE WHEN c.id % 20 = 0 THEN '15:45' ELSE hora_consignacion END AS hora_consignacion, CASE WHEN c.id % 20 = 0 THEN 'REF997' ELSE referencia END AS referencia, CASE WHEN c.id % 40 = 0 THEN 175000::DECIMAL(14,2) ELSE valor END AS valor, observations, is_current_month
+    FROM deposits d LEFT JOIN c ON c.id = d.id)
+    SELECT id, strftime(fecha_date, '%d/%m/%Y') AS fecha_consignacion, hora_consignacion, referencia, valor, fecha_date,
+    CASE WHEN manually_corrected THEN concat_ws(';', CASE WHEN id % 30 = 0 THEN 'Fecha fuera del periodo valido configurado' END, CASE WHEN valor < 20000 THEN 'valor bajo' END, CASE WHEN valor > 150000 THEN 'Valor no es valido' END, CASE WHEN referencia NOT LIKE '%7' THEN 'sin 7' END)
+    ELSE array_to_string(observations, ';') END AS notes, CASE WHEN manually_corrected THEN id % 30 <> 0 ELSE is_current_month END AS is_current_month, manually_corrected FROM k""")
 add("canonical_key", lambda s, d: rc.with_keys(a.candidates(s, d)).select("source_image_id", "idx", "canonical_key", "loose_key"),
     """SELECT source_image_id, idx, CASE WHEN valor IS NULL THEN '' ELSE 'v1:' || sha256(content_hash || '|' || CASE WHEN fecha_consignacion IS NULL THEN '' ELSE '2026-04-15' END || '|' || CASE hora_consignacion WHEN '' THEN '' ELSE '09:30' END || '|' || v || '|REF001') END AS canonical_key,
     CASE WHEN valor IS NULL THEN '' ELSE 'v1:' || sha256(content_hash || '|' || v || '|REF001') END AS loose_key FROM (SELECT *, CASE valor WHEN '60.000' THEN '60000.00' ELSE '50000.00' END AS v FROM candidates)""")

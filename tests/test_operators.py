@@ -151,6 +151,17 @@ def test_corrections(spark):
     assert [r["id"] for r in rc.unknown_ids_anti(c, d).collect()] == [7]
 
 
+def test_corrections_recompute_observations(spark):
+    schema = "id long, fecha_consignacion string, hora_consignacion string, referencia string, valor decimal(14,2), fecha_date date, observations array<string>, is_current_month boolean"
+    old = ["Fecha invalida"], False
+    d = spark.createDataFrame([(i, "99/99/2026", "10:00", "A", Decimal(1), None, *old) for i in range(1, 5)], schema)
+    c = spark.createDataFrame([(1, "2026-04-22", "REF999"), (2, "15/03/2026", None), (3, None, "REF9")], "id long, fecha_consignacion string, referencia string")
+    criteria = [{"key": "referencia", "rules": [{"kind": "regex", "pattern": "^REF", "message": "no REF"}]}]
+    got = {r["id"]: (r["fecha_date"], r["observations"], r["is_current_month"]) for r in rc.apply_corrections(d, c, None, 4, 2026, criteria).collect()}
+    assert got == {1: (date(2026, 4, 22), [], True), 2: (date(2026, 3, 15), ["Fecha fuera del periodo valido configurado", "no REF"], False), 3: (None, ["Fecha invalida"], None), 4: (None, *old)}
+    assert [r["id"] for r in q.valid_deposits(rc.apply_corrections(d, c, None, 4, 2026)).orderBy("id").collect()] == [1, 2]
+
+
 def test_store_only_new(spark, tmp_path):
     new = spark.createDataFrame([(1, "k1"), (1, "k2"), (1, "k2"), (2, "k1")], "source_image_id long, canonical_key string")
     stored = spark.createDataFrame([(1, "k1")], "source_image_id long, canonical_key string")
