@@ -8,6 +8,7 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.describe import with_description
 from ledgerloom.operators.diagnostics import real_images
 
 PIPELINE_VERSION = "1"
@@ -118,14 +119,27 @@ def logs_with_image(logs: DataFrame, images: DataFrame) -> DataFrame:
     return logs.join(images.select(F.col("id").alias("source_image_id"), "sequence_index", "source_name"), "source_image_id", "left")
 
 
+def plain_values(payload: Column) -> Column:
+    """The strings and numbers of a JSON object, joined by spaces; nested values are left out."""
+    values = F.map_values(F.from_json(payload, "map<string,variant>"))
+    plain = F.filter(values, lambda v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"))
+    return F.coalesce(F.array_join(F.transform(plain, lambda v: F.try_variant_get(v, "$", "string")), " "), F.lit(""))
+
+
 def export_report(runs: DataFrame, images: DataFrame, deposits: DataFrame) -> DataFrame:
-    """The report's columns for runs that may be exported, by run, image and deposit."""
+    """The report's columns for runs that may be exported, ordered by run, image and deposit.
+
+    DESCRIPCION reads the payload's plain values, the image's text and the context, as far as there are such columns.
+    """
     ok = runs.filter(F.col("status").isin("completed", "completed_with_errors")).select(F.col("id").alias("process_run_id"))
-    i = images.select(F.col("id").alias("source_image_id"), F.col("sequence_index").alias("SECUENCIA"), F.col("source_name").alias("ARCHIVO_ORIGEN"))
+    seen = F.concat_ws(" ", *[F.col(c) for c in ("ocr_raw_text", "context_text") if c in images.columns])
+    i = images.select(F.col("id").alias("source_image_id"), F.col("sequence_index").alias("SECUENCIA"), F.col("source_name").alias("ARCHIVO_ORIGEN"), seen.alias("_seen"))
     rows = deposits.join(ok, "process_run_id", "left_semi").join(i, "source_image_id")
-    return rows.select(
+    payload = plain_values(F.col("structured_payload")) if "structured_payload" in deposits.columns else F.lit("")
+    rows = with_description(rows.withColumn("_seen", F.concat_ws(" ", payload, F.col("_seen"))), "_seen", "DESCRIPCION")
+    return rows.orderBy("process_run_id", "SECUENCIA", "source_image_id", "sequence_index", "id").select(
         "process_run_id", "SECUENCIA", F.col("id").alias("deposit_id"), F.col("fecha_consignacion").alias("FECHA"), F.col("hora_consignacion").alias("HORA"), F.col("referencia").alias("REFERENCIA"),
-        F.col("valor").alias("VALOR"), "ARCHIVO_ORIGEN", F.when(F.col("is_current_month"), "Si").otherwise("No").alias("ES_MES_ACTUAL"), F.array_join("observations", "; ").alias("OBSERVACIONES"))
+        F.col("valor").alias("VALOR"), "ARCHIVO_ORIGEN", F.when(F.col("is_current_month"), "Si").otherwise("No").alias("ES_MES_ACTUAL"), F.array_join("observations", "; ").alias("OBSERVACIONES"), "DESCRIPCION")
 
 
 def run_detail(runs: DataFrame, images: DataFrame, deposits: DataFrame) -> DataFrame:

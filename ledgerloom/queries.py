@@ -123,10 +123,14 @@ add("run_rollup", over(rn.run_rollup, "process_runs", "source_images", "deposits
 add("run_rollup_literal", over(rn.run_rollup_literal, "process_runs", "source_images", "deposits"),
     """SELECT r.id, count(DISTINCT i.id) AS images, count(DISTINCT d.id) AS records, sum(d.valor)::DECIMAL(30,2) AS total FROM process_runs r
     LEFT JOIN source_images i ON i.process_run_id = r.id LEFT JOIN deposits d ON d.process_run_id = r.id GROUP BY r.id""")
-add("export_report", over(rn.export_report, "process_runs", "source_images", "deposits"),
+add("export_report", lambda s, d: rn.export_report(a.process_runs(s, d), a.source_images(s, d), a.deposits(s, d)).drop("DESCRIPCION"),
     """SELECT d.process_run_id, i.sequence_index AS SECUENCIA, d.id AS deposit_id, d.fecha_consignacion AS FECHA, hora_consignacion AS HORA, referencia AS REFERENCIA, valor AS VALOR, i.source_name AS ARCHIVO_ORIGEN,
     CASE WHEN is_current_month THEN 'Si' ELSE 'No' END AS ES_MES_ACTUAL, array_to_string(observations, '; ') AS OBSERVACIONES FROM deposits d JOIN source_images i ON i.id = d.source_image_id
     JOIN process_runs r ON r.id = d.process_run_id WHERE r.status IN ('completed', 'completed_with_errors')""")
+REPORT_IMAGES = lambda s, d: a.source_images(s, d).join(a.receipts(s, d).select("id", F.col("text").alias("ocr_raw_text")), "id")
+add("export_report_described", lambda s, d: rn.export_report(a.process_runs(s, d), REPORT_IMAGES(s, d), a.deposits(s, d)).select("process_run_id", "SECUENCIA", "deposit_id", "REFERENCIA", "DESCRIPCION"),
+    """SELECT d.process_run_id, i.sequence_index AS SECUENCIA, d.id AS deposit_id, referencia AS REFERENCIA, CASE WHEN t.variant = 4 THEN 'NEQUI' ELSE 'NINGUNO' END AS DESCRIPCION FROM deposits d JOIN source_images i ON i.id = d.source_image_id
+    JOIN receipts t ON t.id = i.id JOIN process_runs r ON r.id = d.process_run_id WHERE r.status IN ('completed', 'completed_with_errors')""")
 add("run_tree", lambda s, d: rn.run_detail(a.process_runs(s, d), a.source_images(s, d), a.deposits(s, d)).select("id", F.explode("images").alias("i")).select("id", "i.sequence_index", F.explode("i.deposits").alias("x")).select("id", "sequence_index", F.col("x.referencia").alias("referencia")),
     "SELECT r.id, i.sequence_index, d.referencia FROM process_runs r JOIN source_images i ON i.process_run_id = r.id JOIN deposits d ON d.source_image_id = i.id")
 STATUS_SQL = """WITH i AS (SELECT process_run_id, count(*) AS total_images, count(*) FILTER (WHERE ocr_status = 'failed') AS failed_images,
@@ -237,6 +241,9 @@ add("select_final_records", over(at.select_final_records, "attempts"),
     JOIN attempts a ON a.source_image_id = k.source_image_id AND a.attempt_number = k.from_attempt WHERE k.is_consensus AND r.recommendation = 'accept'""")
 add("best_ocr_attempt", lambda s, d: a.attempts(s, d).filter("error IS NULL").groupBy("source_image_id").agg(F.max_by("attempt_number", F.struct("score", "confidence", -F.col("attempt_number"))).alias("attempt_number")),
     "SELECT source_image_id, arg_max(attempt_number, struct_pack(s := score, c := confidence, a := -attempt_number)) AS attempt_number FROM attempts WHERE error IS NULL GROUP BY 1")
+add("best_ocr_attempt_or_errors", lambda s, d: at.best_ocr_attempt(a.attempts(s, d).withColumns({"valid_records_count": F.col("valor").cast("int"), "structured_records_count": F.length("referencia") + F.col("score") % 3, "text": F.repeat("strategy", F.col("score") % 4)})),
+    """SELECT source_image_id, n AS attempt_number, CASE WHEN n IS NULL THEN e END AS error FROM (SELECT source_image_id, arg_max(attempt_number, struct_pack(v := valor::INT, r := score % 3, s := score, l := (score % 4) * 2, a := -attempt_number)) FILTER (WHERE error IS NULL) AS n,
+    string_agg(error, '; ' ORDER BY attempt_number) AS e FROM attempts GROUP BY 1)""")
 add("ocr_fallback_used", lambda s, d: a.attempts(s, d).groupBy("source_image_id").agg(F.max(F.when(F.col("attempt_number") == 1, F.col("error"))).alias("e"), F.max(F.when(F.col("attempt_number") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("attempt_number") == 2, F.col("score"))).alias("s2")).select("source_image_id", at.ocr_fallback_used(F.col("e"), F.col("s1"), F.col("s2")).alias("used")),
     "SELECT source_image_id, s2 IS NOT NULL AND (e IS NOT NULL OR s1 < 8 OR s2 > s1) AS used FROM (SELECT source_image_id, max(error) FILTER (WHERE attempt_number = 1) AS e, max(score) FILTER (WHERE attempt_number = 1) AS s1, max(score) FILTER (WHERE attempt_number = 2) AS s2 FROM attempts GROUP BY 1)")
 

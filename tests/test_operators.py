@@ -15,6 +15,7 @@ from ledgerloom import queries as library
 from ledgerloom.operators import attempts as at
 from ledgerloom.operators import query as q
 from ledgerloom.operators import records as rc
+from ledgerloom.operators import runs as rn
 from ledgerloom.sources import docx, responses
 
 SF = "/root/testdata/sf0.001"
@@ -162,6 +163,25 @@ def test_corrections_recompute_observations(spark):
     assert [r["id"] for r in q.valid_deposits(rc.apply_corrections(d, c, None, 4, 2026)).orderBy("id").collect()] == [1, 2]
 
 
+def test_report_has_description_and_order(spark):
+    runs = spark.createDataFrame([(1, "completed"), (2, "failed")], "id long, status string")
+    images = spark.createDataFrame([(10, 2, "b.png", "DAVID GUEVARA", None), (11, 1, "a.png", None, "nada"), (12, 3, "c.png", None, None)], "id long, sequence_index int, source_name string, ocr_raw_text string, context_text string")
+    row = lambda i, run, image, seq, payload: (i, run, image, seq, None, None, f"R{i}", Decimal(1), None, ["x", "y"], payload)
+    deposits = spark.createDataFrame(
+        [row(1, 1, 10, 2, None), row(2, 1, 10, 1, "no json"), row(3, 1, 11, 1, '{"telefono": 3176771287, "more": {"name": "GROUP DYD COMUNICACIONES SAS"}}'), row(4, 1, 12, 1, '{"titular": "GROUP DYD COMUNICACIONES SAS", "n": null}'), row(5, 2, 12, 1, None),
+         row(6, 1, 12, 2, '{"more": {"name": "GROUP DYD COMUNICACIONES SAS"}, "list": ["3176771287"]}')],
+        "id long, process_run_id long, source_image_id long, sequence_index int, fecha_consignacion string, hora_consignacion string, referencia string, valor decimal(14,2), is_current_month boolean, observations array<string>, structured_payload string")
+    got = [(r["deposit_id"], r["DESCRIPCION"]) for r in rn.export_report(runs, images, deposits).collect()]
+    assert got == [(3, "NEQUI"), (2, "NEQUI"), (1, "NEQUI"), (4, "CUENTA"), (6, "NINGUNO")]
+
+
+def test_best_ocr_attempt(spark):
+    rows = [(1, 1, "long text", 50, None, 0, 3), (1, 2, "t", 5, None, 1, 1), (1, 3, "tt", 5, None, 1, 1), (2, 1, "", 0, "timeout", None, None), (2, 2, "", 0, "no model", None, None), (3, 1, "a", 1, None, None, None), (3, 2, "", 99, "x", 9, 9)]
+    schema = "source_image_id long, attempt_number int, text string, score int, error string, valid_records_count int, structured_records_count int"
+    got = sorted(map(tuple, at.best_ocr_attempt(spark.createDataFrame(rows, schema)).collect()))
+    assert got == [(1, 3, None), (2, None, "timeout; no model"), (3, 1, None)]
+
+
 def test_store_only_new(spark, tmp_path):
     new = spark.createDataFrame([(1, "k1"), (1, "k2"), (1, "k2"), (2, "k1")], "source_image_id long, canonical_key string")
     stored = spark.createDataFrame([(1, "k1")], "source_image_id long, canonical_key string")
