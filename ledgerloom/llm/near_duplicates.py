@@ -1,10 +1,11 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles are alike to 0.8 or more.
 
 1. Texts are told apart by the hash of their lower-case words; copies become one text with a
-   multiplicity. Each text gets MinHash values, cut into the labels of the trees of an LSH forest.
-2. A tree is a trie over its sorted labels. Texts match in a node when they share a prefix of the
-   label; the prefix is shortened, from the whole label on, until the chance that two texts at the
-   threshold share such a node in one of the trees reaches the target recall.
+   multiplicity. Each text gets MinHash values in TREES bands of equal depth.
+2. This is banding of fixed depth, not an LSH forest: no trie is built and no text descends by itself.
+   The depth is the longest one, LABEL at most, at which the chance that two texts at the threshold
+   agree in all values of some band reaches the target recall: 6, for a recall of 0.9993. Texts that
+   agree in a band share its node, one hash.
 3. Texts that share nodes form candidate sets (components). Sets are cut into blocks of bounded
    size; each pair of blocks is one task that verifies all its pairs of texts exactly, by a product
    of incidence matrices over the shingles. It returns counts per text and one edge per text to
@@ -103,7 +104,7 @@ def signature(found: np.ndarray, n: int) -> np.ndarray:
 
 
 def tree_nodes(text: str, trees: int, depth: int) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles, and the text's node in each tree: a hash of the tree and of the label's prefix."""
+    """Number of distinct shingles, and the text's node in each tree (band): a hash of the tree and of its values."""
     found = shingles(text)
     if not found.size:
         return 0, np.empty(0, np.int64)
