@@ -185,13 +185,14 @@ def held_out(doc_id):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> pd.DataFrame:
-    """Texts and labels to learn from: of each label the `most` rows whose ids have the smallest hashes, without those held out."""
+    """Texts and labels to learn from: of each label the `most` rows whose ids have the smallest hashes, without those held out. Of an id with several texts the least one counts."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     there = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).filter(F.col("n").between(1, TRAIN_CHARS)).select("doc_id").distinct()
     usable = usable.join(there, "doc_id", "left_semi")
     parts = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     chosen = parts[0].unionAll(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= TRAIN_CHARS).limit(2 * most)
+    texts = docs.select("doc_id", "text").filter(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return rows.toPandas().sort_values(["doc_id", "toxic", "text"]).reset_index(drop=True)
 
 

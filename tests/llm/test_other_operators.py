@@ -135,6 +135,15 @@ def test_unseen_misspelling_shares_vectors(spark):
     assert (same.weights == model.weights).all()
 
 
+def test_toxicity_sample_takes_one_text_of_an_id(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:6]
+    hot, labels = ids[0], spark.createDataFrame([(i, 0, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(hot, f"hot {n:03d}") for n in range(300)] + [(hot, "")] + [(i, t) for i in ids[1:] for t in (f"b {i}", f"a {i}")], "doc_id long, text string")
+    got = toxicity.labelled_sample(docs, labels, 3)
+    want = sorted((i, k % 2, "hot 000" if i == hot else f"a {i}") for k, i in enumerate(ids))
+    assert list(got[["doc_id", "toxic", "text"]].itertuples(index=False, name=None)) == want
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = odd(spark).withColumn("toxicity", F.lit(1))
