@@ -182,6 +182,14 @@ def test_best_ocr_attempt(spark):
     assert got == [(1, 3, None), (2, None, "timeout; no model"), (3, 1, None)]
 
 
+def test_extraction_events_keep_rejected_candidates(spark):
+    got = library.QUERIES["extraction_events_all"](spark, SF)
+    rejected = {r["reason"]: r["n"] for r in got.filter("stage = 'rejected_candidate'").groupBy("reason").agg(F.count_distinct("id").alias("n")).collect()}
+    variants = {r["variant"]: r["n"] for r in library.a.receipts(spark, SF).groupBy("variant").agg(F.count("*").alias("n")).collect()}
+    assert rejected["amount_looks_like_year"] >= variants[2] and rejected["amount_looks_like_time"] >= variants[3] and rejected["amount_looks_like_phone"] >= variants[4]
+    assert got.filter("stage <> 'rejected_candidate'").count() == sum(variants.values())
+
+
 def test_store_only_new(spark, tmp_path):
     new = spark.createDataFrame([(1, "k1"), (1, "k2"), (1, "k2"), (2, "k1")], "source_image_id long, canonical_key string")
     stored = spark.createDataFrame([(1, "k1")], "source_image_id long, canonical_key string")
