@@ -2,9 +2,9 @@
 
 Words are counted per source, each source gets a target, and target / words is the source's
 repetition rate. Every document is then taken floor(rate) times, plus one more time if a hash of
-its id, read as a number in [0, 1), is below the fraction of the rate. The hash has a seed per
-source: of SEEDS fixed ones, that under which the source's taken words come closest to its target,
-so small sources with few long documents are not left to the luck of one seed.
+its id, read as a number in [0, 1), is below a threshold. The threshold of a source is the place in
+hash order up to which its documents hold the fraction of its words that is due: the fraction
+itself on many documents, and near the target also on few long ones. There is one seed.
 
 Defined results: null text counts no words; a null source is a source of its own (last in the
 order of sources); a source without words has rate 0; rows with equal ids share one decision;
@@ -24,7 +24,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
-SEEDS = 16
+#: Steps of the hash at which a threshold can lie.
+STEPS = 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -57,63 +58,66 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def draw(key: Column, seed: Column) -> Column:
-    """A number in [0, 1) that depends on key and seed alone: 52 bits of an MD5."""
-    digest = F.md5(F.concat(seed, F.lit(":"), F.coalesce(key.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+def draw(key: Column, seed: str = SEED, steps: int = STEPS) -> Column:
+    """The step, from 0 to steps - 1, at which a key lies in hash order: 52 bits of an MD5 of seed and key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.floor(F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52 / steps)).cast("int")
 
 
 def _rate(target: Column, size: Column) -> Column:
     return F.when(size > 0, target / size).otherwise(F.lit(0.0))
 
 
-def with_seeds(targets: DataFrame, sized: DataFrame, seed: str = SEED, seeds: int = SEEDS) -> DataFrame:
-    """targets with `seed`, the closest one of each source. sized: doc_id, source, size. One aggregate over numbers, not texts."""
-    t = targets.select(F.col("source").alias("t_source"), F.col("source_size").alias("t_size"), "target")
-    rows = sized.join(t, sized["source"].eqNullSafe(F.col("t_source")))
-    rate = _rate(F.col("target"), F.col("t_size"))
-    extra = [F.sum(F.when(draw(F.col("doc_id"), F.lit(f"{seed}-{k}")) < rate - F.floor(rate), F.col("size")).otherwise(0)).alias(f"extra_{k}") for k in range(seeds)]
-    taken = rows.groupBy("t_source", "t_size", "target").agg(*extra)
-    whole = F.floor(rate) * F.col("t_size")
-    off = F.array_min(F.array(*[F.struct(F.abs((whole + F.col(f"extra_{k}")).cast("double") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)]))
-    return taken.select(F.col("t_source").alias("source"), F.col("t_size").alias("source_size"), "target", F.concat(F.lit(f"{seed}-"), off["k"].cast("string")).alias("seed"))
+def with_thresholds(targets: DataFrame, steps: DataFrame) -> DataFrame:
+    """targets with whole (copies that every document gets) and below (documents of earlier steps get one more).
 
+    steps: source, step, size, words summed per step of the hash, STEPS rows a source at most. Of the
+    places between two steps that is taken at which the words before it come closest to what is due.
+    """
+    up = Window.partitionBy("source").orderBy("step")
+    sums = steps.select("source", "step", F.sum("size").over(up).alias("words"))
+    # Before the first step there are no words.
+    places = sums.select("source", (F.col("step") + 1).alias("below"), "words").unionByName(
+        steps.select("source").distinct().select("source", F.lit(0).alias("below"), F.lit(0).cast("long").alias("words")))
+    rate = _rate(F.col("target"), F.col("source_size"))
+    t = targets.select(F.col("source").alias("t_source"), "source_size", "target", F.floor(rate).cast("int").alias("whole"))
+    due = F.col("target") - F.col("whole") * F.col("source_size")
+    rows = places.join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    off = F.struct(F.abs(F.col("words").cast("double") - due), "below")
+    return rows.groupBy("t_source", "source_size", "target", "whole").agg(F.min_by("below", off).alias("below")).withColumnRenamed("t_source", "source")
 
-def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, prefix: str = "mix_") -> DataFrame:
-    """docs with {prefix}size, {prefix}source_size, {prefix}target and {prefix}copies, also for documents taken 0 times.
 
-    docs: doc_id, source, text and any others. The targets are written out first, so the join
-    with the documents is planned on their true size and broadcast by Spark only under its limit.
-    """
-    size, total, target, copies = fresh(docs, *[prefix + c for c in ("size", "source_size", "target", "copies")])
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    targets = materialize(with_seeds(materialize(targets, "mix-targets"), sized, seed), "mix-seeds")
-    key, chosen_seed = fresh(docs, "mix_key", "mix_seed")
-    targets = targets.select(F.col("source").alias(key), F.col("source_size").alias(total), F.col("target").alias(target), F.col("seed").alias(chosen_seed))
-    rate = _rate(F.col(target), F.col(total))
-    joined = docs.join(targets, docs["source"].eqNullSafe(F.col(key)), "left").drop(key)
-    chosen = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col(chosen_seed)) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumns({size: word_count(F.col("text")), copies: chosen.cast("int")}).drop(chosen_seed)
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source and size (words) of docs, written out: the one pass over the texts."""
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+
+
+def source_rates(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """source, source_size, target, whole, below: what sizes (doc_id, source, size) says about its sources. Written out, so joins see its true size."""
+    steps = materialize(sizes.groupBy("source", draw(F.col("doc_id"), seed).alias("step")).agg(F.sum("size").alias("size")), "mix-steps")
+    targets = source_targets(steps.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    return materialize(with_thresholds(targets, steps), "mix-rates")
+
+
+def plan(rows: DataFrame, rates: DataFrame, seed: str = SEED, prefix: str = "mix_") -> DataFrame:
+    """rows (doc_id, source and any others) with {prefix}source_size, {prefix}target and {prefix}copies, also for documents taken 0 times."""
+    total, target, copies, key, whole, below = fresh(rows, *[prefix + c for c in ("source_size", "target", "copies", "key", "whole", "below")])
+    r = rates.select(F.col("source").alias(key), F.col("source_size").alias(total), F.col("target").alias(target), F.col("whole").alias(whole), F.col("below").alias(below))
+    joined = rows.join(r, rows["source"].eqNullSafe(F.col(key)), "left")
+    return joined.withColumn(copies, F.col(whole) + F.when(draw(F.col("doc_id"), seed) < F.col(below), 1).otherwise(0)).drop(key, whole, below)
+
+
+def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: the columns of docs, each row as often as it is taken."""
-    (copies,) = fresh(docs, "mix_copies")
-    (turn,) = fresh(docs, "mix_turn")
-    planned = plan(docs, **options).filter(F.col(copies) > 0)
+    copies, turn = fresh(docs, "mix_copies", "mix_turn")
+    planned = plan(docs, source_rates(sized(docs), seed=seed, **options), seed).filter(F.col(copies) > 0)
     return planned.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return plan(docs).select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
-    )
+    sizes = sized(table(spark, sf_dir, "documents"))
+    return plan(sizes, source_rates(sizes)).select(
+        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"))
 
 
 OP1_SQL = r"""
@@ -139,16 +143,16 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN found.level IS NULL THEN cap_words ELSE least(cap_words, found.level * weight) END AS target
   FROM ranked CROSS JOIN found
 ), rated AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT source, source_size, target, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END)::INT AS whole FROM targets
 ), drawn AS (
-  SELECT r.*, k, (('0x' || substr(md5('mix-1-' || k || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
-  FROM rated r, range(16) seeds(k)
-), copied AS (
-  SELECT *, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
+  SELECT *, floor((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE * 65536.0::DOUBLE)::INT AS step FROM sized
+), places AS (
+  SELECT source, step + 1 AS below, sum(sum(size)) OVER (PARTITION BY source ORDER BY step) AS words FROM drawn GROUP BY source, step
+  UNION ALL SELECT DISTINCT source, 0, 0 FROM drawn
 ), chosen AS (
-  SELECT source, k FROM (SELECT source, k, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM copied GROUP BY source, k)
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1
+  SELECT r.source, source_size, target, whole, arg_min(below, struct_pack(o := abs(words::DOUBLE - (target - whole * source_size)), b := below)) AS below
+  FROM places p JOIN rated r ON p.source IS NOT DISTINCT FROM r.source GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target, taken FROM copied c JOIN chosen h ON c.source IS NOT DISTINCT FROM h.source AND c.k = h.k
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN step < below THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source
 """

@@ -66,7 +66,7 @@ def test_targets(spark, sizes):
 
 def test_mix_keeps_columns_and_repeats(spark):
     docs = odd_docs(spark).withColumn("mix_copies", F.lit("mine")).withColumn("mix_turn", F.lit(0))
-    planned = mixing.plan(docs)
+    planned = mixing.plan(docs, mixing.source_rates(mixing.sized(docs)))
     assert planned.count() == 6
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
@@ -75,6 +75,18 @@ def test_mix_keeps_columns_and_repeats(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_taken_words_come_near_the_target(spark):
+    """One seed: the extra words of a source are within half its longest document of what is due, and come from the front of the hash order."""
+    rows = [(i, "w " * (1 + i * 37 % 90), "en", f"s{i % 3}", 1) for i in range(240)]
+    docs = spark.createDataFrame(rows, DOC)
+    sizes = mixing.sized(docs)
+    got = mixing.plan(sizes, mixing.source_rates(sizes)).withColumn("step", mixing.draw(F.col("doc_id"))).toPandas()
+    for _, g in got.groupby("source"):
+        assert abs((g["size"] * g["mix_copies"]).sum() - g["mix_target"].iloc[0]) <= 45
+        more = g["mix_copies"] > g["mix_copies"].min()
+        assert more.all() or not more.any() or g["step"][more].max() < g["step"][~more].min()
+
+
 def brute_signals(text):
     import re
 
