@@ -6,7 +6,9 @@ cosine transform of the picture, reduced to 32 by 32 grey values.
 
 Defined results: null text is empty; bytes 32 are appended up to a positive multiple of 192, so
 empty text is one line of 64 blank pixels; equal texts give equal files and hashes; other columns
-stay as they are; a file that is damaged (signature, checksum, size, filter type) raises ValueError.
+stay as they are, and where one has the name of a new column, that gets underscores in front; a
+null file has null features; a file that is damaged (signature, checksum, size, filter type) raises
+ValueError.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import fresh, table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -29,6 +32,7 @@ LINE = 192
 IDAT_BYTES = 1 << 16
 SIDE, LOW = 32, 8
 FEATURES = T.StructType([T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("dct_hash", T.BinaryType())])
+ARROW_FEATURES = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("dct_hash", pa.binary())])
 #: Rows of the cosine transform that are kept.
 COSINES = np.cos(np.pi / SIDE * (np.arange(SIDE) + 0.5) * np.arange(LOW)[:, None])
 
@@ -137,36 +141,61 @@ def payload_of(text: str | None) -> bytes:
     return raw + b" " * (-len(raw) % LINE if raw else LINE)
 
 
-@F.pandas_udf(T.BinaryType())
-def text_to_png(texts: pd.Series) -> pd.Series:
-    """Each text's bytes as the samples of a picture 64 pixels wide, red, green and blue."""
-    return pd.Series([encode_png(np.frombuffer(payload_of(t), np.uint8).reshape(-1, LINE // 3, 3)) for t in texts], dtype=object)
+def png_of(text: str | None) -> bytes:
+    """A text's bytes as the samples of a picture 64 pixels wide, red, green and blue."""
+    return encode_png(np.frombuffer(payload_of(text), np.uint8).reshape(-1, LINE // 3, 3))
 
 
-@F.pandas_udf(FEATURES)
-def png_features(files: pd.Series) -> pd.DataFrame:
-    """What the samples of the stored files hold."""
-    rows = []
-    for file in files:
-        samples = decode_png(bytes(file))
-        payload = samples.tobytes()
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), cosine_hash(samples)))
-    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "dct_hash"])
+def features_of(file: bytes) -> dict:
+    """What the samples of a stored file hold."""
+    samples = decode_png(file)
+    payload = samples.tobytes()
+    return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "dct_hash": cosine_hash(samples)}
+
+
+@F.arrow_udf(T.BinaryType())
+def text_to_png(texts: pa.Array) -> pa.Array:
+    return pa.array([png_of(t.as_py()) for t in texts], pa.binary())
+
+
+@F.arrow_udf(FEATURES)
+def png_features(files: pa.Array) -> pa.Array:
+    return pa.array([features_of(f.as_py()) if f.is_valid else None for f in files], ARROW_FEATURES)
+
+
+@F.arrow_udf(T.StructType([T.StructField("media", T.BinaryType()), T.StructField("features", FEATURES)]))
+def stored_features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The file of each text and what it holds, read back from the file; a slice of a batch at a time."""
+    for batch in texts:
+        files, found = [], []
+        for text in batch:
+            files.append(png_of(text.as_py()))
+            found.append(features_of(files[-1]))
+        yield pa.StructArray.from_arrays([pa.array(files, pa.binary()), pa.array(found, ARROW_FEATURES)], names=["media", "features"])
 
 
 def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """df with a PNG column made from a text column."""
-    return df.withColumn(media, text_to_png(F.col(text)))
+    (name,) = fresh(df, media)
+    return df.withColumn(name, text_to_png(F.col(text)))
 
 
 def with_features(df: DataFrame, media: str = "media", features: str = "features") -> DataFrame:
-    """df with the struct of png_features for a PNG column."""
-    return df.withColumn(features, png_features(F.col(media)))
+    """df with the struct of features of a PNG column."""
+    (name,) = fresh(df, features)
+    return df.withColumn(name, png_features(F.col(media)))
+
+
+def with_media_and_features(df: DataFrame, text: str = "text", media: str = "media", features: str = "features") -> DataFrame:
+    """df with a PNG column and its features, both from one pass: no file is made twice."""
+    both, media, features = fresh(df, "stored", media, features)
+    made = df.withColumn(both, stored_features(F.col(text)))
+    return made.withColumns({media: F.col(both)["media"], features: F.col(both)["features"]}).drop(both)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    got = with_features(with_media(docs))
+    got = with_media_and_features(docs)
     return got.select(
         "doc_id",
         "n_bytes",

@@ -236,6 +236,33 @@ def test_media_columns(spark):
     assert all(first[r["text"]] == (r["sha"], bytes(r["features"]["dct_hash"])) for r in got)
 
 
+def brute_cosine_hash(samples):
+    """The low frequencies by the sum of the definition, on the picture averaged or repeated to 32 by 32."""
+    grey = samples.astype(float).sum(axis=2)
+    h, w = grey.shape
+    cuts = lambda n: [(k * n // 32, max(k * n // 32 + 1, (k + 1) * n // 32)) for k in range(32)]
+    small = [[grey[a:b, c:d].mean() for c, d in cuts(w)] for a, b in cuts(h)]
+    wave = [[np.cos(np.pi / 32 * (x + 0.5) * k) for x in range(32)] for k in range(8)]
+    low = [round(sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = np.median(low[1:])
+    return np.packbits([x > middle for x in low]).tobytes()
+
+
+@pytest.mark.parametrize("height", [1, 7, 32, 50, 128])
+def test_cosine_hash_equals_its_definition(height):
+    samples = np.random.default_rng(height).integers(0, 256, (height, 64, 3), dtype=np.uint8)
+    assert media.cosine_hash(samples) == brute_cosine_hash(samples)
+
+
+def test_media_in_one_pass_equals_two_and_null_files(spark):
+    docs = odd(spark).withColumn("media", F.lit("mine"))
+    one = media.with_media_and_features(docs)
+    assert one.columns == [*docs.columns, "_media", "features"]
+    two = media.with_features(media.with_media(odd(spark))).select("media", "features")
+    assert sorted(map(repr, one.select(F.col("_media").alias("media"), "features").collect())) == sorted(map(repr, two.collect()))
+    assert media.with_features(spark.createDataFrame([(None,)], "media binary")).first()["features"] is None
+
+
 # Packing --------------------------------------------------------------------------------------
 
 
@@ -298,13 +325,16 @@ def brute_count(word, scores):
 def test_counts_equal_plain_search(spark):
     scores = token_counts.piece_scores(token_counts.vocabulary_path())
     words = {token_counts.MARK + w for _, t in [*ODD, *corpus(20)] for w in (t or "").split() if len(w) < 200}
-    assert token_counts.trie_counts(list(words), scores) == {w: brute_count(w, scores) for w in words}
+    prefixes = token_counts.piece_prefixes(token_counts.vocabulary_path())
+    assert token_counts.trie_counts(list(words), prefixes) == {w: brute_count(w, scores) for w in words}
     rows = token_counts.with_token_counts(odd(spark)).collect()
-    each = {t: token_counts.trie_counts([token_counts.MARK + w for w in (t or "").split()], scores) for _, t in ODD}
+    each = {t: token_counts.trie_counts([token_counts.MARK + w for w in (t or "").split()], prefixes) for _, t in ODD}
     for r in rows:
         w = (r["text"] or "").split()
         assert (r["counts"]["n_pretokens"], r["counts"]["n_tokens"]) == (len(w), sum(each[r["text"]][token_counts.MARK + x] for x in w))
     assert token_counts.with_token_counts(odd(spark).limit(0)).count() == 0
+    clash = token_counts.with_token_counts(odd(spark).withColumn("Counts", F.lit("mine")))
+    assert clash.columns[-2:] == ["Counts", "_counts"] and clash.first()["Counts"] == "mine"
 
 
 # Pages ----------------------------------------------------------------------------------------
