@@ -1,15 +1,20 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles are alike to 0.8 or more.
 
 1. Texts are told apart by the hash of their lower-case words; copies become one text with a
-   multiplicity. Each text gets MinHash values in TREES bands of equal depth.
-2. This is banding of fixed depth, not an LSH forest: no trie is built and no text descends by itself.
-   The depth is the longest one, LABEL at most, at which the chance that two texts at the threshold
-   agree in all values of some band reaches the target recall: 6, for a recall of 0.9993. Texts that
-   agree in a band share its node, one hash.
-3. Texts that share nodes form candidate sets (components). Sets are cut into blocks of bounded
-   size; each pair of blocks is one task that verifies all its pairs of texts exactly, by a product
-   of incidence matrices over the shingles. It returns counts per text and one edge per text to
-   the first of its component there, never the pairs, so copies and large sets do not grow by their square.
+   multiplicity. Each text gets TREES labels of LABEL MinHash values, and one byte of each value.
+2. The labels of a tree, sorted, are its prefix trie: the texts that share a prefix are neighbours.
+   A text starts from its whole labels, and where these do not reach the target recall the prefix
+   that must match is shortened by one value, down to the one at which texts at the threshold
+   meet in some tree with that probability (6 values for a recall of 0.999). The recall of a text is
+   estimated from the partners it has met: each was met with a probability that follows from
+   its similarity, so partners count with the inverse; one that has met none goes on.
+3. Who meets is compared by all TREES * LABEL bytes; texts whose estimate is not LOOSE apart from
+   the threshold (over five standard errors) are candidates. A node of more than NODE_TEXTS texts is not compared, its
+   texts all become candidates of its first one. Components of the candidates are cut into
+   blocks of bounded size; each pair of blocks is one task that verifies all its pairs of texts
+   exactly, by a product of incidence matrices over the shingles. It returns counts per text and
+   one edge per text to the first of its component there, never the pairs, so copies and large
+   sets do not grow by their square.
 4. Components of the links are the classes.
 
 Defined results: words are runs of anything but ASCII white space, in lower case; a text of one to
@@ -33,17 +38,24 @@ from ledgerloom.llm.common import fresh, materialize, table
 from ledgerloom.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, LABEL, RECALL = 24, 8, 0.999
-#: A block holds about so many texts, or about so many words.
-BLOCK_TEXTS, BLOCK_WORDS = 256, 1 << 19
+TREES, LABEL, RECALL, LOOSE = 24, 8, 0.999, 0.15
+#: Up to so many texts a node of a trie compares its texts with each other.
+NODE_TEXTS = 256
+#: A block holds about so many texts, or about so many words. A hash table of a join holds so many rows a task at most.
+BLOCK_TEXTS, BLOCK_WORDS, TABLE_ROWS = 256, 1 << 19, 1_000_000
 SEED = 20240917
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def matched_depth(trees: int = TREES, label: int = LABEL, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix at which texts as alike as the threshold meet in some tree with the target probability."""
+def met(similarity, depth: int, trees: int = TREES):
+    """The probability that two texts agree in the first `depth` values of some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def shortest_prefix(trees: int = TREES, label: int = LABEL, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix at which texts as alike as the threshold meet with the target probability: no text needs a shorter one."""
     depth = label
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and met(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -103,28 +115,31 @@ def signature(found: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tree_nodes(text: str, trees: int, depth: int) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles, and the text's node in each tree (band): a hash of the tree and of its values."""
+def tree_paths(text: str, trees: int, label: int, shortest: int) -> tuple[int, np.ndarray, bytes]:
+    """Number of distinct shingles; per tree the trie nodes at depths shortest to label (hashes of the tree and the values so far); a byte of each value."""
     found = shingles(text)
     if not found.size:
-        return 0, np.empty(0, np.int64)
-    labels = signature(found, trees * depth).reshape(trees, depth)
-    nodes = np.arange(1, trees + 1, dtype=np.uint64)
-    for k in range(depth):
-        nodes = _mix(nodes * _ODD + labels[:, k])
-    return found.size, nodes.view(np.int64)
-
-
-def text_table(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """One row per distinct text with words: text_id, text_key, doc_id (smallest), copies, n_words, nodes."""
+        return 0, np.empty(0, np.int64), b""
+    values = signature(found, trees * label)
+    labels = values.reshape(trees, label)
+    node, path = np.arange(1, trees + 1, dtype=np.uint64), []
+    for k in range(label):
+        node = _mix(node * _ODD + labels[:, k])
+        if k + 1 >= shortest:
+            path.append(node)
+    return found.size, np.stack(path, axis=1).view(np.int64).ravel(), (_mix(values) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def text_table(docs: DataFrame, trees: int, label: int, shortest: int) -> DataFrame:
+    """One row per distinct text with words: text_id, text_key, doc_id (smallest), copies, n_words, paths (of one tree after the other), sketch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [tree_nodes(t, trees, depth) for t in batch["text"]]
-            yield pd.DataFrame({"text_key": batch["text_key"], "doc_id": batch["doc_id"], "n_words": [n for n, _ in made], "nodes": [b for _, b in made]})
+            made = [tree_paths(t, trees, label, shortest) for t in batch["text"]]
+            yield pd.DataFrame({"text_key": batch["text_key"], "doc_id": batch["doc_id"], "n_words": [n for n, _, _ in made], "paths": [p for _, p, _ in made], "sketch": [s for _, _, s in made]})
 
     keyed = _keyed(docs).select("text_key", F.col("doc_id"), "text")
-    rows = keyed.mapInPandas(run, "text_key binary, doc_id long, n_words long, nodes array<long>").filter("n_words > 0")
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("nodes").alias("nodes"))
+    rows = keyed.mapInPandas(run, "text_key binary, doc_id long, n_words long, paths array<long>, sketch binary").filter("n_words > 0")
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_words", "paths", "sketch")])
     return materialize(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts")
 
 
@@ -134,11 +149,88 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).withColumn("text_key", F.unhex(F.md5(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))))
 
 
-def candidate_sets(texts: DataFrame) -> DataFrame:
-    """(node, component): texts that share tree nodes, directly or by others."""
-    met = texts.select("text_id", F.explode("nodes").alias("tree_node"))
-    hubs = met.groupBy("tree_node").agg(F.min("text_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return components(met.join(hubs, "tree_node").select(F.col("text_id").alias("a"), F.col("hub").alias("b")))
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard estimates from rows of sketch bytes; different values share a byte once in 256 times."""
+    return np.clip(((a == b).mean(axis=-1) - 1 / 256) * 256 / 255, 0, 1)
+
+
+def node_edges(ids: np.ndarray, paths: np.ndarray, sketches: np.ndarray, label: int, least: float, recall: float = RECALL, trees: int = TREES) -> list[tuple[int, int]]:
+    """Candidates among the texts of one node, as edges to the first text of their component here.
+
+    paths: (texts, depths) of the tree, the node's own depth first. From whole labels on, the prefix
+    is shortened for the texts whose estimated recall falls short; pairs with such a text are looked at.
+    """
+    n, depths = len(ids), paths.shape[1]
+    alike = np.stack([estimates(sketches, s) for s in sketches])
+    np.fill_diagonal(alike, 0)
+    found, short = np.zeros((n, n), bool), np.ones(n, bool)
+    for level in range(depths - 1, -1, -1):
+        depth = label - (depths - 1 - level)
+        together = paths[:, level][:, None] == paths[:, level][None, :]
+        found |= together & (short[:, None] | short[None, :]) & (alike >= least)
+        weight = np.where(found, 1 / np.maximum(met(alike, depth, trees), 1e-9), 0).sum(axis=1)
+        short = found.sum(axis=1) < recall * np.maximum(weight, 1e-9)
+        if not short.any():
+            break
+    top = np.arange(n)
+    while True:
+        before = top.copy()
+        top = np.minimum(top, np.where(found, top[None, :], n).min(axis=1))
+        if (top == before).all():
+            return [(int(ids[i]), int(ids[t])) for i, t in enumerate(top) if i != t]
+
+
+def trie_edges(members: DataFrame, label: int, least: float, recall: float, trees: int) -> DataFrame:
+    """Edges (a, b) within nodes. members: node, text_id, path, sketch, all texts of a node in one partition, sorted by path: the trie in order."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in _then_none(batches):
+            whole = batch if rest is None else rest if batch is None else pd.concat([rest, batch], ignore_index=True)
+            if whole is None or not len(whole):
+                continue
+            node = whole["node"].to_numpy()
+            starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            # The last node may go on in the next batch.
+            bounds = np.append(starts, len(whole)) if batch is None else starts
+            rest = None if batch is None else whole.iloc[starts[-1] :].reset_index(drop=True)
+            ids, sketches = whole["text_id"].to_numpy(), whole["sketch"]
+            sizes = np.diff(bounds)
+            two = bounds[:-1][sizes == 2]
+            out = []
+            if two.size:
+                a, b = (np.frombuffer(b"".join(sketches.iloc[two + k]), np.uint8).reshape(two.size, -1) for k in (0, 1))
+                near = two[estimates(a, b) >= least]
+                out.append(pd.DataFrame({"a": ids[near], "b": ids[near + 1]}))
+            for low, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+                part = slice(low, low + size)
+                edges = node_edges(ids[part], np.stack(whole["path"].iloc[part].to_list()), np.frombuffer(b"".join(sketches.iloc[part]), np.uint8).reshape(size, -1), label, least, recall, trees)
+                out.append(pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64))
+            if out:
+                yield pd.concat(out).drop_duplicates()
+
+    return members.mapInPandas(run, "a long, b long")
+
+
+def _then_none(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
+def candidate_sets(texts: DataFrame, trees: int = TREES, label: int = LABEL, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(node, component): texts that are candidates of each other, directly or by others."""
+    shortest = shortest_prefix(trees, label, threshold, recall)
+    depths = label - shortest + 1
+    places = F.sequence(F.lit(0), F.lit(trees - 1))
+    own = texts.select("text_id", F.explode(F.transform(places, lambda t: F.get("paths", t * depths))).alias("node"))
+    nodes = materialize(own.groupBy("node").agg(F.min("text_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "tree-nodes")
+    met_there = materialize(own.join(nodes, "node"), "tree-members")
+    large = met_there.filter(F.col("n") > NODE_TEXTS).select(F.col("text_id").alias("a"), F.col("hub").alias("b"))
+    paths = F.transform(places, lambda t: F.struct(F.get("paths", t * depths).alias("node"), F.slice("paths", t * depths + 1, depths).alias("path")))
+    small = met_there.filter(F.col("n") <= NODE_TEXTS).select("node", "text_id")
+    some = texts.join(small.select("text_id").distinct(), "text_id", "left_semi").select("text_id", "sketch", F.explode(paths).alias("p"))
+    members = some.select("p.node", "text_id", "p.path", "sketch").join(nodes.filter(F.col("n") <= NODE_TEXTS).select("node"), "node", "left_semi")
+    ordered = members.repartition("node").sortWithinPartitions("node", "path", "text_id")
+    return components(large.unionByName(trie_edges(ordered, label, threshold - LOOSE, recall, trees)))
 
 
 def _links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> pd.DataFrame:
@@ -202,7 +294,7 @@ def verified(docs: DataFrame, texts: DataFrame, sets: DataFrame, threshold: floa
     members = sets.select(F.col("node").alias("text_id"), "component").join(texts.select("text_id", "text_key", "doc_id", "copies", "n_words"), "text_id")
     per_set = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
     blocks = per_set.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("m"))
-    members = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("m")).cast("int"))
+    members = materialize(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("m")).cast("int")), "set-members")
     whole = _with_text(docs, members)
     pairs = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     pairs = pairs.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "text_id", "copies", "text")
@@ -220,18 +312,24 @@ def verified(docs: DataFrame, texts: DataFrame, sets: DataFrame, threshold: floa
     return materialize(done, "links")
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """rows, hinted to be a join's hash tables if these stay small in every task; else Spark sorts."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.hint("shuffle_hash") if rows.count() <= parts * TABLE_ROWS // 10 else rows
+
+
 def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members with their text, from the rows of docs that hold the text's smallest doc_id."""
     d = _keyed(docs).select(F.col("text_key").alias("k"), F.col("doc_id").alias("i"), "text")
-    m = members.select("text_key", "doc_id", "text_id", "component", "m", "block", "copies").hint("shuffle_hash")
+    m = _hashed(members.select("text_key", "doc_id", "text_id", "component", "m", "block", "copies"))
     return d.join(m, (F.col("k") == F.col("text_key")) & F.col("i").eqNullSafe(F.col("doc_id"))).drop("k", "i")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> DataFrame:
     """Per row of docs: doc_id, class_id, n_links, n_text_links, class_size."""
-    depth = matched_depth(trees, label, threshold, recall)
-    texts = text_table(docs, trees, depth)
-    found = verified(docs, texts, candidate_sets(texts), threshold)
+    texts = text_table(docs, trees, label, shortest_prefix(trees, label, threshold, recall))
+    found = verified(docs, texts, candidate_sets(texts, trees, label, threshold, recall), threshold)
     counts = found.filter("b < 0").groupBy(F.col("a").alias("text_id")).agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     classes = components(found.filter("b >= 0").select("a", "b")).select(F.col("node").alias("text_id"), "component")
     rich = texts.select("text_id", "text_key", "doc_id", "copies").join(classes, "text_id", "left").join(counts, "text_id", "left")
@@ -240,7 +338,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     rich = materialize(rich.join(names, "component").select(
         "text_key", "class_id", "class_size",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links")), "near-classes")
-    rows = _keyed(docs).select("doc_id", "text_key")
+    # Documents without words share one key and are in no class: they stay out of the join.
+    rows = _keyed(docs).select("doc_id", F.when(F.col("text_key") != F.unhex(F.md5(F.lit(""))), F.col("text_key")).alias("text_key"))
     return rows.join(rich, "text_key", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
@@ -258,7 +357,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     order, rows = fresh(docs, "near_order", "near_rows")
     found = near_duplicates(docs.select("doc_id", "text"), **options).filter(F.col("doc_id") == F.col("class_id"))
     keep = materialize(found.groupBy("doc_id").agg(F.count("*").alias(rows)), "near-keep")
-    single = docs.join(keep.filter(F.col(rows) == 1).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    single = docs.join(keep.filter(F.col(rows) == 1).select("doc_id"), "doc_id", "left_semi")
     # Ids that come more than once, of which there should be none.
     twice = docs.join(keep.filter(F.col(rows) > 1).select("doc_id"), "doc_id", "left_semi")
     picked = twice.withColumn(order, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(order) == 1)

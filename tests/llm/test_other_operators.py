@@ -84,9 +84,52 @@ def test_exact_threshold_counts(spark):
     assert [r["class_id"] for r in got.collect()] == [1, 1]
 
 
-def test_depth_reaches_the_recall():
-    d = near_duplicates.matched_depth()
-    assert 1 - (1 - 0.8**d) ** near_duplicates.TREES >= near_duplicates.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES
+def test_shortest_prefix_reaches_the_recall():
+    d = near_duplicates.shortest_prefix()
+    assert near_duplicates.met(0.8, d) >= near_duplicates.RECALL > near_duplicates.met(0.8, d + 1)
+
+
+def test_prefixes_are_shortened_where_recall_is_short():
+    """Whole labels suffice for close copies; a pair at the threshold that agrees in a short prefix alone is still found."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 192, dtype=np.uint8)
+    def changed(share):
+        out = base.copy()
+        at = rng.permutation(192)[: int(192 * share)]
+        out[at] ^= 255
+        return out
+    sketches = np.stack([base, changed(0.02), changed(0.2), rng.integers(0, 256, 192, dtype=np.uint8)])
+    ids = np.array([10, 11, 12, 13])
+    deep = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 4], [1, 5, 6]])
+    assert near_duplicates.node_edges(ids, deep, sketches, 8, 0.65) == [(11, 10), (12, 10)]
+    # Both texts of a close pair have what they need from their whole labels.
+    assert near_duplicates.node_edges(ids[:2], deep[:2], sketches[:2], 8, 0.65) == [(11, 10)]
+    assert near_duplicates.node_edges(ids[[0, 3]], deep[[0, 3]], sketches[[0, 3]], 8, 0.65) == []
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the test data")
+@pytest.mark.parametrize("node", [near_duplicates.NODE_TEXTS, 2])
+def test_links_of_real_documents_are_exact(spark, monkeypatch, node):
+    monkeypatch.setattr(near_duplicates, "NODE_TEXTS", node)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, links = {}, {}
+    for d, t in docs.select("doc_id", "text").collect():
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
+        sets[d] = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set()
+    holders = {}
+    for d, grams in sets.items():
+        for g in grams:
+            holders.setdefault(g, []).append(d)
+    shared = {}
+    for group in holders.values():
+        for i, a in enumerate(group):
+            for b in group[:i]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    for (a, b), n in shared.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    got = near_duplicates.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got if r["n_links"]} == links and len(got) == len(sets)
 
 
 def test_components(spark):
