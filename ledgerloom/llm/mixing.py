@@ -25,7 +25,7 @@ SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
 #: Steps of the hash at which a threshold can lie.
-STEPS = 1 << 16
+STEPS, STRETCH = 1 << 16, 1 << 8
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -71,11 +71,18 @@ def _rate(target: Column, size: Column) -> Column:
 def with_thresholds(targets: DataFrame, steps: DataFrame) -> DataFrame:
     """targets with whole (copies that every document gets) and below (documents of earlier steps get one more).
 
-    steps: source, step, size, words summed per step of the hash, STEPS rows a source at most. Of the
-    places between two steps that is taken at which the words before it come closest to what is due.
+    steps: source, step, size, words summed per step of the hash, STEPS rows a source at most. Words
+    are cumulated inside stretches of steps and over the stretches of a source, so no task has all
+    steps of one. Of the places between two steps that is taken at which the words before it come
+    closest to what is due.
     """
-    up = Window.partitionBy("source").orderBy("step")
-    sums = steps.select("source", "step", F.sum("size").over(up).alias("words"))
+    stretch = F.floor(F.col("step") / STRETCH).cast("int").alias("stretch")
+    inside = Window.partitionBy("source", "stretch").orderBy("step")
+    before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    over = steps.groupBy("source", stretch).agg(F.sum("size").alias("words")).select(
+        F.col("source").alias("s"), F.col("stretch").alias("k"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier"))
+    sums = steps.select("source", "step", stretch, "size").withColumn("words", F.sum("size").over(inside))
+    sums = sums.join(over, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("k"))).select("source", "step", (F.col("words") + F.col("earlier")).alias("words"))
     # Before the first step there are no words.
     places = sums.select("source", (F.col("step") + 1).alias("below"), "words").unionByName(
         steps.select("source").distinct().select("source", F.lit(0).alias("below"), F.lit(0).cast("long").alias("words")))
