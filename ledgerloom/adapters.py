@@ -15,10 +15,27 @@ EPOCH = 1704067200
 AS_OF_ORDERS, AS_OF_EVENTS = "2001-08-02", "2024-01-31"
 
 
+#: Stages of trace_logs by event number, and its payload: expressions by name, null where the field is missing.
+TRACE_STAGES = "WHEN 0 THEN 'ocr' WHEN 1 THEN 'llm_structuring' WHEN 2 THEN 'llm_structuring_auto_vision' WHEN 3 THEN 'heuristic_fallback_completed' WHEN 4 THEN 'candidate_record_validation' WHEN 5 THEN 'docx_image_limit_warning' ELSE 'persistence'"
+PAYLOAD = {
+    "status": "CASE event_type WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'timeout' ELSE 'failed' END WHEN 'signup' THEN 'started' WHEN 'view' THEN NULL ELSE 'completed' END",
+    "duration_ms": "CASE WHEN event_id % 9 > 0 THEN CAST(round(value * 100) AS BIGINT) END", "agent": "CASE WHEN event_id % 2 = 0 THEN concat('agent', event_id % 4) END", "attempt": "CASE WHEN event_id % 3 > 0 THEN event_id % 3 END",
+    "decision": "CASE WHEN event_id % 8 = 0 THEN 'retry' END", "explicit_ocr_date": "CASE WHEN event_id % 3 = 0 THEN concat('1', event_id % 10, '/04/1998') END", "final_date_source": "CASE WHEN event_id % 11 = 0 THEN 'ocr_text' END",
+    "llm_structured_records_count": "event_id % 4", "heuristic_records_count": "event_id % 3", "candidate_status": "CASE WHEN event_id % 2 = 0 THEN 'rejected' ELSE 'accepted' END", "candidate_id": "event_id",
+    "records_count": "CASE WHEN event_id % 4 > 0 THEN event_id % 4 END", "error_class": "CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'TimeoutError' END", "error_message": "CASE WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'model says no' END",
+}
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt to all of them: what follows is bound by the processor, not by reading. Larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def process_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"timestamp_seconds({EPOCH} + c_custkey * 600)"
     base = _t(spark, sf_dir, "customer").selectExpr(
@@ -40,7 +57,9 @@ def deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('REF', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS referencia", "CAST(o_totalprice AS DECIMAL(14,2)) AS valor",
         "CASE o_orderpriority WHEN '1-URGENT' THEN array('ok') WHEN '2-HIGH' THEN array('Fecha inválida') WHEN '3-MEDIUM' THEN array('error en valor') "
         "WHEN '4-NOT SPECIFIED' THEN array('Fecha fuera del periodo valido configurado', 'revisar') ELSE CAST(array() AS ARRAY<STRING>) END AS observations",
-        "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 = 1 END AS is_current_month", "CAST(o_orderdate AS TIMESTAMP) AS created_at")
+        "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 = 1 END AS is_current_month",
+        # Deposits are stored up to 39 days after their date.
+        "timestampadd(HOUR, CAST(o_orderkey % 940 AS INT), CAST(o_orderdate AS TIMESTAMP)) AS created_at")
 
 
 def source_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +68,8 @@ def source_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE concat('images/', o_orderkey, '.png') END AS image_file", "concat('image', o_orderkey, '.png') AS source_name",
         "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'processed' ELSE 'pending' END AS ocr_status",
         "CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'ocr timeout' ELSE 'llm failure' END ELSE '' END AS error_message",
-        "o_orderkey % 4000000 AS image_bytes", "md5(CAST(o_orderkey % 5000 AS STRING)) AS content_hash")
+        "o_orderkey % 4000000 AS image_bytes", "md5(CAST(o_orderkey % 5000 AS STRING)) AS content_hash",
+        "CASE WHEN o_orderkey % 3 = 0 THEN date_format(o_orderdate, 'dd/MM/yyyy') END AS context_date")
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,16 +82,29 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("raw_payload", F.concat(F.lit('{"status":"'), "status", F.lit('","duration_ms":'), F.col("duration_ms").cast("string"), F.lit("}")))
 
 
+def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events again, with more stages and a payload of many fields, of which rows lack some."""
+    out = _t(spark, sf_dir, "events").selectExpr(
+        "event_id AS id", "user_id AS process_run_id", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 1000 END AS source_image_id", f"CASE event_id % 7 {TRACE_STAGES} END AS stage",
+        "event_type = 'error' AS is_error", "CAST(ts AS TIMESTAMP) AS created_at", "CASE WHEN event_type = 'error' THEN concat('model failure ', event_id, repeat('!', 100)) WHEN event_id % 7 = 5 THEN 'many images' ELSE '' END AS notes",
+        "CASE WHEN event_id % 3 = 0 THEN 'openai' ELSE '' END AS provider", f"named_struct({', '.join(f"'{k}', {v}" for k, v in PAYLOAD.items())}) AS payload")
+    return out.withColumn("raw_payload", F.to_json("payload")).drop("payload")
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as attempts on an image, each with no, one or two records."""
     order = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+    one = "named_struct('referencia', concat(' ref', l_partkey % 3, ' '), 'valor', CAST(CAST(l_quantity % 2 AS INT) AS STRING))"
+    two = "named_struct('referencia', concat('REF', l_suppkey % 3), 'valor', CAST(CAST(l_linenumber % 2 AS INT) AS STRING))"
     return _t(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS source_image_id", f"CAST(row_number() OVER ({order}) AS INT) AS attempt_number", "concat('s', l_linenumber % 3) AS strategy",
         "concat(' ref', l_partkey % 3, ' ') AS referencia", "CAST(CAST(l_quantity % 2 AS INT) AS STRING) AS valor", "round(l_discount * 10, 2) AS confidence",
-        "CASE WHEN l_returnflag = 'R' THEN 'llm timeout' END AS error", "length(l_linestatus) + CAST(l_quantity AS INT) AS score")
+        "CASE WHEN l_returnflag = 'R' THEN 'llm timeout' END AS error", "length(l_linestatus) + CAST(l_quantity AS INT) AS score",
+        f"CASE CAST(l_quantity AS INT) % 3 WHEN 0 THEN slice(array({one}), 1, 0) WHEN 1 THEN array({one}) ELSE array({one}, {two}) END AS records")
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _t(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey % 6 AS variant", "concat('M', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS ref", "10000 + (o_orderkey % 100000) * 7 AS n",
+    k = spread(_t(spark, sf_dir, "orders")).selectExpr("o_orderkey AS id", "o_orderkey % 6 AS variant", "concat('M', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS ref", "10000 + (o_orderkey % 100000) * 7 AS n",
                                                "date_format(o_orderdate, 'dd/MM/yyyy') AS day", "concat(lpad(CAST(o_orderkey % 24 AS STRING), 2, '0'), ':', lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')) AS clock")
     k = k.withColumn("money", F.expr("concat(n div 1000, '.', lpad(CAST(n % 1000 AS STRING), 3, '0'))"))
     text = F.expr(
@@ -85,11 +118,22 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competing records of one image: the lines of an order, in several spellings, some without date or time."""
     order = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
-    return _t(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey AS source_image_id", "md5(CAST(l_orderkey AS STRING)) AS content_hash", f"CAST(row_number() OVER ({order}) AS INT) AS idx",
-        "CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 3 = 1 THEN '15/04/2026' ELSE '2026-04-15' END AS fecha_consignacion",
-        "CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE '9:30' END AS hora_consignacion", "CASE WHEN l_linenumber % 2 = 0 THEN ' ref001 ' ELSE 'REF001' END AS referencia",
-        "CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN '$50.000,00' WHEN 1 THEN '50000.00' WHEN 2 THEN '50,000.00' WHEN 3 THEN '60.000' ELSE NULL END AS valor", "l_discount AS confidence")
+    rows = _t(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS source_image_id", "md5(CAST(l_orderkey AS STRING)) AS content_hash", f"CAST(row_number() OVER ({order}) AS INT) AS idx", "date_add(DATE '2026-01-01', CAST(l_orderkey % 90 AS INT)) AS day",
+        "(l_orderkey % 40 + 1) * 2500 + CASE WHEN l_partkey % 4 = 0 THEN 10000 ELSE 0 END AS n", "l_partkey AS p", "l_suppkey AS s", "CAST(l_quantity AS INT) AS q", "l_linenumber AS k", "l_discount AS confidence")
+    return rows.selectExpr(
+        "source_image_id", "content_hash", "idx", "CASE p % 3 WHEN 0 THEN NULL WHEN 1 THEN date_format(day, 'dd/MM/yyyy') ELSE CAST(day AS STRING) END AS fecha_consignacion",
+        "CASE WHEN s % 2 = 0 THEN '' ELSE concat(7 + s % 3, ':', lpad(CAST(source_image_id % 60 AS STRING), 2, '0')) END AS hora_consignacion",
+        "CASE k % 3 WHEN 0 THEN concat(' ref', source_image_id % 7 + 100, ' ') WHEN 1 THEN concat('REF', source_image_id % 7 + 100) ELSE concat('Ref', source_image_id % 7 + 100) END AS referencia",
+        "CASE q % 6 WHEN 0 THEN concat('$', n div 1000, '.', lpad(CAST(n % 1000 AS STRING), 3, '0'), ',00') WHEN 1 THEN concat(n, '.00') WHEN 2 THEN concat(n div 1000, ',', lpad(CAST(n % 1000 AS STRING), 3, '0'), '.00') "
+        "WHEN 3 THEN concat(n div 1000, '.', lpad(CAST(n % 1000 AS STRING), 3, '0')) WHEN 4 THEN concat('COP ', n) ELSE NULL END AS valor", "confidence")
+
+
+def keyed_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deposits as rows of corrections, some of which do not hold."""
+    return deposits(spark, sf_dir).select(
+        "id", F.expr("CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 2 AND id % 5 = 0 THEN '22.04.2026' ELSE '22/04/2026' END").alias("fecha_consignacion"), F.expr("CASE WHEN id % 4 > 0 THEN '3:45 pm' END").alias("hora_consignacion"),
+        F.expr("CASE WHEN id % 11 = 0 THEN 'R7' ELSE referencia END").alias("referencia"), F.expr("CASE WHEN id % 13 = 0 THEN -5 ELSE valor END").alias("valor"))
 
 
 VIEWS_SQL = f"""
@@ -105,31 +149,54 @@ process_runs AS (
          'REF' || lpad(o_orderkey::VARCHAR, 8, '0') AS referencia, o_totalprice::DECIMAL(14,2) AS valor,
          CASE o_orderpriority WHEN '1-URGENT' THEN ['ok'] WHEN '2-HIGH' THEN ['Fecha inválida'] WHEN '3-MEDIUM' THEN ['error en valor']
               WHEN '4-NOT SPECIFIED' THEN ['Fecha fuera del periodo valido configurado', 'revisar'] ELSE []::VARCHAR[] END AS observations,
-         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 = 1 END AS is_current_month, o_orderdate::TIMESTAMP AS created_at FROM orders
+         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 = 1 END AS is_current_month, o_orderdate::TIMESTAMP + to_hours((o_orderkey % 940)::INT) AS created_at FROM orders
 ), source_images AS (
   SELECT o_orderkey AS id, o_custkey AS process_run_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS sequence_index,
          CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'images/' || o_orderkey || '.png' END AS image_file, 'image' || o_orderkey || '.png' AS source_name,
          CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'processed' ELSE 'pending' END AS ocr_status,
          CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'ocr timeout' ELSE 'llm failure' END ELSE '' END AS error_message,
-         o_orderkey % 4000000 AS image_bytes, md5((o_orderkey % 5000)::VARCHAR) AS content_hash FROM orders
+         o_orderkey % 4000000 AS image_bytes, md5((o_orderkey % 5000)::VARCHAR) AS content_hash,
+         CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS context_date FROM orders
 ), logs AS (
   SELECT event_id AS id, user_id AS process_run_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 1000 END AS source_image_id,
          CASE event_type WHEN 'view' THEN 'ocr' WHEN 'signup' THEN 'ocr' WHEN 'purchase' THEN 'persistence' ELSE 'llm_structuring' END AS stage,
          CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'timeout' ELSE 'failed' END WHEN event_type = 'signup' THEN 'started' ELSE 'completed' END AS status,
          round(value * 100)::BIGINT AS duration_ms, event_type = 'error' AS is_error, ts::TIMESTAMP AS created_at, event_id % 4 AS records_count,
          CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'timeout calling model' ELSE 'model failure' END ELSE '' END AS notes FROM events
+), trace_logs AS (
+  SELECT event_id AS id, user_id AS process_run_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 1000 END AS source_image_id, CASE event_id % 7 {TRACE_STAGES} END AS stage, event_type = 'error' AS is_error, ts::TIMESTAMP AS created_at,
+         CASE WHEN event_type = 'error' THEN 'model failure ' || event_id || repeat('!', 100) WHEN event_id % 7 = 5 THEN 'many images' ELSE '' END AS notes, CASE WHEN event_id % 3 = 0 THEN 'openai' ELSE '' END AS provider,
+         {', '.join(f"{v} AS {k}" for k, v in PAYLOAD.items())} FROM events
 ), attempts AS (
   SELECT l_orderkey AS source_image_id,
          (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate))::INT AS attempt_number,
          's' || (l_linenumber % 3) AS strategy, ' ref' || (l_partkey % 3) || ' ' AS referencia, ((l_quantity % 2)::INT)::VARCHAR AS valor, round(l_discount * 10, 2) AS confidence,
-         CASE WHEN l_returnflag = 'R' THEN 'llm timeout' END AS error, length(l_linestatus) + l_quantity::INT AS score FROM lineitem
+         CASE WHEN l_returnflag = 'R' THEN 'llm timeout' END AS error, length(l_linestatus) + l_quantity::INT AS score,
+         list_slice([{{'referencia': ' ref' || (l_partkey % 3) || ' ', 'valor': ((l_quantity % 2)::INT)::VARCHAR}}, {{'referencia': 'REF' || (l_suppkey % 3), 'valor': (l_linenumber % 2)::VARCHAR}}], 1, l_quantity::INT % 3) AS records FROM lineitem
 ), receipts AS (
   SELECT o_orderkey AS id, o_orderkey % 6 AS variant, 'M' || lpad(o_orderkey::VARCHAR, 8, '0') AS ref, 10000 + (o_orderkey % 100000) * 7 AS n, strftime(o_orderdate, '%d/%m/%Y') AS day,
-         lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS clock FROM orders
+         lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS clock,
+         (n // 1000) || '.' || lpad((n % 1000)::VARCHAR, 3, '0') AS money,
+         CASE variant WHEN 0 THEN 'Pago exitoso Nequi' || chr(10) || '¿Cuánto? $' || money || ',00' || chr(10) || 'Fecha 01 de abril de 2026 a las 11:49 a. m.' || chr(10) || 'Referencia ' || ref || chr(10) || 'Número Nequi 317036520'
+           WHEN 1 THEN 'Comprobante de pago banco' || chr(10) || 'Valor $ ' || money || chr(10) || 'Fecha ' || day || ' ' || clock || chr(10) || 'Referencia: ' || ref
+           WHEN 2 THEN 'Referencia ' || ref || ' Valor 2026 Fecha 01 ABRIL 2026' WHEN 3 THEN 'Referencia ' || ref || ' Valor 1149 Fecha 01 ABRIL 2026'
+           WHEN 4 THEN 'Referencia ' || ref || ' Valor 3176771287 Numero Nequi 3176771287' ELSE 'Fecha de proceso: ' || day || '  Importe Total: ' || money || ',00 Referencia ' || ref END AS text FROM orders
 ), candidates AS (
-  SELECT l_orderkey AS source_image_id, md5(l_orderkey::VARCHAR) AS content_hash,
+  SELECT source_image_id, content_hash, idx, CASE p % 3 WHEN 0 THEN NULL WHEN 1 THEN strftime(day, '%d/%m/%Y') ELSE day::VARCHAR END AS fecha_consignacion,
+         CASE WHEN s % 2 = 0 THEN '' ELSE (7 + s % 3) || ':' || lpad((source_image_id % 60)::VARCHAR, 2, '0') END AS hora_consignacion,
+         CASE k % 3 WHEN 0 THEN ' ref' || (source_image_id % 7 + 100) || ' ' WHEN 1 THEN 'REF' || (source_image_id % 7 + 100) ELSE 'Ref' || (source_image_id % 7 + 100) END AS referencia,
+         CASE q % 6 WHEN 0 THEN '$' || (n // 1000) || '.' || lpad((n % 1000)::VARCHAR, 3, '0') || ',00' WHEN 1 THEN n || '.00' WHEN 2 THEN (n // 1000) || ',' || lpad((n % 1000)::VARCHAR, 3, '0') || '.00'
+                    WHEN 3 THEN (n // 1000) || '.' || lpad((n % 1000)::VARCHAR, 3, '0') WHEN 4 THEN 'COP ' || n ELSE NULL END AS valor, confidence
+  FROM (SELECT l_orderkey AS source_image_id, md5(l_orderkey::VARCHAR) AS content_hash,
          (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate))::INT AS idx,
-         CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 3 = 1 THEN '15/04/2026' ELSE '2026-04-15' END AS fecha_consignacion,
-         CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE '9:30' END AS hora_consignacion, CASE WHEN l_linenumber % 2 = 0 THEN ' ref001 ' ELSE 'REF001' END AS referencia,
-         CASE l_quantity::INT % 5 WHEN 0 THEN '$50.000,00' WHEN 1 THEN '50000.00' WHEN 2 THEN '50,000.00' WHEN 3 THEN '60.000' ELSE NULL END AS valor, l_discount AS confidence FROM lineitem
+         DATE '2026-01-01' + (l_orderkey % 90)::INT AS day, (l_orderkey % 40 + 1) * 2500 + CASE WHEN l_partkey % 4 = 0 THEN 10000 ELSE 0 END AS n, l_partkey AS p, l_suppkey AS s, l_quantity::INT AS q, l_linenumber AS k, l_discount AS confidence FROM lineitem)
+), keyed AS (
+  SELECT *, CASE WHEN n_valor IS NULL THEN '' ELSE 'v1:' || sha256(concat_ws('|', content_hash, n_fecha, n_hora, n_valor::VARCHAR, n_ref)) END AS canonical_key,
+         CASE WHEN n_valor IS NULL THEN '' ELSE 'v1:' || sha256(concat_ws('|', content_hash, n_valor::VARCHAR, n_ref)) END AS loose_key
+  FROM (SELECT *, CASE WHEN contains(t, ',') AND contains(t, '.') THEN CASE WHEN strpos(reverse(t), ',') < strpos(reverse(t), '.') THEN replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END
+                       WHEN contains(t, ',') THEN CASE WHEN strpos(reverse(t), ',') IN (2, 3) THEN replace(t, ',', '.') ELSE replace(t, ',', '') END
+                       WHEN contains(t, '.') THEN CASE WHEN strpos(reverse(t), '.') IN (2, 3) THEN t ELSE replace(t, '.', '') END ELSE t END::DECIMAL(14,2) AS n_valor
+        FROM (SELECT *, nullif(regexp_replace(valor, '[^0-9,.-]', '', 'g'), '') AS t, upper(trim(referencia)) AS n_ref,
+                     coalesce(CASE WHEN contains(fecha_consignacion, '/') THEN strptime(fecha_consignacion, '%d/%m/%Y')::DATE::VARCHAR ELSE fecha_consignacion END, '') AS n_fecha,
+                     CASE WHEN hora_consignacion = '' THEN '' ELSE lpad(hora_consignacion, 5, '0') END AS n_hora FROM candidates))
 )"""

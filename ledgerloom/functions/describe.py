@@ -14,12 +14,24 @@ from ledgerloom.functions.text import digits_only, fold
 # Names and the number that tell accounts apart.
 PERSON, COMPANY, PHONE = "DAVID GUEVARA", "GROUP DYD COMUNICACIONES SAS", "3176771287"
 PERSON_LIKE, COMPANY_LIKE = 0.88, 0.72
+# Where a payload tells who sent a deposit.
+PAYLOAD_KEYS = ("remitente", "telefono_remitente", "empresa_origen", "sender", "nombre_remitente", "originador", "titular", "cuenta_origen", "telefono", "numero_nequi", "ocr_text", "raw_text")
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Likeness of two texts by their longest common blocks; no built-in measures that."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype=float)
+@F.pandas_udf(T.StructType([T.StructField("person", T.DoubleType()), T.StructField("company", T.DoubleType())]))
+def seq_ratios(person: pd.Series, company: pd.Series) -> pd.DataFrame:
+    """Likeness to the person's and the company's name by longest common blocks; no built-in measures that. Null texts are not compared."""
+    def likeness(texts: pd.Series, name: str) -> list[float]:
+        matcher = SequenceMatcher(None, "", name)
+        out = []
+        for text in texts:
+            if text is None:
+                out.append(0.0)
+                continue
+            matcher.set_seq1(text)
+            out.append(matcher.ratio())
+        return out
+    return pd.DataFrame({"person": likeness(person, PERSON.replace(" ", "")), "company": likeness(company, COMPANY.replace(" ", ""))})
 
 
 def may_reach(a: Column, b: Column, least: float) -> Column:
@@ -38,13 +50,41 @@ def company_marks(c: Column) -> Column:
 
 
 def with_description(df: DataFrame, text: str, out: str = "description") -> DataFrame:
-    """df with NEQUI, CUENTA or NINGUNO. The likeness runs only where nothing simpler decided and the length allows it; other rows hand it empty texts."""
-    n, sure = "_describe_text", "_describe_sure"
+    """df with NEQUI, CUENTA or NINGUNO. The likeness, one call for both names, is asked only where nothing simpler decided and the length allows it."""
+    n, sure, both = "_describe_text", "_describe_sure", "_describe_like"
     df = df.withColumn(n, fold(F.col(text)))
     decided = (F.when(F.col(n) == "", "NINGUNO").when(F.col(n).contains(PERSON) | digits_only(F.col(n)).contains(PHONE), "NEQUI").when(company_marks(F.col(text)), "CUENTA"))
     df = df.withColumn(sure, decided)
-    for name, squeezed, whole, least in (("_describe_p", F.replace(F.col(n), F.lit(" "), F.lit("")), PERSON.replace(" ", ""), PERSON_LIKE), ("_describe_c", F.regexp_replace(n, "[^A-Z0-9]", ""), COMPANY.replace(" ", ""), COMPANY_LIKE)):
-        open_row = F.coalesce(F.col(sure), F.lit("")).isin("", "CUENTA") & may_reach(squeezed, F.lit(whole), least)
-        df = df.withColumn(name, seq_ratio(F.when(open_row, squeezed).otherwise(""), F.lit(whole)) >= least)
-    answer = F.when(F.col(sure) == "NINGUNO", "NINGUNO").when((F.col(sure) == "NEQUI") | F.col("_describe_p"), "NEQUI").when((F.col(sure) == "CUENTA") | F.col("_describe_c"), "CUENTA").otherwise("NINGUNO")
-    return df.withColumn(out, answer).drop(n, sure, "_describe_p", "_describe_c")
+    open_row = F.coalesce(F.col(sure), F.lit("")).isin("", "CUENTA")
+    squeezed, marks_off = F.replace(F.col(n), F.lit(" "), F.lit("")), F.regexp_replace(n, "[^A-Z0-9]", "")
+    person = F.when(open_row & may_reach(squeezed, F.lit(PERSON.replace(" ", "")), PERSON_LIKE), squeezed)
+    company = F.when(open_row & may_reach(marks_off, F.lit(COMPANY.replace(" ", "")), COMPANY_LIKE), marks_off)
+    df = df.withColumn(both, seq_ratios(person, company))
+    answer = (F.when(F.col(sure) == "NINGUNO", "NINGUNO").when((F.col(sure) == "NEQUI") | (F.col(f"{both}.person") >= PERSON_LIKE), "NEQUI")
+              .when((F.col(sure) == "CUENTA") | (F.col(f"{both}.company") >= COMPANY_LIKE), "CUENTA").otherwise("NINGUNO"))
+    return df.withColumn(out, answer).drop(n, sure, both)
+
+
+def payload_text(payload: Column) -> Column:
+    """The values of a JSON object under PAYLOAD_KEYS, in their order, joined by spaces."""
+    v = F.try_parse_json(payload)
+    return F.array_join(F.array(*[F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in PAYLOAD_KEYS]), " ")
+
+
+def plain_values(payload: Column) -> Column:
+    """The strings and numbers of a JSON object, joined by spaces; nested values are left out."""
+    values = F.map_values(F.from_json(payload, "map<string,variant>"))
+    plain = F.filter(values, lambda v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"))
+    return F.coalesce(F.array_join(F.transform(plain, lambda v: F.try_variant_get(v, "$", "string")), " "), F.lit(""))
+
+
+def describe_payload(df: DataFrame, payload: str, out: str = "description") -> DataFrame:
+    """df with the account that a structured payload names; NINGUNO where it is no JSON object."""
+    return with_description(df.withColumn("_describe_payload", payload_text(F.col(payload))), "_describe_payload", out).drop("_describe_payload")
+
+
+def describe_deposit(df: DataFrame, payload: str = "structured_payload", texts: tuple[str, ...] = ("ocr_raw_text", "context_text"), out: str = "description") -> DataFrame:
+    """df with the account of a deposit, by its payload's plain values and the texts of its image, as far as df has such columns."""
+    parts = [plain_values(F.col(payload))] if payload in df.columns else []
+    seen = F.concat_ws(" ", *parts, *[F.coalesce(F.col(c), F.lit("")) for c in texts if c in df.columns])
+    return with_description(df.withColumn("_describe_seen", seen), "_describe_seen", out).drop("_describe_seen")

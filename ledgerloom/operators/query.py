@@ -71,13 +71,15 @@ def _element_test(op: Callable, value) -> Callable[[Column], Column]:
     return lambda x: op(x, value)
 
 
-def predicate(source: Source, filters: list[dict], as_of: date, allowed: set[str] | None = None) -> Column:
-    """All filters that can be applied, and-ed. Array fields match if any element does."""
+def predicate(source: Source, filters: list[dict], as_of: date, allowed: set[str] | None = None, strict: bool = False) -> Column:
+    """All filters that can be applied, and-ed. Array fields match if any element does. strict: one that cannot be applied raises ValueError."""
     ops, out = filter_ops(as_of), F.lit(True)
     types = dict(source.frame.dtypes)
     for f in filters or []:
         name, op = f.get("field"), f.get("op")
         if name not in source.fields or op not in ops or (allowed and op not in allowed):
+            if strict:
+                raise ValueError(f"filter not allowed: {name} {op}")
             source.warnings.append(f"filter ignored: {name} {op}")
             continue
         column = source.fields[name]
@@ -87,6 +89,8 @@ def predicate(source: Source, filters: list[dict], as_of: date, allowed: set[str
             else:
                 out = out & ops[op](F.col(column), f.get("value"))
         except (TypeError, ValueError) as error:
+            if strict:
+                raise ValueError(f"filter not allowed: {name} {op}: {error}") from error
             source.warnings.append(f"filter ignored: {name} {op}: {error}")
     return out
 
@@ -148,8 +152,8 @@ def today_or_all_valid(deposits: DataFrame, as_of: date) -> DataFrame:
     """Valid deposits of the day; if it has none, all valid ones. One scalar count gates both branches."""
     valid = valid_deposits(deposits)
     today = filter_ops(as_of)["date_eq"](F.col("created_at"), as_of)
-    n = valid.filter(today).agg(F.count("*").alias("n_today"))
-    return valid.crossJoin(F.broadcast(n)).filter((F.col("n_today") == 0) | today).drop("n_today")
+    n = valid.filter(today).agg(F.count("*")).scalar()
+    return valid.filter((n == 0) | today)
 
 
 def period(name: str, as_of: date, **more) -> tuple[date, date]:
@@ -168,14 +172,67 @@ def period(name: str, as_of: date, **more) -> tuple[date, date]:
         return date(year, more["month"], 1), month_end(year, more["month"])
     if name == "between":
         return min(more["start"], more["end"]), max(more["start"], more["end"])
-    if name in ("last_7_days", "last_30_days"):
-        return as_of - timedelta(days=int(name.split("_")[1])), as_of
+    if name == "exact_day":
+        return more["day"], more["day"]
     raise ValueError(f"no such period: {name}")
 
 
-def in_period(frame: DataFrame, name: str, as_of: date, column: str = "fecha_date", **more) -> DataFrame:
+#: Periods that go by the day of the deposit; all others go by when it was stored.
+BY_DEPOSIT = {"current_month", "previous_month", "last_30_days"}
+
+
+def period_filters(name: str, as_of: date, **more) -> list[dict]:
+    """A preset period as filters of a query spec."""
+    column = "fecha_date" if name in BY_DEPOSIT else "created_at"
+    if name in ("last_7_days", "last_30_days"):
+        return [{"field": column, "op": "in_last_days", "value": int(name.split("_")[1])}]
     start, end = period(name, as_of, **more)
-    return frame.filter(F.col(column).between(F.lit(start), F.lit(end)))
+    return [{"field": column, "op": "date_gte", "value": start}, {"field": column, "op": "date_lte", "value": end}]
+
+
+def in_period(frame: DataFrame, name: str, as_of: date, **more) -> DataFrame:
+    source = Source(frame, {"fecha_date": "fecha_date", "created_at": "created_at"})
+    return frame.filter(predicate(source, period_filters(name, as_of, **more), as_of, strict=True))
+
+
+def amount_number(text) -> int:
+    """A whole amount with its marks taken out."""
+    return int(re.sub(r"[^0-9]", "", str(text)))
+
+
+def amount_filters(kind: str, text) -> list[dict]:
+    """kind: gt, lt, eq or near (within a tenth)."""
+    n = amount_number(text)
+    if kind == "near":
+        off = max(1, int(n * 0.1))
+        return [{"field": "valor", "op": "between", "value": [max(0, n - off), n + off]}]
+    return [{"field": "valor", "op": kind, "value": n}]
+
+
+def observation_filters(kind: str) -> list[dict]:
+    """kind: fecha, valor, referencia, or error for any."""
+    if kind not in ("fecha", "valor", "referencia", "error"):
+        raise ValueError(f"no such kind of observation: {kind}")
+    return [{"field": "observations", "op": "icontains", "value": kind}]
+
+
+def preset(name: str, n: int = 10) -> dict:
+    """The spec of a preset question over deposits; filters may be added to it."""
+    newest, dearest = ["-created_at"], ["-valor"]
+    detail = ["id", "referencia", "valor", "fecha_consignacion", "created_at"]
+    total, count = {"type": "sum", "field": "valor", "alias": "total_valor"}, {"type": "count", "field": "id", "alias": "total_transacciones"}
+    specs = {
+        "total_value": {"aggregations": [total]}, "average_value": {"aggregations": [{"type": "avg", "field": "valor", "alias": "promedio_valor"}]}, "count_records": {"aggregations": [count]},
+        "group_by_day": {"group_by": ["fecha_date"], "aggregations": [count, total], "order_by": ["-fecha_date"], "limit": 60},
+        "highest_value": {"select": detail, "order_by": dearest, "limit": 1}, "lowest_value": {"select": detail, "order_by": ["valor"], "limit": 1}, "top_n_value": {"select": detail, "order_by": dearest, "limit": n},
+        "latest_n": {"select": detail, "order_by": newest, "limit": n}, "all_deposits": {"select": detail, "order_by": newest, "limit": MAX_LIMIT},
+    }
+    return specs[name]
+
+
+def day_totals(deposits: DataFrame) -> DataFrame:
+    """Deposits stored per day, and their sum."""
+    return deposits.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"), F.sum("valor").alias("total"))
 
 
 def amount_near(column: Column, value: int) -> Column:
@@ -207,13 +264,18 @@ def readonly_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], lim
     return spark.sql(body, args=args or {}).limit(limit)
 
 
-def create_rows(frame: DataFrame, new: DataFrame) -> DataFrame:
-    return frame.unionByName(new, allowMissingColumns=True)
+def create_rows(frame: DataFrame, new: DataFrame, as_of: date) -> DataFrame:
+    """frame with the rows of new. Ids go on behind the largest one, created_at is as_of; what new says about the columns that no one may write is not taken."""
+    start = F.coalesce(frame.agg(F.max("id")).scalar(), F.lit(0))
+    made = new.drop(*READ_ONLY_FIELDS).withColumn("id", start + 1 + F.monotonically_increasing_id())
+    if "created_at" in frame.columns:
+        made = made.withColumn("created_at", _at(as_of).cast(dict(frame.dtypes)["created_at"]))
+    return frame.unionByName(made.select(*[c for c in made.columns if c in frame.columns]), allowMissingColumns=True)
 
 
 def update_rows(source: Source, filters: list[dict], values: dict, as_of: date) -> DataFrame:
-    """The table with writable fields set where all filters hold; a column `_updated` says where."""
-    hit = F.coalesce(predicate(source, filters, as_of, REDUCED_OPS), F.lit(False))
+    """The table with writable fields set where all filters hold; a column `_updated` says where. A filter that is not known raises ValueError."""
+    hit = F.coalesce(predicate(source, filters, as_of, REDUCED_OPS, strict=True), F.lit(False))
     types = dict(source.frame.dtypes)
     ok = {k: v for k, v in values.items() if k in source.fields and k not in READ_ONLY_FIELDS}
     source.warnings += [f"field not writable: {k}" for k in values if k not in ok]
@@ -221,5 +283,5 @@ def update_rows(source: Source, filters: list[dict], values: dict, as_of: date)
 
 
 def delete_rows(source: Source, filters: list[dict], as_of: date) -> DataFrame:
-    """The table without the rows for which all filters hold; rows with unknown outcome stay."""
-    return source.frame.filter(~F.coalesce(predicate(source, filters, as_of, REDUCED_OPS), F.lit(False)))
+    """The table without the rows for which all filters hold; rows with unknown outcome stay. A filter that is not known raises ValueError."""
+    return source.frame.filter(~F.coalesce(predicate(source, filters, as_of, REDUCED_OPS, strict=True), F.lit(False)))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import normalize_date, normalize_time, to_ddmmyyyy
 from ledgerloom.functions.money import normalize_amount, normalize_reference
 from ledgerloom.functions.text import settled
-from ledgerloom.functions.validate import criteria_rules, observations
+from ledgerloom.functions.validate import criteria_rules, observations, valid_record
 
 FIELDS = ("fecha_consignacion", "hora_consignacion", "referencia", "valor")
 
@@ -35,36 +37,89 @@ def dedup_exact(c: DataFrame) -> DataFrame:
     return c.withColumn("duplicate_of", F.when((F.col("canonical_key") != "") & (first < F.col("idx")), first))
 
 
+MERGED = "source_image_id long, idx int, fecha_consignacion string, hora_consignacion string, referencia string, valor string, merged int"
+EVENTS = "source_image_id long, idx int, stage string, other int, reason string"
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator]]:
+    """Rows in order, as (image, loose key) and its rows one after the other: no group is gathered."""
+    rows = (r for batch in batches for r in batch.itertuples(index=False))
+    return groupby(rows, key=lambda r: (r.source_image_id, r.loose_key))
+
+
+def _fold(rows: Iterator) -> Iterator[tuple]:
+    """The fold of dedup_merge over the rows of one loose key: (row, stage, idx of the other record, merged head or None); head last."""
+    head, seen, merged, rank = None, {}, 1, None
+    for r in rows:
+        stamp = (r.n_fecha, r.n_hora)
+        now = (sum(x != "" for x in stamp), r.confidence)
+        if head is None:
+            head, first, rank = r, r.idx, now
+            seen[stamp] = first
+        elif stamp in seen:
+            yield r, "result_duplicate_skipped", seen[stamp], "same_canonical_transaction_key"
+        elif not (all(stamp) and head.n_fecha and head.n_hora):
+            if now > rank:
+                head, rank = r, now
+            merged += 1
+            seen[(head.n_fecha, head.n_hora)] = first
+            yield r, "result_candidate_merged", first, "same_reference_and_amount_with_missing_datetime"
+        else:
+            seen[stamp] = r.idx
+            yield r, "kept", None, None
+    yield head, "head", first, merged
+
+
+def _keyed_rows(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed candidates, and those of loose keys that come more than once, each key in one partition and in the order of idx."""
+    keyed = settled(with_keys(c), n_confidence=F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)))
+    n = F.count("*").over(Window.partitionBy("source_image_id", "loose_key"))
+    keyed = keyed.withColumn("n_same", F.when(F.col("loose_key") != "", n).otherwise(1))
+    several = keyed.filter("n_same > 1").select("source_image_id", "loose_key", "idx", *[F.col(f).cast("string").alias(f) for f in FIELDS], "n_fecha", "n_hora", F.col("n_confidence").alias("confidence"))
+    return keyed, several.repartition("source_image_id", "loose_key").sortWithinPartitions("source_image_id", "loose_key", "idx")
+
+
 def dedup_merge(c: DataFrame) -> DataFrame:
     """One row per record that stays: image, idx of its first candidate, the fields, merged (how many went in).
 
     Equal exact keys have equal loose keys, so a loose key is folded alone, in the order of idx. A
-    candidate whose key was seen goes; one may join the first kept record of its loose key if one
-    of the two lacks date or time, or both are equal; the more complete of the two gives the
-    fields. All others are kept beside it. The fold works on the few candidates of one image.
+    candidate whose key was seen goes; one joins the first kept record of its loose key if one
+    of the two lacks date or time; the more complete of the two gives the fields. All others are
+    kept beside it. Records that are alone with their loose key need no fold; the others are read
+    one after the other from sorted partitions, so a hot image is a stream and never an array.
     """
-    keyed = with_keys(c)
-    row = F.struct("idx", *[F.col(f) for f in FIELDS], "n_fecha", "n_hora", F.lit(1).alias("merged"),
-                   completeness([F.col("n_fecha"), F.col("n_hora"), F.col("n_referencia"), F.col("n_valor")], F.col("confidence")).alias("rank"))
-    groups = keyed.filter("loose_key <> ''").groupBy("source_image_id", "loose_key").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    first = groups.withColumn("first", F.struct(F.array(F.get("rows", F.lit(0))).alias("kept"), F.array(F.concat_ws("|", F.get("rows", F.lit(0))["n_fecha"], F.get("rows", F.lit(0))["n_hora"])).alias("seen")))
-
-    def step(state: Column, r: Column) -> Column:
-        head = F.get(state["kept"], F.lit(0))
-        stamp = F.concat_ws("|", r["n_fecha"], r["n_hora"])
-        whole = lambda x: (x["n_fecha"] != "") & (x["n_hora"] != "")
-        joins = ~(whole(head) & whole(r)) | (F.struct(head["n_fecha"], head["n_hora"]) == F.struct(r["n_fecha"], r["n_hora"]))
-        best = F.when(r["rank"] > head["rank"], r).otherwise(head)
-        merged = best.withField("idx", head["idx"]).withField("merged", head["merged"] + 1)
-        rest = F.slice(state["kept"], F.lit(2), F.size(state["kept"]))
-        new_stamp = F.concat_ws("|", best["n_fecha"], best["n_hora"])
-        return (F.when(F.array_contains(state["seen"], stamp), state)
-                .when(joins, F.struct(F.concat(F.array(merged), rest).alias("kept"), F.array_append(state["seen"], new_stamp).alias("seen")))
-                .otherwise(F.struct(F.array_append(state["kept"], r).alias("kept"), F.array_append(state["seen"], stamp).alias("seen"))))
-
-    folded = first.select("source_image_id", F.explode(F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), F.col("first"), step)["kept"]).alias("r"))
-    keyless = keyed.filter("loose_key = ''").select("source_image_id", "idx", *FIELDS, F.lit(1).alias("merged"))
-    return folded.select("source_image_id", *[f"r.{x}" for x in ("idx", *FIELDS, "merged")]).unionByName(keyless)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for (image, _), rows in _groups(batches):
+            for r, stage, first, more in _fold(rows):
+                if stage in ("kept", "head"):
+                    out.append((image, first if stage == "head" else r.idx, *(getattr(r, f) for f in FIELDS), more if stage == "head" else 1))
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=_names(MERGED))
+                out = []
+        yield pd.DataFrame(out, columns=_names(MERGED))
+
+    keyed, several = _keyed_rows(c)
+    alone = keyed.filter("n_same = 1").select("source_image_id", "idx", *[F.col(f).cast("string").alias(f) for f in FIELDS], F.lit(1).alias("merged"))
+    return alone.unionByName(several.mapInPandas(run, MERGED))
+
+
+def dedup_events(c: DataFrame) -> DataFrame:
+    """What dedup_merge does to candidates: a row for each one that was skipped or merged, with the idx of the record it went to."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for (image, _), rows in _groups(batches):
+            out += [(image, r.idx, stage, other, reason) for r, stage, other, reason in _fold(rows) if stage.startswith("result")]
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=_names(EVENTS))
+                out = []
+        yield pd.DataFrame(out, columns=_names(EVENTS))
+
+    return _keyed_rows(c)[1].mapInPandas(run, EVENTS)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def existing_key_anti(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -89,6 +144,9 @@ def apply_corrections(deposits: DataFrame, corrections: DataFrame, order: str |
     """
     if order:
         corrections = corrections.withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))).filter("_rn = 1").drop("_rn", order)
+    known = {"id", "manually_corrected", *FIELDS}
+    if unknown := [x for x in corrections.columns if x not in known]:
+        raise ValueError(f"corrections may not have: {', '.join(unknown)}")
     fields = [f for f in FIELDS if f in corrections.columns]
     c = corrections.select(F.col("id").alias("_id"), *[F.col(f).alias(f"_{f}") for f in fields])
     out = deposits.join(c, F.col("id") == F.col("_id"), "left")
@@ -100,6 +158,31 @@ def apply_corrections(deposits: DataFrame, corrections: DataFrame, order: str |
     return out.withColumns({k: F.when(F.col("manually_corrected"), v).otherwise(F.col(k)) for k, v in follows.items() if k in deposits.columns})
 
 
+def partial_correction(deposits: DataFrame, item: dict, month: int | None = None, year: int | None = None) -> DataFrame:
+    """One deposit with some of its four fields replaced. item: id and the new values; other keys raise ValueError, as does one without a field."""
+    if unknown := sorted(set(item) - {"id", *FIELDS}):
+        raise ValueError(f"fields that cannot be corrected: {', '.join(unknown)}")
+    if not set(item) & set(FIELDS) or item.get("id") is None:
+        raise ValueError("a correction needs an id and at least one field")
+    types = {f: ("decimal(14,2)" if f == "valor" else "string") for f in FIELDS}
+    one = deposits.sparkSession.range(1).select(F.lit(item["id"]).cast("long").alias("id"), *[F.lit(item[f]).cast(types[f]).alias(f) for f in FIELDS if f in item])
+    return apply_corrections(deposits, one, None, month, year)
+
+
+def correction_row(rows: DataFrame) -> DataFrame:
+    """Corrections checked as records: id, the four fields as they would be stored (amount with two decimals), and error, null where the row holds.
+
+    rows: id and the four fields; reference and amount are required, blank date and time stay blank.
+    """
+    amount = F.col("valor").cast("string").try_cast("decimal(14,2)")
+    blank = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    checked = settled(rows, check=valid_record(F.col("referencia"), amount.cast("string"), blank("fecha_consignacion"), blank("hora_consignacion")))
+    error = F.when(F.coalesce(F.col("id"), F.lit(0)) < 1, "id must be 1 or more").otherwise(F.col("check.error"))
+    some = lambda c: F.when(error.isNull(), F.coalesce(f"check.{c}", F.lit("")))
+    return checked.select("id", some("fecha_consignacion").alias("fecha_consignacion"), some("hora_consignacion").alias("hora_consignacion"),
+                          F.when(error.isNull(), F.col("check.referencia")).alias("referencia"), F.when(error.isNull(), F.col("check.valor").cast("decimal(14,2)")).alias("valor"), error.alias("error"))
+
+
 def write_deposits(accepted: DataFrame, stored: DataFrame, path: str) -> DataFrame:
     """Appends the records that are new to path and returns them."""
     new = existing_key_anti(accepted, stored)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.describe import with_description
+from ledgerloom.functions.describe import describe_deposit
 from ledgerloom.operators.diagnostics import real_images
 
 PIPELINE_VERSION = "1"
@@ -119,24 +120,15 @@ def logs_with_image(logs: DataFrame, images: DataFrame) -> DataFrame:
     return logs.join(images.select(F.col("id").alias("source_image_id"), "sequence_index", "source_name"), "source_image_id", "left")
 
 
-def plain_values(payload: Column) -> Column:
-    """The strings and numbers of a JSON object, joined by spaces; nested values are left out."""
-    values = F.map_values(F.from_json(payload, "map<string,variant>"))
-    plain = F.filter(values, lambda v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"))
-    return F.coalesce(F.array_join(F.transform(plain, lambda v: F.try_variant_get(v, "$", "string")), " "), F.lit(""))
-
-
 def export_report(runs: DataFrame, images: DataFrame, deposits: DataFrame) -> DataFrame:
-    """The report's columns for runs that may be exported, ordered by run, image and deposit.
+    """The report's nine columns for runs that may be exported, ordered by run, image and deposit.
 
     DESCRIPCION reads the payload's plain values, the image's text and the context, as far as there are such columns.
     """
     ok = runs.filter(F.col("status").isin("completed", "completed_with_errors")).select(F.col("id").alias("process_run_id"))
-    seen = F.concat_ws(" ", *[F.col(c) for c in ("ocr_raw_text", "context_text") if c in images.columns])
-    i = images.select(F.col("id").alias("source_image_id"), F.col("sequence_index").alias("SECUENCIA"), F.col("source_name").alias("ARCHIVO_ORIGEN"), seen.alias("_seen"))
-    rows = deposits.join(ok, "process_run_id", "left_semi").join(i, "source_image_id")
-    payload = plain_values(F.col("structured_payload")) if "structured_payload" in deposits.columns else F.lit("")
-    rows = with_description(rows.withColumn("_seen", F.concat_ws(" ", payload, F.col("_seen"))), "_seen", "DESCRIPCION")
+    texts = [c for c in ("ocr_raw_text", "context_text") if c in images.columns]
+    i = images.select(F.col("id").alias("source_image_id"), F.col("sequence_index").alias("SECUENCIA"), F.col("source_name").alias("ARCHIVO_ORIGEN"), *texts)
+    rows = describe_deposit(deposits.join(ok, "process_run_id", "left_semi").join(i, "source_image_id"), out="DESCRIPCION")
     return rows.orderBy("process_run_id", "SECUENCIA", "source_image_id", "sequence_index", "id").select(
         "process_run_id", "SECUENCIA", F.col("id").alias("deposit_id"), F.col("fecha_consignacion").alias("FECHA"), F.col("hora_consignacion").alias("HORA"), F.col("referencia").alias("REFERENCIA"),
         F.col("valor").alias("VALOR"), "ARCHIVO_ORIGEN", F.when(F.col("is_current_month"), "Si").otherwise("No").alias("ES_MES_ACTUAL"), F.array_join("observations", "; ").alias("OBSERVACIONES"), "DESCRIPCION")
@@ -162,10 +154,44 @@ def files_to_delete(gone: DataFrame, images: DataFrame) -> DataFrame:
     return images.join(ids, "process_run_id", "left_semi").filter("image_file <> ''").select(F.col("image_file").alias("path")).distinct()
 
 
-def clear_for_reprocess(logs: DataFrame, images: DataFrame, keep_stages: tuple[str, ...] = ()) -> DataFrame:
-    """The log without the events of images that are done again, but for stages to keep."""
-    return logs.filter(F.col("stage").isin(*keep_stages)).unionByName(
-        logs.filter(~F.col("stage").isin(*keep_stages)).join(images.select(F.col("id").alias("source_image_id")), "source_image_id", "left_anti").select(*logs.columns))
+# Stages whose events a run keeps when all of it is done again.
+KEPT_STAGES = ("source_image_created", "source_image_duplicate_skipped", "existing_job_reused", "duplicate_http_request_ignored")
+
+
+def clear_for_reprocess(images: DataFrame, deposits: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """deposits and logs without those of the images (id) that are done again."""
+    again = images.select(F.col("id").alias("source_image_id")).distinct()
+    return tuple(t.join(again, "source_image_id", "left_anti").select(*t.columns) for t in (deposits, logs))
+
+
+def clear_runs(runs: DataFrame, deposits: DataFrame, logs: DataFrame, kept: tuple[str, ...] = KEPT_STAGES) -> tuple[DataFrame, DataFrame]:
+    """deposits and logs before whole runs (id) are done again: no deposits, and of their events those of docx_* and of the kept stages."""
+    again = runs.select(F.col("id").alias("process_run_id")).distinct()
+    stays = F.col("stage").startswith("docx_") | F.col("stage").isin(*kept)
+    return deposits.join(again, "process_run_id", "left_anti").select(*deposits.columns), logs.filter(stays).unionByName(logs.filter(~stays).join(again, "process_run_id", "left_anti").select(*logs.columns))
+
+
+def run_list(runs: DataFrame) -> DataFrame:
+    return runs.select("id", "original_filename", "status", "created_at", "finished_at", "error_message")
+
+
+def run_overview(runs: DataFrame) -> DataFrame:
+    """All runs, newest first."""
+    return runs.select("id", "original_filename", "status", "created_at", "started_at", "finished_at", "error_message").orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def log_list(logs: DataFrame) -> DataFrame:
+    return logs.select("id", "process_run_id", "stage", "status", "is_error", "created_at").orderBy("id")
+
+
+def images_of_deposits(images: DataFrame, deposits: DataFrame) -> DataFrame:
+    """The images that some of the deposits are from."""
+    return images.join(deposits.select(F.col("source_image_id").alias("id")), "id", "left_semi")
+
+
+def table_stats(**tables: DataFrame) -> DataFrame:
+    """(table_name, n) for each table."""
+    return reduce(DataFrame.unionAll, [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()])
 
 
 def completed_summary(runs: DataFrame, valid: DataFrame) -> DataFrame:
@@ -179,7 +205,18 @@ def last_record(runs: DataFrame, valid: DataFrame) -> DataFrame:
     return valid.join(done, "process_run_id").orderBy(F.desc("run_created"), F.desc("process_run_id"), F.desc("created_at"), F.desc("id")).limit(1)
 
 
-def findings(deposits: DataFrame, most: int = 3) -> DataFrame:
-    """Per run how many deposits have observations, and the first ids of them."""
-    noted = deposits.filter(F.size("observations") > 0).withColumn("rn", F.row_number().over(Window.partitionBy("process_run_id").orderBy("id")))
-    return noted.groupBy("process_run_id").agg(F.count("*").alias("n_with_observations"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("rn") <= most, F.col("id")))), ",").alias("first_ids"))
+def findings(runs: DataFrame, deposits: DataFrame, logs: DataFrame, most: int = 3, most_logs: int = 8, note_chars: int = 120) -> DataFrame:
+    """Per run with its header: how many deposits have observations, the first of them, and the first log rows with their notes cut.
+
+    Only the first rows of a run are numbered and gathered, never all.
+    """
+    def firsts(rows: DataFrame, n: int, item: Column, out: str) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy("process_run_id").orderBy("id"))
+        return rows.withColumn("_at", at).filter(F.col("_at") <= n).groupBy("process_run_id").agg(F.sort_array(F.collect_list(item)).alias(out))
+
+    noted = deposits.filter(F.size("observations") > 0)
+    n = noted.groupBy("process_run_id").agg(F.count("*").alias("n_with_observations"))
+    rows = firsts(noted, most, F.struct("id", "referencia", "valor", F.array_join("observations", ", ").alias("observations")), "first_rows")
+    log = firsts(logs, most_logs, F.struct("id", "stage", F.left(F.coalesce("notes", F.lit("")), F.lit(note_chars)).alias("notes")), "first_logs")
+    head = runs.select(F.col("id").alias("process_run_id"), "original_filename", "status", "error_message")
+    return head.join(n, "process_run_id", "left").join(rows, "process_run_id", "left").join(log, "process_run_id", "left").fillna(0, ["n_with_observations"])

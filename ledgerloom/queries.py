@@ -27,7 +27,7 @@ SQL: dict[str, str] = {}
 def add(name: str, run: Callable, sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql:
-        SQL[name] = f"WITH {a.VIEWS_SQL} {sql}" if not sql.lstrip().upper().startswith("WITH") else f"WITH {a.VIEWS_SQL}, {sql.lstrip()[4:]}"
+        SQL[name] = f"WITH {a.VIEWS_SQL} {sql}" if not sql.startswith("WITH") else f"WITH RECURSIVE {a.VIEWS_SQL}, {sql[15:]}" if sql.startswith("WITH RECURSIVE") else f"WITH {a.VIEWS_SQL}, {sql[4:]}"
 
 
 def over(run: Callable, *views: str) -> Callable:
@@ -70,7 +70,22 @@ add("filter_observations_icontains", spec("deposits", DEPOSIT_FIELDS, {"filters"
     "SELECT count(*) AS count_id FROM deposits WHERE len(list_filter(observations, lambda x: contains(lower(x), 'fecha'))) > 0")
 add("aggregates_all", spec("deposits", DEPOSIT_FIELDS, {"aggregations": [{"type": "count"}, {"type": "distinct_count", "field": "process_run_id"}, {"type": "sum", "field": "valor"}, {"type": "min", "field": "valor"}, {"type": "max", "field": "valor"}]}),
     "SELECT count(id) AS count_id, count(DISTINCT process_run_id) AS distinct_count_process_run_id, sum(valor) AS sum_valor, min(valor) AS min_valor, max(valor) AS max_valor FROM deposits")
-add("average_value", lambda s, d: spec("deposits", DEPOSIT_FIELDS, {"aggregations": [{"type": "avg", "field": "valor"}]})(s, d).select(F.round("avg_valor", 2).cast("double").alias("avg_valor")), "SELECT round(avg(valor), 2)::DOUBLE AS avg_valor FROM deposits")
+add("average_value", lambda s, d: spec("deposits", DEPOSIT_FIELDS, q.preset("average_value"))(s, d).select(F.round("promedio_valor", 2).cast("double").alias("promedio_valor")), "SELECT round(avg(valor), 2)::DOUBLE AS promedio_valor FROM deposits")
+add("total_value", spec("deposits", DEPOSIT_FIELDS, q.preset("total_value")), "SELECT sum(valor) AS total_valor FROM deposits")
+add("count_records", spec("deposits", DEPOSIT_FIELDS, q.preset("count_records") | {"filters": q.period_filters("this_year", ORDERS_DAY)}),
+    "SELECT count(*) AS total_transacciones FROM deposits WHERE created_at >= TIMESTAMP '2001-01-01' AND created_at < TIMESTAMP '2001-08-03'")
+DETAIL = "SELECT id, referencia, valor, fecha_consignacion, created_at FROM deposits"
+add("highest_value", spec("deposits", DEPOSIT_FIELDS, q.preset("highest_value")), DETAIL + " ORDER BY valor DESC, id LIMIT 1")
+add("all_deposits", spec("deposits", DEPOSIT_FIELDS, q.preset("all_deposits")), DETAIL + " ORDER BY created_at DESC, id LIMIT 200")
+add("run_overview", over(rn.run_overview, "process_runs"), "SELECT id, original_filename, status, created_at, started_at, finished_at, error_message FROM process_runs")
+for kind_, text_, cond_ in (("gt", "150.000", "valor > 150000"), ("lt", "$ 150,000", "valor < 150000"), ("eq", "113127", "valor = 113127")):
+    add(f"amount_{kind_}", spec("deposits", DEPOSIT_FIELDS, q.preset("count_records") | {"filters": q.amount_filters(kind_, text_), "aggregations": [{"type": "count"}, {"type": "sum", "field": "valor"}]}),
+        f"SELECT count(*) AS count_id, sum(valor) AS sum_valor FROM deposits WHERE {cond_}")
+for kind_ in ("fecha", "valor", "referencia", "error"):
+    add(f"observation_errors_{kind_}", spec("deposits", DEPOSIT_FIELDS, {"filters": q.observation_filters(kind_), "group_by": ["process_run_id"]}),
+        f"SELECT process_run_id, count(*) AS rows_count FROM deposits WHERE len(list_filter(observations, lambda x: contains(lower(x), '{kind_}'))) > 0 GROUP BY 1")
+add("observation_errors", spec("deposits", DEPOSIT_FIELDS, {"filters": q.observation_filters("error"), "aggregations": [{"type": "count"}, {"type": "max", "field": "id"}]}),
+    "SELECT count(*) AS count_id, max(id) AS max_id FROM deposits WHERE len(list_filter(observations, lambda x: contains(lower(x), 'error'))) > 0")
 add("group_by_status", spec("process_runs", RUN_FIELDS, {"group_by": ["status"]}), "SELECT status, count(*) AS rows_count FROM process_runs GROUP BY status")
 add("group_by_aggregates", spec("deposits", DEPOSIT_FIELDS, {"group_by": ["process_run_id"], "aggregations": [{"type": "sum", "field": "valor", "alias": "total"}, {"type": "count", "alias": "n"}]}),
     "SELECT process_run_id, sum(valor) AS total, count(id) AS n FROM deposits GROUP BY process_run_id")
@@ -81,19 +96,21 @@ add("order_by_limit", spec("deposits", DEPOSIT_FIELDS, {"select": ["id", "valor"
     "SELECT id, valor, hora_consignacion FROM deposits ORDER BY hora_consignacion, valor DESC, id LIMIT 200")
 add("latest_n", spec("deposits", DEPOSIT_FIELDS, {"order_by": ["-created_at"], "limit": 5}), "SELECT id, created_at FROM deposits ORDER BY created_at DESC, id LIMIT 5")
 add("top_n_value", spec("deposits", DEPOSIT_FIELDS, {"select": ["id", "valor"], "order_by": ["-valor"], "limit": 10}), "SELECT id, valor FROM deposits ORDER BY valor DESC, id LIMIT 10")
-add("lowest_value", spec("deposits", DEPOSIT_FIELDS, {"select": ["id", "valor"], "order_by": ["valor"], "limit": 1}), "SELECT id, valor FROM deposits ORDER BY valor, id LIMIT 1")
+add("lowest_value", spec("deposits", DEPOSIT_FIELDS, q.preset("lowest_value")), DETAIL + " ORDER BY valor, id LIMIT 1")
 add("recent_runs", spec("process_runs", RUN_FIELDS, {"order_by": ["-created_at"], "limit": 5}), "SELECT id, original_filename, status, created_at, error_message FROM process_runs ORDER BY created_at DESC, id LIMIT 5")
-add("group_by_day", lambda s, d: a.deposits(s, d).groupBy("fecha_date").agg(F.count("*").alias("n"), F.sum("valor").alias("total")).orderBy(F.desc("fecha_date")).limit(60),
-    "SELECT fecha_date, count(*) AS n, sum(valor) AS total FROM deposits GROUP BY fecha_date ORDER BY fecha_date DESC LIMIT 60")
-add("deposits_per_day", lambda s, d: a.deposits(s, d).groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"), F.sum("valor").alias("total")),
+add("group_by_day", spec("deposits", DEPOSIT_FIELDS, q.preset("group_by_day")),
+    "SELECT fecha_date, count(*) AS total_transacciones, sum(valor) AS total_valor FROM deposits GROUP BY fecha_date ORDER BY fecha_date DESC LIMIT 60")
+add("deposits_per_day", over(q.day_totals, "deposits"),
     "SELECT created_at::DATE AS day, count(*) AS n, sum(valor) AS total FROM deposits GROUP BY 1")
+STORED = "created_at >= TIMESTAMP '{}' AND created_at < TIMESTAMP '{}'"
 for name_, more_, cond_ in (
-    ("current_month", {}, "BETWEEN DATE '2001-08-01' AND DATE '2001-08-02'"), ("previous_month", {}, "BETWEEN DATE '2001-07-01' AND DATE '2001-07-31'"), ("this_year", {}, "BETWEEN DATE '2001-01-01' AND DATE '2001-08-02'"),
-    ("last_7_days", {}, "BETWEEN DATE '2001-07-26' AND DATE '2001-08-02'"), ("last_30_days", {}, "BETWEEN DATE '2001-07-03' AND DATE '2001-08-02'"), ("named_month", {"month": 2, "year": 2000}, "BETWEEN DATE '2000-02-01' AND DATE '2000-02-29'"),
-    ("between", {"start": date(1999, 5, 1), "end": date(1998, 5, 1)}, "BETWEEN DATE '1998-05-01' AND DATE '1999-05-01'"),
+    ("current_month", {}, "fecha_date BETWEEN DATE '2001-08-01' AND DATE '2001-08-02'"), ("previous_month", {}, "fecha_date BETWEEN DATE '2001-07-01' AND DATE '2001-07-31'"),
+    ("last_30_days", {}, "fecha_date >= DATE '2001-07-03'"), ("last_7_days", {}, "created_at >= TIMESTAMP '2001-07-26'"), ("this_year", {}, STORED.format("2001-01-01", "2001-08-03")),
+    ("named_month", {"month": 2, "year": 2000}, STORED.format("2000-02-01", "2000-03-01")), ("between", {"start": date(1999, 5, 1), "end": date(1998, 5, 1)}, STORED.format("1998-05-01", "1999-05-02")),
+    ("exact_day", {"day": date(1998, 3, 4)}, STORED.format("1998-03-04", "1998-03-05")),
 ):
     add(f"period_{name_}", lambda s, d, n=name_, m=more_: q.in_period(a.deposits(s, d), n, ORDERS_DAY, **m).agg(F.count("*").alias("n"), F.sum("valor").alias("total")),
-        f"SELECT count(*) AS n, sum(valor) AS total FROM deposits WHERE fecha_date {cond_}")
+        f"SELECT count(*) AS n, sum(valor) AS total FROM deposits WHERE {cond_}")
 add("amount_near", lambda s, d: a.deposits(s, d).filter(q.amount_near(F.col("valor"), 50000)).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM deposits WHERE valor BETWEEN 45000 AND 55000")
 add("reference_lookup", lambda s, d: q.reference_lookup(a.deposits(s, d), "0123").select("id", "referencia"), "SELECT id, referencia FROM deposits WHERE contains(referencia, '0123')")
 add("valid_deposits", lambda s, d: q.valid_deposits(a.deposits(s, d)).select("id", "valor"),
@@ -107,6 +124,10 @@ add("update_rows", lambda s, d: q.update_rows(q.Source(a.deposits(s, d), DEPOSIT
     "SELECT valor < 20000 AS updated, count(*) FILTER (WHERE valor < 20000) AS low, count(*) AS n FROM deposits GROUP BY 1")
 add("delete_rows", lambda s, d: q.delete_rows(q.Source(a.deposits(s, d), DEPOSIT_FIELDS), [{"field": "is_current_month", "op": "eq", "value": True}], ORDERS_DAY).agg(F.count("*").alias("n")),
     "SELECT count(*) AS n FROM deposits WHERE NOT coalesce(is_current_month, FALSE)")
+add("create_rows", lambda s, d: q.create_rows(a.deposits(s, d), a.receipts(s, d).select("id", F.col("ref").alias("referencia"), F.col("n").cast("decimal(14,2)").alias("valor"), F.lit("x").alias("other")), ORDERS_DAY).agg(
+    F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("valor").alias("total"), F.count_if(F.col("created_at") == F.lit(ORDERS_DAY).cast("timestamp")).alias("today")),
+    """SELECT count(*) + (SELECT count(*) FROM receipts) AS n, count(*) + (SELECT count(*) FROM receipts) AS ids, sum(valor) + (SELECT sum(n)::DECIMAL(14,2) FROM receipts) AS total,
+    count(*) FILTER (WHERE created_at = TIMESTAMP '2001-08-02') + (SELECT count(*) FROM receipts) AS today FROM deposits""")
 
 # Joins, runs and reports ----------------------------------------------------------------------
 
@@ -123,14 +144,16 @@ add("run_rollup", over(rn.run_rollup, "process_runs", "source_images", "deposits
 add("run_rollup_literal", over(rn.run_rollup_literal, "process_runs", "source_images", "deposits"),
     """SELECT r.id, count(DISTINCT i.id) AS images, count(DISTINCT d.id) AS records, sum(d.valor)::DECIMAL(30,2) AS total FROM process_runs r
     LEFT JOIN source_images i ON i.process_run_id = r.id LEFT JOIN deposits d ON d.process_run_id = r.id GROUP BY r.id""")
-add("export_report", lambda s, d: rn.export_report(a.process_runs(s, d), a.source_images(s, d), a.deposits(s, d)).drop("DESCRIPCION"),
-    """SELECT d.process_run_id, i.sequence_index AS SECUENCIA, d.id AS deposit_id, d.fecha_consignacion AS FECHA, hora_consignacion AS HORA, referencia AS REFERENCIA, valor AS VALOR, i.source_name AS ARCHIVO_ORIGEN,
-    CASE WHEN is_current_month THEN 'Si' ELSE 'No' END AS ES_MES_ACTUAL, array_to_string(observations, '; ') AS OBSERVACIONES FROM deposits d JOIN source_images i ON i.id = d.source_image_id
-    JOIN process_runs r ON r.id = d.process_run_id WHERE r.status IN ('completed', 'completed_with_errors')""")
 REPORT_IMAGES = lambda s, d: a.source_images(s, d).join(a.receipts(s, d).select("id", F.col("text").alias("ocr_raw_text")), "id")
-add("export_report_described", lambda s, d: rn.export_report(a.process_runs(s, d), REPORT_IMAGES(s, d), a.deposits(s, d)).select("process_run_id", "SECUENCIA", "deposit_id", "REFERENCIA", "DESCRIPCION"),
-    """SELECT d.process_run_id, i.sequence_index AS SECUENCIA, d.id AS deposit_id, referencia AS REFERENCIA, CASE WHEN t.variant = 4 THEN 'NEQUI' ELSE 'NINGUNO' END AS DESCRIPCION FROM deposits d JOIN source_images i ON i.id = d.source_image_id
-    JOIN receipts t ON t.id = i.id JOIN process_runs r ON r.id = d.process_run_id WHERE r.status IN ('completed', 'completed_with_errors')""")
+REPORT_PAYLOAD = """CASE WHEN id % 5 = 0 THEN concat('{"remitente": "GROUP DYD COMUNICACIONES SAS", "n": ', id, ', "more": {"sender": "DAVID GUEVARA"}}') END"""
+add("export_report", lambda s, d: rn.export_report(a.process_runs(s, d), REPORT_IMAGES(s, d), a.deposits(s, d).withColumn("structured_payload", F.expr(REPORT_PAYLOAD))),
+    """SELECT d.process_run_id, i.sequence_index AS SECUENCIA, d.id AS deposit_id, d.fecha_consignacion AS FECHA, hora_consignacion AS HORA, referencia AS REFERENCIA, valor AS VALOR, i.source_name AS ARCHIVO_ORIGEN,
+    CASE WHEN is_current_month THEN 'Si' ELSE 'No' END AS ES_MES_ACTUAL, array_to_string(observations, '; ') AS OBSERVACIONES, CASE WHEN contains(t.text, '3176771287') THEN 'NEQUI' WHEN d.id % 5 = 0 THEN 'CUENTA' ELSE 'NINGUNO' END AS DESCRIPCION
+    FROM deposits d JOIN source_images i ON i.id = d.source_image_id JOIN receipts t ON t.id = i.id JOIN process_runs r ON r.id = d.process_run_id WHERE r.status IN ('completed', 'completed_with_errors')""")
+add("describe_deposit", lambda s, d: describe.describe_deposit(a.deposits(s, d).withColumn("structured_payload", F.expr(REPORT_PAYLOAD)).withColumn("context_text", F.when(F.col("id") % 7 == 0, "pago de David  Guebara")), out="account").select("id", "account"),
+    "SELECT id, CASE WHEN id % 5 = 0 THEN 'CUENTA' ELSE 'NINGUNO' END AS account FROM deposits")
+add("describe_payload", lambda s, d: describe.describe_payload(a.deposits(s, d).select("id", F.when(F.col("id") % 3 == 0, F.lit('{"titular": "Dávid Guevara", "valor": 3}')).when(F.col("id") % 3 == 1, F.lit('{"empresa_origen": "GRO*** DYD*** COM***"}')).otherwise("[1]").alias("payload")), "payload", "account").select("id", "account"),
+    "SELECT id, CASE id % 3 WHEN 0 THEN 'NEQUI' WHEN 1 THEN 'CUENTA' ELSE 'NINGUNO' END AS account FROM deposits")
 add("run_tree", lambda s, d: rn.run_detail(a.process_runs(s, d), a.source_images(s, d), a.deposits(s, d)).select("id", F.explode("images").alias("i")).select("id", "i.sequence_index", F.explode("i.deposits").alias("x")).select("id", "sequence_index", F.col("x.referencia").alias("referencia")),
     "SELECT r.id, i.sequence_index, d.referencia FROM process_runs r JOIN source_images i ON i.process_run_id = r.id JOIN deposits d ON d.source_image_id = i.id")
 STATUS_SQL = """WITH i AS (SELECT process_run_id, count(*) AS total_images, count(*) FILTER (WHERE ocr_status = 'failed') AS failed_images,
@@ -161,55 +184,100 @@ add("completed_summary", lambda s, d: rn.completed_summary(a.process_runs(s, d),
 add("last_record", lambda s, d: rn.last_record(a.process_runs(s, d), q.valid_deposits(a.deposits(s, d))).select("id", "referencia", "valor"),
     """SELECT d.id, referencia, valor FROM deposits d JOIN process_runs r ON r.id = d.process_run_id WHERE r.status = 'completed' AND NOT regexp_matches(lower(strip_accents(array_to_string(observations, ' '))), 'error|invalida|incorrect|no identificada')
     ORDER BY r.created_at DESC, r.id DESC, d.created_at DESC, d.id DESC LIMIT 1""")
-add("findings", lambda s, d: rn.findings(a.deposits(s, d)),
-    """SELECT process_run_id, count(*) AS n_with_observations, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (WHERE rn <= 3) AS first_ids
-    FROM (SELECT *, row_number() OVER (PARTITION BY process_run_id ORDER BY id) AS rn FROM deposits WHERE len(observations) > 0) GROUP BY 1""")
+add("findings", lambda s, d: rn.findings(a.process_runs(s, d), a.deposits(s, d), a.trace_logs(s, d)).select(
+    "process_run_id", "original_filename", "status", "error_message", "n_with_observations", F.array_join(F.transform("first_rows", lambda r: F.concat_ws(":", r["id"].cast("string"), r["referencia"], r["observations"])), ";").alias("first_rows"),
+    F.array_join(F.transform("first_logs", lambda r: F.concat_ws(":", r["id"].cast("string"), r["stage"], r["notes"])), ";").alias("first_logs")),
+    """WITH n AS (SELECT process_run_id, count(*) AS n_with_observations, string_agg(id || ':' || referencia || ':' || array_to_string(observations, ', '), ';' ORDER BY id) FILTER (WHERE rn <= 3) AS first_rows
+      FROM (SELECT *, row_number() OVER (PARTITION BY process_run_id ORDER BY id) AS rn FROM deposits WHERE len(observations) > 0) GROUP BY 1),
+    l AS (SELECT process_run_id, string_agg(id || ':' || stage || ':' || left(notes, 120), ';' ORDER BY id) FILTER (WHERE rn <= 8) AS first_logs FROM (SELECT *, row_number() OVER (PARTITION BY process_run_id ORDER BY id) AS rn FROM trace_logs) GROUP BY 1)
+    SELECT r.id AS process_run_id, original_filename, status, error_message, coalesce(n_with_observations, 0) AS n_with_observations, first_rows, first_logs FROM process_runs r LEFT JOIN n ON n.process_run_id = r.id LEFT JOIN l ON l.process_run_id = r.id""")
 add("delete_cascade", lambda s, d: rn.delete_cascade(a.process_runs(s, d).filter("status = 'failed'"), deposits=a.deposits(s, d))["deposits"].agg(F.count("*").alias("n"), F.sum("valor").alias("total")),
     "SELECT count(*) AS n, sum(valor) AS total FROM deposits WHERE process_run_id NOT IN (SELECT id FROM process_runs WHERE status = 'failed')")
 add("files_to_delete", lambda s, d: rn.files_to_delete(a.process_runs(s, d).filter("status = 'failed'"), a.source_images(s, d)),
     "SELECT DISTINCT image_file AS path FROM source_images WHERE image_file <> '' AND process_run_id IN (SELECT id FROM process_runs WHERE status = 'failed')")
-add("clear_for_reprocess", lambda s, d: rn.clear_for_reprocess(a.logs(s, d), a.source_images(s, d).filter("ocr_status = 'failed'"), ("persistence",)).groupBy("stage").agg(F.count("*").alias("n")),
-    "SELECT stage, count(*) AS n FROM logs WHERE stage = 'persistence' OR source_image_id IS NULL OR source_image_id NOT IN (SELECT id FROM source_images WHERE ocr_status = 'failed') GROUP BY stage")
-add("deposit_to_image", lambda s, d: a.source_images(s, d).join(a.deposits(s, d).filter("valor > 150000").select(F.col("source_image_id").alias("id")), "id", "left_semi").select("id"), "SELECT id FROM source_images WHERE id IN (SELECT source_image_id FROM deposits WHERE valor > 150000)")
+add("clear_for_reprocess", lambda s, d: (lambda t: t[0].agg(F.lit("deposits").alias("what"), F.count("*").alias("n")).unionByName(t[1].groupBy(F.col("stage").alias("what")).agg(F.count("*").alias("n"))))(rn.clear_for_reprocess(a.source_images(s, d).filter("ocr_status = 'failed'"), a.deposits(s, d), a.trace_logs(s, d))),
+    """SELECT 'deposits' AS what, count(*) AS n FROM deposits WHERE source_image_id NOT IN (SELECT id FROM source_images WHERE ocr_status = 'failed')
+    UNION ALL SELECT stage, count(*) FROM trace_logs WHERE source_image_id IS NULL OR source_image_id NOT IN (SELECT id FROM source_images WHERE ocr_status = 'failed') GROUP BY stage""")
+add("clear_runs", lambda s, d: (lambda t: t[0].agg(F.lit("deposits").alias("what"), F.count("*").alias("n")).unionByName(t[1].groupBy(F.col("stage").alias("what")).agg(F.count("*").alias("n"))))(rn.clear_runs(a.process_runs(s, d).filter("status = 'completed'"), a.deposits(s, d), a.trace_logs(s, d))),
+    """SELECT 'deposits' AS what, count(*) AS n FROM deposits WHERE process_run_id NOT IN (SELECT id FROM process_runs WHERE status = 'completed')
+    UNION ALL SELECT stage, count(*) FROM trace_logs WHERE stage LIKE 'docx%' OR process_run_id NOT IN (SELECT id FROM process_runs WHERE status = 'completed') GROUP BY stage""")
+add("deposit_to_image", lambda s, d: rn.images_of_deposits(a.source_images(s, d), a.deposits(s, d).filter("valor > 150000")).select("id"), "SELECT id FROM source_images WHERE id IN (SELECT source_image_id FROM deposits WHERE valor > 150000)")
 add("unknown_ids_anti", lambda s, d: rc.unknown_ids_anti(a.logs(s, d).select("id"), a.deposits(s, d).filter("id % 2 = 0")), "SELECT id FROM logs WHERE id NOT IN (SELECT id FROM deposits WHERE id % 2 = 0)")
 CORRECTIONS = lambda s, d: a.logs(s, d).filter("id % 10 = 0").select("id", F.lit("2026-04-22").alias("fecha_consignacion"), F.when(F.col("id") % 20 == 0, "15:45").alias("hora_consignacion"), "created_at")
 add("apply_corrections", lambda s, d: rc.apply_corrections(a.deposits(s, d), CORRECTIONS(s, d), "created_at").select("id", "fecha_consignacion", "hora_consignacion", "manually_corrected"),
     """WITH c AS (SELECT id FROM logs WHERE id % 10 = 0) SELECT d.id, CASE WHEN c.id IS NOT NULL THEN '22/04/2026' ELSE fecha_consignacion END AS fecha_consignacion,
     CASE WHEN c.id % 20 = 0 THEN '15:45' ELSE hora_consignacion END AS hora_consignacion, c.id IS NOT NULL AS manually_corrected FROM deposits d LEFT JOIN c ON c.id = d.id""")
-add("run_audit", lambda s, d: a.logs(s, d).filter("process_run_id = 7").select("id", "stage", F.when(F.col("is_error"), "ERROR").otherwise("OK").alias("result")).orderBy("id"), "SELECT id, stage, CASE WHEN is_error THEN 'ERROR' ELSE 'OK' END AS result FROM logs WHERE process_run_id = 7")
-add("table_stats", lambda s, d: a.deposits(s, d).agg(F.count("*").alias("n")).select(F.lit("deposits").alias("table_name"), "n").unionAll(a.logs(s, d).agg(F.count("*").alias("n")).select(F.lit("logs"), "n")).unionAll(a.process_runs(s, d).agg(F.count("*").alias("n")).select(F.lit("process_runs"), "n")).unionAll(a.source_images(s, d).agg(F.count("*").alias("n")).select(F.lit("source_images"), "n")),
+add("run_audit", lambda s, d: dg.run_audit(a.logs(s, d), 7), "SELECT id, stage, CASE WHEN is_error THEN 'ERROR' ELSE 'OK' END AS result FROM logs WHERE process_run_id = 7")
+add("correction_row", lambda s, d: rc.correction_row(a.keyed_corrections(s, d)),
+    """SELECT id, CASE WHEN error IS NULL THEN CASE WHEN id % 3 = 0 THEN '' ELSE '22/04/2026' END END AS fecha_consignacion, CASE WHEN error IS NULL THEN CASE WHEN id % 4 = 0 THEN '' ELSE '15:45' END END AS hora_consignacion,
+    CASE WHEN error IS NULL THEN referencia END AS referencia, CASE WHEN error IS NULL THEN valor END AS valor, error
+    FROM (SELECT id, referencia, valor, CASE WHEN id < 1 THEN 'id must be 1 or more' WHEN id % 3 = 2 AND id % 5 = 0 THEN 'fecha_consignacion must be DD/MM/YYYY' WHEN id % 11 = 0 THEN 'referencia is too short' WHEN id % 13 = 0 THEN 'valor is invalid' END AS error FROM deposits)""")
+add("partial_correction", lambda s, d: rc.partial_correction(a.deposits(s, d), {"id": 70, "fecha_consignacion": "2026-04-22", "valor": 175000}, 4, 2026).select("id", "fecha_consignacion", "hora_consignacion", "valor", "is_current_month", F.size("observations").alias("n"), "manually_corrected"),
+    """SELECT id, CASE WHEN id = 70 THEN '22/04/2026' ELSE fecha_consignacion END AS fecha_consignacion, hora_consignacion, CASE WHEN id = 70 THEN 175000::DECIMAL(14,2) ELSE valor END AS valor,
+    CASE WHEN id = 70 THEN TRUE ELSE is_current_month END AS is_current_month, CASE WHEN id = 70 THEN 0 ELSE len(observations)::INT END AS n, id = 70 AS manually_corrected FROM deposits""")
+add("table_stats", lambda s, d: rn.table_stats(deposits=a.deposits(s, d), logs=a.logs(s, d), process_runs=a.process_runs(s, d), source_images=a.source_images(s, d)),
     "SELECT 'deposits' AS table_name, count(*) AS n FROM deposits UNION ALL SELECT 'logs', count(*) FROM logs UNION ALL SELECT 'process_runs', count(*) FROM process_runs UNION ALL SELECT 'source_images', count(*) FROM source_images")
 
 # Stage log ------------------------------------------------------------------------------------
 
 LOGS = lambda s, d: dg.parsed_logs(a.logs(s, d).drop("status", "duration_ms"))
-add("stage_summary", lambda s, d: dg.stage_summary(LOGS(s, d)),
-    """SELECT *, coalesce(total_ocr_duration_ms // nullif(ocr_calls, 0), 0)::BIGINT AS avg_ocr_duration_ms, coalesce(total_llm_duration_ms // nullif(llm_calls, 0), 0)::BIGINT AS avg_llm_duration_ms,
-    timeouts > 0 OR total_llm_duration_ms > 30000 OR total_ocr_duration_ms > 30000 AS provider_suspected FROM (
+TRACES = lambda s, d: dg.parsed_logs(a.trace_logs(s, d))
+EVENTS_AT = lambda: F.lit(a.AS_OF_EVENTS).cast("timestamp")
+SUMMARY = """sums AS (
+    SELECT *, coalesce(total_ocr_duration_ms // nullif(ocr_calls, 0), 0)::BIGINT AS avg_ocr_duration_ms, coalesce(total_llm_duration_ms // nullif(llm_calls, 0), 0)::BIGINT AS avg_llm_duration_ms,
+    timeouts > 0 OR total_llm_duration_ms > 30000 OR total_ocr_duration_ms > 30000 OR failed_images > 0 AS provider_suspected FROM (
     SELECT process_run_id, count(*) FILTER (WHERE stage = 'ocr' AND status = 'completed') AS ocr_calls, count(*) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed') AS llm_calls,
     coalesce(sum(duration_ms) FILTER (WHERE stage = 'ocr' AND status = 'completed'), 0)::BIGINT AS total_ocr_duration_ms, coalesce(sum(duration_ms) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed'), 0)::BIGINT AS total_llm_duration_ms,
-    arg_max(stage, struct_pack(d := duration_ms, i := -id)) FILTER (WHERE status IN ('completed', 'failed', 'timeout')) AS slowest_stage, count(*) FILTER (WHERE status = 'timeout') AS timeouts, max(created_at) AS last_event_at FROM logs GROUP BY 1)""")
-add("image_stage_durations", lambda s, d: dg.image_stage_durations(a.logs(s, d)),
-    """SELECT source_image_id, coalesce(sum(duration_ms) FILTER (WHERE stage = 'ocr' AND status = 'completed'), 0)::BIGINT AS ocr_duration_ms, coalesce(sum(duration_ms) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed'), 0)::BIGINT AS llm_duration_ms,
-    count(*) FILTER (WHERE is_error) AS errors FROM logs WHERE source_image_id IS NOT NULL GROUP BY 1""")
-add("recommendations", lambda s, d: dg.recommendations(dg.stage_summary(a.logs(s, d)), a.source_images(s, d)),
-    """WITH s AS (SELECT process_run_id, coalesce(sum(duration_ms) FILTER (WHERE stage = 'ocr' AND status = 'completed'), 0) AS o, coalesce(sum(duration_ms) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed'), 0) AS l FROM logs GROUP BY 1),
-    i AS (SELECT process_run_id, max(image_bytes) AS m, count(*) FILTER (WHERE ocr_status = 'failed') AS f FROM source_images WHERE image_file <> '' GROUP BY 1)
-    SELECT s.process_run_id, concat_ws(',', CASE WHEN l > 2 * o AND l > 0 THEN 'llm_dominates' END, CASE WHEN m > 3145728 THEN 'large_images' END, CASE WHEN f > 0 THEN 'failed_images' END) AS recommendations FROM s LEFT JOIN i USING (process_run_id)""")
+    arg_max(stage, struct_pack(d := coalesce(duration_ms, 0), i := -id)) FILTER (WHERE status IN ('completed', 'failed', 'timeout')) AS slowest_stage,
+    arg_max_null(source_image_id, struct_pack(d := coalesce(duration_ms, 0), i := -id)) FILTER (WHERE status IN ('completed', 'failed', 'timeout')) AS slowest_source_image_id,
+    count(*) FILTER (WHERE status = 'timeout') AS timeouts, count(*) FILTER (WHERE stage = 'docx_image_limit_warning') AS image_limit_warnings, max(created_at) AS last_event_at FROM trace_logs GROUP BY 1)
+    LEFT JOIN (SELECT process_run_id, count(*) FILTER (WHERE ocr_status = 'processed') AS p, count(*) FILTER (WHERE ocr_status = 'failed') AS f FROM source_images WHERE image_file <> '' GROUP BY 1) USING (process_run_id),
+    LATERAL (SELECT coalesce(p, 0) AS processed_images, coalesce(f, 0) AS failed_images))"""
+add("stage_summary", lambda s, d: dg.stage_summary(TRACES(s, d), a.source_images(s, d)), f"WITH {SUMMARY} SELECT * EXCLUDE (p, f) FROM sums")
+add("image_stage_durations", lambda s, d: dg.image_stage_durations(TRACES(s, d), a.source_images(s, d), a.deposits(s, d)),
+    """WITH l AS (SELECT source_image_id AS id, coalesce(sum(duration_ms) FILTER (WHERE stage = 'ocr' AND status = 'completed'), 0)::BIGINT AS ocr_duration_ms, coalesce(sum(duration_ms) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed'), 0)::BIGINT AS llm_duration_ms,
+    count(*) FILTER (WHERE is_error) AS errors FROM trace_logs WHERE source_image_id IS NOT NULL GROUP BY 1), k AS (SELECT source_image_id AS id, count(*) AS n FROM deposits GROUP BY 1)
+    SELECT id AS source_image_id, process_run_id, sequence_index, error_message, coalesce(ocr_duration_ms, 0) AS ocr_duration_ms, coalesce(llm_duration_ms, 0) AS llm_duration_ms, coalesce(errors, 0) AS errors, coalesce(n, 0) AS records_count
+    FROM source_images LEFT JOIN l USING (id) LEFT JOIN k USING (id) WHERE image_file <> ''""")
+STALE = """stale AS (SELECT r.id FROM process_runs r LEFT JOIN (SELECT process_run_id AS id, max(created_at) AS m FROM trace_logs GROUP BY 1) l USING (id) WHERE status = 'processing' AND coalesce(m, started_at, created_at) < TIMESTAMP '2024-01-31' - INTERVAL 300 SECOND)"""
+ADVICE = f"""{SUMMARY}, {STALE}, i AS (SELECT process_run_id, max(image_bytes) AS m, count(*) FILTER (WHERE ocr_status = 'failed') AS f FROM source_images WHERE image_file <> '' GROUP BY 1),
+    w AS (SELECT process_run_id, string_agg(notes, ',' ORDER BY id) AS told FROM trace_logs WHERE stage = 'docx_image_limit_warning' AND notes <> '' GROUP BY 1),
+    advice AS (SELECT s.process_run_id, concat_ws(',', CASE WHEN total_llm_duration_ms > 2 * total_ocr_duration_ms AND llm_calls > 0 THEN 'llm_dominates' END, CASE WHEN m > 3145728 THEN 'large_images' END,
+      CASE WHEN s.process_run_id IN (SELECT id FROM stale) THEN 'stale' END, CASE WHEN i.f > 0 THEN 'failed_images' END, told) AS recommendations FROM sums s LEFT JOIN i USING (process_run_id) LEFT JOIN w USING (process_run_id))"""
+
+
+def _advice(s: SparkSession, d: str) -> DataFrame:
+    return dg.recommendations(dg.stage_summary(TRACES(s, d)), a.source_images(s, d), dg.stale_runs(a.process_runs(s, d), a.trace_logs(s, d), EVENTS_AT()), a.trace_logs(s, d))
+
+
+add("recommendations", _advice, f"WITH {ADVICE} SELECT * FROM advice")
 add("stale_runs", lambda s, d: dg.stale_runs(a.process_runs(s, d), a.logs(s, d), F.lit(a.AS_OF_EVENTS).cast("timestamp")),
     """WITH l AS (SELECT process_run_id AS id, max(created_at) AS m FROM logs GROUP BY 1), x AS (SELECT r.id, coalesce(m, started_at, created_at) AS last_sign FROM process_runs r LEFT JOIN l USING (id) WHERE status = 'processing')
     SELECT id, last_sign FROM x WHERE last_sign < TIMESTAMP '2024-01-31' - INTERVAL 300 SECOND""")
 add("run_duration_ms", lambda s, d: a.process_runs(s, d).select("id", dg.run_duration_ms(F.col("started_at"), F.col("finished_at"), F.lit("2024-02-01").cast("timestamp")).alias("ms")),
     "SELECT id, date_diff('millisecond', started_at, coalesce(finished_at, TIMESTAMP '2024-02-01')) AS ms FROM process_runs")
-add("trace_by_image", over(dg.trace_by_image, "logs"),
-    """SELECT source_image_id, coalesce(sum(records_count) FILTER (WHERE stage = 'llm_structuring'), 0)::BIGINT AS llm_candidates, coalesce(sum(records_count) FILTER (WHERE stage = 'persistence'), 0)::BIGINT AS persisted,
-    arg_min(notes, id) FILTER (WHERE is_error) AS first_error FROM logs WHERE source_image_id IS NOT NULL GROUP BY 1""")
-add("processing_state", over(dg.processing_state, "process_runs", "logs", "source_images"),
-    """WITH l AS (SELECT process_run_id AS id, arg_max(stage, id) AS current_stage FROM logs GROUP BY 1), i AS (SELECT process_run_id AS id, count(*) AS total, count(*) FILTER (WHERE ocr_status = 'processed') AS processed, count(*) FILTER (WHERE ocr_status = 'failed') AS failed FROM source_images WHERE image_file <> '' GROUP BY 1)
-    SELECT r.id, status, current_stage, coalesce(total, 0) AS total, coalesce(processed, 0) AS processed, coalesce(failed, 0) AS failed FROM process_runs r LEFT JOIN l USING (id) LEFT JOIN i USING (id)""")
-add("trace_events", over(dg.trace_events, "logs"), "SELECT id, process_run_id, stage, status, duration_ms, nullif(notes, '') AS error FROM logs")
-add("event_rows", lambda s, d: LOGS(s, d).select("id", "process_run_id", "stage", "status", "duration_ms"), "SELECT id, process_run_id, stage, status, duration_ms FROM logs")
-add("time_budget", lambda s, d: dg.over_budget(a.logs(s, d)), "SELECT process_run_id, sum(duration_ms)::BIGINT AS spent_ms FROM logs GROUP BY 1 HAVING sum(duration_ms) > 900000")
+add("trace_by_image", lambda s, d: dg.trace_by_image(a.trace_logs(s, d), a.source_images(s, d), a.deposits(s, d)).select(
+    "source_image_id", "process_run_id", "context_date", "llm_candidates", "fallback_candidates", F.array_join(F.transform("rejected_candidates", lambda x: F.get_json_object(x, "$.candidate_id")), ",").alias("rejected"),
+    F.array_join(F.transform("persisted_records", lambda x: F.concat_ws(":", x["id"].cast("string"), x["referencia"], x["valor"])), ",").alias("persisted"), "explicit_ocr_date", "final_date", "date_source", "first_error"),
+    """WITH l AS (SELECT source_image_id AS id, coalesce(sum(llm_structured_records_count) FILTER (WHERE stage LIKE 'llm_structuring%'), 0)::BIGINT AS llm_candidates, coalesce(sum(heuristic_records_count) FILTER (WHERE stage LIKE 'heuristic_fallback%'), 0)::BIGINT AS fallback_candidates,
+      string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (WHERE stage = 'candidate_record_validation' AND candidate_status = 'rejected') AS rejected, arg_min(explicit_ocr_date, id) FILTER (WHERE stage LIKE 'llm_structuring%' AND explicit_ocr_date IS NOT NULL) AS explicit_ocr_date,
+      arg_min(final_date_source, id) FILTER (WHERE stage LIKE 'llm_structuring%' AND final_date_source IS NOT NULL) AS src, arg_min(notes, id) FILTER (WHERE is_error) AS first_error FROM trace_logs WHERE source_image_id IS NOT NULL GROUP BY 1),
+    p AS (SELECT source_image_id AS id, string_agg(id || ':' || referencia || ':' || valor, ',' ORDER BY id) AS persisted, arg_min(fecha_consignacion, id) AS final_date FROM deposits GROUP BY 1)
+    SELECT i.id AS source_image_id, process_run_id, context_date, coalesce(llm_candidates, 0) AS llm_candidates, coalesce(fallback_candidates, 0) AS fallback_candidates, coalesce(rejected, '') AS rejected, persisted, explicit_ocr_date, final_date,
+      coalesce(src, CASE WHEN final_date = explicit_ocr_date THEN 'image_explicit' WHEN final_date = context_date THEN 'docx_context' WHEN final_date <> '' THEN 'record' END) AS date_source, first_error
+    FROM source_images i LEFT JOIN l USING (id) LEFT JOIN p USING (id) WHERE image_file <> ''""")
+add("processing_state", lambda s, d: dg.processing_state(a.process_runs(s, d), a.trace_logs(s, d), a.source_images(s, d), a.deposits(s, d), EVENTS_AT()),
+    f"""WITH {STALE}, l AS (SELECT process_run_id AS id, arg_max(stage, id) AS current_stage, arg_max(created_at, id) AS last_event_at FROM trace_logs GROUP BY 1), k AS (SELECT process_run_id AS id, count(*) AS n FROM deposits GROUP BY 1),
+    i AS (SELECT process_run_id AS id, count(*) AS total_images, count(*) FILTER (WHERE ocr_status = 'processed') AS processed_images, count(*) FILTER (WHERE ocr_status = 'failed') AS failed_images FROM source_images WHERE image_file <> '' GROUP BY 1)
+    SELECT r.id, status, current_stage, last_event_at, date_diff('millisecond', started_at, coalesce(finished_at, TIMESTAMP '2024-01-31')) AS elapsed_ms, r.id IN (SELECT id FROM stale) AS stale,
+    coalesce(total_images, 0) AS total_images, coalesce(processed_images, 0) AS processed_images, coalesce(failed_images, 0) AS failed_images, coalesce(n, 0) AS total_records FROM process_runs r LEFT JOIN l USING (id) LEFT JOIN i USING (id) LEFT JOIN k USING (id)""")
+add("trace_events", over(dg.trace_events, "trace_logs"),
+    """SELECT id, process_run_id, created_at AS timestamp, stage, coalesce(status, CASE WHEN is_error THEN 'failed' ELSE 'completed' END) AS status, source_image_id, coalesce(agent, '') AS agent, provider, coalesce(attempt, 0)::INT AS attempt, coalesce(duration_ms, 0) AS duration_ms,
+    '{}' AS input, '{}' AS output, coalesce(decision, '') AS decision, CASE WHEN is_error THEN concat_ws(': ', error_class, coalesce(error_message, notes)) END AS error, notes FROM trace_logs""")
+add("event_rows", over(dg.event_rows, "trace_logs"),
+    """SELECT id, process_run_id, source_image_id, stage, coalesce(status, CASE WHEN is_error THEN 'failed' ELSE 'completed' END) AS status, provider, duration_ms, records_count, NULL::BIGINT AS raw_text_chars, NULL::BIGINT AS prompt_chars, NULL::BIGINT AS response_chars, NULL::BIGINT AS image_bytes,
+    error_class, coalesce(error_message, notes) AS error_message, created_at FROM trace_logs""")
+add("time_budget", lambda s, d: dg.over_budget(a.logs(s, d), 200), "SELECT process_run_id, sum(duration_ms)::BIGINT AS spent_ms FROM logs GROUP BY 1 HAVING sum(duration_ms) > 200000")
 add("probable_cause", lambda s, d: dg.stage_summary(a.logs(s, d)).select("process_run_id", dg.probable_cause(F.lit(False), F.col("total_ocr_duration_ms"), F.col("total_llm_duration_ms"), F.col("timeouts")).alias("cause")),
     """SELECT process_run_id, CASE WHEN l > 2 * o AND l > 0 THEN 'llm' WHEN o > 2 * l AND o > 0 THEN 'ocr' WHEN t > 0 THEN 'failures' ELSE 'none' END AS cause FROM (SELECT process_run_id, coalesce(sum(duration_ms) FILTER (WHERE stage = 'ocr' AND status = 'completed'), 0) AS o,
     coalesce(sum(duration_ms) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed'), 0) AS l, count(*) FILTER (WHERE status = 'timeout') AS t FROM logs GROUP BY 1)""")
@@ -219,14 +287,21 @@ add("redact_payload", lambda s, d: a.logs(s, d).select("id", redact.redact_paylo
 
 SCORE = "CASE WHEN error IS NULL THEN confidence ELSE 0 END"
 CONSENSUS = """p AS (SELECT source_image_id, count(*) AS n, count(*) FILTER (WHERE error IS NULL) AS good, max(attempt_number) AS last, max(attempt_number) FILTER (WHERE error IS NULL) AS last_good FROM attempts GROUP BY 1),
-c AS (SELECT source_image_id, upper(trim(referencia)) || '|' || trim(valor) AS signature, count(*) AS occurrences, arg_max(attempt_number, struct_pack(c := confidence, a := -attempt_number)) AS from_attempt FROM attempts WHERE error IS NULL GROUP BY 1, 2),
+x AS (SELECT source_image_id, attempt_number, confidence, unnest(records) AS record, generate_subscripts(records, 1) - 1 AS position FROM attempts WHERE error IS NULL),
+c AS (SELECT source_image_id, upper(trim(record.referencia)) || '|' || trim(record.valor) AS signature, count(*) AS occurrences, arg_max(struct_pack(a := attempt_number, p := position, r := record), struct_pack(c := confidence, a := -attempt_number, p := -position)) AS best FROM x GROUP BY 1, 2),
 k AS (SELECT c.*, occurrences >= 2 OR n = 1 OR (good = 1 AND last_good = last) AS is_consensus FROM c JOIN p USING (source_image_id))"""
 add("best_attempt", over(at.best_attempt, "attempts"),
     f"SELECT source_image_id, arg_max(attempt_number, struct_pack(c := {SCORE}, a := -attempt_number)) AS attempt_number, arg_max(confidence, struct_pack(c := {SCORE}, a := -attempt_number)) AS confidence FROM attempts GROUP BY 1")
 add("attempt_summary", lambda s, d: at.attempt_summary(a.attempts(s, d)).withColumn("average_confidence", F.round("average_confidence", 6)),
-    "SELECT source_image_id, count(*) AS total_attempts, count(*) FILTER (WHERE error IS NULL) AS successful_attempts, round(avg(confidence), 6) AS average_confidence, string_agg(strategy, ',' ORDER BY attempt_number) AS strategies FROM attempts GROUP BY 1")
+    """SELECT source_image_id, count(*) AS total_attempts, count(*) FILTER (WHERE error IS NULL) AS successful_attempts, round(avg(confidence), 6) AS average_confidence, string_agg(strategy, ',' ORDER BY attempt_number) AS strategies,
+    coalesce(string_agg(error, ',' ORDER BY attempt_number), '') AS errors FROM attempts GROUP BY 1""")
+VALIDATED = lambda s, d: a.attempts(s, d).withColumn("results", F.transform("records", lambda r: validate.validate_record(F.upper(F.trim(r["referencia"])), F.concat(r["valor"], F.lit("500")), F.when(r["valor"] == "1", "31/02/2001").otherwise("01/07/2001"), F.lit("10:30"), F.lit(ORDERS_DAY))))
+add("attempt_confidence", lambda s, d: VALIDATED(s, d).select("source_image_id", "attempt_number", at.attempt_confidence(F.transform("results", lambda v: F.struct(v["confidence"].alias("confidence"), v["is_valid"].alias("is_valid")))).alias("c")).select(
+    "source_image_id", "attempt_number", F.round("c.confidence", 6).alias("confidence"), "c.all_valid"),
+    """SELECT source_image_id, attempt_number, round(coalesce(list_avg(list_transform(records, lambda r: CASE r.valor WHEN '1' THEN 0.7 * 1.1 * 1.1 ELSE 1.0 END)), 0), 6)::DOUBLE AS confidence, len(records) > 0 AS all_valid FROM attempts""")
 add("record_signature", lambda s, d: a.attempts(s, d).select("source_image_id", "attempt_number", money.record_signature(F.col("referencia"), F.col("valor")).alias("signature")), "SELECT source_image_id, attempt_number, upper(trim(referencia)) || '|' || trim(valor) AS signature FROM attempts")
-add("consensus", over(at.consensus, "attempts"), f"WITH {CONSENSUS} SELECT source_image_id, signature, occurrences, from_attempt, is_consensus FROM k")
+add("consensus", lambda s, d: at.consensus(a.attempts(s, d)).select("source_image_id", "signature", "occurrences", "from_attempt", "position", F.col("record.referencia").alias("referencia"), "is_consensus"),
+    f"WITH {CONSENSUS} SELECT source_image_id, signature, occurrences, best.a AS from_attempt, best.p AS position, best.r.referencia AS referencia, is_consensus FROM k")
 AGGREGATION = f"""{CONSENSUS}, b AS (SELECT source_image_id, arg_max(attempt_number, struct_pack(c := {SCORE}, a := -attempt_number)) AS attempt_number, arg_max(confidence, struct_pack(c := {SCORE}, a := -attempt_number)) AS confidence FROM attempts GROUP BY 1),
 e AS (SELECT source_image_id, count(*) FILTER (WHERE is_consensus) AS nc, count(*) FILTER (WHERE NOT is_consensus) AS nk FROM k GROUP BY 1),
 g AS (SELECT b.*, p.n, p.good, coalesce(nc, 0) AS n_consensus, coalesce(nk, 0) AS n_conflict FROM b JOIN p USING (source_image_id) LEFT JOIN e USING (source_image_id)),
@@ -235,16 +310,20 @@ h AS (SELECT *, greatest(0.0, least(1.0, confidence + CASE WHEN n_consensus > 0
 r AS (SELECT *, CASE WHEN ac >= 0.7 AND n_conflict = 0 THEN 'accept' WHEN ac >= 0.5 AND n_consensus > 0 THEN 'review' ELSE 'reject' END AS recommendation FROM h)"""
 add("aggregation_confidence", lambda s, d: at.aggregation(a.attempts(s, d)).select("source_image_id", "n_consensus", "n_conflict", F.round("aggregation_confidence", 6).alias("aggregation_confidence"), "recommendation"),
     f"WITH {AGGREGATION} SELECT source_image_id, n_consensus, n_conflict, round(ac, 6) AS aggregation_confidence, recommendation FROM r")
-add("select_final_records", over(at.select_final_records, "attempts"),
-    f"""WITH {AGGREGATION} SELECT a.source_image_id, a.attempt_number, referencia, valor, r.recommendation FROM attempts a JOIN r ON r.source_image_id = a.source_image_id
-    WHERE r.recommendation <> 'accept' AND a.attempt_number = r.attempt_number UNION ALL SELECT a.source_image_id, a.attempt_number, referencia, valor, r.recommendation FROM k JOIN r USING (source_image_id)
-    JOIN attempts a ON a.source_image_id = k.source_image_id AND a.attempt_number = k.from_attempt WHERE k.is_consensus AND r.recommendation = 'accept'""")
-add("best_ocr_attempt", lambda s, d: a.attempts(s, d).filter("error IS NULL").groupBy("source_image_id").agg(F.max_by("attempt_number", F.struct("score", "confidence", -F.col("attempt_number"))).alias("attempt_number")),
-    "SELECT source_image_id, arg_max(attempt_number, struct_pack(s := score, c := confidence, a := -attempt_number)) AS attempt_number FROM attempts WHERE error IS NULL GROUP BY 1")
-add("best_ocr_attempt_or_errors", lambda s, d: at.best_ocr_attempt(a.attempts(s, d).withColumns({"valid_records_count": F.col("valor").cast("int"), "structured_records_count": F.length("referencia") + F.col("score") % 3, "text": F.repeat("strategy", F.col("score") % 4)})),
-    """SELECT source_image_id, n AS attempt_number, CASE WHEN n IS NULL THEN e END AS error FROM (SELECT source_image_id, arg_max(attempt_number, struct_pack(v := valor::INT, r := score % 3, s := score, l := (score % 4) * 2, a := -attempt_number)) FILTER (WHERE error IS NULL) AS n,
+add("select_final_records", lambda s, d: at.select_final_records(a.attempts(s, d)).select("source_image_id", "attempt_number", "position", "record.referencia", "record.valor", "recommendation"),
+    f"""WITH {AGGREGATION} SELECT source_image_id, best.a AS attempt_number, best.p AS position, best.r.referencia AS referencia, best.r.valor AS valor, recommendation FROM k JOIN r USING (source_image_id) WHERE is_consensus AND recommendation = 'accept'
+    UNION ALL SELECT source_image_id, attempt_number, position, record.referencia, record.valor, recommendation FROM (SELECT source_image_id, attempt_number, unnest(records) AS record, generate_subscripts(records, 1) - 1 AS position FROM attempts) JOIN r USING (source_image_id, attempt_number) WHERE recommendation <> 'accept'""")
+add("recommendation", lambda s, d: at.aggregation(a.attempts(s, d)).groupBy("recommendation").agg(F.count("*").alias("n")), f"WITH {AGGREGATION} SELECT recommendation, count(*) AS n FROM r GROUP BY 1")
+add("best_ocr_attempt", lambda s, d: at.best_ocr_attempt(a.attempts(s, d).withColumns({"valid_records_count": F.col("valor").cast("int"), "structured_records_count": F.size("records"), "text": F.repeat("strategy", F.col("score") % 4)})),
+    """SELECT source_image_id, n AS attempt_number, CASE WHEN n IS NULL THEN e END AS error FROM (SELECT source_image_id, arg_max(attempt_number, struct_pack(v := valor::INT, r := len(records), s := score, l := (score % 4) * 2, a := -attempt_number)) FILTER (WHERE error IS NULL) AS n,
     string_agg(error, '; ' ORDER BY attempt_number) AS e FROM attempts GROUP BY 1)""")
-add("ocr_fallback_used", lambda s, d: a.attempts(s, d).groupBy("source_image_id").agg(F.max(F.when(F.col("attempt_number") == 1, F.col("error"))).alias("e"), F.max(F.when(F.col("attempt_number") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("attempt_number") == 2, F.col("score"))).alias("s2")).select("source_image_id", at.ocr_fallback_used(F.col("e"), F.col("s1"), F.col("s2")).alias("used")),
+OCR_TEXTS = lambda s, d: a.attempts(s, d).filter("attempt_number <= 3").select("source_image_id", "attempt_number", "score", "error").join(a.receipts(s, d).select(F.col("id").alias("source_image_id"), "text", "variant"), "source_image_id").withColumn(
+    "text", F.when(F.col("attempt_number") == 1, "ilegible").when(F.col("attempt_number") == 2, F.col("text")).otherwise(F.concat("text", F.lit(" fin"))))
+add("select_structured_candidate", lambda s, d: at.select_structured_candidate(OCR_TEXTS(s, d)).select("source_image_id", "candidates", "attempt_number", "structured_records_count", "valid_records_count", "record.referencia"),
+    """WITH t AS (SELECT a.source_image_id, attempt_number, score, error, variant, ref, (variant IN (0, 1, 5) AND attempt_number > 1)::INT AS k, CASE WHEN attempt_number = 1 THEN 8 ELSE length(text) + CASE WHEN attempt_number = 3 THEN 4 ELSE 0 END END AS n FROM attempts a JOIN receipts r ON r.id = a.source_image_id WHERE attempt_number <= 3 AND error IS NULL),
+    b AS (SELECT source_image_id, count(*) AS candidates, arg_max(struct_pack(a := attempt_number, k := k, r := ref), struct_pack(k := k, s := score, n := n, a := -attempt_number)) AS best FROM t GROUP BY 1)
+    SELECT source_image_id, candidates, best.a AS attempt_number, best.k AS structured_records_count, best.k AS valid_records_count, CASE WHEN best.k = 1 THEN best.r END AS referencia FROM b""")
+add("ocr_fallback_used", over(at.ocr_fallbacks, "attempts"),
     "SELECT source_image_id, s2 IS NOT NULL AND (e IS NOT NULL OR s1 < 8 OR s2 > s1) AS used FROM (SELECT source_image_id, max(error) FILTER (WHERE attempt_number = 1) AS e, max(score) FILTER (WHERE attempt_number = 1) AS s1, max(score) FILTER (WHERE attempt_number = 2) AS s2 FROM attempts GROUP BY 1)")
 
 
@@ -264,6 +343,18 @@ add("retry_decision", _retry, """WITH b AS (SELECT id, (['ocr_failed', 'extracti
   SELECT id, strategy NOT IN ('manual_review', 'skip') AS should_retry, strategy, CASE WHEN strategy = 'change_ocr_mode' THEN CASE kind WHEN 'timeout' THEN 'tesseract' ELSE 'vision' END END AS next_mode,
   CASE WHEN strategy = 'change_llm_model' THEN CASE kind WHEN 'extraction_failed' THEN 'neural-chat:7b' ELSE 'llama3.1:8b' END END AS next_model,
   CASE WHEN strategy = 'increase_timeout' THEN 1.5 WHEN strategy = 'change_llm_model' AND kind = 'extraction_failed' THEN 2.0 ELSE 1.0 END::DOUBLE AS timeout_factor FROM x""")
+
+
+def _retry_log(s: SparkSession, d: str) -> DataFrame:
+    base = VALIDATED(s, d).filter("attempt_number <= 3").withColumns({"retries": F.col("attempt_number") - 1, "error_type": F.when(F.col("error").isNull(), "validation_failed").otherwise("timeout")})
+    decided = base.withColumn("decision", at.retry_decision(F.col("error_type"), F.col("retries"), F.col("confidence"), F.lit("auto"), F.lit("mistral:7b"))).withColumnRenamed("results", "validations")
+    return at.retry_issue_log(decided).select("source_image_id", "attempt", "stage", "input.error_type", F.size("input.validation_errors").alias("n_issues"), "output.should_retry", "output.strategy", "output.max_retries_remaining", "decision")
+
+
+add("retry_issue_log", _retry_log, """WITH x AS (SELECT source_image_id, attempt_number AS k, error, confidence AS c, records FROM attempts WHERE attempt_number <= 3),
+  y AS (SELECT *, CASE WHEN error IS NOT NULL THEN CASE k WHEN 1 THEN 'increase_timeout' WHEN 2 THEN 'change_ocr_mode' ELSE 'manual_review' END WHEN c > 0.3 AND c < 0.5 AND k < 3 THEN 'change_llm_model' WHEN c <= 0.3 THEN 'manual_review' ELSE 'skip' END AS strategy FROM x)
+  SELECT source_image_id, k AS attempt, 'retry_decision' AS stage, CASE WHEN error IS NULL THEN 'validation_failed' ELSE 'timeout' END AS error_type, len(list_filter(records, lambda r: r.valor = '1'))::INT AS n_issues,
+  strategy NOT IN ('manual_review', 'skip') AS should_retry, strategy, 4 - k AS max_retries_remaining, CASE WHEN strategy NOT IN ('manual_review', 'skip') THEN 'retry current source image' ELSE 'stop retry loop' END AS decision FROM y""")
 add("classify_error", lambda s, d: a.source_images(s, d).select("id", at.classify_error(F.col("error_message")).alias("kind"), at.error_status(F.col("error_message")).alias("status")),
     "SELECT id, CASE error_message WHEN 'ocr timeout' THEN 'ocr_failed' WHEN 'llm failure' THEN 'extraction_failed' ELSE 'unknown' END AS kind, CASE WHEN error_message = 'ocr timeout' THEN 'timeout' ELSE 'failed' END AS status FROM source_images")
 
@@ -279,11 +370,11 @@ add("amount_candidates", lambda s, d: extract.with_record(a.receipts(s, d)).sele
 add("clean_text", lambda s, d: a._t(s, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("c")).select("doc_id", F.md5("c.cleaned").alias("cleaned_md5"), F.length("c.cleaned").alias("n")),
     r"""SELECT doc_id, md5(c) AS cleaned_md5, length(c)::INT AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\n+', E'\n', 'g'), ' *\n *', E'\n', 'g'), '^\s+|\s+$', '', 'g'),
     '[$€]\s*(\d+)', '$\1', 'g'), '(\d+)\s*([.,])\s*(\d{2,3})', '\1\2\3', 'g'), '\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b', '\1/\2/\3', 'g'), '\b(\d{1,2})[/-](\d{1,2})[/-](\d{2})\b', '\1/\2/20\3', 'g'), '(\d{1,2}):(\d{2})', '\1:\2', 'g') AS c FROM documents)""")
-add("score_text", lambda s, d: a._t(s, d, "documents").select("doc_id", text.score_text(F.col("text")).alias("score"), text.significant_text(F.col("text")).alias("significant")),
-    r"""SELECT doc_id, score::INT AS score, n >= 20 AND score > 0 AS significant FROM (SELECT doc_id, length(t) AS n, CASE WHEN t = '' THEN 0 ELSE greatest(0, least(length(t) // 20, 10) + """
+SCORE_SQL = (r"""SELECT doc_id, score::INT AS score, n >= 20 AND score > 0 AS significant FROM (SELECT doc_id, length(t) AS n, CASE WHEN t = '' THEN 0 ELSE greatest(0, least(length(t) // 20, 10) + """
     + " + ".join(f"(CASE WHEN contains(t, '{w}') THEN 3 ELSE 0 END)" for w in text.RECEIPT_KEYWORDS)
     + r""" + (CASE WHEN regexp_matches(t, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b') THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '\b\d{1,2}:\d{2}\b') THEN 3 ELSE 0 END) + (CASE WHEN regexp_matches(t, '\$?\s?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})?\b') THEN 4 ELSE 0 END)
     - (CASE WHEN length(t) < 25 THEN 4 ELSE 0 END)) END AS score FROM (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS t FROM documents))""")
+add("score_text", lambda s, d: a._t(s, d, "documents").select("doc_id", text.score_text(F.col("text")).alias("score"), text.significant_text(F.col("text")).alias("significant")), SCORE_SQL)
 add("truncate_text", lambda s, d: a._t(s, d, "documents").select("doc_id", text.truncate(F.col("text")).alias("short"), text.stable_hash(F.col("text")).alias("hash")),
     "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE left(text, 500) || '...[truncated ' || (length(text) - 500) || ' chars]' END AS short, sha256(text) AS hash FROM documents")
 add("fold_text", lambda s, d: a._t(s, d, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"), F.length(text.digits_only(F.col("text"))).alias("n_digits")),
@@ -300,7 +391,8 @@ add("to_ddmmyyyy", lambda s, d: a.deposits(s, d).select("id", dates.to_ddmmyyyy(
 add("resolve_date", lambda s, d: a.deposits(s, d).select("id", extract.resolve_date(F.when(F.col("id") % 3 == 0, F.col("fecha_consignacion")), F.when(F.col("id") % 3 == 1, F.lit("01/01/2020")), F.when(F.col("id") % 2 == 0, F.lit("02/02/2020"))).alias("r")).select("id", "r.date", "r.source"),
     "SELECT id, CASE WHEN id % 3 = 0 THEN fecha_consignacion WHEN id % 3 = 1 THEN '01/01/2020' WHEN id % 2 = 0 THEN '02/02/2020' END AS date, CASE WHEN id % 3 = 0 THEN 'ocr_text' WHEN id % 3 = 1 THEN 'record' WHEN id % 2 = 0 THEN 'document_context' ELSE 'missing' END AS source FROM deposits")
 add("valid_record", lambda s, d: a.candidates(s, d).select("source_image_id", "idx", validate.valid_record(F.col("referencia"), F.col("valor"), F.col("fecha_consignacion"), F.col("hora_consignacion")).alias("r")).select("source_image_id", "idx", "r.error", F.when(F.col("r.error").isNull(), F.col("r.valor")).alias("value")),
-    """SELECT source_image_id, idx, error, CASE WHEN error IS NULL THEN CASE valor WHEN '60.000' THEN 60000.0 ELSE 50000.0 END END::DOUBLE AS value FROM (SELECT *, CASE WHEN fecha_consignacion = '2026-04-15' THEN 'fecha_consignacion must be DD/MM/YYYY' WHEN valor IS NULL THEN 'valor is required' END AS error FROM candidates)""")
+    """SELECT source_image_id, idx, error, CASE WHEN error IS NULL THEN n_valor END::DOUBLE AS value FROM (SELECT *, CASE WHEN NOT regexp_full_match(coalesce(fecha_consignacion, '01/01/2000'), '\\d{2}/\\d{2}/\\d{4}') THEN 'fecha_consignacion must be DD/MM/YYYY'
+    WHEN n_valor IS NULL THEN 'valor is required' END AS error FROM keyed)""")
 add("validate_record", lambda s, d: a.deposits(s, d).select("id", validate.validate_record(F.col("referencia"), F.col("valor").cast("string"), F.col("fecha_consignacion"), F.col("hora_consignacion"), F.lit(ORDERS_DAY)).alias("v")).select("id", F.round("v.raw_confidence", 6).alias("raw_confidence"), F.round("v.confidence", 6).alias("confidence"), "v.is_valid", "v.needs_review", F.size("v.issues").alias("n_issues")),
     """SELECT id, round(raw, 6) AS raw_confidence, round(least(1.0, raw), 6) AS confidence, raw > 0.3 AS is_valid, raw < 0.6 OR old AS needs_review, old::INT AS n_issues FROM (SELECT id, old, (CASE WHEN valor BETWEEN 100 AND 10000000 THEN 1.1 ELSE 1.0 END * CASE WHEN old THEN 0.95 ELSE 1.0 END * 1.1)::DOUBLE AS raw
     FROM (SELECT *, DATE '2001-08-02' - fecha_date > 730 AS old FROM deposits))""")
@@ -323,15 +415,28 @@ add("apply_corrections_record", lambda s, d: rc.apply_corrections(a.deposits(s,
     SELECT id, strftime(fecha_date, '%d/%m/%Y') AS fecha_consignacion, hora_consignacion, referencia, valor, fecha_date,
     CASE WHEN manually_corrected THEN concat_ws(';', CASE WHEN id % 30 = 0 THEN 'Fecha fuera del periodo valido configurado' END, CASE WHEN valor < 20000 THEN 'valor bajo' END, CASE WHEN valor > 150000 THEN 'Valor no es valido' END, CASE WHEN referencia NOT LIKE '%7' THEN 'sin 7' END)
     ELSE array_to_string(observations, ';') END AS notes, CASE WHEN manually_corrected THEN id % 30 <> 0 ELSE is_current_month END AS is_current_month, manually_corrected FROM k""")
-add("canonical_key", lambda s, d: rc.with_keys(a.candidates(s, d)).select("source_image_id", "idx", "canonical_key", "loose_key"),
-    """SELECT source_image_id, idx, CASE WHEN valor IS NULL THEN '' ELSE 'v1:' || sha256(content_hash || '|' || CASE WHEN fecha_consignacion IS NULL THEN '' ELSE '2026-04-15' END || '|' || CASE hora_consignacion WHEN '' THEN '' ELSE '09:30' END || '|' || v || '|REF001') END AS canonical_key,
-    CASE WHEN valor IS NULL THEN '' ELSE 'v1:' || sha256(content_hash || '|' || v || '|REF001') END AS loose_key FROM (SELECT *, CASE valor WHEN '60.000' THEN '60000.00' ELSE '50000.00' END AS v FROM candidates)""")
+add("canonical_key", lambda s, d: rc.with_keys(a.candidates(s, d)).select("source_image_id", "idx", "canonical_key", "loose_key"), "SELECT source_image_id, idx, canonical_key, loose_key FROM keyed")
 add("dedup_exact", lambda s, d: rc.dedup_exact(rc.with_keys(a.candidates(s, d))).select("source_image_id", "idx", "duplicate_of"),
-    """WITH k AS (SELECT *, CASE valor WHEN '60.000' THEN 60 ELSE 50 END AS v, fecha_consignacion IS NULL AS nf, hora_consignacion AS h FROM candidates), f AS (SELECT *, min(idx) OVER (PARTITION BY source_image_id, v, nf, h, valor IS NULL) AS m FROM k)
-    SELECT source_image_id, idx, CASE WHEN valor IS NOT NULL AND m < idx THEN m END AS duplicate_of FROM f""")
-add("dedup_merge", lambda s, d: rc.dedup_merge(a.candidates(s, d)).select("source_image_id", "idx", "fecha_consignacion", "hora_consignacion", "valor", "merged"))
+    "SELECT source_image_id, idx, CASE WHEN canonical_key <> '' AND m < idx THEN m END AS duplicate_of FROM (SELECT *, min(idx) OVER (PARTITION BY source_image_id, canonical_key) AS m FROM keyed)")
+# The fold, one candidate of each loose key a round: state is the head's row, its first idx, how many went in, and the stamps seen with the idx of their record.
+FOLD = """o AS (SELECT *, n_fecha || '|' || n_hora AS stamp, (n_fecha <> '')::INT + (n_hora <> '')::INT AS filled, row_number() OVER (PARTITION BY source_image_id, loose_key ORDER BY idx) AS turn FROM keyed WHERE loose_key <> ''),
+  fold AS (
+    SELECT source_image_id, loose_key, turn, idx AS first, idx AS head, stamp AS head_stamp, filled AS head_filled, confidence AS head_confidence, 1 AS merged, [stamp] AS seen, [idx] AS seen_by, 'head' AS what, idx AS spot, idx AS other FROM o WHERE turn = 1
+    UNION ALL
+    SELECT f.source_image_id, f.loose_key, o.turn, first, CASE WHEN joins AND better THEN o.idx ELSE head END, CASE WHEN joins AND better THEN o.stamp ELSE head_stamp END, CASE WHEN joins AND better THEN o.filled ELSE head_filled END,
+      CASE WHEN joins AND better THEN o.confidence ELSE head_confidence END, merged + joins::INT, CASE WHEN old THEN seen ELSE list_append(seen, CASE WHEN joins AND NOT better THEN head_stamp ELSE o.stamp END) END,
+      CASE WHEN old THEN seen_by ELSE list_append(seen_by, CASE WHEN joins THEN first ELSE o.idx END) END, CASE WHEN old THEN 'result_duplicate_skipped' WHEN joins THEN 'result_candidate_merged' ELSE 'kept' END, o.idx, CASE WHEN old THEN seen_by[list_position(seen, o.stamp)] ELSE first END
+    FROM fold f JOIN o ON o.source_image_id = f.source_image_id AND o.loose_key = f.loose_key AND o.turn = f.turn + 1,
+    LATERAL (SELECT list_contains(seen, o.stamp) AS old), LATERAL (SELECT NOT old AND (o.filled < 2 OR head_filled < 2) AS joins), LATERAL (SELECT o.filled > head_filled OR o.filled = head_filled AND o.confidence > head_confidence AS better))"""
+add("dedup_merge", lambda s, d: rc.dedup_merge(a.candidates(s, d)).select("source_image_id", "idx", "fecha_consignacion", "hora_consignacion", "referencia", "valor", "merged"),
+    f"""WITH RECURSIVE {FOLD}, kept AS (
+    SELECT source_image_id, arg_max(first, turn) AS idx, arg_max(head, turn) AS row_of, max(merged) AS merged FROM fold GROUP BY source_image_id, loose_key
+    UNION ALL SELECT source_image_id, spot, spot, 1 FROM fold WHERE what = 'kept' UNION ALL SELECT source_image_id, idx, idx, 1 FROM keyed WHERE loose_key = '')
+    SELECT k.source_image_id, k.idx, c.fecha_consignacion, c.hora_consignacion, c.referencia, c.valor, merged FROM kept k JOIN candidates c ON c.source_image_id = k.source_image_id AND c.idx = k.row_of""")
+add("dedup_events", over(rc.dedup_events, "candidates"),
+    f"""WITH RECURSIVE {FOLD} SELECT source_image_id, spot AS idx, what AS stage, other, CASE what WHEN 'result_duplicate_skipped' THEN 'same_canonical_transaction_key' ELSE 'same_reference_and_amount_with_missing_datetime' END AS reason FROM fold WHERE what LIKE 'result%'""")
 add("existing_key_anti", lambda s, d: rc.existing_key_anti(rc.with_keys(a.candidates(s, d)), rc.with_keys(a.candidates(s, d)).filter("source_image_id % 2 = 0")).agg(F.count("*").alias("n")),
-    "SELECT count(*) AS n FROM (SELECT DISTINCT source_image_id, CASE valor WHEN '60.000' THEN 60 ELSE 50 END, fecha_consignacion IS NULL, hora_consignacion FROM candidates WHERE valor IS NOT NULL AND source_image_id % 2 = 1 UNION ALL SELECT DISTINCT source_image_id, 0, FALSE, '' FROM candidates WHERE valor IS NULL AND source_image_id % 2 = 1)")
+    "SELECT count(*) AS n FROM (SELECT DISTINCT source_image_id, canonical_key FROM keyed WHERE source_image_id % 2 = 1)")
 add("existing_key_semi", lambda s, d: rc.existing_key_semi(rc.with_keys(a.candidates(s, d)), rc.with_keys(a.candidates(s, d)).filter("source_image_id % 2 = 0")).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM candidates WHERE source_image_id % 2 = 0")
 add("describe_text", lambda s, d: describe.with_description(a.receipts(s, d).select("id", F.when(F.col("id") % 4 == 0, "Pago a Dávid  Guevara").when(F.col("id") % 4 == 1, "GRO*** DYD*** COM***").when(F.col("id") % 4 == 2, F.col("text")).otherwise("DAVID GUEBARA").alias("x")), "x", "account").select("id", "account"),
     "SELECT id, CASE id % 4 WHEN 0 THEN 'NEQUI' WHEN 1 THEN 'CUENTA' WHEN 2 THEN CASE WHEN variant = 4 THEN 'NEQUI' ELSE 'NINGUNO' END ELSE 'NEQUI' END AS account FROM receipts")
@@ -365,8 +470,7 @@ add("build_prompts", lambda s, d: responses.build_prompts(a._t(s, d, "documents"
 
 DONE_DEPOSITS = lambda s, d: a.deposits(s, d).join(a.process_runs(s, d).filter("status = 'completed'").select(F.col("id").alias("process_run_id")), "process_run_id", "left_semi")
 DONE_SQL = "SELECT d.id FROM deposits d JOIN process_runs r ON r.id = d.process_run_id WHERE r.status = 'completed'"
-KEYS_SQL = f"""k AS (SELECT source_image_id, idx, CASE WHEN valor IS NULL THEN '' ELSE 'v1:' || sha256(content_hash || '|' || CASE WHEN fecha_consignacion IS NULL THEN '' ELSE '2026-04-15' END || '|' || CASE hora_consignacion WHEN '' THEN '' ELSE '09:30' END || '|' || v || '|REF001') END AS canonical_key
-    FROM (SELECT *, CASE valor WHEN '60.000' THEN '60000.00' ELSE '50000.00' END AS v FROM candidates)), stored AS (SELECT source_image_id, canonical_key FROM k WHERE idx = 1 AND source_image_id IN ({DONE_SQL}))"""
+KEYS_SQL = f"stored AS (SELECT source_image_id, canonical_key FROM keyed WHERE idx = 1 AND source_image_id IN ({DONE_SQL}))"
 
 
 def _stored_keys(s: SparkSession, d: str) -> DataFrame:
@@ -375,9 +479,9 @@ def _stored_keys(s: SparkSession, d: str) -> DataFrame:
 
 
 add("existing_key_anti_rows", lambda s, d: rc.existing_key_anti(rc.with_keys(a.candidates(s, d)), _stored_keys(s, d)).select("source_image_id", "canonical_key"),
-    f"WITH {KEYS_SQL} SELECT DISTINCT source_image_id, canonical_key FROM k ANTI JOIN stored USING (source_image_id, canonical_key)")
+    f"WITH {KEYS_SQL} SELECT DISTINCT source_image_id, canonical_key FROM keyed ANTI JOIN stored USING (source_image_id, canonical_key)")
 add("existing_key_semi_rows", lambda s, d: rc.existing_key_semi(rc.with_keys(a.candidates(s, d)), _stored_keys(s, d)).select("source_image_id", "idx", "canonical_key"),
-    f"WITH {KEYS_SQL} SELECT source_image_id, idx, canonical_key FROM k SEMI JOIN stored USING (source_image_id, canonical_key)")
+    f"WITH {KEYS_SQL} SELECT source_image_id, idx, canonical_key FROM keyed SEMI JOIN stored USING (source_image_id, canonical_key)")
 add("unknown_ids_completed", lambda s, d: rc.unknown_ids_anti(a.logs(s, d).select("id"), DONE_DEPOSITS(s, d)), f"SELECT id FROM logs WHERE id NOT IN ({DONE_SQL})")
 add("describe_receipts", lambda s, d: describe.with_description(a.receipts(s, d).select("id", "text"), "text", "account").select("id", "account"), "SELECT id, CASE WHEN variant = 4 THEN 'NEQUI' ELSE 'NINGUNO' END AS account FROM receipts")
 add("redact_payload_nested", lambda s, d: a.logs(s, d).select("id", F.md5(redact.redact_payload(F.concat(F.lit('{"api-key":"k","items":[{"token":"t","log":'), "raw_payload", F.lit('}],"list":'), F.to_json(F.sequence(F.lit(1), F.lit(60))), F.lit(',"text":"'), F.expr("repeat('x', CAST(3990 + id % 20 AS INT))"), F.lit('"}')))).alias("payload_md5")),
@@ -399,13 +503,34 @@ add("texts_to_deposits_new", _new_deposits_from_texts, f"SELECT id AS source_ima
 # Event rows -----------------------------------------------------------------------------------
 
 add("candidate_events", over(ev.candidate_events, "candidates"),
-    """WITH k AS (SELECT *, CASE valor WHEN '60.000' THEN 60 ELSE 50 END AS v, fecha_consignacion IS NULL AS nf, hora_consignacion AS h FROM candidates), f AS (SELECT *, min(idx) OVER (PARTITION BY source_image_id, v, nf, h, valor IS NULL) AS m FROM k)
-    SELECT source_image_id, idx, CASE WHEN valor IS NULL THEN 'record_skipped' WHEN m < idx THEN 'result_duplicate_skipped' ELSE 'candidate_accepted' END AS stage,
-    CASE WHEN valor IS NULL THEN 'missing_required_fields:valor' WHEN m < idx THEN 'duplicate_of:' || m ELSE '' END AS reason FROM f""")
-add("extraction_events", lambda s, d: ev.extraction_events(extract.with_record(a.receipts(s, d))).filter("stage <> 'rejected_candidate'").select("id", "stage", "reason"),
-    "SELECT id, CASE WHEN variant IN (0, 1, 5) THEN 'fallback_completed' ELSE 'fallback_empty' END AS stage, CASE WHEN variant IN (0, 1, 5) THEN '' ELSE 'missing_transaction_amount' END AS reason FROM receipts")
-add("aggregation_event", over(ev.aggregation_event, "attempts"), f"WITH {AGGREGATION} SELECT source_image_id, 'aggregation' AS stage, n AS attempts, attempt_number AS best, n_consensus, n_conflict, recommendation FROM r")
-add("ocr_attempt_rows", lambda s, d: ev.ocr_attempt_rows(a._t(s, d, "documents").select("doc_id", "text")).select("doc_id", "chars", "sample"), "SELECT doc_id, length(text)::INT AS chars, left(text, 500) AS sample FROM documents")
+    """WITH f AS (SELECT *, min(idx) OVER (PARTITION BY source_image_id, canonical_key) AS m FROM keyed)
+    SELECT source_image_id, idx, CASE WHEN n_valor IS NULL THEN 'record_skipped' WHEN m < idx THEN 'result_duplicate_skipped' ELSE 'candidate_accepted' END AS stage,
+    CASE WHEN n_valor IS NULL THEN 'missing_required_fields:valor' WHEN m < idx THEN 'duplicate_of:' || m ELSE '' END AS reason FROM f""")
+add("persistence_summary", lambda s, d: ev.persistence_summaries(ev.candidate_events(a.candidates(s, d))),
+    """WITH f AS (SELECT *, min(idx) OVER (PARTITION BY source_image_id, canonical_key) AS m FROM keyed)
+    SELECT source_image_id, count(*) AS candidates, count(*) FILTER (WHERE n_valor IS NOT NULL AND m = idx) AS persisted, count(*) FILTER (WHERE n_valor IS NULL) AS skipped, 0::BIGINT AS rejected, count(*) FILTER (WHERE n_valor IS NOT NULL AND m < idx) AS duplicates FROM f GROUP BY 1""")
+add("extraction_events", lambda s, d: ev.extraction_events(extract.with_record(a.receipts(s, d))),
+    """WITH e AS (SELECT id, variant, CASE variant WHEN 0 THEN ['amount_looks_like_year', 'amount_near_non_amount_label'] WHEN 2 THEN ['amount_looks_like_year', 'amount_looks_like_year'] WHEN 3 THEN ['amount_looks_like_time', 'amount_looks_like_year']
+      WHEN 4 THEN ['amount_looks_like_phone', 'amount_looks_like_phone'] ELSE ['amount_looks_like_year'] END AS rejected FROM receipts)
+    SELECT id, (generate_subscripts(rejected, 1) - 1)::INT AS position, 'rejected_candidate' AS stage, unnest(rejected) AS reason FROM e
+    UNION ALL SELECT id, len(rejected)::INT, CASE WHEN variant IN (0, 1, 5) THEN 'fallback_completed' ELSE 'fallback_empty' END, CASE WHEN variant IN (0, 1, 5) THEN '' ELSE 'missing_transaction_amount' END FROM e""")
+
+
+def _failed_extractions(s: SparkSession, d: str) -> DataFrame:
+    """Receipts with what the model answered: nothing, broken text, or records."""
+    answered = a.receipts(s, d).withColumns({"response": F.when(F.col("id") % 3 == 0, "").otherwise("{}"), "error_class": F.when(F.col("id") % 3 == 1, "JSONDecodeError"), "llm_records_count": F.when(F.col("id") % 3 == 2, 1).otherwise(0)})
+    return extract.with_record(answered)
+
+
+add("extraction_failures", lambda s, d: ev.extraction_events(_failed_extractions(s, d).withColumn("llm_failure_event", ev.llm_failure(F.col("response"), F.col("error_class"), F.col("llm_records_count")))).filter("position < 2").select("id", "position", "stage", "reason"),
+    """SELECT id, x.p AS position, CASE WHEN x.p = 1 THEN 'heuristic_fallback_started' ELSE f END AS stage, CASE WHEN x.p = 1 THEN f ELSE '' END AS reason FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'llm_empty_response' ELSE 'llm_invalid_json' END AS f FROM receipts WHERE id % 3 < 2), (VALUES (0), (1)) AS x(p)""")
+add("structure_summary", lambda s, d: ev.structure_summary(_failed_extractions(s, d)).select("id", "raw_text_chars", "raw_text_sha256", "structured_records_count", "llm_structured_records_count", "heuristic_fallback_started", "heuristic_fallback_used", "response_chars", "empty_provider_response", "ocr_text_truncated_for_llm", "llm_failure_event"),
+    """SELECT id, length(text)::INT AS raw_text_chars, sha256(text) AS raw_text_sha256, CASE WHEN id % 3 = 2 OR variant IN (0, 1, 5) THEN 1 ELSE 0 END AS structured_records_count, CASE WHEN id % 3 = 2 THEN 1 ELSE 0 END AS llm_structured_records_count, id % 3 < 2 AS heuristic_fallback_started,
+    id % 3 < 2 AND variant IN (0, 1, 5) AS heuristic_fallback_used, CASE WHEN id % 3 = 0 THEN 0 ELSE 2 END AS response_chars, id % 3 = 0 AS empty_provider_response, FALSE AS ocr_text_truncated_for_llm, CASE id % 3 WHEN 0 THEN 'llm_empty_response' WHEN 1 THEN 'llm_invalid_json' END AS llm_failure_event FROM receipts""")
+add("aggregation_event", lambda s, d: ev.aggregation_event(a.attempts(s, d)).withColumn("aggregation_confidence", F.round("aggregation_confidence", 6)),
+    f"WITH {AGGREGATION} SELECT source_image_id, 'aggregation' AS stage, n AS attempts, attempt_number AS best, n_consensus, n_conflict, round(ac, 6) AS aggregation_confidence, recommendation FROM r")
+add("ocr_attempt_rows", lambda s, d: ev.ocr_attempt_rows(a._t(s, d, "documents").select("doc_id", "text")).select("doc_id", "chars", "sample", "score"),
+    f"SELECT documents.doc_id, length(text)::INT AS chars, left(text, 500) AS sample, score FROM documents JOIN ({SCORE_SQL}) AS s ON s.doc_id = documents.doc_id")
 add("row_summary", lambda s, d: ev.row_summary(a.deposits(s, d), 1).select("id", "referencia", "valor", F.array_join("observations", ";").alias("first"), "n_observations"), "SELECT id, referencia, valor, coalesce(observations[1], '') AS first, len(observations)::INT AS n_observations FROM deposits")
 add("persistence_check", lambda s, d: ev.persistence_check(a.receipts(s, d).select(F.col("id").alias("source_image_id"), "text"), a.candidates(s, d), a.candidates(s, d).filter("valor IS NOT NULL")),
     """WITH c AS (SELECT source_image_id, count(*) AS n, count(valor) AS p FROM candidates GROUP BY 1) SELECT id AS source_image_id, coalesce(c.n, 0) AS structured, coalesce(p, 0) AS persisted, coalesce(p, 0) = 0 AS mismatch, coalesce(c.n, 0) = 0 AS structuring_empty FROM receipts LEFT JOIN c ON c.source_image_id = id""")
@@ -422,11 +547,14 @@ add("attempt_round", _rounds, """WITH r AS (SELECT source_image_id, attempt_numb
     a1 AS (SELECT * FROM r WHERE k = 1), a2 AS (SELECT r.* FROM r JOIN a1 USING (source_image_id) WHERE r.k = 2 AND a1.outcome IN ('increase_timeout', 'change_ocr_mode', 'change_llm_model')),
     a3 AS (SELECT r.* FROM r JOIN a2 USING (source_image_id) WHERE r.k = 3 AND a2.outcome IN ('increase_timeout', 'change_ocr_mode', 'change_llm_model'))
     SELECT source_image_id, k AS round, outcome FROM a1 UNION ALL SELECT source_image_id, k, outcome FROM a2 UNION ALL SELECT source_image_id, k, outcome FROM a3""")
-add("diagnostic_report", lambda s, d: ev.diagnostic_report(dg.stage_summary(a.logs(s, d))),
-    """SELECT '| ' || process_run_id || ' | ' || count(*) FILTER (WHERE stage = 'ocr' AND status = 'completed') || ' | ' || count(*) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed') || ' | ' || coalesce(sum(duration_ms) FILTER (WHERE stage = 'ocr' AND status = 'completed'), 0)::BIGINT
-    || ' | ' || coalesce(sum(duration_ms) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed'), 0)::BIGINT || ' | ' || coalesce(arg_max(stage, struct_pack(d := duration_ms, i := -id)) FILTER (WHERE status IN ('completed', 'failed', 'timeout')), '-') || ' |' AS value FROM logs GROUP BY process_run_id""")
-add("run_list", lambda s, d: a.process_runs(s, d).select("id", "original_filename", "status", "created_at", "finished_at", "error_message"), "SELECT id, original_filename, status, created_at, finished_at, error_message FROM process_runs")
-add("log_list", lambda s, d: a.logs(s, d).select("id", "process_run_id", "stage", "status", "is_error", "created_at").orderBy("id"), "SELECT id, process_run_id, stage, status, is_error, created_at FROM logs")
+add("diagnostic_report", lambda s, d: dg.diagnostic_report(dg.stage_summary(TRACES(s, d), a.source_images(s, d)), _advice(s, d), dg.event_rows(a.trace_logs(s, d))),
+    f"""WITH {ADVICE}, h AS (SELECT process_run_id, ['# Run ' || process_run_id, '- ocr_calls: ' || ocr_calls, '- llm_calls: ' || llm_calls, '- processed_images: ' || processed_images, '- failed_images: ' || failed_images, '- slowest_stage: ' || coalesce(slowest_stage, '-'),
+    '- total_ocr_duration_ms: ' || total_ocr_duration_ms, '- total_llm_duration_ms: ' || total_llm_duration_ms, '- avg_ocr_duration_ms: ' || avg_ocr_duration_ms, '- avg_llm_duration_ms: ' || avg_llm_duration_ms, '- provider_suspected: ' || provider_suspected] AS v FROM sums)
+    SELECT process_run_id, 0 AS part, (generate_subscripts(v, 1) - 1)::INT AS line, unnest(v) AS value FROM h
+    UNION ALL SELECT process_run_id, 1, (generate_subscripts(c, 1) - 1)::INT, '* ' || unnest(c) FROM (SELECT process_run_id, string_split(recommendations, ',') AS c FROM advice WHERE recommendations <> '')
+    UNION ALL SELECT process_run_id, 2, id::INT, '| ' || concat_ws(' | ', id, stage, coalesce(status, CASE WHEN is_error THEN 'failed' ELSE 'completed' END), coalesce(duration_ms::VARCHAR, '-'), coalesce(nullif(coalesce(error_message, notes), ''), '-')) || ' |' FROM trace_logs WHERE coalesce(status, '') <> 'started'""")
+add("run_list", over(rn.run_list, "process_runs"), "SELECT id, original_filename, status, created_at, finished_at, error_message FROM process_runs")
+add("log_list", over(rn.log_list, "logs"), "SELECT id, process_run_id, stage, status, is_error, created_at FROM logs")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

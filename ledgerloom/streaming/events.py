@@ -39,13 +39,17 @@ class RetryCounter(StatefulProcessor):
         self.count = handle.getValueState("retries", StructType([StructField("n", IntegerType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows)).sort_values("created_at")
-        n, out = (self.count.get()[0] if self.count.exists() else 0), []
-        for event, failed in zip(got["id"], got["is_error"], strict=True):
-            n = n + 1 if failed else 0
-            out.append((int(key[0]), int(event), n, bool(n < MAX_RETRIES)))
+        # What is kept of a batch are three numbers an event; they are put in order of time across its parts.
+        parts = [part[["created_at", "id", "is_error"]] for part in rows]
+        got = pd.concat(parts).sort_values(["created_at", "id"])
+        n = self.count.get()[0] if self.count.exists() else 0
+        for low in range(0, len(got), 10_000):
+            out = []
+            for event, failed in got.iloc[low : low + 10_000][["id", "is_error"]].itertuples(index=False):
+                n = n + 1 if failed else 0
+                out.append((int(key[0]), int(event), n, bool(n < MAX_RETRIES)))
+            yield pd.DataFrame(out, columns=["source_image_id", "id", "retries", "may_retry"])
         self.count.update((n,))
-        yield pd.DataFrame(out, columns=["source_image_id", "id", "retries", "may_retry"])
 
     def close(self) -> None:
         pass

@@ -197,11 +197,50 @@ def test_store_only_new(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "d")).collect())) == [(1, "k2"), (2, "k1")]
 
 
-def test_consensus_counts_records_not_attempts(spark):
-    rows = [(1, 1, "s", "r", "5", 0.9, None), (1, 1, "s", " R ", "5", 0.9, None), (1, 2, "s", "q", "7", 0.5, None), (2, 1, "s", "a", "1", 0.2, "boom"), (2, 2, "s", "b", "2", 0.8, None)]
-    a = spark.createDataFrame(rows, "source_image_id long, attempt_number int, strategy string, referencia string, valor string, confidence double, error string")
+ATTEMPTS = "source_image_id long, attempt_number int, strategy string, records array<struct<referencia:string,valor:string>>, confidence double, error string"
+
+
+def test_consensus_by_attempts_and_records(spark):
+    rows = [(1, 1, "s", [("r", "5"), (" R ", "5")], 0.9, None), (1, 2, "s", [("q", "7")], 0.5, None), (2, 1, "s", [("a", "1")], 0.2, "boom"), (2, 2, "s", [("b", "2")], 0.8, None),
+            # One attempt alone: both of its records hold. No records at all: nothing to agree on.
+            (3, 1, "s", [("a", "1"), ("b", "2")], 0.9, None), (4, 1, "s", [], 0.9, None), (5, 1, "s", None, 0.9, None)]
+    a = spark.createDataFrame(rows, ATTEMPTS)
     got = {(r["source_image_id"], r["signature"]): r["is_consensus"] for r in at.consensus(a).collect()}
-    assert got == {(1, "R|5"): True, (1, "Q|7"): False, (2, "B|2"): True}
+    assert got == {(1, "R|5"): True, (1, "Q|7"): False, (2, "B|2"): True, (3, "A|1"): True, (3, "B|2"): True}
+    verdict = {r["source_image_id"]: (r["n_consensus"], r["n_conflict"], r["recommendation"]) for r in at.aggregation(a).collect()}
+    assert verdict == {1: (1, 1, "review"), 2: (1, 0, "accept"), 3: (2, 0, "accept"), 4: (0, 0, "accept"), 5: (0, 0, "accept")}
+    final = sorted((r["source_image_id"], r["attempt_number"], r["record"]["referencia"]) for r in at.select_final_records(a).collect())
+    assert final == [(1, 1, " R "), (1, 1, "r"), (2, 2, "b"), (3, 1, "a"), (3, 1, "b")]
+
+
+def test_writes_want_filters_they_know(spark):
+    source = q.Source(spark.createDataFrame([(1, "a"), (2, "b")], "id long, referencia string"), {"id": "id", "referencia": "referencia"})
+    for bad in ([{"field": "referencia", "op": "startswith", "value": "a"}], [{"field": "nope", "op": "eq", "value": 1}], [{"field": "id", "op": "in", "value": 3}]):
+        with pytest.raises(ValueError):
+            q.delete_rows(source, bad, date(2026, 1, 1))
+        with pytest.raises(ValueError):
+            q.update_rows(source, bad, {"referencia": "x"}, date(2026, 1, 1))
+    made = q.create_rows(source.frame, spark.createDataFrame([(1, "c"), (7, "d")], "id long, referencia string"), date(2026, 1, 1))
+    assert sorted(r["referencia"] for r in made.collect()) == ["a", "b", "c", "d"] and made.select("id").distinct().count() == 4
+
+
+def test_periods_go_by_their_column():
+    day = date(2026, 4, 22)
+    assert {f["field"] for f in q.period_filters("current_month", day)} == {"fecha_date"} and {f["field"] for f in q.period_filters("last_30_days", day)} == {"fecha_date"}
+    for name, more in (("this_year", {}), ("last_7_days", {}), ("named_month", {"month": 2}), ("between", {"start": day, "end": date(2026, 1, 1)}), ("exact_day", {"day": day})):
+        assert {f["field"] for f in q.period_filters(name, day, **more)} == {"created_at"}
+    assert q.amount_filters("near", "$ 50.000") == [{"field": "valor", "op": "between", "value": [45000, 55000]}] and q.amount_filters("gt", "1.200,000")[0]["value"] == 1200000
+
+
+def test_corrections_take_known_fields_alone(spark):
+    deposits = spark.createDataFrame([(5, "01/04/2026", "10:00", "REF1", Decimal("10.00"), ["x"], None)], "id long, fecha_consignacion string, hora_consignacion string, referencia string, valor decimal(14,2), observations array<string>, is_current_month boolean")
+    for bad in ({"id": 5, "status": "x", "valor": 1}, {"id": 5}, {"valor": 1}):
+        with pytest.raises(ValueError):
+            rc.partial_correction(deposits, bad)
+    got = rc.partial_correction(deposits, {"id": 5, "fecha_consignacion": "2026-04-22", "hora_consignacion": "15:45", "referencia": "REF999", "valor": 175000}, 4, 2026).first()
+    assert (got["fecha_consignacion"], got["hora_consignacion"], got["referencia"], got["valor"], got["observations"], got["is_current_month"]) == ("22/04/2026", "15:45", "REF999", Decimal("175000.00"), [], True)
+    with pytest.raises(ValueError):
+        rc.apply_corrections(deposits, spark.createDataFrame([(5, "x")], "id long, status string"))
 
 
 def test_retry_rounds(spark):
