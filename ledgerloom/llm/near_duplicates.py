@@ -41,8 +41,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, LABEL, RECALL, LOOSE = 24, 8, 0.999, 0.15
 #: Up to so many texts a node of a trie compares its texts with each other.
 NODE_TEXTS = 256
-#: A block holds about so many texts, or about so many words. A hash table of a join holds so many rows a task at most.
-BLOCK_TEXTS, BLOCK_WORDS, TABLE_ROWS = 256, 1 << 19, 1_000_000
+#: A block holds about so many texts, or about so many words. Up to so many rows of 60 bytes are sent to all tasks.
+BLOCK_TEXTS, BLOCK_WORDS, SENT_ROWS = 128, 1 << 19, 500_000
 SEED = 20240917
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,31 +115,29 @@ def signature(found: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tree_paths(text: str, trees: int, label: int, shortest: int) -> tuple[int, np.ndarray, bytes]:
-    """Number of distinct shingles; per tree the trie nodes at depths shortest to label (hashes of the tree and the values so far); a byte of each value."""
+def tree_nodes(text: str, trees: int, label: int, shortest: int) -> tuple[int, np.ndarray, bytes]:
+    """Number of distinct shingles; the node of each tree at the shortest prefix (a hash of the tree and the values so far); a byte of each value."""
     found = shingles(text)
     if not found.size:
         return 0, np.empty(0, np.int64), b""
     values = signature(found, trees * label)
     labels = values.reshape(trees, label)
-    node, path = np.arange(1, trees + 1, dtype=np.uint64), []
-    for k in range(label):
+    node = np.arange(1, trees + 1, dtype=np.uint64)
+    for k in range(shortest):
         node = _mix(node * _ODD + labels[:, k])
-        if k + 1 >= shortest:
-            path.append(node)
-    return found.size, np.stack(path, axis=1).view(np.int64).ravel(), (_mix(values) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return found.size, node.view(np.int64), (_mix(values) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def text_table(docs: DataFrame, trees: int, label: int, shortest: int) -> DataFrame:
-    """One row per distinct text with words: text_id, text_key, doc_id (smallest), copies, n_words, paths (of one tree after the other), sketch."""
+    """One row per distinct text with words: text_id, text_key, doc_id (smallest), copies, n_words, nodes, sketch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [tree_paths(t, trees, label, shortest) for t in batch["text"]]
-            yield pd.DataFrame({"text_key": batch["text_key"], "doc_id": batch["doc_id"], "n_words": [n for n, _, _ in made], "paths": [p for _, p, _ in made], "sketch": [s for _, _, s in made]})
+            made = [tree_nodes(t, trees, label, shortest) for t in batch["text"]]
+            yield pd.DataFrame({"text_key": batch["text_key"], "doc_id": batch["doc_id"], "n_words": [n for n, _, _ in made], "nodes": [p for _, p, _ in made], "sketch": [s for _, _, s in made]})
 
     keyed = _keyed(docs).select("text_key", F.col("doc_id"), "text")
-    rows = keyed.mapInPandas(run, "text_key binary, doc_id long, n_words long, paths array<long>, sketch binary").filter("n_words > 0")
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_words", "paths", "sketch")])
+    rows = keyed.mapInPandas(run, "text_key binary, doc_id long, n_words long, nodes array<long>, sketch binary").filter("n_words > 0")
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_words", "nodes", "sketch")])
     return materialize(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts")
 
 
@@ -154,19 +152,20 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(((a == b).mean(axis=-1) - 1 / 256) * 256 / 255, 0, 1)
 
 
-def node_edges(ids: np.ndarray, paths: np.ndarray, sketches: np.ndarray, label: int, least: float, recall: float = RECALL, trees: int = TREES) -> list[tuple[int, int]]:
+def node_edges(ids: np.ndarray, labels: np.ndarray, sketches: np.ndarray, shortest: int, least: float, recall: float = RECALL, trees: int = TREES) -> list[tuple[int, int]]:
     """Candidates among the texts of one node, as edges to the first text of their component here.
 
-    paths: (texts, depths) of the tree, the node's own depth first. From whole labels on, the prefix
-    is shortened for the texts whose estimated recall falls short; pairs with such a text are looked at.
+    labels: (texts, values), a byte of each value of the tree; the node's texts agree in the first
+    `shortest` ones. From whole labels on, the prefix is shortened for the texts whose estimated recall
+    falls short; pairs with such a text are looked at.
     """
-    n, depths = len(ids), paths.shape[1]
+    n, label = labels.shape
     alike = np.stack([estimates(sketches, s) for s in sketches])
     np.fill_diagonal(alike, 0)
+    same = np.stack([labels[:, k][:, None] == labels[:, k][None, :] for k in range(shortest, label)] or [np.ones((n, n), bool)])
     found, short = np.zeros((n, n), bool), np.ones(n, bool)
-    for level in range(depths - 1, -1, -1):
-        depth = label - (depths - 1 - level)
-        together = paths[:, level][:, None] == paths[:, level][None, :]
+    for depth in range(label, shortest - 1, -1):
+        together = same[: depth - shortest].all(axis=0)
         found |= together & (short[:, None] | short[None, :]) & (alike >= least)
         weight = np.where(found, 1 / np.maximum(met(alike, depth, trees), 1e-9), 0).sum(axis=1)
         short = found.sum(axis=1) < recall * np.maximum(weight, 1e-9)
@@ -180,8 +179,12 @@ def node_edges(ids: np.ndarray, paths: np.ndarray, sketches: np.ndarray, label:
             return [(int(ids[i]), int(ids[t])) for i, t in enumerate(top) if i != t]
 
 
-def trie_edges(members: DataFrame, label: int, least: float, recall: float, trees: int) -> DataFrame:
-    """Edges (a, b) within nodes. members: node, text_id, path, sketch, all texts of a node in one partition, sorted by path: the trie in order."""
+def _bytes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def trie_edges(members: DataFrame, shortest: int, least: float, recall: float, trees: int) -> DataFrame:
+    """Edges (a, b) within nodes. members: node, text_id, label, sketch, all texts of a node in one partition, sorted by label: the trie in order."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in _then_none(batches):
@@ -193,17 +196,15 @@ def trie_edges(members: DataFrame, label: int, least: float, recall: float, tree
             # The last node may go on in the next batch.
             bounds = np.append(starts, len(whole)) if batch is None else starts
             rest = None if batch is None else whole.iloc[starts[-1] :].reset_index(drop=True)
-            ids, sketches = whole["text_id"].to_numpy(), whole["sketch"]
-            sizes = np.diff(bounds)
+            ids, sizes = whole["text_id"].to_numpy(), np.diff(bounds)
             two = bounds[:-1][sizes == 2]
             out = []
             if two.size:
-                a, b = (np.frombuffer(b"".join(sketches.iloc[two + k]), np.uint8).reshape(two.size, -1) for k in (0, 1))
-                near = two[estimates(a, b) >= least]
+                near = two[estimates(_bytes(whole["sketch"].iloc[two]), _bytes(whole["sketch"].iloc[two + 1])) >= least]
                 out.append(pd.DataFrame({"a": ids[near], "b": ids[near + 1]}))
             for low, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
                 part = slice(low, low + size)
-                edges = node_edges(ids[part], np.stack(whole["path"].iloc[part].to_list()), np.frombuffer(b"".join(sketches.iloc[part]), np.uint8).reshape(size, -1), label, least, recall, trees)
+                edges = node_edges(ids[part], _bytes(whole["label"].iloc[part]), _bytes(whole["sketch"].iloc[part]), shortest, least, recall, trees)
                 out.append(pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64))
             if out:
                 yield pd.concat(out).drop_duplicates()
@@ -219,18 +220,17 @@ def _then_none(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]
 def candidate_sets(texts: DataFrame, trees: int = TREES, label: int = LABEL, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(node, component): texts that are candidates of each other, directly or by others."""
     shortest = shortest_prefix(trees, label, threshold, recall)
-    depths = label - shortest + 1
-    places = F.sequence(F.lit(0), F.lit(trees - 1))
-    own = texts.select("text_id", F.explode(F.transform(places, lambda t: F.get("paths", t * depths))).alias("node"))
+    own = texts.select("text_id", F.explode("nodes").alias("node"))
     nodes = materialize(own.groupBy("node").agg(F.min("text_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "tree-nodes")
     met_there = materialize(own.join(nodes, "node"), "tree-members")
     large = met_there.filter(F.col("n") > NODE_TEXTS).select(F.col("text_id").alias("a"), F.col("hub").alias("b"))
-    paths = F.transform(places, lambda t: F.struct(F.get("paths", t * depths).alias("node"), F.slice("paths", t * depths + 1, depths).alias("path")))
     small = met_there.filter(F.col("n") <= NODE_TEXTS).select("node", "text_id")
-    some = texts.join(small.select("text_id").distinct(), "text_id", "left_semi").select("text_id", "sketch", F.explode(paths).alias("p"))
-    members = some.select("p.node", "text_id", "p.path", "sketch").join(nodes.filter(F.col("n") <= NODE_TEXTS).select("node"), "node", "left_semi")
-    ordered = members.repartition("node").sortWithinPartitions("node", "path", "text_id")
-    return components(large.unionByName(trie_edges(ordered, label, threshold - LOOSE, recall, trees)))
+    # Of a text's trees only those whose node holds others; a tree's label is its stretch of the sketch.
+    joined = small.join(texts.select("text_id", "nodes", "sketch"), "text_id")
+    tree = F.array_position("nodes", F.col("node")).cast("int") - 1
+    members = joined.select("node", "text_id", F.substring(F.col("sketch"), tree * label + 1, F.lit(label)).alias("label"), "sketch")
+    ordered = members.repartition("node").sortWithinPartitions("node", "label", "text_id")
+    return components(large.unionByName(trie_edges(ordered, shortest, threshold - LOOSE, recall, trees)))
 
 
 def _links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> pd.DataFrame:
@@ -312,17 +312,14 @@ def verified(docs: DataFrame, texts: DataFrame, sets: DataFrame, threshold: floa
     return materialize(done, "links")
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """rows, hinted to be a join's hash tables if these stay small in every task; else Spark sorts."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.hint("shuffle_hash") if rows.count() <= parts * TABLE_ROWS // 10 else rows
-
-
 def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members with their text, from the rows of docs that hold the text's smallest doc_id."""
+    """members with their text, from the rows of docs that hold the text's smallest doc_id.
+
+    Up to SENT_ROWS members (a count of the written table) go to the texts; more meet them in a shuffle that Spark plans.
+    """
     d = _keyed(docs).select(F.col("text_key").alias("k"), F.col("doc_id").alias("i"), "text")
-    m = _hashed(members.select("text_key", "doc_id", "text_id", "component", "m", "block", "copies"))
+    m = members.select("text_key", "doc_id", "text_id", "component", "m", "block", "copies")
+    m = F.broadcast(m) if m.count() <= SENT_ROWS else m
     return d.join(m, (F.col("k") == F.col("text_key")) & F.col("i").eqNullSafe(F.col("doc_id"))).drop("k", "i")
 
 

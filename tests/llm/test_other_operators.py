@@ -62,9 +62,10 @@ def corpus(n=160, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("block", [near_duplicates.BLOCK_TEXTS, 8])
-def test_classes_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, sent", [(near_duplicates.BLOCK_TEXTS, near_duplicates.SENT_ROWS), (8, 0)])
+def test_classes_equal_brute_force(spark, monkeypatch, block, sent):
     monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(near_duplicates, "SENT_ROWS", sent)
     rows = corpus() + [(900, "ONE  two\tthree"), (901, "one two three"), (902, None), (903, ""), (904, "one")]
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == brute_classes(rows)
@@ -100,11 +101,12 @@ def test_prefixes_are_shortened_where_recall_is_short():
         return out
     sketches = np.stack([base, changed(0.02), changed(0.2), rng.integers(0, 256, 192, dtype=np.uint8)])
     ids = np.array([10, 11, 12, 13])
-    deep = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 4], [1, 5, 6]])
-    assert near_duplicates.node_edges(ids, deep, sketches, 8, 0.65) == [(11, 10), (12, 10)]
+    # All agree in six values; the first two in all eight, the third in seven, the last in none more.
+    labels = np.array([[9] * 6 + [2, 3], [9] * 6 + [2, 3], [9] * 6 + [2, 4], [9] * 6 + [5, 6]], np.uint8)
+    assert near_duplicates.node_edges(ids, labels, sketches, 6, 0.65) == [(11, 10), (12, 10)]
     # Both texts of a close pair have what they need from their whole labels.
-    assert near_duplicates.node_edges(ids[:2], deep[:2], sketches[:2], 8, 0.65) == [(11, 10)]
-    assert near_duplicates.node_edges(ids[[0, 3]], deep[[0, 3]], sketches[[0, 3]], 8, 0.65) == []
+    assert near_duplicates.node_edges(ids[:2], labels[:2], sketches[:2], 6, 0.65) == [(11, 10)]
+    assert near_duplicates.node_edges(ids[[0, 3]], labels[[0, 3]], sketches[[0, 3]], 6, 0.65) == []
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the test data")
