@@ -6,11 +6,13 @@ row of the embedding table found by hash, so a misspelling that was never seen s
 vectors with the word it comes from. Every run of SPAN words is averaged; the softmax of the run
 that looks worst is the text's score, so a few words in a long text count as they would alone.
 
-Training takes a bounded sample of labelled rows (MAX_TRAIN a label, TRAIN_CHARS characters a text) on the
-driver. The model that goes out to tasks is one number a bucket, BUCKETS in all.
+Training takes a bounded sample of labelled rows on the driver: MAX_TRAIN a label, of those with one
+to TRAIN_CHARS characters (longer ones are not learned from, but scored whole as all are). The model
+that goes out to tasks is one number a bucket, BUCKETS in all.
 
 Defined results: null and blank texts get the score of no evidence; without labelled rows of both
-kinds every score is PRIOR; equal texts get equal scores; other columns stay.
+kinds every score is PRIOR; equal texts get equal scores; other columns stay, and where one has the
+name of the new column, that gets underscores in front.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import fresh, table
 
-MIN_N, MAX_N, SPAN, BUCKETS, WIDTH = 3, 6, 4, 1 << 18, 8
-MAX_TRAIN, TRAIN_CHARS, STEPS, EPOCHS, RATE, BATCH, DECAY, MAX_BALANCE = 3000, 20_000, 120, (3, 30), 0.3, 64, 3e-3, 4.0
-#: A bucket learns if this share of the toxic texts' number of texts has it, within these bounds.
-MIN_SHARE, MIN_TEXTS = 0.05, (3, 20)
+MIN_N, MAX_N, SPAN, BUCKETS, WIDTH = 3, 6, 8, 1 << 18, 8
+MAX_TRAIN, TRAIN_CHARS, STEPS, EPOCHS, RATE, BATCH, DECAY, MAX_BALANCE = 3000, 20_000, 400, (3, 80), 0.3, 64, 3e-3, 4.0
+#: A bucket learns if this share of the toxic texts has it, within these bounds, and so many times the share of the others.
+MIN_SHARE, MIN_TEXTS, MIN_LIFT = 0.02, (3, 6), 2.0
 THRESHOLD, PRIOR = 0.7, 0.1
 CACHE_WORDS = 400_000
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_…«»¡¿`~/\\"
@@ -51,8 +53,8 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(marked)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(code.size)
     owners, found = [], []
-    for n in range(MIN_N, MAX_N + 1):
-        h = np.full(max(0, code.size - n + 1), n, np.uint64)
+    for n in range(MIN_N, min(MAX_N, code.size) + 1):
+        h = np.full(code.size - n + 1, n, np.uint64)
         for k in range(n):
             h = (h ^ code[k : code.size - n + 1 + k]) * np.uint64(0x100000001B3) + np.uint64(k)
         whole = left[: h.size] >= n
@@ -117,14 +119,16 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     bucket, n_sub = np.concatenate(portions), np.concatenate(lengths)
     del portions
     first = np.cumsum(n_sub) - n_sub
-    # Buckets that few texts have learn nothing and stay 0, like those that no text has.
-    seen = np.zeros(BUCKETS, np.int32)
-    for words in docs:
+    # Buckets that few toxic texts have, or that toxic texts do not have clearly more often than others, learn nothing and stay 0, like those that no text has.
+    seen = np.zeros((2, BUCKETS), np.int32)
+    for words, label in zip(docs, labels, strict=True):
         if words.size:
             own = np.unique(words)
             n = n_sub[own]
-            seen[np.unique(bucket[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])] += 1
-    live = seen >= np.clip(MIN_SHARE * (labels == 1).sum(), *MIN_TEXTS)
+            seen[label, np.unique(bucket[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])] += 1
+    n_clean, n_toxic = max(1, int((labels == 0).sum())), int((labels == 1).sum())
+    live = (seen[1] >= np.clip(MIN_SHARE * n_toxic, *MIN_TEXTS)) & (seen[1] / n_toxic >= MIN_LIFT * (seen[0] + 1) / n_clean)
+    del seen
     table_ = np.where(live[:, None], rng.normal(0, 0.02, (BUCKETS, WIDTH)), 0).astype(np.float32)
     weight = np.asarray([1.0, min(MAX_BALANCE, (labels == 0).sum() / max(1, (labels == 1).sum()))])
     soft = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
@@ -203,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def with_scores(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """df with the probability that the text is toxic. The model is broadcast: BUCKETS numbers."""
+    (name,) = fresh(df, score)
     shipped = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
     @F.pandas_udf(T.DoubleType())
@@ -227,7 +232,7 @@ def with_scores(df: DataFrame, model: Model, text: str = "text", score: str = "s
                     out[i] = worst(sums[at], counts[at]) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
-    return df.withColumn(score, run(F.col(text)))
+    return df.withColumn(name, run(F.col(text)))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
