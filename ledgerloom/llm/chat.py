@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import fresh, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 ESCAPE = "␛"
@@ -94,18 +94,22 @@ def fingerprint(df: DataFrame, columns: set[str] | None = None) -> Column:
 
 
 def canonical_turns(records: DataFrame, columns: set[str] | None = None, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with `layout` and `turns`, array of (role, text). columns: those that make up a record, else all."""
+    """records with `layout` and `turns`, array of (role, text). columns: those that make up a record, else all.
+
+    Where records have columns of these names, the new ones get underscores in front.
+    """
+    name_layout, name_turns, layout_print = fresh(records, "layout", "turns", "layout_print")
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     have = {path for path, _ in field_paths(records.schema, columns)}
-    marked = records.withColumn("layout_print", fingerprint(records, columns))
+    marked = records.withColumn(layout_print, fingerprint(records, columns))
     for one in reversed(layouts):
         shapes = [s for s in one.shapes() if set(s) <= have]
         if shapes:
-            chosen = F.col("layout_print").isin([F.xxhash64(F.lit(" ".join(s))) for s in shapes])
+            chosen = F.col(layout_print).isin([F.xxhash64(F.lit(" ".join(s))) for s in shapes])
             missing = [p for _, p in one.parts if p not in have]
             kept = one if not missing else Layout(one.name, parts=tuple(x for x in one.parts if x[1] in have))
             layout, turns = F.when(chosen, F.lit(one.name)).otherwise(layout), F.when(chosen, kept.turns()).otherwise(turns)
-    return marked.withColumns({"layout": layout, "turns": F.coalesce(turns, F.array().cast(f"array<{TURN}>"))}).drop("layout_print")
+    return marked.withColumns({name_layout: layout, name_turns: F.coalesce(turns, F.array().cast(f"array<{TURN}>"))}).drop(layout_print)
 
 
 def escape(text: Column) -> Column:
@@ -116,10 +120,10 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])({ESCAPE}*){ESCAPE}{CONTROL}", "$1$2$3")
 
 
-def format_turns(df: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """df with `segments`, array of (text, loss), and `formatted`, their concatenation.
+def format_turns(df: DataFrame, trained: tuple[str, ...] = ("assistant",), turns: str = "turns") -> DataFrame:
+    """df with `segments`, array of (text, loss), and `formatted`, their concatenation. turns: the column with the turns.
 
-    Segments are the loss mask in runs: loss is true for the texts of the trained roles and for
+    Where df has columns of these names, the new ones get underscores in front. Segments are the loss mask in runs: loss is true for the texts of the trained roles and for
     nothing else. Roles are URL-encoded, so that none can hold a line break or a control string.
     """
     def segments(t: Column) -> Column:
@@ -129,8 +133,9 @@ def format_turns(df: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Da
             F.struct(escape(t["text"]).alias("text"), t["role"].isin(*trained).alias("loss")),
             F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
         )
-    out = df.withColumn("segments", F.flatten(F.transform("turns", segments)))
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    name_segments, name_formatted = fresh(df, "segments", "formatted")
+    out = df.withColumn(name_segments, F.flatten(F.transform(turns, segments)))
+    return out.withColumn(name_formatted, F.array_join(F.transform(name_segments, lambda s: s["text"]), ""))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -35,23 +35,51 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder of this machine (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, local sessions take a folder of this machine; clusters raise ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written to shared storage and read again: its lineage ends there and lost executors cost no recomputation."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of shared storage."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes materialized tables that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            remove(t.sparkSession, path)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. To be called when its results have been written."""
+    remove(spark, session_dir(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

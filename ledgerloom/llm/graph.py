@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import materialize, release
 
 
 SALTS = 16
@@ -41,11 +41,15 @@ def components(edges: DataFrame) -> DataFrame:
         for _ in range(2):
             # Only nodes that are pointed to need be looked up.
             asked = points.select(F.col("to").alias("node")).distinct()
-            points = materialize(follow(points, "to", points.join(asked, "node", "left_semi"), "node"), "component-points")
+            before, points = points, materialize(follow(points, "to", points.join(asked, "node", "left_semi"), "node"), "component-points")
+            release(before)
+        old = known
         known = points if known is None else materialize(follow(known, "to", points, "node"), "component-known")
         moved = follow(follow(open_edges, "a", points, "b"), "b", points, "a")
         moved = moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        open_edges = materialize(moved.filter("a <> b").distinct(), "component-edges")
+        before, open_edges = open_edges, materialize(moved.filter("a <> b").distinct(), "component-edges")
+        release(before, old, None if known is points else points)
+    release(open_edges)
     if known is None:
         return spark.createDataFrame([], "node long, component long")
     return known.select("node", F.col("to").alias("component"))

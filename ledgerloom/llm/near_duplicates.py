@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import fresh, materialize, table
+from ledgerloom.llm.common import fresh, materialize, release, table
 from ledgerloom.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -230,7 +230,9 @@ def candidate_sets(texts: DataFrame, trees: int = TREES, label: int = LABEL, thr
     tree = F.array_position("nodes", F.col("node")).cast("int") - 1
     members = joined.select("node", "text_id", F.substring(F.col("sketch"), tree * label + 1, F.lit(label)).alias("label"), "sketch")
     ordered = members.repartition("node").sortWithinPartitions("node", "label", "text_id")
-    return components(large.unionByName(trie_edges(ordered, shortest, threshold - LOOSE, recall, trees)))
+    found = components(large.unionByName(trie_edges(ordered, shortest, threshold - LOOSE, recall, trees)))
+    release(nodes, met_there)
+    return found
 
 
 def _links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> pd.DataFrame:

@@ -3,7 +3,7 @@
 A capture is a response or revisit record with the request and metadata records that name it in
 WARC-Concurrent-To. Archives are gzip files of records in the WARC 1.1 format; the sink is Spark's
 text writer, whose line separator is the two line ends that close a record. The source reads whole
-files (binaryFile), so the writer bounds how many captures a file holds.
+files (binaryFile), so the writer bounds how many captures and bytes a file holds.
 
 Of captures with equal payloads of at least MIN_REVISIT bytes, that with the largest page_id
 carries it; the others are revisits that refer to it. They learn length and digest from that
@@ -29,8 +29,8 @@ from ledgerloom.llm.common import materialize, new_folder, table
 
 CLOSE = "\r\n\r\n"
 MIN_REVISIT = 1000
-#: Captures in one file; a file is read as a whole.
-FILE_CAPTURES = 500
+#: Captures in one file at most, and bytes of their records, but for a capture that is larger alone; a file is read as a whole.
+FILE_CAPTURES, FILE_BYTES = 500, 1 << 27
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, record_type string, target_uri string, concurrent_to string, refers_to string, payload_digest string, content_type string, fields string, payload binary, payload_bytes long, block_digest string"
@@ -80,9 +80,24 @@ def records(revisited: DataFrame) -> DataFrame:
     return revisited.select(F.concat_ws(CLOSE, F.when(is_revisit, revisit).otherwise(response), request, metadata).alias("record"))
 
 
-def write_archives(written: DataFrame, path: str, file_captures: int = FILE_CAPTURES) -> None:
-    """The sink: gzip files of records under path."""
-    written.write.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", file_captures).text(path)
+def write_archives(written: DataFrame, path: str, largest: int | None = None, file_captures: int = FILE_CAPTURES, file_bytes: int = FILE_BYTES) -> None:
+    """The sink: gzip files of records under path. largest: the bytes of the largest payload, where known.
+
+    Where file_captures of the largest could pass file_bytes, captures go to files of their own size
+    class: each class is at most eight times as large as the one before, and its files hold as many as fit.
+    """
+    def write(rows: DataFrame, captures: int) -> None:
+        rows.write.mode("append").option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", captures).text(path)
+
+    if largest is not None and (largest + 4096) * file_captures <= file_bytes:
+        return write(written, file_captures)
+    size, low, high = F.octet_length("record"), -1, file_bytes // file_captures
+    while True:
+        last = high >= file_bytes or largest is not None and high >= largest + 4096
+        write(written.filter(size > low) if last else written.filter((size > low) & (size <= high)), max(1, file_bytes // high))
+        if last:
+            return None
+        low, high = high, min(high * 8, file_bytes)
 
 
 def _hex_digest(value: str | None) -> str | None:
@@ -188,7 +203,9 @@ def page_id_of(metadata: Column) -> Column:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
-    write_archives(records(with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))), path)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    write_archives(records(with_revisits(pages)), path, largest)
     captures = assemble(materialize(read_archives(spark, path).drop("payload"), "warc-records"))
     own = materialize(captures.select("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", page_id_of(F.col("metadata")).alias("page_id")), "warc-captures")
     carrier = own.filter("record_type = 'response'").join(own.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")

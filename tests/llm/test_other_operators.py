@@ -141,6 +141,16 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_released_tables_are_gone(spark):
+    from ledgerloom.llm import common
+
+    made = common.materialize(spark.range(3), "gone")
+    path = made.written_to.removeprefix("file://").removeprefix("file:")
+    assert Path(path).exists()
+    common.release(made, None, spark.range(1))
+    assert not Path(path).exists()
+
+
 # Toxicity -------------------------------------------------------------------------------------
 
 
@@ -265,6 +275,17 @@ def test_warc_assembly_keeps_payload_and_sides(spark, tmp_path):
     assert all(bytes(r["payload"]) == b"y" * 1200 and len(r["requests"]) == 1 and len(r["metadata"]) == 1 for r in got)
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", "x" * n) for i, n in enumerate([10] * 20 + [3000] * 6 + [50_000] * 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.records(warc.with_revisits(pages, 10**9)), str(tmp_path / "w"), 50_000, file_captures=10, file_bytes=20_000)
+    held = spark.read.format("binaryFile").load(str(tmp_path / "w")).select("content").collect()
+    sizes = [len(warc._unzipped(bytes(r["content"]))) for r in held]
+    assert max(n for n in sizes if n < 50_000) <= 20_000 + 4096 and sum(n > 50_000 for n in sizes) == 3
+    got = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).collect()
+    assert sorted(r["payload_bytes"] for r in got) == sorted(len(h) for _, _, h in rows)
+
+
 def test_warc_of_nothing(spark, tmp_path):
     assert warc.op4_warc(spark, pages_of(spark, tmp_path, [])).count() == 0
 
@@ -522,3 +543,78 @@ def test_pipeline_stages(spark):
     assert pieces.filter("length > 2048 OR length < 1").count() == 0
     per_doc = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t"))
     assert per_doc.filter("n % t <> 0").count() == 0
+
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, kept string, score double, mix_copies int, near_order int"
+
+
+def stage_docs(spark):
+    """Good prose, copies and near copies of it, toxic prose, and rows that are odd in one way each; columns with the names the stages use."""
+    rng = np.random.default_rng(11)
+    prose = lambda seed: " ".join(f"word{x}" + ("." if k % 9 == 8 else "") for k, x in enumerate(np.random.default_rng(seed).integers(0, 900, 60)))
+    rows = [(i, prose(i) + (" vile filth" if i % 5 == 0 else ""), "en", f"s{i % 3}", 1) for i in range(120)]
+    rows += [(200, prose(1), "en", "s1", 1), (201, prose(1).replace("word", "Word", 1) + " more", "en", "s2", 1), (202, None, "en", "s0", None), (203, "", None, None, 0), (204, " \n ", "en", "s9", 3), (205, prose(7), None, None, None), (205, prose(7), None, None, None),
+             (None, prose(301), "en", "s0", 5), (206, " ".join(prose(k) for k in range(400, 480)), "en", "s0", 9)]
+    order = rng.permutation(len(rows)).tolist()
+    docs = spark.createDataFrame([(*rows[i], "mine", 0.5, 7, 9) for i in order], DOC)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = stage_docs(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stages, folder = dict(corpus_pipeline.STAGES), f"file://{tmp_path}"
+    run = lambda name, d: stages[name](spark, d, folder)
+    ids = lambda d: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in d.select("doc_id").collect())
+
+    good = run("quality", docs)
+    assert good.columns == docs.columns and not {202, 203, 204} & set(ids(good)) and ids(good).count(205) in (0, 2)
+
+    mild = run("toxicity", docs)
+    assert mild.columns == docs.columns
+    vile = {i for i in range(0, 120, 5)}
+    assert len(vile & set(ids(mild))) <= 3 and {202, 203, 204, -1, 206} <= set(ids(mild)) and len(set(range(120)) - vile - set(ids(mild))) <= 2 and ids(mild).count(205) == 2
+    nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.clean(docs, nothing).count() == docs.count()
+
+    single = run("near_duplicates", docs)
+    brute = {d: c for d, c, _ in brute_classes([(r["doc_id"], r["text"]) for r in docs.filter("doc_id IS NOT NULL").collect()])}
+    wordless = {202, 203, 204}
+    assert single.columns == docs.columns and ids(single) == sorted([-1] + [d for d, c in brute.items() if c == d or d in wordless])
+
+    mixed = run("mixing", docs)
+    assert mixed.columns == docs.columns and 204 not in ids(mixed) and ids(mixed).count(205) % 2 == 0 and ids(mixed) == ids(run("mixing", docs))
+
+    pieces = run("packing", docs)
+    w = packing.WordIds(packing.vocabulary_path())
+    expected = {}
+    for r in docs.collect():
+        expected[r["doc_id"]] = expected.get(r["doc_id"], 0) + len(w.ids(r["text"] or ""))
+    got = {r["doc_id"]: r["n"] for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == expected
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_pipeline_equals_its_stages(spark, tmp_path):
+    """run() is the stages one after the other, and each decision takes effect."""
+    import corpus_pipeline
+
+    docs, labels = stage_docs(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    folder = f"file://{tmp_path}"
+    step = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, step, folder).write.parquet(str(tmp_path / f"step{k}"))
+        step = spark.read.parquet(str(tmp_path / f"step{k}"))
+    want = corpus_pipeline.STAGES[-1][1](spark, step, folder)
+    per_doc = lambda d: sorted((r["doc_id"] or -1, r["n"], r["c"]) for r in d.groupBy("doc_id").agg(F.sum("length").alias("n"), F.count_if(F.col("start") == 0).alias("c")).collect())
+    got = per_doc(corpus_pipeline.run(spark, folder))
+    assert got == per_doc(want) and got
+    copies = {r["doc_id"] or -1: r["count"] for r in step.groupBy("doc_id").count().collect()}
+    assert {d: c for d, _, c in got} == copies
