@@ -153,37 +153,39 @@ def loss_text(segments: Column) -> Column:
 
 
 def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows as one record per conversation, in the layout its roles allow.
+    """(conv_id, turn, role, text) rows as one record per conversation, in the layout that what they hold is usually kept in.
 
-    A user and an assistant row, or these behind a system row, become a prompt record; of the
-    others, those with none but the three usual roles go to the sharing layout for odd ids, and
-    all the rest are message lists.
+    One exchange is a prompt record if the user asks a question, with its system text where there is
+    one; else it is an instruction record with a system text and a task record without. Longer
+    conversations in which user and assistant take turns go to the sharing layout, all others are message lists.
     """
     ordered = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
     g = rows.groupBy("conv_id").agg(ordered.alias("rows"))
+    of = lambda role: F.get(F.filter("rows", lambda r: r["role"] == role), F.lit(0))["text"]
     roles = F.array_join(F.transform("rows", lambda r: F.url_encode(r["role"])), " ")
-    g = g.withColumn("kind", F.when(roles.isin("user assistant", "system user assistant"), "prompt")
-                     .when((F.col("conv_id") % 2 != 0) & ~F.exists("rows", lambda r: ~r["role"].isin("user", "assistant", "system")), "sharing").otherwise("messages"))
-    part = lambda role: F.when(F.col("kind") == "prompt", F.filter("rows", lambda r: r["role"] == role)[0]["text"])
+    by_turns = F.forall(F.transform("rows", lambda r, i: r["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
+    once, asked = roles.isin("user assistant", "system user assistant"), of("user").rlike(r"\?\s*$")
+    kind = F.when(once & asked, "prompt").when(roles == "system user assistant", "instruction").when(once, "task").when(by_turns, "sharing").otherwise("messages")
+    g = g.withColumn("kind", kind)
+    when = lambda value, *kinds: F.when(F.col("kind").isin(*kinds), value)
     theirs = lambda r: F.when(r["role"] == "user", "human").when(r["role"] == "assistant", "gpt").otherwise(r["role"])
     return g.select(
         "conv_id",
-        F.when(F.col("kind") == "prompt", F.get(F.filter("rows", lambda r: r["role"] == "system"), F.lit(0))["text"]).alias("system"),
-        part("user").alias("prompt"),
-        part("assistant").alias("response"),
-        F.when(F.col("kind") == "sharing", F.transform("rows", lambda r: F.struct(theirs(r).alias("from"), r["text"].alias("value")))).alias("conversations"),
-        F.when(F.col("kind") == "messages", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("content")))).alias("messages"),
+        when(of("system"), "prompt").alias("system"), when(of("user"), "prompt").alias("prompt"), when(of("assistant"), "prompt").alias("response"),
+        F.coalesce(when(of("system"), "instruction"), when(of("user"), "task")).alias("instruction"), when(of("user"), "instruction").alias("input"), when(of("assistant"), "instruction", "task").alias("output"),
+        when(F.transform("rows", lambda r: F.struct(theirs(r).alias("from"), r["text"].alias("value"))), "sharing").alias("conversations"),
+        when(F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("content"))), "messages").alias("messages"),
     )
 
 
-RECORD = {"system", "prompt", "response", "conversations", "messages"}
+RECORD = {"system", "prompt", "response", "instruction", "input", "output", "conversations", "messages"}
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     done = format_turns(canonical_turns(records_of(rows.unionByName(extra)), RECORD))
-    back = done.select("conv_id", "formatted", loss_text(F.col("segments")).alias("loss"), read_turns(F.col("formatted")).alias("back"))
+    back = done.select("conv_id", "layout", "formatted", loss_text(F.col("segments")).alias("loss"), read_turns(F.col("formatted")).alias("back"))
     joined = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -192,19 +194,25 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "layout",
     )
 
 
-OP6_SQL = """
+OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), gathered AS (
+  SELECT conv_id, string_agg(url_encode(role), ' ' ORDER BY turn NULLS FIRST, role, text) AS roles, arg_min(text, struct_pack(a := turn IS NOT NULL, b := turn, c := text)) FILTER (WHERE role = 'user') AS first_user FROM t GROUP BY conv_id
+), chosen AS (
+  SELECT conv_id, CASE WHEN roles IN ('user assistant', 'system user assistant') AND regexp_matches(first_user, '\?\s*$') THEN 'prompt' WHEN roles = 'system user assistant' THEN 'instruction' WHEN roles = 'user assistant' THEN 'task'
+         WHEN regexp_full_match(roles, '(user assistant )*user( assistant)?') THEN 'sharing' ELSE 'messages' END AS layout FROM gathered
 )
-SELECT conv_id, count(*)::BIGINT AS n_turns,
+SELECT t.conv_id, any_value(layout) AS layout, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(12 + length(url_encode(role)) + 1 + length(text) + 11
-           + len(regexp_extract_all(text, '[<\\[]␛*(?:\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|/?s>|/?INST\\]|</?SYS>>)')))::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id
+           + len(regexp_extract_all(text, '[<\[]␛*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|</?SYS>>)')))::BIGINT AS formatted_chars
+FROM t JOIN chosen ON t.conv_id IS NOT DISTINCT FROM chosen.conv_id GROUP BY t.conv_id
 """

@@ -140,7 +140,8 @@ def test_escaping_round_trip(spark, text):
 
 def test_conversations_read_back(spark):
     rows = [(1, 0, "user", t) for t in NASTY] + [(2, 0, "system", "s"), (2, 1, "user", None), (2, 2, "assistant", NASTY[1]), (3, 1, "tool x\n", "t"), (3, None, None, "u"), (4, 0, "user", "q"), (4, 1, "assistant", "a" * 100_000),
-                                                           (None, 0, "assistant", "n"), (5, 0, "assistant", "one"), (5, 1, "assistant", "two"), (5, 1, "assistant", "two")]
+                                                           (None, 0, "assistant", "n"), (5, 0, "assistant", "one"), (5, 1, "assistant", "two"), (5, 1, "assistant", "two"),
+                                                           (6, 0, "user", "why? "), (6, 1, "assistant", "so"), (7, 0, "user", "a"), (7, 1, "assistant", "b"), (7, 2, "user", "c")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     done = chat.format_turns(chat.canonical_turns(chat.records_of(df), chat.RECORD))
     got = {r["conv_id"]: ([tuple(t) for t in r["back"]], r["loss"]) for r in done.select("conv_id", chat.read_turns(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
@@ -150,7 +151,9 @@ def test_conversations_read_back(spark):
         wanted.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
     assert {k: v[0] for k, v in got.items()} == wanted
     assert all(v[1] == "".join(t for role, t in wanted[k] if role == "assistant") for k, v in got.items())
-    assert {r["layout"] for r in done.collect()} == {"messages", "sharing", "prompt"}
+    assert {r["conv_id"]: r["layout"] for r in done.collect()} == {1: "messages", 2: "instruction", 3: "messages", 4: "task", 5: "messages", 6: "prompt", 7: "sharing", None: "messages"}
+    clash = chat.format_turns(chat.canonical_turns(chat.records_of(df).withColumn("Turns", F.lit(1)).withColumn("formatted", F.lit(2)), chat.RECORD), turns="_turns")
+    assert clash.columns[-5:] == ["formatted", "layout", "_turns", "segments", "_formatted"] and clash.filter("Turns = 1 AND formatted = 2 AND length(_formatted) > 0").count() == 8
 
 
 def test_fingerprints_choose_layouts(spark):
