@@ -314,14 +314,15 @@ def verified(docs: DataFrame, texts: DataFrame, sets: DataFrame, threshold: floa
     return materialize(done, "links")
 
 
-def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members with their text, from the rows of docs that hold the text's smallest doc_id.
+def _sent(rows: DataFrame) -> DataFrame:
+    """Narrow rows of a written table, to be joined with texts: up to SENT_ROWS go to the texts, more meet them in a shuffle that Spark plans."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
 
-    Up to SENT_ROWS members (a count of the written table) go to the texts; more meet them in a shuffle that Spark plans.
-    """
+
+def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members with their text, from the rows of docs that hold the text's smallest doc_id."""
     d = _keyed(docs).select(F.col("text_key").alias("k"), F.col("doc_id").alias("i"), "text")
-    m = members.select("text_key", "doc_id", "text_id", "component", "m", "block", "copies")
-    m = F.broadcast(m) if m.count() <= SENT_ROWS else m
+    m = _sent(members.select("text_key", "doc_id", "text_id", "component", "m", "block", "copies"))
     return d.join(m, (F.col("k") == F.col("text_key")) & F.col("i").eqNullSafe(F.col("doc_id"))).drop("k", "i")
 
 
@@ -356,8 +357,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     order, rows = fresh(docs, "near_order", "near_rows")
     found = near_duplicates(docs.select("doc_id", "text"), **options).filter(F.col("doc_id") == F.col("class_id"))
     keep = materialize(found.groupBy("doc_id").agg(F.count("*").alias(rows)), "near-keep")
-    single = docs.join(keep.filter(F.col(rows) == 1).select("doc_id"), "doc_id", "left_semi")
+    single = docs.join(_sent(keep.filter(F.col(rows) == 1).select("doc_id")), "doc_id", "left_semi")
     # Ids that come more than once, of which there should be none.
-    twice = docs.join(keep.filter(F.col(rows) > 1).select("doc_id"), "doc_id", "left_semi")
+    twice = docs.join(_sent(keep.filter(F.col(rows) > 1).select("doc_id")), "doc_id", "left_semi")
     picked = twice.withColumn(order, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(order) == 1)
     return single.select(*docs.columns).unionByName(picked.select(*docs.columns)).unionByName(docs.filter("doc_id IS NULL"))

@@ -35,8 +35,8 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 #: Tokens that a task gathers before it packs them, runs whose ids a worker remembers, text bytes encoded at once, tokens of a step group.
 POOL_TOKENS = 1 << 20
-CACHE_RUNS = 700_000
-SLICE_BYTES = 1 << 24
+CACHE_RUNS = 250_000
+SLICE_BYTES = 1 << 22
 STEP_TOKENS = 1 << 17
 SENTINEL = "\U0001f60d"
 #: A word of Latin letters (composed, with a lower case of their own) and the ASCII marks behind them.
@@ -62,7 +62,10 @@ def spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.nda
     n = lengths[at]
     ends = np.cumsum(n)
     total = int(ends[-1]) if n.size else 0
-    return flat[np.repeat(starts[at] - ends + n, n) + np.arange(total)], n
+    kind = np.int32 if max(total, flat.size) < 1 << 31 else np.int64
+    where = np.repeat((starts[at] - ends + n).astype(kind), n)
+    where += np.arange(total, dtype=kind)
+    return flat[where], n
 
 
 class WordIds:
@@ -257,6 +260,7 @@ def pack(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIER
             for doc in [d for d in held if d not in kept]:
                 del held[doc]
             pooled = sum(x[0] for x in waiting)
+            pa.default_memory_pool().release_unused()
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             types = [pa.binary() if n == "ids" else pa.int32() if n == "tier" else pa.int64() for n in names]
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
