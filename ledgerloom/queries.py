@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import adapters as a
+from ledgerloom import file_queries
 from ledgerloom.functions import dates, describe, extract, money, redact, text, validate
 from ledgerloom.operators import attempts as at
 from ledgerloom.operators import diagnostics as dg
@@ -557,6 +558,9 @@ add("run_list", over(rn.run_list, "process_runs"), "SELECT id, original_filename
 add("log_list", over(rn.log_list, "logs"), "SELECT id, process_run_id, stage, status, is_error, created_at FROM logs")
 
 
+file_queries.register(add, _stored_keys, KEYS_SQL)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipt texts to deposits, counted and summed per day."""
     return QUERIES["extracted_per_day"](spark, sf_dir)
