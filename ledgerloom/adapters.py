@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 STATUS = "CASE c_mktsegment WHEN 'BUILDING' THEN 'completed' WHEN 'AUTOMOBILE' THEN 'completed_with_errors' WHEN 'MACHINERY' THEN 'failed' WHEN 'HOUSEHOLD' THEN 'processing' ELSE 'uploaded' END"
 #: 2024-01-01 in seconds; a run starts every ten minutes.
 EPOCH = 1704067200
+#: Spanish month names of the receipts.
+MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 AS_OF_ORDERS, AS_OF_EVENTS = "2001-08-02", "2024-01-31"
 
 
@@ -106,10 +108,10 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = spread(_t(spark, sf_dir, "orders")).selectExpr("o_orderkey AS id", "o_orderkey % 6 AS variant", "concat('M', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS ref", "10000 + (o_orderkey % 100000) * 7 AS n",
                                                "date_format(o_orderdate, 'dd/MM/yyyy') AS day", "concat(lpad(CAST(o_orderkey % 24 AS STRING), 2, '0'), ':', lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')) AS clock")
-    k = k.withColumn("money", F.expr("concat(n div 1000, '.', lpad(CAST(n % 1000 AS STRING), 3, '0'))"))
+    k = k.withColumns({"money": F.expr("concat(n div 1000, '.', lpad(CAST(n % 1000 AS STRING), 3, '0'))"), "month": F.element_at(F.array(*[F.lit(m) for m in MONTHS]), (F.col("id") % 12 + 1).cast("int"))})
     text = F.expr(
-        "CASE variant WHEN 0 THEN concat('Pago exitoso Nequi\\n¿Cuánto? $', money, ',00\\nFecha 01 de abril de 2026 a las 11:49 a. m.\\nReferencia ', ref, '\\nNúmero Nequi 317036520') "
-        "WHEN 1 THEN concat('Comprobante de pago banco\\nValor $ ', money, '\\nFecha ', day, ' ', clock, '\\nReferencia: ', ref) "
+        "CASE variant WHEN 0 THEN concat('Pago exitoso Nequi\\n¿Cuánto? $', money, ',00\\nFecha ', lpad(CAST(id % 28 + 1 AS STRING), 2, '0'), ' de ', month, ' de ', 2020 + id % 7, ' a las ', ltrim('0', clock), ' a. m.\\nReferencia ', ref, '\\nNúmero Nequi 317036520') "
+        "WHEN 1 THEN concat('Comprobante de pago banco\\n', CASE WHEN id % 8 < 4 THEN 'Valor' ELSE 'Monto' END, ' $ ', money, CASE WHEN id % 4 = 1 THEN ',50' ELSE '' END, '\\nFecha ', day, ' ', clock, '\\nReferencia: ', ref) "
         "WHEN 2 THEN concat('Referencia ', ref, ' Valor 2026 Fecha 01 ABRIL 2026') WHEN 3 THEN concat('Referencia ', ref, ' Valor 1149 Fecha 01 ABRIL 2026') "
         "WHEN 4 THEN concat('Referencia ', ref, ' Valor 3176771287 Numero Nequi 3176771287') ELSE concat('Fecha de proceso: ', day, '  Importe Total: ', money, ',00 Referencia ', ref) END")
     return k.select("id", "variant", "ref", "n", "day", "clock", text.alias("text"))
@@ -177,10 +179,18 @@ process_runs AS (
   SELECT o_orderkey AS id, o_orderkey % 6 AS variant, 'M' || lpad(o_orderkey::VARCHAR, 8, '0') AS ref, 10000 + (o_orderkey % 100000) * 7 AS n, strftime(o_orderdate, '%d/%m/%Y') AS day,
          lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS clock,
          (n // 1000) || '.' || lpad((n % 1000)::VARCHAR, 3, '0') AS money,
-         CASE variant WHEN 0 THEN 'Pago exitoso Nequi' || chr(10) || '¿Cuánto? $' || money || ',00' || chr(10) || 'Fecha 01 de abril de 2026 a las 11:49 a. m.' || chr(10) || 'Referencia ' || ref || chr(10) || 'Número Nequi 317036520'
-           WHEN 1 THEN 'Comprobante de pago banco' || chr(10) || 'Valor $ ' || money || chr(10) || 'Fecha ' || day || ' ' || clock || chr(10) || 'Referencia: ' || ref
+         CASE variant WHEN 0 THEN 'Pago exitoso Nequi' || chr(10) || '¿Cuánto? $' || money || ',00' || chr(10) || 'Fecha ' || lpad((id % 28 + 1)::VARCHAR, 2, '0') || ' de ' || ({list(MONTHS)})[(id % 12 + 1)::INT] || ' de ' || (2020 + id % 7) || ' a las ' || ltrim(clock, '0') || ' a. m.' || chr(10) || 'Referencia ' || ref || chr(10) || 'Número Nequi 317036520'
+           WHEN 1 THEN 'Comprobante de pago banco' || chr(10) || CASE WHEN id % 8 < 4 THEN 'Valor' ELSE 'Monto' END || ' $ ' || money || CASE WHEN id % 4 = 1 THEN ',50' ELSE '' END || chr(10) || 'Fecha ' || day || ' ' || clock || chr(10) || 'Referencia: ' || ref
            WHEN 2 THEN 'Referencia ' || ref || ' Valor 2026 Fecha 01 ABRIL 2026' WHEN 3 THEN 'Referencia ' || ref || ' Valor 1149 Fecha 01 ABRIL 2026'
            WHEN 4 THEN 'Referencia ' || ref || ' Valor 3176771287 Numero Nequi 3176771287' ELSE 'Fecha de proceso: ' || day || '  Importe Total: ' || money || ',00 Referencia ' || ref END AS text FROM orders
+), parsed AS (
+  SELECT id, variant, CASE WHEN taken THEN value END AS value, 4 + CASE WHEN contains(text, '$') THEN 2 ELSE 0 END AS score, CASE WHEN taken THEN ref_found END AS referencia, CASE WHEN NOT taken THEN 'missing_transaction_amount' END AS reason,
+         CASE WHEN taken THEN lpad(nullif(regexp_extract(text, '[0-9]{{1,2}}:[0-9]{{2}}'), ''), 5, '0') END AS hora,
+         CASE WHEN taken THEN CASE WHEN named[2] <> '' THEN lpad(named[1], 2, '0') || '/' || lpad(list_position({list(MONTHS)}, lower(named[2]))::VARCHAR, 2, '0') || '/' || named[3] ELSE regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') END END AS fecha
+  FROM (SELECT *, NOT (floor(value) BETWEEN 1900 AND 2100 OR length(digits) IN (3, 4) AND digits[1:-3]::INT <= 23 AND digits[-2:]::INT <= 59 OR length(digits) IN (9, 10) AND digits[1] = '3') AS taken FROM (
+    SELECT *, regexp_replace(amount, '[^0-9]', '', 'g') AS digits, [regexp_extract(text, names, 1), regexp_extract(text, names, 2), regexp_extract(text, names, 3)] AS named, regexp_extract(text, 'Referencia:? (M[0-9]+)', 1) AS ref_found,
+           CASE WHEN contains(amount, ',') AND contains(amount, '.') THEN replace(replace(amount, '.', ''), ',', '.') WHEN contains(amount, '.') THEN replace(amount, '.', '') ELSE amount END::DOUBLE AS value
+    FROM (SELECT *, '(?i)([0-9]{{1,2}}) (?:de )?({'|'.join(MONTHS)}) (?:de )?([0-9]{{4}})' AS names, regexp_extract(text, '(?:Cuánto\\?|Valor|Monto|Importe Total:) *\\$? *([0-9][0-9.,]*)', 1) AS amount FROM receipts)))
 ), candidates AS (
   SELECT source_image_id, content_hash, idx, CASE p % 3 WHEN 0 THEN NULL WHEN 1 THEN strftime(day, '%d/%m/%Y') ELSE day::VARCHAR END AS fecha_consignacion,
          CASE WHEN s % 2 = 0 THEN '' ELSE (7 + s % 3) || ':' || lpad((source_image_id % 60)::VARCHAR, 2, '0') END AS hora_consignacion,

@@ -362,12 +362,14 @@ add("classify_error", lambda s, d: a.source_images(s, d).select("id", at.classif
 # Text to records ------------------------------------------------------------------------------
 
 add("extract_record", lambda s, d: extract.with_record(a.receipts(s, d)).select("id", "record.fecha_consignacion", "record.hora_consignacion", "record.referencia", F.col("record.valor").alias("valor"), "reason"),
-    """SELECT id, CASE variant WHEN 0 THEN '01/04/2026' WHEN 1 THEN day WHEN 5 THEN day END AS fecha_consignacion, CASE variant WHEN 0 THEN '11:49' WHEN 1 THEN clock END AS hora_consignacion,
-    CASE WHEN variant IN (0, 1, 5) THEN ref END AS referencia, CASE WHEN variant IN (0, 1, 5) THEN n::DOUBLE END AS valor, CASE WHEN variant IN (2, 3, 4) THEN 'missing_transaction_amount' END AS reason FROM receipts""")
+    "SELECT id, fecha AS fecha_consignacion, hora AS hora_consignacion, referencia, value AS valor, reason FROM parsed")
+add("detect_date", lambda s, d: a.receipts(s, d).filter("variant IN (0, 1, 5)").select("id", dates.detect_date(F.col("text")).alias("day"), dates.detect_time(F.col("text")).alias("clock"), extract.find_reference(F.col("text")).alias("referencia")),
+    "SELECT id, fecha AS day, hora AS clock, referencia FROM parsed WHERE variant IN (0, 1, 5)")
+add("generic_reference", lambda s, d: a.receipts(s, d).select("id", extract.generic_reference(F.expr("CASE id % 3 WHEN 0 THEN ' Banco ' WHEN 1 THEN 'NEQUI' ELSE ref END")).alias("generic")), "SELECT id, id % 3 < 2 AS generic FROM receipts")
 add("extracted_per_day", lambda s, d: extract.with_record(a.receipts(s, d)).filter("record IS NOT NULL").groupBy(dates.parse_date_any(F.col("record.fecha_consignacion")).alias("day")).agg(F.count("*").alias("n"), F.sum("record.valor").alias("total")),
-    "SELECT CASE variant WHEN 0 THEN DATE '2026-04-01' ELSE strptime(day, '%d/%m/%Y')::DATE END AS day, count(*) AS n, sum(n::DOUBLE) AS total FROM receipts WHERE variant IN (0, 1, 5) GROUP BY 1")
+    "SELECT strptime(fecha, '%d/%m/%Y')::DATE AS day, count(*) AS n, sum(value) AS total FROM parsed WHERE reason IS NULL GROUP BY 1")
 add("amount_candidates", lambda s, d: extract.with_record(a.receipts(s, d)).select("id", F.explode("candidates").alias("c")).filter("c.reason IS NULL").select("id", "c.value", "c.score"),
-    "SELECT id, n::DOUBLE AS value, CASE variant WHEN 5 THEN 4 ELSE 6 END AS score FROM receipts WHERE variant IN (0, 1, 5)")
+    "SELECT id, value, score FROM parsed WHERE reason IS NULL")
 add("clean_text", lambda s, d: a._t(s, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("c")).select("doc_id", F.md5("c.cleaned").alias("cleaned_md5"), F.length("c.cleaned").alias("n")),
     r"""SELECT doc_id, md5(c) AS cleaned_md5, length(c)::INT AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\n+', E'\n', 'g'), ' *\n *', E'\n', 'g'), '^\s+|\s+$', '', 'g'),
     '[$€]\s*(\d+)', '$\1', 'g'), '(\d+)\s*([.,])\s*(\d{2,3})', '\1\2\3', 'g'), '\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b', '\1/\2/\3', 'g'), '\b(\d{1,2})[/-](\d{1,2})[/-](\d{2})\b', '\1/\2/20\3', 'g'), '(\d{1,2}):(\d{2})', '\1:\2', 'g') AS c FROM documents)""")
@@ -453,8 +455,7 @@ def _deposits_from_texts(s: SparkSession, d: str) -> DataFrame:
 
 
 add("texts_to_deposits", _deposits_from_texts,
-    """SELECT id AS source_image_id, CASE variant WHEN 0 THEN '01/04/2026' ELSE day END AS fecha_consignacion, CASE variant WHEN 0 THEN '11:49' WHEN 1 THEN clock END AS hora_consignacion, ref AS referencia, n::DECIMAL(14,2) AS valor
-    FROM receipts WHERE variant IN (0, 1, 5) AND n NOT BETWEEN 1900 AND 2100""")
+    "SELECT id AS source_image_id, fecha AS fecha_consignacion, hora AS hora_consignacion, referencia, value::DECIMAL(14,2) AS valor FROM parsed WHERE reason IS NULL")
 
 
 def _responses(s: SparkSession, d: str) -> DataFrame:
@@ -499,7 +500,7 @@ def _new_deposits_from_texts(s: SparkSession, d: str) -> DataFrame:
     return deposits_plan.texts_to_deposits(texts, stored, F.lit(ORDERS_DAY)).select("source_image_id", "referencia", F.col("n_valor").alias("valor"))
 
 
-add("texts_to_deposits_new", _new_deposits_from_texts, f"SELECT id AS source_image_id, ref AS referencia, n::DECIMAL(14,2) AS valor FROM receipts WHERE variant IN (0, 1, 5) AND n NOT BETWEEN 1900 AND 2100 AND id NOT IN ({DONE_SQL})")
+add("texts_to_deposits_new", _new_deposits_from_texts, f"SELECT id AS source_image_id, referencia, value::DECIMAL(14,2) AS valor FROM parsed WHERE reason IS NULL AND id NOT IN ({DONE_SQL})")
 
 # Event rows -----------------------------------------------------------------------------------
 
