@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from html.parser import HTMLParser
 from pathlib import Path
 
 import numpy as np
@@ -505,6 +506,63 @@ def test_open_pages_lose_host_boilerplate(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+class PlainPage(HTMLParser):
+    """The article of a page whose skipped elements have end tags, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.parts, self.depth, self.skipped, self.inner = [], [], 0, "", 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.parts.clear()
+        if text and self.depth:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if self.skipped:
+            self.inner += tag == self.skipped
+            return
+        if tag not in html_text.INLINE:
+            self.flush()
+        elif tag == "br":
+            self.parts.append(" ")
+        marks = {w for k, v in attrs if k in ("class", "id") for w in re.split("[^a-z0-9]+", (v or "").lower())}
+        roles = {v for k, v in attrs if k == "role"}
+        if tag in html_text.VOID:
+            return
+        if tag in html_text.SKIP | html_text.RAW or tag == "header" and not self.depth or (marks & html_text.WORDS or roles & html_text.ROLES) and not (tag == "article" and not self.depth):
+            self.skipped, self.inner = tag, 1
+        elif tag == "article":
+            self.depth += 1
+
+    def handle_endtag(self, tag):
+        if self.skipped:
+            self.inner -= tag == self.skipped
+            if not self.inner:
+                self.skipped = ""
+            return
+        if tag not in html_text.INLINE:
+            self.flush()
+        if tag == "article" and self.depth:
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.parts.append(data)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the test data")
+def test_query_equals_a_plain_parser(spark):
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.op9_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    want = {k: "\n\n".join(PlainPage(v).blocks) for k, v in pages.items()}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
 def test_large_host_counts_over_its_parts(spark):
     rng, n = np.random.default_rng(7), 3 * html_text.GROUP_PAGES
     footer, rare, twice = ["foot%d" % i for i in range(9)], ["rare%d" % i for i in range(10)], ["two%d" % i for i in range(8)]
