@@ -489,7 +489,6 @@ add("describe_receipts", lambda s, d: describe.with_description(a.receipts(s, d)
 add("redact_payload_nested", lambda s, d: a.logs(s, d).select("id", F.md5(redact.redact_payload(F.concat(F.lit('{"api-key":"k","items":[{"token":"t","log":'), "raw_payload", F.lit('}],"list":'), F.to_json(F.sequence(F.lit(1), F.lit(60))), F.lit(',"text":"'), F.expr("repeat('x', CAST(3990 + id % 20 AS INT))"), F.lit('"}')))).alias("payload_md5")),
     """SELECT id, md5('{"api-key": "[redacted]", "items": [{"log": {"duration_ms": ' || duration_ms || ', "status": "' || status || '"}, "token": "[redacted]"}], "list": [' || array_to_string(range(1, 51), ', ') || '], "text": "'
     || CASE WHEN id % 20 > 10 THEN repeat('x', 4000) || '...[truncated ' || (id % 20 - 10) || ' chars]' ELSE repeat('x', 3990 + id % 20) END || '"}') AS payload_md5 FROM logs""")
-add("extraction_events_all", lambda s, d: ev.extraction_events(extract.with_record(a.receipts(s, d))))
 
 
 def _new_deposits_from_texts(s: SparkSession, d: str) -> DataFrame:
@@ -518,6 +517,9 @@ add("extraction_events", lambda s, d: ev.extraction_events(extract.with_record(a
     UNION ALL SELECT id, len(rejected)::INT, CASE WHEN variant IN (0, 1, 5) THEN 'fallback_completed' ELSE 'fallback_empty' END, CASE WHEN variant IN (0, 1, 5) THEN '' ELSE 'missing_transaction_amount' END FROM e""")
 
 
+QUERIES["extraction_events_all"], SQL["extraction_events_all"] = QUERIES["extraction_events"], SQL["extraction_events"]
+
+
 def _failed_extractions(s: SparkSession, d: str) -> DataFrame:
     """Receipts with what the model answered: nothing, broken text, or records."""
     answered = a.receipts(s, d).withColumns({"response": F.when(F.col("id") % 3 == 0, "").otherwise("{}"), "error_class": F.when(F.col("id") % 3 == 1, "JSONDecodeError"), "llm_records_count": F.when(F.col("id") % 3 == 2, 1).otherwise(0)})
