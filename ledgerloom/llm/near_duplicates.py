@@ -226,12 +226,13 @@ def candidate_sets(texts: DataFrame, trees: int = TREES, label: int = LABEL, thr
     large = met_there.filter(F.col("n") > NODE_TEXTS).select(F.col("text_id").alias("a"), F.col("hub").alias("b"))
     small = met_there.filter(F.col("n") <= NODE_TEXTS).select("node", "text_id")
     # Of a text's trees only those whose node holds others; a tree's label is its stretch of the sketch.
-    joined = small.join(texts.select("text_id", "nodes", "sketch"), "text_id")
+    some = materialize(small.select("text_id").distinct(), "tree-texts")
+    joined = small.join(texts.select("text_id", "nodes", "sketch").join(_sent(some), "text_id", "left_semi"), "text_id")
     tree = F.array_position("nodes", F.col("node")).cast("int") - 1
     members = joined.select("node", "text_id", F.substring(F.col("sketch"), tree * label + 1, F.lit(label)).alias("label"), "sketch")
     ordered = members.repartition("node").sortWithinPartitions("node", "label", "text_id")
     found = components(large.unionByName(trie_edges(ordered, shortest, threshold - LOOSE, recall, trees)))
-    release(nodes, met_there)
+    release(nodes, met_there, some)
     return found
 
 

@@ -36,7 +36,7 @@ END_ID = 1
 #: Tokens that a task gathers before it packs them, runs whose ids a worker remembers, text bytes encoded at once, tokens of a step group.
 POOL_TOKENS = 1 << 20
 CACHE_RUNS = 250_000
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 STEP_TOKENS = 1 << 17
 SENTINEL = "\U0001f60d"
 #: A word of Latin letters (composed, with a lower case of their own) and the ASCII marks behind them.

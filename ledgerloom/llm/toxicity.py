@@ -33,7 +33,7 @@ MAX_TRAIN, TRAIN_CHARS, STEPS, EPOCHS, RATE, BATCH, DECAY, MAX_BALANCE = 3000, 2
 #: A bucket learns if this share of the toxic texts has it, within these bounds, and so many times the share of the others.
 MIN_SHARE, MIN_TEXTS, MIN_LIFT = 0.02, (3, 6), 2.0
 THRESHOLD, PRIOR = 0.7, 0.1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_…«»¡¿`~/\\"
 
 
