@@ -37,8 +37,6 @@ from ledgerloom.llm.packing import slices
 LENGTH, SEED = 50, 20
 #: Bytes of text that are looked at together, and words of a piece of a very long text.
 STRETCH_BYTES, PIECE_WORDS = 4 << 20, 1 << 22
-#: Up to so many entries of lists, 16 bytes each, are sent to the texts; more meet them in a shuffle.
-SENT_ENTRIES = 2_000_000
 SEEDS = "doc_id long, text_key long, start int, windows int, anchor long, stretch long"
 WINDOWS = "doc_id long, text_key long, start int, anchor long, window long"
 _BASE = 0x9E3779B97F4A7C15
@@ -147,12 +145,6 @@ def seeds(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     return _identified(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, SEEDS)
 
 
-def _sent(lists: DataFrame, column: str) -> DataFrame:
-    """Lists by document of a written table: small ones go to the texts, others meet them in a shuffle that Spark plans."""
-    entries = lists.agg(F.sum(F.size(column) + 2)).first()[0] or 0
-    return F.broadcast(lists) if entries <= SENT_ENTRIES else lists
-
-
 def _windows(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
     """Every window of the stretches in lists (doc_id, text_key, open: start, windows, anchor), with its hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +159,7 @@ def _windows(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
                 [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array(at, pa.int32()), pa.array(np.repeat(anchor, count)), pa.array(window)],
                 ["doc_id", "text_key", "start", "anchor", "window"])
 
-    asked = _identified(docs).join(_sent(lists, "open"), ["doc_id", "text_key"])
+    asked = _identified(docs).join(lists, ["doc_id", "text_key"])
     return asked.select("doc_id", "text_key", "text", "open").mapInArrow(run, WINDOWS)
 
 
@@ -217,7 +209,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
                 ["doc_id", "n_words", "repeats", "kept"])
 
     spans = repeats(docs, length, seed)
-    joined = _identified(docs).join(_sent(spans, "spans"), ["doc_id", "text_key"], "left")
+    joined = _identified(docs).join(spans, ["doc_id", "text_key"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, repeats array<struct<start:long,words:long>>, kept string")
 
 
