@@ -165,22 +165,26 @@ def _windows(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc_id, text_key, spans (start of the first window, windows): what also starts in a document with a smaller doc_id."""
+    # What groups give is written before it is joined, so that the joins stand alone and their hot keys can be split.
     found = materialize(seeds(docs, length, seed), "seeds")
     of_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("stretch") < F.max("stretch")).alias("several"))
-    shared = materialize(found.join(of_anchor.filter("lo < hi").select("anchor", "lo", "several"), "anchor"), "shared-seeds")
-    release(found)
+    of_anchor = materialize(of_anchor.filter("lo < hi").select("anchor", "lo", "several"), "shared-anchors")
+    shared = materialize(found.join(of_anchor, "anchor"), "shared-seeds")
+    release(found, of_anchor)
     # One class: all but the smallest document's occurrences repeat it.
     alike = shared.filter("NOT several").filter("doc_id > lo").select("doc_id", "text_key", "start", "windows")
     several = shared.filter("several").drop("lo")
-    classes = several.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("lo"))
+    classes = materialize(several.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("lo")), "classes")
     members = materialize(several.join(classes, ["anchor", "stretch"]), "anchor-classes")
     repeated = members.filter("doc_id > lo").select("doc_id", "text_key", "start", "windows")
     closer = members.filter("doc_id = lo").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("open"))
-    windows = materialize(_windows(docs, materialize(closer, "open-stretches"), length), "windows")
-    of_window = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    single = windows.join(of_window.select("anchor", "window", "lo"), ["anchor", "window"]).filter("doc_id > lo").select("doc_id", "text_key", "start", F.lit(1).alias("windows"))
+    windows = materialize(_windows(docs, closer, length), "windows")
+    of_window = materialize(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "window", "lo"), "shared-windows")
+    single = windows.join(of_window, ["anchor", "window"]).filter("doc_id > lo").select("doc_id", "text_key", "start", F.lit(1).alias("windows"))
     spans = alike.unionByName(repeated).unionByName(single).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    return materialize(spans, "repeats")
+    out = materialize(spans, "repeats")
+    release(shared, classes, members, windows, of_window)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
