@@ -121,6 +121,24 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
     return drained(st.stream_ingest(rows, "3650 days").select("fingerprint"), "ingest")
 
 
+WRITTEN = ("source_image_id", "idx", "canonical_key", "fecha_consignacion", "hora_consignacion", "referencia", "valor")
+
+
+def _write_deposits(s: SparkSession, d: str, stored_keys: Callable) -> DataFrame:
+    """Two batches of images, the first of them written twice: the table."""
+    path, keyed, stored = scratch(s, "deposits"), rc.with_keys(a.candidates(s, d)).select(*WRITTEN), stored_keys(s, d)
+    for batch, images in (("1", "source_image_id % 3 > 0"), ("2", "source_image_id % 3 = 0"), ("1", "source_image_id % 3 > 0")):
+        rc.write_deposits(keyed.filter(images), path, batch, stored)
+    return s.read.parquet(path).select(F.col("batch").cast("string").alias("batch"), *WRITTEN)
+
+
+def _write_counts(s: SparkSession, d: str, stored_keys: Callable) -> DataFrame:
+    """What batches count: some images, then all of them, then all of them again."""
+    path, keyed, stored = scratch(s, "deposits"), rc.with_keys(a.candidates(s, d)).select(*WRITTEN), stored_keys(s, d)
+    done = [(name, *rc.write_deposits(rows, path, batch, stored)[1:]) for name, batch, rows in (("first", "1", keyed.filter("source_image_id % 3 > 0")), ("second", "2", keyed), ("second again", "2", keyed))]
+    return s.createDataFrame(done, "batch string, accepted long, created long, skipped long")
+
+
 def _write_log(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "log")
     ev.write_log(a.trace_logs(s, d).withColumn("raw_payload", F.concat(F.lit('{"api_key":"k","n":'), F.col("id").cast("string"), F.lit("}"))), path)
@@ -132,7 +150,7 @@ def register(add: Callable, stored_keys: Callable, keys_sql: str) -> None:
         f"""WITH {DOCX_SQL}, r AS (SELECT *, CASE WHEN again THEN 'same_package_target' WHEN adjacent THEN 'adjacent_same_binary_content' END AS skip_reason FROM good)
         SELECT path, ref::INT AS ref, CASE WHEN skip_reason IS NULL THEN count(*) FILTER (WHERE skip_reason IS NULL) OVER w END AS sequence_index, target, skip_reason, coalesce(last_value(heading IGNORE NULLS) OVER w, '') AS context_date
         FROM r WINDOW w AS (PARTITION BY path ORDER BY ref ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-    add("docx_text", lambda s, d: docx.docx_text(references(s, d)), f"WITH {DOCX_SQL} SELECT path, string_agg(coalesce('Pago ' || heading || chr(10), ''), chr(10) ORDER BY ref) AS text FROM good GROUP BY path")
+    add("docx_text", lambda s, d: docx.docx_text(docx_files(s, d)), f"WITH {DOCX_SQL} SELECT path, CASE WHEN k = 3 THEN '' ELSE coalesce(string_agg('Pago ' || heading, chr(10) ORDER BY ref) FILTER (WHERE heading IS NOT NULL), '') END AS text FROM n GROUP BY path, k")
     add("run_prefix_text", lambda s, d: docx.with_context(references(s, d)).filter("target IS NULL").select("path", "par", "run", "prefix"),
         f"""WITH {DOCX_SQL}, p AS (SELECT *, (ref + count(heading) OVER (PARTITION BY path ORDER BY ref) - 1)::INT AS par FROM good) SELECT path, par, x.run, 'Pago ' || CASE WHEN x.run = 2 THEN heading ELSE '' END AS prefix FROM p, (VALUES (1), (2)) AS x(run) WHERE heading IS NOT NULL""")
     add("validate_docx", lambda s, d: (lambda f: docx.validate_docx(f, docx.raw_references(f)))(docx_files(s, d)),
@@ -155,8 +173,16 @@ def register(add: Callable, stored_keys: Callable, keys_sql: str) -> None:
         """SELECT id, '{"LLM_api_key": "***", "has_token": true, "id": ' || id || ', "list": [{"password": "***"}]}' AS payload FROM logs""")
     add("read_rows", lambda s, d: q.run_query(q.Source(a.logs(s, d), {c: c for c in ("id", "stage", "status", "created_at", "notes")}), {"filters": [{"field": "notes", "op": "iendswith", "value": "FAILURE"}], "select": ["id", "stage", "status"], "order_by": ["-created_at"], "limit": 150}, date.fromisoformat(a.AS_OF_EVENTS)),
         "SELECT id, stage, status FROM logs WHERE lower(notes) LIKE '%failure' ORDER BY created_at DESC, id LIMIT 150")
-    add("write_deposits", lambda s, d: (lambda path: [rc.write_deposits(rc.with_keys(a.candidates(s, d)), stored_keys(s, d), path), s.read.parquet(path)][1])(scratch(s, "deposits")).select("source_image_id", "canonical_key"),
-        f"WITH {keys_sql} SELECT DISTINCT source_image_id, canonical_key FROM keyed ANTI JOIN stored USING (source_image_id, canonical_key)")
+    add("write_deposits", lambda s, d: _write_deposits(s, d, stored_keys),
+        f"""WITH {keys_sql}, fresh AS (SELECT * FROM keyed ANTI JOIN stored USING (source_image_id, canonical_key)),
+        kept AS (SELECT *, 1 + (source_image_id % 3 = 0)::INT AS b FROM fresh WHERE canonical_key <> '' QUALIFY row_number() OVER (PARTITION BY source_image_id, canonical_key ORDER BY idx) = 1)
+        SELECT b::VARCHAR AS batch, source_image_id, idx, canonical_key, fecha_consignacion, hora_consignacion, referencia, valor FROM kept
+        UNION ALL SELECT (1 + (source_image_id % 3 = 0)::INT)::VARCHAR, source_image_id, idx, canonical_key, fecha_consignacion, hora_consignacion, referencia, valor FROM keyed WHERE canonical_key = ''""")
+    add("write_counts", lambda s, d: _write_counts(s, d, stored_keys),
+        f"""WITH {keys_sql}, k AS (SELECT *, canonical_key <> '' AND ((source_image_id, canonical_key) IN (SELECT source_image_id, canonical_key FROM stored) OR idx > min(idx) OVER (PARTITION BY source_image_id, canonical_key)) AS goes FROM keyed),
+        one AS (SELECT count(*) FILTER (WHERE source_image_id % 3 > 0) AS a1, count(*) FILTER (WHERE source_image_id % 3 > 0 AND NOT goes) AS c1, count(*) AS a2, count(*) FILTER (WHERE source_image_id % 3 = 0 AND NOT goes) AS c2,
+          count(*) FILTER (WHERE source_image_id % 3 > 0 AND canonical_key = '') AS again FROM k)
+        SELECT 'first' AS batch, a1 AS accepted, c1 AS created, a1 - c1 AS skipped FROM one UNION ALL SELECT 'second', a2, c2 + again, a2 - c2 - again FROM one UNION ALL SELECT 'second again', a2, c2 + again, a2 - c2 - again FROM one""")
     add("write_log", _write_log, """SELECT id, stage, '{"api_key": "[redacted]", "n": ' || id || '}' AS raw_payload FROM trace_logs""")
     add("stream_ingest", _ingest, "SELECT DISTINCT user_id || '-' || event_type AS fingerprint FROM events")
     add("stream_stage_metrics", lambda s, d: drained(st.stream_stage_metrics(event_stream(s, d)), "stage-metrics", "complete").select(F.col("window.start").alias("start"), "process_run_id", "stage", "calls", "total_ms", "avg_ms", "errors"),

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import ACCENTS
+from ledgerloom.sources import files
 
-DEFAULT_LIMIT, MAX_LIMIT = 30, 200
-# Words that a read-only statement may not hold; marks of an invalid deposit.
-FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "replace", "grant", "revoke", "attach", "pragma")
+DEFAULT_LIMIT, MAX_LIMIT, MAX_LATEST = 30, 200, 50
+# Marks of an invalid deposit.
 INVALID_MARKS = ("error", "invalida", "incorrect", "no identificada")
 READ_ONLY_FIELDS = {"id", "created_at", "updated_at"}
 REDUCED_OPS = {"eq", "ne", "in", "gt", "gte", "lt", "lte", "contains", "icontains", "isnull", "date_eq", "date_gte", "date_lte", "in_last_days"}
@@ -113,7 +113,9 @@ def run_query(source: Source, spec: dict, as_of: date) -> DataFrame:
     aggregates = []
     for a in spec.get("aggregations") or []:
         kind, name = a.get("type"), a.get("field") or "id"
-        if kind in AGGREGATES and name in source.fields:
+        if kind == "count" and not a.get("field") and name not in source.fields:
+            aggregates.append(F.count("*").alias(a.get("alias") or "count_id"))
+        elif kind in AGGREGATES and name in source.fields:
             aggregates.append(AGGREGATES[kind](source.fields[name]).alias(a.get("alias") or f"{kind}_{name}"))
         else:
             source.warnings.append(f"aggregation ignored: {kind} {name}")
@@ -129,13 +131,13 @@ def run_query(source: Source, spec: dict, as_of: date) -> DataFrame:
             order.append(c.desc() if desc else c.asc())
         else:
             source.warnings.append(f"order ignored: {name}")
-    tail = groups if groups else [source.fields[n] for n in (() if order else source.default_order)] + [source.fields["id"]]
+    tail = groups if groups else [source.fields[n] for n in (*(() if order else source.default_order), "id") if n in source.fields]
     frame = frame.orderBy(*order, *tail)
     if "limit" in spec or not groups:
         frame = frame.limit(clamp_limit(spec.get("limit")))
     if groups:
         return frame
-    chosen = known(spec.get("select")) or list(source.default_select)
+    chosen = known(spec.get("select")) or [n for n in source.default_select if n in source.fields] or list(source.fields)
     return frame.select(*[F.col(source.fields[c]).alias(c) for c in chosen])
 
 
@@ -225,7 +227,7 @@ def preset(name: str, n: int = 10) -> dict:
         "total_value": {"aggregations": [total]}, "average_value": {"aggregations": [{"type": "avg", "field": "valor", "alias": "promedio_valor"}]}, "count_records": {"aggregations": [count]},
         "group_by_day": {"group_by": ["fecha_date"], "aggregations": [count, total], "order_by": ["-fecha_date"], "limit": 60},
         "highest_value": {"select": detail, "order_by": dearest, "limit": 1}, "lowest_value": {"select": detail, "order_by": ["valor"], "limit": 1}, "top_n_value": {"select": detail, "order_by": dearest, "limit": n},
-        "latest_n": {"select": detail, "order_by": newest, "limit": n}, "all_deposits": {"select": detail, "order_by": newest, "limit": MAX_LIMIT},
+        "latest_n": {"select": detail, "order_by": newest, "limit": max(1, min(MAX_LATEST, n))}, "all_deposits": {"select": detail, "order_by": newest, "limit": MAX_LIMIT},
     }
     return specs[name]
 
@@ -246,24 +248,6 @@ def reference_lookup(frame: DataFrame, text: str) -> DataFrame:
     return frame.filter(F.lower("referencia").contains(text.lower()) if len(text) >= 4 else F.lit(False))
 
 
-def check_readonly(sql: str) -> str:
-    """The statement, if it is one SELECT or WITH without words that write."""
-    body = sql.strip().rstrip(";").strip()
-    if not re.match(r"(?is)^(select|with)\b", body) or ";" in body:
-        raise ValueError("only one SELECT or WITH statement is allowed")
-    if found := re.search(r"(?i)\b(" + "|".join(FORBIDDEN) + r")\b", body):
-        raise ValueError(f"not allowed: {found[1]}")
-    return body
-
-
-def readonly_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], limit: int = 100, args: dict | None = None) -> DataFrame:
-    """A guarded statement over named frames."""
-    body = check_readonly(sql)
-    for name, frame in views.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(body, args=args or {}).limit(limit)
-
-
 def create_rows(frame: DataFrame, new: DataFrame, as_of: date) -> DataFrame:
     """frame with the rows of new. Ids go on behind the largest one, created_at is as_of; what new says about the columns that no one may write is not taken."""
     start = F.coalesce(frame.agg(F.max("id")).scalar(), F.lit(0))
@@ -273,15 +257,75 @@ def create_rows(frame: DataFrame, new: DataFrame, as_of: date) -> DataFrame:
     return frame.unionByName(made.select(*[c for c in made.columns if c in frame.columns]), allowMissingColumns=True)
 
 
+def _hit(source: Source, filters: list[dict], as_of: date) -> Column:
+    """Rows for which all filters hold; no filter at all, or one that is not known, raises ValueError."""
+    if not filters:
+        raise ValueError("a write needs a filter")
+    return F.coalesce(predicate(source, filters, as_of, REDUCED_OPS, strict=True), F.lit(False))
+
+
 def update_rows(source: Source, filters: list[dict], values: dict, as_of: date) -> DataFrame:
-    """The table with writable fields set where all filters hold; a column `_updated` says where. A filter that is not known raises ValueError."""
-    hit = F.coalesce(predicate(source, filters, as_of, REDUCED_OPS, strict=True), F.lit(False))
+    """The table with writable fields set where all filters hold; a column `_updated` says where. A filter that is not known raises ValueError, as do no filter and no writable value."""
+    hit = _hit(source, filters, as_of)
     types = dict(source.frame.dtypes)
     ok = {k: v for k, v in values.items() if k in source.fields and k not in READ_ONLY_FIELDS}
     source.warnings += [f"field not writable: {k}" for k in values if k not in ok]
+    if not ok:
+        raise ValueError("an update needs a value that may be written")
     return source.frame.withColumns({source.fields[k]: F.when(hit, F.lit(v).cast(types[source.fields[k]])).otherwise(F.col(source.fields[k])) for k, v in ok.items()} | {"_updated": hit})
 
 
 def delete_rows(source: Source, filters: list[dict], as_of: date) -> DataFrame:
-    """The table without the rows for which all filters hold; rows with unknown outcome stay. A filter that is not known raises ValueError."""
-    return source.frame.filter(~F.coalesce(predicate(source, filters, as_of, REDUCED_OPS, strict=True), F.lit(False)))
+    """The table without the rows for which all filters hold; rows with unknown outcome stay. A filter that is not known raises ValueError, as does no filter."""
+    return source.frame.filter(~_hit(source, filters, as_of))
+
+
+class Versions:
+    """A table as a folder of versions: each write makes the next one, readers see the last whole one.
+
+    A version is a folder v=<number> that Spark has marked as done, so a write that failed half-way is never
+    read, and its number is taken anew. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def last(self) -> int | None:
+        found = files.matching(self.spark, f"{self.path}/v=*/_SUCCESS")
+        return max((int(re.search(r"/v=(\d+)/_SUCCESS$", f)[1]) for f in found), default=None)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = self.last() if version is None else version
+        if version is None:
+            raise ValueError(f"no table at {self.path}")
+        return self.spark.read.parquet(f"{self.path}/v={version}")
+
+    def _write(self, frame: DataFrame, count: Column) -> int:
+        """Writes the next version; returns the count that was observed on the way."""
+        last, seen = self.last(), Observation()
+        frame = frame.observe(seen, count.alias("n"))
+        frame.drop("_counted").write.mode("overwrite").parquet(f"{self.path}/v={0 if last is None else last + 1}")
+        return seen.get["n"]
+
+    def create(self, rows: DataFrame) -> int:
+        return self._write(rows, F.count("*"))
+
+    def add(self, new: DataFrame, as_of: date) -> int:
+        """Rows of new behind those of the table; how many."""
+        old = self.read()
+        made = create_rows(old.withColumn("_counted", F.lit(False)), new, as_of)
+        return self._write(made, F.count_if(F.col("_counted").isNull()))
+
+    def update(self, fields: dict[str, str], filters: list[dict], values: dict, as_of: date) -> int:
+        """How many rows the values were set in."""
+        changed = update_rows(Source(self.read(), fields), filters, values, as_of).withColumnRenamed("_updated", "_counted")
+        return self._write(changed, F.count_if("_counted"))
+
+    def delete(self, fields: dict[str, str], filters: list[dict], as_of: date) -> int:
+        """How many rows are gone."""
+        source = Source(self.read(), fields)
+        before = Observation()
+        hit = _hit(source, filters, as_of)
+        source.frame = source.frame.observe(before, F.count_if(hit).alias("n"))
+        self._write(source.frame.filter(~hit), F.count("*"))
+        return before.get["n"]

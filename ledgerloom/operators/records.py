@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import groupby
+from typing import NamedTuple
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.functions.dates import normalize_date, normalize_time, to_ddmmyyyy
 from ledgerloom.functions.money import normalize_amount, normalize_reference
 from ledgerloom.functions.text import settled
 from ledgerloom.functions.validate import criteria_rules, observations, valid_record
+from ledgerloom.sources import files
 
 FIELDS = ("fecha_consignacion", "hora_consignacion", "referencia", "valor")
 
@@ -39,97 +42,161 @@ def dedup_exact(c: DataFrame) -> DataFrame:
 
 MERGED = "source_image_id long, idx int, fecha_consignacion string, hora_consignacion string, referencia string, valor string, merged int"
 EVENTS = "source_image_id long, idx int, stage string, other int, reason string"
+REASONS = {"result_duplicate_skipped": "same_canonical_transaction_key", "result_candidate_merged": "same_reference_and_amount_with_missing_datetime"}
+#: Candidates of a loose key are reduced in stretches of so many idx, each in a task of its own.
+STRETCH = 4096
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator]]:
-    """Rows in order, as (image, loose key) and its rows one after the other: no group is gathered."""
-    rows = (r for batch in batches for r in batch.itertuples(index=False))
-    return groupby(rows, key=lambda r: (r.source_image_id, r.loose_key))
+def _reduced(c: DataFrame, members: bool = False) -> DataFrame:
+    """keyed candidates, those of one loose key and stamp (date, time) reduced to the ones that can change the fold: in one partition a loose key, in the order of idx.
 
+    A candidate does what the one before it with the same stamp did unless it is more confident and lacks
+    date or time: a full stamp is seen from its first candidate on, others are merged until one
+    becomes the head, which only more confidence can bring about. So a row is a candidate, how many follow it
+    that do the same (n_like, with members their idx), and how many rows its loose key has (n_rows). A
+    loose key that many rows share is reduced in stretches of idx before it meets in one place;
+    candidates without key stay as they are and are spread.
+    """
+    keyed = settled(with_keys(c), n_confidence=F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)))
+    keyed = keyed.select("source_image_id", "idx", *[F.col(f).cast("string").alias(f) for f in FIELDS], "n_fecha", "n_hora", F.col("n_confidence").alias("confidence"), "loose_key",
+                         F.floor(F.col("idx") / STRETCH).alias("stretch"))
+    stamp = Window.partitionBy("source_image_id", "loose_key", "stretch", "n_fecha", "n_hora").orderBy("idx", *FIELDS, "confidence")
+    before = F.max("confidence").over(stamp.rowsBetween(Window.unboundedPreceding, -1))
+    partial = (F.col("n_fecha") == "") | (F.col("n_hora") == "")
+    # A column of its own, as windows do not nest.
+    turns = keyed.withColumn("turn", F.when((F.col("loose_key") == "") | before.isNull() | partial & (F.col("confidence") > before), 1).otherwise(0))
+    turns = turns.withColumn("turn", F.sum("turn").over(stamp.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("idx", *FIELDS, "confidence"))
+    like = [F.sort_array(F.collect_list("idx")).alias("members")] if members else []
+    rows = turns.groupBy("source_image_id", "loose_key", "stretch", "n_fecha", "n_hora", "turn").agg(first.alias("r"), F.count("*").cast("int").alias("n_like"), *like)
+    rows = rows.select("source_image_id", F.when(F.col("loose_key") != "", F.col("loose_key")).otherwise(F.concat(F.lit("#"), F.floor(F.col("r.idx") / 64).cast("string"))).alias("loose_key"),
+                       F.col("loose_key") == "", "n_fecha", "n_hora", "n_like", *[x for x in ("members",) if members], "r.*").toDF(
+        "source_image_id", "loose_key", "keyless", "n_fecha", "n_hora", "n_like", *[x for x in ("members",) if members], "idx", *FIELDS, "confidence")
+    loose = Window.partitionBy("source_image_id", "loose_key")
+    counted = rows.withColumn("n_rows", F.when(F.col("keyless"), 1).otherwise(F.count("*").over(loose)))
+    return counted.sortWithinPartitions("source_image_id", "loose_key", "idx", *FIELDS)
+
+
+class _Fold:
+    """The records of one loose key, candidate by candidate in the order of idx.
+
+    A candidate whose stamp was seen goes; one joins the first record if one of the two lacks date
+    or time, and the more complete of the two gives the fields; all others are kept beside it.
+    """
 
-def _fold(rows: Iterator) -> Iterator[tuple]:
-    """The fold of dedup_merge over the rows of one loose key: (row, stage, idx of the other record, merged head or None); head last."""
-    head, seen, merged, rank = None, {}, 1, None
-    for r in rows:
+    def __init__(self, r):
+        self.head, self.first, self.merged, self.rank = r, r.idx, 1, self._rank(r)
+        self.seen = {(r.n_fecha, r.n_hora): r.idx}
+
+    @staticmethod
+    def _rank(r) -> tuple:
+        return (r.n_fecha != "") + (r.n_hora != ""), r.confidence
+
+    def add(self, r) -> tuple[str, str, int]:
+        """What happens to r, what to those like it, and the idx of the record they go to; "kept" is a record of its own."""
         stamp = (r.n_fecha, r.n_hora)
-        now = (sum(x != "" for x in stamp), r.confidence)
-        if head is None:
-            head, first, rank = r, r.idx, now
-            seen[stamp] = first
-        elif stamp in seen:
-            yield r, "result_duplicate_skipped", seen[stamp], "same_canonical_transaction_key"
-        elif not (all(stamp) and head.n_fecha and head.n_hora):
-            if now > rank:
-                head, rank = r, now
-            merged += 1
-            seen[(head.n_fecha, head.n_hora)] = first
-            yield r, "result_candidate_merged", first, "same_reference_and_amount_with_missing_datetime"
-        else:
-            seen[stamp] = r.idx
-            yield r, "kept", None, None
-    yield head, "head", first, merged
-
-
-def _keyed_rows(c: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed candidates, and those of loose keys that come more than once, each key in one partition and in the order of idx."""
-    keyed = settled(with_keys(c), n_confidence=F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)))
-    n = F.count("*").over(Window.partitionBy("source_image_id", "loose_key"))
-    keyed = keyed.withColumn("n_same", F.when(F.col("loose_key") != "", n).otherwise(1))
-    several = keyed.filter("n_same > 1").select("source_image_id", "loose_key", "idx", *[F.col(f).cast("string").alias(f) for f in FIELDS], "n_fecha", "n_hora", F.col("n_confidence").alias("confidence"))
-    return keyed, several.repartition("source_image_id", "loose_key").sortWithinPartitions("source_image_id", "loose_key", "idx")
+        if stamp in self.seen:
+            return "result_duplicate_skipped", "result_duplicate_skipped", self.seen[stamp]
+        if all(stamp) and self.head.n_fecha and self.head.n_hora:
+            self.seen[stamp] = r.idx
+            return "kept", "result_duplicate_skipped", r.idx
+        if self._rank(r) > self.rank:
+            self.head, self.rank = r, self._rank(r)
+            self.seen[stamp] = self.first
+            self.merged += 1
+            return "result_candidate_merged", "result_duplicate_skipped", self.first
+        self.merged += r.n_like
+        return "result_candidate_merged", "result_candidate_merged", self.first
+
+
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list, list]]:
+    """Per batch: rows that are alone with their loose key; (row, what, what to those like it, idx) of the others but for first ones; the folds that ended."""
+    fold, at = None, None
+    for batch in batches:
+        alone, done, ended = batch["n_rows"] == 1, [], []
+        for r in batch[~alone].itertuples(index=False):
+            if at != (at := (r.source_image_id, r.loose_key)):
+                ended += [fold] if fold else []
+                fold = _Fold(r)
+                done.append((r, "head", "result_duplicate_skipped", r.idx))
+            else:
+                done.append((r, *fold.add(r)))
+        yield batch[alone], done, ended
+    yield pd.DataFrame(), [], [fold] if fold else []
 
 
 def dedup_merge(c: DataFrame) -> DataFrame:
     """One row per record that stays: image, idx of its first candidate, the fields, merged (how many went in).
 
-    Equal exact keys have equal loose keys, so a loose key is folded alone, in the order of idx. A
-    candidate whose key was seen goes; one joins the first kept record of its loose key if one
-    of the two lacks date or time; the more complete of the two gives the fields. All others are
-    kept beside it. Records that are alone with their loose key need no fold; the others are read
-    one after the other from sorted partitions, so a hot image is a stream and never an array.
+    Equal exact keys have equal loose keys, so each loose key is folded by itself, from its reduced rows.
     """
+    names = _names(MERGED)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for (image, _), rows in _groups(batches):
-            for r, stage, first, more in _fold(rows):
-                if stage in ("kept", "head"):
-                    out.append((image, first if stage == "head" else r.idx, *(getattr(r, f) for f in FIELDS), more if stage == "head" else 1))
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=_names(MERGED))
-                out = []
-        yield pd.DataFrame(out, columns=_names(MERGED))
+        for alone, done, ended in _folded(batches):
+            if len(alone):
+                yield alone.assign(merged=1)[names]
+            out = [(r.source_image_id, r.idx, *(getattr(r, f) for f in FIELDS), 1) for r, what, _, _ in done if what == "kept"]
+            out += [(f.head.source_image_id, f.first, *(getattr(f.head, x) for x in FIELDS), f.merged) for f in ended]
+            yield pd.DataFrame(out, columns=names)
 
-    keyed, several = _keyed_rows(c)
-    alone = keyed.filter("n_same = 1").select("source_image_id", "idx", *[F.col(f).cast("string").alias(f) for f in FIELDS], F.lit(1).alias("merged"))
-    return alone.unionByName(several.mapInPandas(run, MERGED))
+    return _reduced(c).mapInPandas(run, MERGED)
 
 
 def dedup_events(c: DataFrame) -> DataFrame:
     """What dedup_merge does to candidates: a row for each one that was skipped or merged, with the idx of the record it went to."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for (image, _), rows in _groups(batches):
-            out += [(image, r.idx, stage, other, reason) for r, stage, other, reason in _fold(rows) if stage.startswith("result")]
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=_names(EVENTS))
-                out = []
-        yield pd.DataFrame(out, columns=_names(EVENTS))
+        for alone, done, _ in _folded(batches):
+            out = []
+            several = alone[(alone["n_like"] > 1) & ~alone["keyless"]].itertuples(index=False) if len(alone) else ()
+            for r, what, like, other in [*((r, "head", "result_duplicate_skipped", r.idx) for r in several), *done]:
+                if what.startswith("result"):
+                    out.append((r.source_image_id, r.idx, what, other))
+                out += [(r.source_image_id, i, like, other) for i in r.members[1:]]
+            rows = pd.DataFrame(out, columns=_names(EVENTS)[:4])
+            yield rows.assign(reason=rows["stage"].map(REASONS))
 
-    return _keyed_rows(c)[1].mapInPandas(run, EVENTS)
+    return _reduced(c, members=True).mapInPandas(run, EVENTS)
 
 
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+KEY = ("source_image_id", "canonical_key")
+
+
+def _keyless() -> Column:
+    return F.coalesce("canonical_key", F.lit("")) == ""
+
+
+def _stored_keys(stored: DataFrame) -> DataFrame:
+    return stored.select(*KEY).filter(~_keyless()).distinct()
+
+
 def existing_key_anti(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Candidates whose canonical key is not stored for the image yet, each key once."""
-    keys = stored.select("source_image_id", "canonical_key")
-    return new.join(keys, ["source_image_id", "canonical_key"], "left_anti").dropDuplicates(["source_image_id", "canonical_key"])
+    """Candidates to be stored: those without key, all of them, and of each key that is not stored for the image yet the one with the smallest idx.
+
+    new: source_image_id, canonical_key, idx and what else is to be kept; columns that cannot be ordered (maps) raise. Of rows that
+    also share the idx the smallest in the order of the other columns stays.
+    """
+    order = ["idx", *[c for c in new.columns if c not in (*KEY, "idx")]]
+    first = new.filter(~_keyless()).join(_stored_keys(stored), list(KEY), "left_anti").groupBy(*KEY).agg(F.min(F.struct(*order)).alias("r"))
+    return first.select(*KEY, "r.*").select(*new.columns).unionByName(new.filter(_keyless()))
+
+
+def key_outcomes(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each candidate with what storing does to it: stage and reason; one that goes has the reason existing_persisted_canonical_key, whether the key was stored before or with this batch."""
+    firsts = new.filter(~_keyless()).groupBy(*KEY).agg(F.min("idx").alias("first_idx"))
+    known = firsts.join(_stored_keys(stored).withColumn("was_stored", F.lit(True)), list(KEY), "left")
+    told = new.join(known, list(KEY), "left")
+    goes = F.coalesce(F.col("was_stored") | (F.col("idx") > F.col("first_idx")), F.col("was_stored"), F.col("idx") > F.col("first_idx"), F.lit(False))
+    return told.withColumns({"stage": F.when(goes, "result_duplicate_skipped").otherwise("record_created"), "reason": F.when(goes, "existing_persisted_canonical_key").otherwise("")}).select(*new.columns, "stage", "reason")
 
 
 def existing_key_semi(new: DataFrame, stored: DataFrame) -> DataFrame:
-    return new.join(stored.select("source_image_id", "canonical_key"), ["source_image_id", "canonical_key"], "left_semi")
+    """Candidates whose key is stored for their image; those without key are never known."""
+    return new.join(_stored_keys(stored), list(KEY), "left_semi")
 
 
 def unknown_ids_anti(corrections: DataFrame, deposits: DataFrame) -> DataFrame:
@@ -183,8 +250,38 @@ def correction_row(rows: DataFrame) -> DataFrame:
                           F.when(error.isNull(), F.col("check.referencia")).alias("referencia"), F.when(error.isNull(), F.col("check.valor").cast("decimal(14,2)")).alias("valor"), error.alias("error"))
 
 
-def write_deposits(accepted: DataFrame, stored: DataFrame, path: str) -> DataFrame:
-    """Appends the records that are new to path and returns them."""
-    new = existing_key_anti(accepted, stored)
-    new.write.mode("append").parquet(path)
-    return new
+class Written(NamedTuple):
+    """What a batch has stored, read back; how many candidates came, were stored and were skipped."""
+
+    rows: DataFrame
+    accepted: int
+    created: int
+    skipped: int
+
+
+def stored_deposits(spark: SparkSession, path: str, schema: StructType, without: str | None = None) -> DataFrame:
+    """The deposits of all batches under path, or of all but one; an empty frame where there are none."""
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).parquet(path)
+    return (found.filter(F.col("batch") != without) if without is not None else found).select(*schema.names)
+
+
+def write_deposits(accepted: DataFrame, path: str, batch: str, stored: DataFrame | None = None) -> Written:
+    """Stores the candidates of a batch that are new, in a folder of the batch; what other batches (and `stored`) hold is not stored again.
+
+    A batch that is repeated, after a failure or by mistake, is compared with the others only and
+    replaces its own folder, so the table is the same whether it ran once or twice. Counts come with the
+    job that writes.
+    """
+    spark = accepted.sparkSession
+    known = stored_deposits(spark, path, accepted.schema, without=batch).select(*KEY)
+    known = known.unionByName(stored.select(*KEY)) if stored is not None else known
+    came, kept = Observation(), Observation()
+    # Keyless candidates are counted with what is written, the others as they come in: each row passes one counter once.
+    keyed = accepted.filter(~_keyless()).observe(came, F.count("*").alias("n"))
+    new = existing_key_anti(keyed, known).unionByName(accepted.filter(_keyless())).observe(kept, F.count("*").alias("n"), F.count_if(_keyless()).alias("keyless"))
+    target = f"{path.rstrip('/')}/batch={quote(batch, safe='-_.')}"
+    new.write.mode("overwrite").parquet(target)
+    accepted_n, created = came.get["n"] + kept.get["keyless"], kept.get["n"]
+    return Written(spark.read.schema(accepted.schema).parquet(target), accepted_n, created, accepted_n - created)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.describe import describe_deposit
 from ledgerloom.operators.diagnostics import real_images
+from ledgerloom.sources import files
 
 PIPELINE_VERSION = "1"
 TERMINAL = ("completed", "completed_with_errors", "failed")
@@ -120,26 +122,55 @@ def logs_with_image(logs: DataFrame, images: DataFrame) -> DataFrame:
     return logs.join(images.select(F.col("id").alias("source_image_id"), "sequence_index", "source_name"), "source_image_id", "left")
 
 
-def export_report(runs: DataFrame, images: DataFrame, deposits: DataFrame) -> DataFrame:
-    """The report's nine columns for runs that may be exported, ordered by run, image and deposit.
+def export_report(runs: DataFrame, images: DataFrame, deposits: DataFrame, ordered: bool = True) -> DataFrame:
+    """The report's nine columns for runs that may be exported, ordered by run, image (its number, id) and deposit (its number, id); SECUENCIA is the deposit's number.
 
     DESCRIPCION reads the payload's plain values, the image's text and the context, as far as there are such columns.
     """
     ok = runs.filter(F.col("status").isin("completed", "completed_with_errors")).select(F.col("id").alias("process_run_id"))
     texts = [c for c in ("ocr_raw_text", "context_text") if c in images.columns]
-    i = images.select(F.col("id").alias("source_image_id"), F.col("sequence_index").alias("SECUENCIA"), F.col("source_name").alias("ARCHIVO_ORIGEN"), *texts)
+    i = images.select(F.col("id").alias("source_image_id"), F.col("sequence_index").alias("image_index"), F.col("source_name").alias("ARCHIVO_ORIGEN"), *texts)
     rows = describe_deposit(deposits.join(ok, "process_run_id", "left_semi").join(i, "source_image_id"), out="DESCRIPCION")
-    return rows.orderBy("process_run_id", "SECUENCIA", "source_image_id", "sequence_index", "id").select(
-        "process_run_id", "SECUENCIA", F.col("id").alias("deposit_id"), F.col("fecha_consignacion").alias("FECHA"), F.col("hora_consignacion").alias("HORA"), F.col("referencia").alias("REFERENCIA"),
+    order = ("process_run_id", "image_index", "source_image_id", "sequence_index", "id")
+    return (rows.orderBy(*order) if ordered else rows).select(
+        "process_run_id", "image_index", "source_image_id", F.col("sequence_index").alias("SECUENCIA"), F.col("id").alias("deposit_id"), F.col("fecha_consignacion").alias("FECHA"), F.col("hora_consignacion").alias("HORA"), F.col("referencia").alias("REFERENCIA"),
         F.col("valor").alias("VALOR"), "ARCHIVO_ORIGEN", F.when(F.col("is_current_month"), "Si").otherwise("No").alias("ES_MES_ACTUAL"), F.array_join("observations", "; ").alias("OBSERVACIONES"), "DESCRIPCION")
 
 
+# What a deposit, an image and a run show of themselves.
+DEPOSIT_SHOWN = ("id", "sequence_index", "fecha_consignacion", "hora_consignacion", "referencia", "valor", "descripcion", "is_current_month", "observations", "structured_payload", "created_at")
+IMAGE_SHOWN = ("id", "sequence_index", "source_name", "content_hash", "context_date", "context_text", "context_payload", "ocr_status", "ocr_provider", "ocr_raw_text", "error_message", "image_file", "deposits", "created_at", "updated_at")
+RUN_SHOWN = ("id", "original_filename", "status", "source_docx", "excel_file", "total_images", "total_records", "error_message", "provider_config_snapshot", "started_at", "finished_at", "created_at", "updated_at")
+LOG_SHOWN = ("id", "source_image_id", "sequence_index", "stage", "provider", "model", "ocr_mode", "raw_payload", "raw_text", "notes", "is_error", "created_at")
+
+
+def _shown(frame: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """Those of the names that frame has."""
+    return [n for n in names if n in frame.columns]
+
+
+def with_counters(runs: DataFrame, images: DataFrame, deposits: DataFrame) -> DataFrame:
+    """runs with total_images and total_records as counted, in place of columns of these names."""
+    return runs.drop("total_images", "total_records").join(run_counters(runs, images, deposits), "id")
+
+
 def run_detail(runs: DataFrame, images: DataFrame, deposits: DataFrame) -> DataFrame:
-    """Runs with their images, and those with their deposits, nested."""
-    per_image = deposits.groupBy("source_image_id").agg(F.sort_array(F.collect_list(F.struct("id", "referencia", "valor"))).alias("deposits"))
-    i = images.join(per_image, images["id"] == per_image["source_image_id"], "left").groupBy("process_run_id").agg(
-        F.sort_array(F.collect_list(F.struct("sequence_index", "id", "ocr_status", "deposits"))).alias("images"))
-    return runs.join(i, runs["id"] == i["process_run_id"], "left").drop("process_run_id")
+    """Runs with their counters, their images by number and id, and those with their deposits by number and id, nested: all that the tables hold of what is shown.
+
+    descripcion is what describe_deposit says. The deposits of an image and the images of a run become one value.
+    """
+    texts = [c for c in ("ocr_raw_text", "context_text") if c in images.columns]
+    told = deposits
+    if texts:
+        told = told.join(images.select(F.col("id").alias("source_image_id"), *texts), "source_image_id", "left")
+    told = describe_deposit(told, out="descripcion")
+    order = lambda frame, names: F.struct("sequence_index", "id", F.struct(*_shown(frame, names)).alias("row"))
+    rows = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["row"])
+    per_image = told.groupBy(F.col("source_image_id").alias("id")).agg(rows(order(told, DEPOSIT_SHOWN)).alias("deposits"))
+    i = images.join(per_image, "id", "left")
+    i = i.groupBy(F.col("process_run_id").alias("id")).agg(rows(order(i, IMAGE_SHOWN)).alias("source_images"))
+    counted = with_counters(runs, images, deposits)
+    return counted.select(*_shown(counted, RUN_SHOWN)).join(i, "id", "left")
 
 
 def delete_cascade(gone: DataFrame, **children: DataFrame) -> dict[str, DataFrame]:
@@ -171,8 +202,10 @@ def clear_runs(runs: DataFrame, deposits: DataFrame, logs: DataFrame, kept: tupl
     return deposits.join(again, "process_run_id", "left_anti").select(*deposits.columns), logs.filter(stays).unionByName(logs.filter(~stays).join(again, "process_run_id", "left_anti").select(*logs.columns))
 
 
-def run_list(runs: DataFrame) -> DataFrame:
-    return runs.select("id", "original_filename", "status", "created_at", "finished_at", "error_message")
+def run_list(runs: DataFrame, images: DataFrame, deposits: DataFrame) -> DataFrame:
+    """All runs with their counters, newest first."""
+    listed = with_counters(runs, images, deposits).select("id", "original_filename", "status", "total_images", "total_records", "started_at", "finished_at", "created_at")
+    return listed.orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def run_overview(runs: DataFrame) -> DataFrame:
@@ -180,8 +213,11 @@ def run_overview(runs: DataFrame) -> DataFrame:
     return runs.select("id", "original_filename", "status", "created_at", "started_at", "finished_at", "error_message").orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def log_list(logs: DataFrame) -> DataFrame:
-    return logs.select("id", "process_run_id", "stage", "status", "is_error", "created_at").orderBy("id")
+def log_list(logs: DataFrame, images: DataFrame) -> DataFrame:
+    """Each run's log rows with the number of their image, in the order of that number (rows without image first) and id."""
+    numbered = logs.drop("sequence_index").join(images.select(F.col("id").alias("source_image_id"), "sequence_index"), "source_image_id", "left")
+    order = (F.col("process_run_id"), F.col("sequence_index").asc_nulls_first(), F.col("id"))
+    return numbered.orderBy(*order).select("process_run_id", *_shown(numbered, LOG_SHOWN))
 
 
 def images_of_deposits(images: DataFrame, deposits: DataFrame) -> DataFrame:
@@ -189,9 +225,42 @@ def images_of_deposits(images: DataFrame, deposits: DataFrame) -> DataFrame:
     return images.join(deposits.select(F.col("source_image_id").alias("id")), "id", "left_semi")
 
 
-def table_stats(**tables: DataFrame) -> DataFrame:
-    """(table_name, n) for each table."""
-    return reduce(DataFrame.unionAll, [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()])
+# The tables that an installation has.
+REQUIRED_TABLES = ("process_runs", "source_images", "deposits", "logs")
+TOP_TABLES = 10
+
+
+@contextmanager
+def _footer_counts(spark: SparkSession) -> Iterator[None]:
+    """Counts over Parquet files are answered from their footers: the V2 reader with aggregate pushdown, for as long as this lasts."""
+    settings = {"spark.sql.sources.useV1SourceList": ",".join(x for x in spark.conf.get("spark.sql.sources.useV1SourceList").split(",") if x != "parquet"), "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def footer_count(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Rows of a Parquet table and the plan that counted them, which reads no column."""
+    with _footer_counts(spark):
+        counted = spark.read.parquet(path).agg(F.count("*").alias("n"))
+        return counted.first()["n"], counted._jdf.queryExecution().executedPlan().toString()
+
+
+def table_stats(spark: SparkSession, paths: dict[str, str], required: tuple[str, ...] = REQUIRED_TABLES, most: int = TOP_TABLES) -> DataFrame:
+    """(table_name, present, n, place): the `most` largest tables, and required ones whatever their size; one that is missing is a row without n.
+
+    paths: the folder or file of each table, in Parquet. Rows are counted from the files' footers, a short job a table.
+    """
+    counts = {name: footer_count(spark, path)[0] for name, path in paths.items() if files.exists(spark, path)}
+    largest = sorted(counts, key=lambda name: (-counts[name], name))
+    rows = [(name, True, counts[name], k) for k, name in enumerate(largest, 1) if k <= most or name in required]
+    rows += [(name, False, None, None) for name in required if name not in counts]
+    return spark.createDataFrame(rows, "table_name string, present boolean, n long, place int")
 
 
 def completed_summary(runs: DataFrame, valid: DataFrame) -> DataFrame:

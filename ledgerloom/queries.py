@@ -15,6 +15,7 @@ from ledgerloom.operators import attempts as at
 from ledgerloom.operators import diagnostics as dg
 from ledgerloom.operators import events as ev
 from ledgerloom.operators import query as q
+from ledgerloom.operators import readonly as ro
 from ledgerloom.operators import records as rc
 from ledgerloom.operators import runs as rn
 from ledgerloom.plans import deposits as deposits_plan
@@ -119,8 +120,10 @@ add("valid_deposits", lambda s, d: q.valid_deposits(a.deposits(s, d)).select("id
 add("today_or_all_valid", lambda s, d: q.today_or_all_valid(a.deposits(s, d), ORDERS_DAY).agg(F.count("*").alias("n"), F.sum("valor").alias("total")),
     """WITH v AS (SELECT * FROM deposits WHERE NOT regexp_matches(lower(strip_accents(array_to_string(observations, ' '))), 'error|invalida|incorrect|no identificada')),
     k AS (SELECT count(*) AS n FROM v WHERE created_at::DATE = DATE '2001-08-02') SELECT count(*) AS n, sum(valor) AS total FROM v, k WHERE k.n = 0 OR created_at::DATE = DATE '2001-08-02'""")
-add("readonly_sql", lambda s, d: q.readonly_sql(s, "SELECT status, count(*) AS n FROM process_runs WHERE id >= :low GROUP BY status", {"process_runs": a.process_runs(s, d)}, args={"low": 10}),
-    "SELECT status, count(*) AS n FROM process_runs WHERE id >= 10 GROUP BY status")
+READONLY = """WITH done AS (SELECT id, status FROM process_runs WHERE status IN ('completed', 'completed_with_errors') AND id >= {low})
+SELECT status, count(*) AS n, sum(valor) AS total, CASE WHEN count(*) > 10 THEN 'please update or delete me' ELSE 'drop' END AS note, (SELECT max(id) FROM process_runs) AS last_id
+FROM deposits JOIN done ON done.id = deposits.process_run_id WHERE referencia IN (SELECT referencia FROM deposits WHERE valor > 50000) GROUP BY status"""
+add("readonly_sql", lambda s, d: ro.readonly_sql(s, READONLY.format(low=":low"), {"process_runs": a.process_runs(s, d), "deposits": a.deposits(s, d)}, args={"low": 10}), READONLY.format(low="10"))
 add("update_rows", lambda s, d: q.update_rows(q.Source(a.deposits(s, d), DEPOSIT_FIELDS), [{"field": "valor", "op": "lt", "value": 20000}], {"referencia": "LOW", "id": 1}, ORDERS_DAY).groupBy("_updated").agg(F.count_if(F.col("referencia") == "LOW").alias("low"), F.count("*").alias("n")).withColumnRenamed("_updated", "updated"),
     "SELECT valor < 20000 AS updated, count(*) FILTER (WHERE valor < 20000) AS low, count(*) AS n FROM deposits GROUP BY 1")
 add("delete_rows", lambda s, d: q.delete_rows(q.Source(a.deposits(s, d), DEPOSIT_FIELDS), [{"field": "is_current_month", "op": "eq", "value": True}], ORDERS_DAY).agg(F.count("*").alias("n")),
@@ -147,16 +150,23 @@ add("run_rollup_literal", over(rn.run_rollup_literal, "process_runs", "source_im
     LEFT JOIN source_images i ON i.process_run_id = r.id LEFT JOIN deposits d ON d.process_run_id = r.id GROUP BY r.id""")
 REPORT_IMAGES = lambda s, d: a.source_images(s, d).join(a.receipts(s, d).select("id", F.col("text").alias("ocr_raw_text")), "id")
 REPORT_PAYLOAD = """CASE WHEN id % 5 = 0 THEN concat('{"remitente": "GROUP DYD COMUNICACIONES SAS", "n": ', id, ', "more": {"sender": "DAVID GUEVARA"}}') END"""
-add("export_report", lambda s, d: rn.export_report(a.process_runs(s, d), REPORT_IMAGES(s, d), a.deposits(s, d).withColumn("structured_payload", F.expr(REPORT_PAYLOAD))),
-    """SELECT d.process_run_id, i.sequence_index AS SECUENCIA, d.id AS deposit_id, d.fecha_consignacion AS FECHA, hora_consignacion AS HORA, referencia AS REFERENCIA, valor AS VALOR, i.source_name AS ARCHIVO_ORIGEN,
+REPORT = lambda s, d: rn.export_report(a.process_runs(s, d), REPORT_IMAGES(s, d), a.deposits(s, d).withColumn("structured_payload", F.expr(REPORT_PAYLOAD)))
+add("export_report", REPORT,
+    """SELECT d.process_run_id, i.sequence_index AS image_index, i.id AS source_image_id, d.sequence_index AS SECUENCIA, d.id AS deposit_id, d.fecha_consignacion AS FECHA, hora_consignacion AS HORA, referencia AS REFERENCIA, valor AS VALOR, i.source_name AS ARCHIVO_ORIGEN,
     CASE WHEN is_current_month THEN 'Si' ELSE 'No' END AS ES_MES_ACTUAL, array_to_string(observations, '; ') AS OBSERVACIONES, CASE WHEN contains(t.text, '3176771287') THEN 'NEQUI' WHEN d.id % 5 = 0 THEN 'CUENTA' ELSE 'NINGUNO' END AS DESCRIPCION
     FROM deposits d JOIN source_images i ON i.id = d.source_image_id JOIN receipts t ON t.id = i.id JOIN process_runs r ON r.id = d.process_run_id WHERE r.status IN ('completed', 'completed_with_errors')""")
 add("describe_deposit", lambda s, d: describe.describe_deposit(a.deposits(s, d).withColumn("structured_payload", F.expr(REPORT_PAYLOAD)).withColumn("context_text", F.when(F.col("id") % 7 == 0, "pago de David  Guebara")), out="account").select("id", "account"),
     "SELECT id, CASE WHEN id % 5 = 0 THEN 'CUENTA' ELSE 'NINGUNO' END AS account FROM deposits")
 add("describe_payload", lambda s, d: describe.describe_payload(a.deposits(s, d).select("id", F.when(F.col("id") % 3 == 0, F.lit('{"titular": "Dávid Guevara", "valor": 3}')).when(F.col("id") % 3 == 1, F.lit('{"empresa_origen": "GRO*** DYD*** COM***"}')).otherwise("[1]").alias("payload")), "payload", "account").select("id", "account"),
     "SELECT id, CASE id % 3 WHEN 0 THEN 'NEQUI' WHEN 1 THEN 'CUENTA' ELSE 'NINGUNO' END AS account FROM deposits")
-add("run_tree", lambda s, d: rn.run_detail(a.process_runs(s, d), a.source_images(s, d), a.deposits(s, d)).select("id", F.explode("images").alias("i")).select("id", "i.sequence_index", F.explode("i.deposits").alias("x")).select("id", "sequence_index", F.col("x.referencia").alias("referencia")),
-    "SELECT r.id, i.sequence_index, d.referencia FROM process_runs r JOIN source_images i ON i.process_run_id = r.id JOIN deposits d ON d.source_image_id = i.id")
+add("run_tree", lambda s, d: rn.run_detail(a.process_runs(s, d), REPORT_IMAGES(s, d), a.deposits(s, d)).select(
+    "id", "original_filename", "status", "total_images", "total_records", "error_message", "started_at", "finished_at", "created_at", F.explode("source_images").alias("i")).select(
+    "*", F.col("i.id").alias("image_id"), "i.sequence_index", "i.source_name", "i.content_hash", "i.context_date", "i.ocr_status", F.col("i.error_message").alias("image_error"), "i.image_file", F.length("i.ocr_raw_text").alias("text_chars"), F.explode("i.deposits").alias("x")).select(
+    "*", F.col("x.id").alias("deposit_id"), F.col("x.sequence_index").alias("deposit_index"), "x.fecha_consignacion", "x.hora_consignacion", "x.referencia", "x.valor", "x.descripcion", "x.is_current_month", F.array_join("x.observations", ";").alias("notes"), F.col("x.created_at").alias("stored_at")).drop("i", "x"),
+    """WITH c AS (SELECT process_run_id, count(*) AS n FROM source_images WHERE image_file <> '' GROUP BY 1), k AS (SELECT process_run_id, count(*) AS n FROM deposits GROUP BY 1)
+    SELECT r.id, original_filename, r.status, coalesce(c.n, 0) AS total_images, coalesce(k.n, 0) AS total_records, r.error_message, started_at, finished_at, r.created_at, i.id AS image_id, i.sequence_index, i.source_name, i.content_hash, i.context_date, i.ocr_status, i.error_message AS image_error,
+    i.image_file, length(t.text)::INT AS text_chars, d.id AS deposit_id, d.sequence_index AS deposit_index, d.fecha_consignacion, d.hora_consignacion, d.referencia, d.valor, CASE WHEN contains(t.text, '3176771287') THEN 'NEQUI' ELSE 'NINGUNO' END AS descripcion, d.is_current_month,
+    array_to_string(d.observations, ';') AS notes, d.created_at AS stored_at FROM process_runs r JOIN source_images i ON i.process_run_id = r.id JOIN receipts t ON t.id = i.id JOIN deposits d ON d.source_image_id = i.id LEFT JOIN c ON c.process_run_id = r.id LEFT JOIN k ON k.process_run_id = r.id""")
 STATUS_SQL = """WITH i AS (SELECT process_run_id, count(*) AS total_images, count(*) FILTER (WHERE ocr_status = 'failed') AS failed_images,
   min_by(error_message, sequence_index) FILTER (WHERE ocr_status = 'failed') AS e FROM source_images WHERE image_file <> '' GROUP BY 1),
 s AS (SELECT i.*, coalesce(d.n, 0) AS total_records FROM i LEFT JOIN (SELECT process_run_id, count(*) n FROM deposits GROUP BY 1) d USING (process_run_id))
@@ -216,8 +226,9 @@ add("correction_row", lambda s, d: rc.correction_row(a.keyed_corrections(s, d)),
 add("partial_correction", lambda s, d: rc.partial_correction(a.deposits(s, d), {"id": 70, "fecha_consignacion": "2026-04-22", "valor": 175000}, 4, 2026).select("id", "fecha_consignacion", "hora_consignacion", "valor", "is_current_month", F.size("observations").alias("n"), "manually_corrected"),
     """SELECT id, CASE WHEN id = 70 THEN '22/04/2026' ELSE fecha_consignacion END AS fecha_consignacion, hora_consignacion, CASE WHEN id = 70 THEN 175000::DECIMAL(14,2) ELSE valor END AS valor,
     CASE WHEN id = 70 THEN TRUE ELSE is_current_month END AS is_current_month, CASE WHEN id = 70 THEN 0 ELSE len(observations)::INT END AS n, id = 70 AS manually_corrected FROM deposits""")
-add("table_stats", lambda s, d: rn.table_stats(deposits=a.deposits(s, d), logs=a.logs(s, d), process_runs=a.process_runs(s, d), source_images=a.source_images(s, d)),
-    "SELECT 'deposits' AS table_name, count(*) AS n FROM deposits UNION ALL SELECT 'logs', count(*) FROM logs UNION ALL SELECT 'process_runs', count(*) FROM process_runs UNION ALL SELECT 'source_images', count(*) FROM source_images")
+add("table_stats", lambda s, d: rn.table_stats(s, {"deposits": f"{d}/orders.parquet", "logs": f"{d}/events.parquet", "process_runs": f"{d}/customer.parquet", "attempts": f"{d}/lineitem.parquet", "gone": f"{d}/gone.parquet"}),
+    """SELECT 'deposits' AS table_name, TRUE AS present, count(*) AS n, 2 AS place FROM deposits UNION ALL SELECT 'logs', TRUE, count(*), 3 FROM logs UNION ALL SELECT 'process_runs', TRUE, count(*), 4 FROM process_runs
+    UNION ALL SELECT 'attempts', TRUE, count(*), 1 FROM lineitem UNION ALL SELECT 'source_images', FALSE, NULL, NULL""")
 
 # Stage log ------------------------------------------------------------------------------------
 
@@ -438,9 +449,25 @@ add("dedup_merge", lambda s, d: rc.dedup_merge(a.candidates(s, d)).select("sourc
     SELECT k.source_image_id, k.idx, c.fecha_consignacion, c.hora_consignacion, c.referencia, c.valor, merged FROM kept k JOIN candidates c ON c.source_image_id = k.source_image_id AND c.idx = k.row_of""")
 add("dedup_events", over(rc.dedup_events, "candidates"),
     f"""WITH RECURSIVE {FOLD} SELECT source_image_id, spot AS idx, what AS stage, other, CASE what WHEN 'result_duplicate_skipped' THEN 'same_canonical_transaction_key' ELSE 'same_reference_and_amount_with_missing_datetime' END AS reason FROM fold WHERE what LIKE 'result%'""")
-add("existing_key_anti", lambda s, d: rc.existing_key_anti(rc.with_keys(a.candidates(s, d)), rc.with_keys(a.candidates(s, d)).filter("source_image_id % 2 = 0")).agg(F.count("*").alias("n")),
-    "SELECT count(*) AS n FROM (SELECT DISTINCT source_image_id, canonical_key FROM keyed WHERE source_image_id % 2 = 1)")
-add("existing_key_semi", lambda s, d: rc.existing_key_semi(rc.with_keys(a.candidates(s, d)), rc.with_keys(a.candidates(s, d)).filter("source_image_id % 2 = 0")).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM candidates WHERE source_image_id % 2 = 0")
+DONE_DEPOSITS = lambda s, d: a.deposits(s, d).join(a.process_runs(s, d).filter("status = 'completed'").select(F.col("id").alias("process_run_id")), "process_run_id", "left_semi")
+DONE_SQL = "SELECT d.id FROM deposits d JOIN process_runs r ON r.id = d.process_run_id WHERE r.status = 'completed'"
+KEYS_SQL = f"stored AS (SELECT source_image_id, canonical_key FROM keyed WHERE idx = 1 AND canonical_key <> '' AND source_image_id IN ({DONE_SQL}))"
+KEYED_FIELDS = ("source_image_id", "idx", "canonical_key", *rc.FIELDS, "confidence")
+
+
+def _stored_keys(s: SparkSession, d: str) -> DataFrame:
+    """Of images of completed runs the key of the first candidate, which may have none."""
+    return rc.with_keys(a.candidates(s, d)).filter("idx = 1").join(DONE_DEPOSITS(s, d).select("source_image_id"), "source_image_id", "left_semi")
+
+
+add("existing_key_anti", lambda s, d: rc.existing_key_anti(rc.with_keys(a.candidates(s, d)).select(*KEYED_FIELDS), _stored_keys(s, d)),
+    f"""WITH {KEYS_SQL} SELECT {', '.join(KEYED_FIELDS)} FROM keyed WHERE canonical_key = '' UNION ALL
+    SELECT * FROM (SELECT {', '.join(KEYED_FIELDS)} FROM keyed ANTI JOIN stored USING (source_image_id, canonical_key) WHERE canonical_key <> '' QUALIFY row_number() OVER (PARTITION BY source_image_id, canonical_key ORDER BY idx) = 1)""")
+add("existing_key_semi", lambda s, d: rc.existing_key_semi(rc.with_keys(a.candidates(s, d)).select(*KEYED_FIELDS), _stored_keys(s, d)),
+    f"WITH {KEYS_SQL} SELECT {', '.join(KEYED_FIELDS)} FROM keyed SEMI JOIN stored USING (source_image_id, canonical_key)")
+add("key_outcomes", lambda s, d: rc.key_outcomes(rc.with_keys(a.candidates(s, d)).select(*KEYED_FIELDS), _stored_keys(s, d)).select("source_image_id", "idx", "stage", "reason"),
+    f"""WITH {KEYS_SQL} SELECT source_image_id, idx, CASE WHEN goes THEN 'result_duplicate_skipped' ELSE 'record_created' END AS stage, CASE WHEN goes THEN 'existing_persisted_canonical_key' ELSE '' END AS reason FROM (
+    SELECT *, canonical_key <> '' AND ((source_image_id, canonical_key) IN (SELECT source_image_id, canonical_key FROM stored) OR idx > min(idx) OVER (PARTITION BY source_image_id, canonical_key)) AS goes FROM keyed)""")
 add("describe_text", lambda s, d: describe.with_description(a.receipts(s, d).select("id", F.when(F.col("id") % 4 == 0, "Pago a Dávid  Guevara").when(F.col("id") % 4 == 1, "GRO*** DYD*** COM***").when(F.col("id") % 4 == 2, F.col("text")).otherwise("DAVID GUEBARA").alias("x")), "x", "account").select("id", "account"),
     "SELECT id, CASE id % 4 WHEN 0 THEN 'NEQUI' WHEN 1 THEN 'CUENTA' WHEN 2 THEN CASE WHEN variant = 4 THEN 'NEQUI' ELSE 'NINGUNO' END ELSE 'NEQUI' END AS account FROM receipts")
 
@@ -470,18 +497,8 @@ add("build_prompts", lambda s, d: responses.build_prompts(a._t(s, d, "documents"
 
 # The same operators over whole inputs -----------------------------------------------------------
 
-DONE_DEPOSITS = lambda s, d: a.deposits(s, d).join(a.process_runs(s, d).filter("status = 'completed'").select(F.col("id").alias("process_run_id")), "process_run_id", "left_semi")
-DONE_SQL = "SELECT d.id FROM deposits d JOIN process_runs r ON r.id = d.process_run_id WHERE r.status = 'completed'"
-KEYS_SQL = f"stored AS (SELECT source_image_id, canonical_key FROM keyed WHERE idx = 1 AND source_image_id IN ({DONE_SQL}))"
-
-
-def _stored_keys(s: SparkSession, d: str) -> DataFrame:
-    """Of images of completed runs the key of the first candidate."""
-    return rc.with_keys(a.candidates(s, d)).filter("idx = 1").join(DONE_DEPOSITS(s, d).select("source_image_id"), "source_image_id", "left_semi")
-
-
-add("existing_key_anti_rows", lambda s, d: rc.existing_key_anti(rc.with_keys(a.candidates(s, d)), _stored_keys(s, d)).select("source_image_id", "canonical_key"),
-    f"WITH {KEYS_SQL} SELECT DISTINCT source_image_id, canonical_key FROM keyed ANTI JOIN stored USING (source_image_id, canonical_key)")
+add("existing_key_anti_rows", lambda s, d: rc.existing_key_anti(rc.with_keys(a.candidates(s, d)).select(*KEYED_FIELDS), _stored_keys(s, d)).groupBy("source_image_id", "canonical_key").agg(F.count("*").alias("n")),
+    f"WITH {KEYS_SQL} SELECT source_image_id, canonical_key, CASE WHEN canonical_key = '' THEN count(*) ELSE 1 END AS n FROM keyed ANTI JOIN stored USING (source_image_id, canonical_key) GROUP BY 1, 2")
 add("existing_key_semi_rows", lambda s, d: rc.existing_key_semi(rc.with_keys(a.candidates(s, d)), _stored_keys(s, d)).select("source_image_id", "idx", "canonical_key"),
     f"WITH {KEYS_SQL} SELECT source_image_id, idx, canonical_key FROM keyed SEMI JOIN stored USING (source_image_id, canonical_key)")
 add("unknown_ids_completed", lambda s, d: rc.unknown_ids_anti(a.logs(s, d).select("id"), DONE_DEPOSITS(s, d)), f"SELECT id FROM logs WHERE id NOT IN ({DONE_SQL})")
@@ -557,8 +574,14 @@ add("diagnostic_report", lambda s, d: dg.diagnostic_report(dg.stage_summary(TRAC
     SELECT process_run_id, 0 AS part, (generate_subscripts(v, 1) - 1)::INT AS line, unnest(v) AS value FROM h
     UNION ALL SELECT process_run_id, 1, (generate_subscripts(c, 1) - 1)::INT, '* ' || unnest(c) FROM (SELECT process_run_id, string_split(recommendations, ',') AS c FROM advice WHERE recommendations <> '')
     UNION ALL SELECT process_run_id, 2, id::INT, '| ' || concat_ws(' | ', id, stage, coalesce(status, CASE WHEN is_error THEN 'failed' ELSE 'completed' END), coalesce(duration_ms::VARCHAR, '-'), coalesce(nullif(coalesce(error_message, notes), ''), '-')) || ' |' FROM trace_logs WHERE coalesce(status, '') <> 'started'""")
-add("run_list", over(rn.run_list, "process_runs"), "SELECT id, original_filename, status, created_at, finished_at, error_message FROM process_runs")
-add("log_list", over(rn.log_list, "logs"), "SELECT id, process_run_id, stage, status, is_error, created_at FROM logs")
+add("run_list", over(rn.run_list, "process_runs", "source_images", "deposits"),
+    """SELECT r.id, original_filename, status, coalesce(i.n, 0) AS total_images, coalesce(d.n, 0) AS total_records, started_at, finished_at, created_at FROM process_runs r LEFT JOIN (SELECT process_run_id, count(*) n FROM source_images WHERE image_file <> '' GROUP BY 1) i ON i.process_run_id = r.id
+    LEFT JOIN (SELECT process_run_id, count(*) n FROM deposits GROUP BY 1) d ON d.process_run_id = r.id""")
+LIST_LOGS = lambda s, d: rn.log_list(a.trace_logs(s, d).drop("raw_payload").withColumns({"model": F.lit(""), "ocr_mode": F.lit(""), "raw_text": F.lit("")}), a.source_images(s, d))
+add("log_list", LIST_LOGS,
+    """SELECT l.process_run_id, l.id, source_image_id, i.sequence_index, stage, provider, '' AS model, '' AS ocr_mode, '' AS raw_text, notes, is_error, l.created_at FROM trace_logs l LEFT JOIN source_images i ON i.id = l.source_image_id""")
+ROW_PLACE = lambda rows: rows.withColumn("place", F.monotonically_increasing_id()).groupBy("process_run_id").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("x")).select("process_run_id", F.array_join(F.transform("x", lambda x: x["id"].cast("string")), ",").alias("ids"))
+add("log_order", lambda s, d: ROW_PLACE(LIST_LOGS(s, d)), "SELECT l.process_run_id, string_agg(l.id::VARCHAR, ',' ORDER BY i.sequence_index NULLS FIRST, l.id) AS ids FROM trace_logs l LEFT JOIN source_images i ON i.id = l.source_image_id GROUP BY 1")
 
 
 file_queries.register(add, _stored_keys, KEYS_SQL)

@@ -9,6 +9,7 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
@@ -16,6 +17,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerloom.functions.dates import SPANISH_MONTHS, _month, _real_date, _year
 from ledgerloom.functions.text import let
@@ -84,11 +86,27 @@ def validate_docx(files: DataFrame, references: DataFrame) -> DataFrame:
                           .when(F.col("largest") > MAX_IMAGE_BYTES, "docx_unsupported_content").when(F.coalesce("images", F.lit(0)) == 0, "docx_no_images").otherwise("").alias("reason"))
 
 
-def docx_text(references: DataFrame) -> DataFrame:
-    """path and its paragraphs, a line each."""
-    runs = references.filter("error IS NULL").select("path", "par", "run", "text")
-    lines = runs.groupBy("path", "par").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "").alias("line"))
-    return lines.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("par", "line"))), lambda x: x["line"]), "\n").alias("text"))
+def _text_of(content: bytes) -> str:
+    """Paragraphs that hold text, a line each, trimmed; a file that cannot be read has the empty text."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if "word/document.xml" not in z.namelist():
+                return ""
+            body = ElementTree.fromstring(z.read("word/document.xml"))
+    except (zipfile.BadZipFile, ElementTree.ParseError, EOFError, NotImplementedError, RuntimeError, zlib.error):
+        return ""
+    lines = ("".join(t.text or "" for t in p.iter(f"{W}t")) for p in body.iter(f"{W}p"))
+    return "\n".join(line for line in lines if line).strip()
+
+
+@F.pandas_udf(StringType())
+def text_of(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: _text_of(bytes(c or b"")))
+
+
+def docx_text(files: DataFrame) -> DataFrame:
+    """path and text of each file, text boxes and links with their paragraph; a damaged file has the empty text."""
+    return files.select("path", text_of("content").alias("text"))
 
 
 def _join_runs(texts: Column) -> Column:

@@ -128,13 +128,6 @@ def test_today_falls_back(spark):
     assert [r["id"] for r in q.today_or_all_valid(d, AS_OF).collect()] == [1]
 
 
-def test_readonly_guard(spark):
-    for bad in ("DELETE FROM t", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "drop table t"):
-        with pytest.raises(ValueError):
-            q.check_readonly(bad)
-    assert q.readonly_sql(spark, "select count(*) n from d where valor > :v;", {"d": deposits(spark)}, args={"v": 60000}).first()["n"] == 2
-
-
 def test_updates_and_deletes_keep_unknown_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, status string")
     source = q.Source(df, {"id": "id", "status": "status"})
@@ -190,13 +183,6 @@ def test_extraction_events_keep_rejected_candidates(spark):
     assert got.filter("stage <> 'rejected_candidate'").count() == sum(variants.values())
 
 
-def test_store_only_new(spark, tmp_path):
-    new = spark.createDataFrame([(1, "k1"), (1, "k2"), (1, "k2"), (2, "k1")], "source_image_id long, canonical_key string")
-    stored = spark.createDataFrame([(1, "k1")], "source_image_id long, canonical_key string")
-    rc.write_deposits(new, stored, str(tmp_path / "d"))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "d")).collect())) == [(1, "k2"), (2, "k1")]
-
-
 ATTEMPTS = "source_image_id long, attempt_number int, strategy string, records array<struct<referencia:string,valor:string>>, confidence double, error string"
 
 
