@@ -52,11 +52,12 @@ def _document(images: list) -> bytes:
         media[k] = b"\x89PNG\r\n\x1a\n" + b"picture%d" % (k % 3) * 8
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", HEAD + "".join(body) + "</w:body></w:document>")
+        # Entries have the format's first date, so equal documents have equal bytes.
+        z.writestr(zipfile.ZipInfo("word/document.xml"), HEAD + "".join(body) + "</w:body></w:document>")
         links = "".join(f'<Relationship Id="r{k}" Target="media/image{k}.png"/>' for k in media)
-        z.writestr("word/_rels/document.xml.rels", LINKS + links + "</Relationships>")
+        z.writestr(zipfile.ZipInfo("word/_rels/document.xml.rels"), LINKS + links + "</Relationships>")
         for k, data in media.items():
-            z.writestr(f"word/media/image{k}.png", data)
+            z.writestr(zipfile.ZipInfo(f"word/media/image{k}.png"), data)
     return out.getvalue()
 
 
@@ -98,17 +99,14 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """What a stream gives of all that is there now: each batch is written to a folder, in complete mode in place of the one before."""
+    """What a stream gives of all that is there now: each batch in a folder of its number, of which in complete mode the last one holds."""
     spark, folder = stream.sparkSession, scratch(stream.sparkSession, label)
     schema = stream.schema
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
-
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/rows")
-    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/rows/batch=-1")
+    run = stream.writeStream.outputMode(mode).foreachBatch(st.batch_sink(f"{folder}/rows")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/rows")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    return (rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()) if mode == "complete" else rows).select(*schema.names)
 
 
 def _retry_state(s: SparkSession, d: str) -> DataFrame:
@@ -121,22 +119,19 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
     return drained(st.stream_ingest(rows, "3650 days").select("fingerprint"), "ingest")
 
 
-WRITTEN = ("source_image_id", "idx", "canonical_key", "fecha_consignacion", "hora_consignacion", "referencia", "valor")
-
-
-def _write_deposits(s: SparkSession, d: str, stored_keys: Callable) -> DataFrame:
-    """Two batches of images, the first of them written twice: the table."""
-    path, keyed, stored = scratch(s, "deposits"), rc.with_keys(a.candidates(s, d)).select(*WRITTEN), stored_keys(s, d)
-    for batch, images in (("1", "source_image_id % 3 > 0"), ("2", "source_image_id % 3 = 0"), ("1", "source_image_id % 3 > 0")):
-        rc.write_deposits(keyed.filter(images), path, batch, stored)
-    return s.read.parquet(path).select(F.col("batch").cast("string").alias("batch"), *WRITTEN)
+def _silences(s: SparkSession, d: str) -> DataFrame:
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return drained(st.stream_silences(event_stream(s, d)), "silences")
 
 
-def _write_counts(s: SparkSession, d: str, stored_keys: Callable) -> DataFrame:
-    """What batches count: some images, then all of them, then all of them again."""
-    path, keyed, stored = scratch(s, "deposits"), rc.with_keys(a.candidates(s, d)).select(*WRITTEN), stored_keys(s, d)
-    done = [(name, *rc.write_deposits(rows, path, batch, stored)[1:]) for name, batch, rows in (("first", "1", keyed.filter("source_image_id % 3 > 0")), ("second", "2", keyed), ("second again", "2", keyed))]
-    return s.createDataFrame(done, "batch string, accepted long, created long, skipped long")
+def _ingest_documents(s: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream, some of which come twice under other names: references of each once. Which of equal documents stays is open."""
+    made = docx_files(s, d).select("path", "content", F.col("document_hash").alias("fingerprint"), F.timestamp_seconds(F.lit(a.EPOCH) + F.length("content")).alias("received_at"))
+    folder = scratch(s, "documents")
+    made.unionByName(made.withColumn("path", F.concat(F.lit("again/"), "path"))).repartition(4, "fingerprint").write.parquet(folder)
+    stream = s.readStream.schema(made.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    rows = drained(st.stream_references(stream, "3650 days"), "references")
+    return rows.select("par", "run", "text", "target", "error")
 
 
 def _write_log(s: SparkSession, d: str) -> DataFrame:
@@ -187,9 +182,19 @@ def register(add: Callable, stored_keys: Callable, keys_sql: str) -> None:
     add("stream_ingest", _ingest, "SELECT DISTINCT user_id || '-' || event_type AS fingerprint FROM events")
     add("stream_stage_metrics", lambda s, d: drained(st.stream_stage_metrics(event_stream(s, d)), "stage-metrics", "complete").select(F.col("window.start").alias("start"), "process_run_id", "stage", "calls", "total_ms", "avg_ms", "errors"),
         """SELECT time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP) AS start, user_id AS process_run_id, event_type AS stage, count(*) AS calls, sum(round(value * 100)::BIGINT)::BIGINT AS total_ms, floor(avg(round(value * 100)::BIGINT))::BIGINT AS avg_ms, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1, 2, 3""")
-    add("stream_stale_runs", lambda s, d: drained(st.stream_stale_runs(event_stream(s, d)), "stale-runs", "complete"),
-        """WITH g AS (SELECT *, coalesce(ts::TIMESTAMP >= lag(ts::TIMESTAMP) OVER w + INTERVAL 300 SECOND, TRUE)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
-        SELECT user_id AS process_run_id, max(ts::TIMESTAMP) + INTERVAL 300 SECOND AS stale_since, count(*) AS events, arg_max(event_type, ts) AS last_stage FROM h GROUP BY user_id, k""")
+    add("stream_ingest_documents", _ingest_documents,
+        f"""WITH {DOCX_SQL}, p AS (SELECT *, (ref + count(heading) OVER (PARTITION BY path ORDER BY ref))::INT AS par FROM good), f AS (SELECT path, max(k) AS k, md5(string_agg(id % 6 || coalesce(heading, ''), ',' ORDER BY ref)) AS h FROM n GROUP BY path),
+        one AS (SELECT min(path) AS path FROM f WHERE k <> 3 GROUP BY h UNION ALL SELECT min(path) FROM f WHERE k = 3)
+        SELECT par, 1 AS run, '' AS text, target, NULL AS error FROM p SEMI JOIN one USING (path)
+        UNION ALL SELECT par - 1, x.run, CASE x.run WHEN 1 THEN 'Pago ' ELSE heading END, NULL, NULL FROM p SEMI JOIN one USING (path), (VALUES (1), (2)) AS x(run) WHERE heading IS NOT NULL
+        UNION ALL SELECT 0, 0, NULL, NULL, 'invalid_docx' FROM f SEMI JOIN one USING (path) WHERE k = 3""")
+    # Events that the watermark, a minute behind the newest one, has passed.
+    passed = "e AS (SELECT *, ts::TIMESTAMP AS t FROM events), passed AS (SELECT * FROM e WHERE t <= (SELECT max(t) FROM e) - INTERVAL 1 MINUTE)"
+    silent = f"""{passed}, g AS (SELECT *, coalesce(t >= lag(t) OVER w + INTERVAL 300 SECOND, TRUE)::INT AS new FROM passed WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM g),
+        s AS (SELECT user_id AS process_run_id, k, min(t) AS began, max(t) + INTERVAL 300 SECOND AS stale_since, count(*) AS events, arg_max(event_type, struct_pack(t := t, i := event_id)) AS last_stage, arg_min(event_type, struct_pack(t := t, i := event_id)) AS first_stage FROM h GROUP BY user_id, k),
+        stale AS (SELECT * FROM s WHERE stale_since <= (SELECT max(t) FROM e) - INTERVAL 1 MINUTE)"""
+    add("stream_stale_runs", lambda s, d: _silences(s, d).filter("kind = 'stale'").select("process_run_id", F.col("at").alias("stale_since"), "events", "last_stage"), f"WITH {silent} SELECT process_run_id, stale_since, events, last_stage FROM stale")
+    add("stream_silences", _silences, f"WITH {silent} SELECT process_run_id, 'stale' AS kind, stale_since AS at, events, last_stage FROM stale UNION ALL SELECT process_run_id, 'resumed', began, 1, first_stage FROM s WHERE k > 1")
     add("stream_retry_state", _retry_state,
-        """WITH g AS (SELECT event_id AS id, event_id % 97 AS source_image_id, event_type = 'error' AS e, sum((event_type <> 'error')::INT) OVER (PARTITION BY event_id % 97 ORDER BY ts, event_id) AS k, ts FROM events),
-        r AS (SELECT *, (sum(e::INT) OVER (PARTITION BY source_image_id, k ORDER BY ts, id))::INT AS retries FROM g) SELECT source_image_id, id, retries, retries < 3 AS may_retry FROM r""")
+        f"""WITH {passed}, g AS (SELECT event_id AS id, event_id % 97 AS source_image_id, event_type = 'error' AS e, sum((event_type <> 'error')::INT) OVER (PARTITION BY event_id % 97 ORDER BY t, event_id) AS k, t FROM passed),
+        r AS (SELECT *, (sum(e::INT) OVER (PARTITION BY source_image_id, k ORDER BY t, id))::INT AS retries FROM g) SELECT source_image_id, id, retries, retries < 3 AS may_retry FROM r""")
