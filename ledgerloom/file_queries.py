@@ -19,7 +19,7 @@ from ledgerloom.functions import money, redact, text, validate
 from ledgerloom.operators import events as ev
 from ledgerloom.operators import query as q
 from ledgerloom.operators import records as rc
-from ledgerloom.sources import docx, responses
+from ledgerloom.sources import docx, reports, responses
 from ledgerloom.streaming import events as st
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -140,6 +140,22 @@ def _write_log(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).select("id", "stage", "raw_payload")
 
 
+def written_report(report: DataFrame) -> DataFrame:
+    """A report written as a CSV file per run and read back, empty texts as such."""
+    path = scratch(report.sparkSession, "report")
+    reports.write_csv(report, path)
+    return reports.read_csv(report.sparkSession, path).fillna("", [c for c in reports.REPORT_COLUMNS if c not in ("SECUENCIA", "VALOR")])
+
+
+def written_lines(lines: DataFrame) -> DataFrame:
+    """Lines written as a text file per run and read back: the place of each in its file."""
+    path = scratch(lines.sparkSession, "markdown")
+    reports.write_markdown(lines, path)
+    # A run is one file, which is read in the order of its lines.
+    read = reports.read_markdown(lines.sparkSession, path).withColumn("at", F.monotonically_increasing_id())
+    return read.groupBy("run").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n")).alias("content_md5"), F.count("*").alias("n"))
+
+
 def register(add: Callable, stored_keys: Callable, keys_sql: str) -> None:
     add("docx_image_refs", lambda s, d: docx.kept_images(references(s, d)).select("path", "ref", "sequence_index", "target", "skip_reason", "context_date"),
         f"""WITH {DOCX_SQL}, r AS (SELECT *, CASE WHEN again THEN 'same_package_target' WHEN adjacent THEN 'adjacent_same_binary_content' END AS skip_reason FROM good)

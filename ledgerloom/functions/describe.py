@@ -34,9 +34,15 @@ def seq_ratios(person: pd.Series, company: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"person": likeness(person, PERSON.replace(" ", "")), "company": likeness(company, COMPANY.replace(" ", ""))})
 
 
-def may_reach(a: Column, b: Column, least: float) -> Column:
-    """Whether lengths alone allow a ratio of `least`: 2 * shorter / sum."""
-    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+def may_reach(text: Column, name: str, least: float) -> Column:
+    """Whether a text may be as like a name as `least`: by its length, and where that allows it by its letters, as common blocks hold no more of a letter than both have.
+
+    Likeness is 2 * (letters in common blocks) / (sum of lengths), so 2 * (letters both have) / sum is never below it.
+    """
+    size = F.length(text)
+    both = sum((F.least(size - F.length(F.replace(text, F.lit(x), F.lit(""))), F.lit(name.count(x))) for x in sorted(set(name))), F.lit(0))
+    by_length = 2 * F.least(size, F.lit(len(name))) >= least * (size + len(name))
+    return F.when(by_length, 2 * both >= least * (size + len(name))).otherwise(False)
 
 
 def company_marks(c: Column) -> Column:
@@ -49,17 +55,28 @@ def company_marks(c: Column) -> Column:
     return (has("GROUP") & has("DYD") & has("COMUNIC")) | dyd & (has("GRUPO") | has("GRO") | has("GROUP") | has("COM") | has("SAS")) | dyd_masked & (group | com_masked)
 
 
+def _asked(df: DataFrame, text: str) -> tuple[Column, Column, Column]:
+    """Of a column with folded text: what is decided without the likeness, and the texts whose likeness to the person or the company has to be asked."""
+    n = F.col("_describe_text")
+    decided = F.when(n == "", "NINGUNO").when(n.contains(PERSON) | digits_only(n).contains(PHONE), "NEQUI").when(company_marks(F.col(text)), "CUENTA")
+    open_row = F.coalesce(decided, F.lit("")).isin("", "CUENTA")
+    squeezed, marks_off = F.replace(n, F.lit(" "), F.lit("")), F.regexp_replace(n, "[^A-Z0-9]", "")
+    return decided, F.when(open_row & may_reach(squeezed, PERSON.replace(" ", ""), PERSON_LIKE), squeezed), F.when(open_row & may_reach(marks_off, COMPANY.replace(" ", ""), COMPANY_LIKE), marks_off)
+
+
+def asked_share(df: DataFrame, text: str) -> DataFrame:
+    """n rows, and how many of them the likeness is asked for."""
+    df = df.withColumn("_describe_text", fold(F.col(text)))
+    _, person, company = _asked(df, text)
+    return df.agg(F.count("*").alias("n"), F.count_if(person.isNotNull() | company.isNotNull()).alias("asked"))
+
+
 def with_description(df: DataFrame, text: str, out: str = "description") -> DataFrame:
-    """df with NEQUI, CUENTA or NINGUNO. The likeness, one call for both names, is asked only where nothing simpler decided and the length allows it."""
+    """df with NEQUI, CUENTA or NINGUNO. The likeness, one call for both names, is asked only where nothing simpler decided and length and letters allow it."""
     n, sure, both = "_describe_text", "_describe_sure", "_describe_like"
     df = df.withColumn(n, fold(F.col(text)))
-    decided = (F.when(F.col(n) == "", "NINGUNO").when(F.col(n).contains(PERSON) | digits_only(F.col(n)).contains(PHONE), "NEQUI").when(company_marks(F.col(text)), "CUENTA"))
-    df = df.withColumn(sure, decided)
-    open_row = F.coalesce(F.col(sure), F.lit("")).isin("", "CUENTA")
-    squeezed, marks_off = F.replace(F.col(n), F.lit(" "), F.lit("")), F.regexp_replace(n, "[^A-Z0-9]", "")
-    person = F.when(open_row & may_reach(squeezed, F.lit(PERSON.replace(" ", "")), PERSON_LIKE), squeezed)
-    company = F.when(open_row & may_reach(marks_off, F.lit(COMPANY.replace(" ", "")), COMPANY_LIKE), marks_off)
-    df = df.withColumn(both, seq_ratios(person, company))
+    decided, person, company = _asked(df, text)
+    df = df.withColumn(sure, decided).withColumn(both, seq_ratios(person, company))
     answer = (F.when(F.col(sure) == "NINGUNO", "NINGUNO").when((F.col(sure) == "NEQUI") | (F.col(f"{both}.person") >= PERSON_LIKE), "NEQUI")
               .when((F.col(sure) == "CUENTA") | (F.col(f"{both}.company") >= COMPANY_LIKE), "CUENTA").otherwise("NINGUNO"))
     return df.withColumn(out, answer).drop(n, sure, both)

@@ -174,7 +174,7 @@ def event_rows(logs: DataFrame) -> DataFrame:
         *[get(name, kind).alias(name) for name, kind in EVENT_FIELDS.items()], F.coalesce(F.nullif(get("error_message", "string"), F.lit("")), "notes").alias("error_message"), "created_at")
 
 
-def diagnostic_report(summary: DataFrame, advice: DataFrame, events: DataFrame) -> DataFrame:
+def diagnostic_report(summary: DataFrame, advice: DataFrame, events: DataFrame, ordered: bool = True) -> DataFrame:
     """A Markdown report per run, as numbered lines (process_run_id, part, line, value): header figures, recommendations, table of events without started ones.
 
     summary: of stage_summary with images; advice: of recommendations; events: of event_rows.
@@ -187,7 +187,8 @@ def diagnostic_report(summary: DataFrame, advice: DataFrame, events: DataFrame)
         "process_run_id", "part", "line", F.concat(F.lit("* "), "code").alias("value"))
     cells = F.concat_ws(" | ", shown("id"), shown("stage"), shown("status"), shown("duration_ms"), F.coalesce(F.nullif(F.col("error_message"), F.lit("")), F.lit("-")))
     table = events.filter("status <> 'started'").select("process_run_id", F.lit(2).alias("part"), F.col("id").cast("int").alias("line"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("value"))
-    return top.unionByName(told).unionByName(table).orderBy("process_run_id", "part", "line")
+    lines = top.unionByName(told).unionByName(table)
+    return lines.orderBy("process_run_id", "part", "line") if ordered else lines
 
 
 def run_audit(logs: DataFrame, run: int) -> DataFrame:

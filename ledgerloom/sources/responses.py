@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerloom.functions.text import settled, strip
+from ledgerloom.functions.text import let, settled, strip
 from ledgerloom.functions.validate import valid_record
 
-ITEMS = "consignaciones array<struct<fecha_consignacion:string,hora_consignacion:string,referencia:string,valor:string,remitente:string>>"
+ITEMS, ITEM = "consignaciones array<string>", "fecha_consignacion string, hora_consignacion string, referencia string, valor string, remitente string"
 PROMPT_CHARS, HEADING_CHARS = 8000, 500
 
 
@@ -24,32 +22,35 @@ def clean_ocr_response(c: Column) -> Column:
     return without_thoughts(c, "text|json|markdown")
 
 
-@F.pandas_udf(T.StringType())
-def first_json_object(texts: pd.Series) -> pd.Series:
-    """The first balanced object in a text: braces inside strings do not count, which no regular expression can tell."""
-    def one(text: str | None) -> str | None:
-        if text is None or (start := text.find("{")) < 0:
-            return text
-        depth, quoted, skip = 0, False, False
-        for i, c in enumerate(text[start:], start):
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    return text[start : i + 1]
-        return text[start:]
-    return texts.map(one)
+#: What matters in JSON: whole strings (a cut-off one up to the end), braces, and stretches without either.
+TOKEN = r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[{}]|[^"{}]+'
+
+
+def first_json_object(c: Column) -> Column:
+    """The first balanced object in a text; braces inside strings do not count. Without a brace the text itself, and one that is cut off from its first brace to the end.
+
+    From the first brace on the text falls into tokens; one walk over them keeps the depth and the
+    length so far as two numbers, and stops to count where the depth is back at 0.
+    """
+    start = F.instr(c, "{")
+
+    def walk(state: Column, token: Column) -> Column:
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        return F.when(state["done"], state).otherwise(F.struct(depth.alias("depth"), (state["length"] + F.length(token)).alias("length"), (depth == 0).alias("done")))
+
+    def cut(rest: Column) -> Column:
+        none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
+        return F.left(rest, F.aggregate(F.regexp_extract_all(rest, F.lit(f"(?s){TOKEN}"), F.lit(0)), none, walk, lambda s: s["length"]))
+
+    return F.when(start == 0, c).otherwise(let(F.substr(c, start), cut))
 
 
 def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame:
     """The valid items of each response, with their position; bad JSON and bad items give no row."""
     read = responses.withColumn("_json", first_json_object(without_thoughts(F.col(column))))
-    items = read.withColumn("_items", F.from_json("_json", ITEMS)["consignaciones"]).select(*responses.columns, F.posexplode("_items").alias("position", "_item"))
+    items = read.withColumn("_items", F.from_json("_json", ITEMS)["consignaciones"]).select(*responses.columns, F.posexplode("_items").alias("position", "_text"))
+    # Items one by one, so that one that is no object does not spoil the others.
+    items = items.withColumn("_item", F.from_json("_text", ITEM))
     checked = settled(items, _r=valid_record(F.col("_item.referencia"), F.col("_item.valor"), F.col("_item.fecha_consignacion"), F.col("_item.hora_consignacion")))
     return checked.filter("_r.error IS NULL").select(*[c for c in responses.columns if c != column], "position", "_r.fecha_consignacion", "_r.hora_consignacion", "_r.referencia", "_r.valor")
 

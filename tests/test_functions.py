@@ -71,7 +71,18 @@ def test_score_text(spark):
 def test_clean_text(spark):
     got = value(spark, text.clean_text, "Fecha de proceso: 05-05-26   Importe Total: $ 360 . 000,00\n\n x")
     assert got["cleaned"] == "Fecha de proceso: 05/05/2026 Importe Total: $360.000,00\nx" and got["corrections"] > 0 and 0 <= got["confidence"] <= 1
-    assert value(spark, text.clean_text, "  ")["issues"] == ["Empty OCR text"]
+    assert value(spark, text.clean_text, "  ")["issues"] == ["no_text"]
+
+
+def test_matches_of_a_long_text(spark):
+    """Fifty thousand amounts in one text, in seconds."""
+    import time
+
+    one = spark.createDataFrame([("pago $ 1.500 y " * 50_000,), (None,), ("nada",)], "t string")
+    began = time.perf_counter()
+    got = one.select(text.matches(F.col("t"), r"\d+\.\d+").alias("m")).select(F.size("m").alias("n"), F.get("m", F.size("m") - 1).alias("last")).collect()
+    assert time.perf_counter() - began < 20
+    assert (got[0]["n"], got[0]["last"]["text"], got[0]["last"]["start"]) == (50_000, "1.500", 15 * 49_999 + 7) and got[2]["n"] == 0
 
 
 def test_matches_give_places(spark):

@@ -5,11 +5,14 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import adapters
 from ledgerloom.operators import query as q
 from ledgerloom.operators import readonly as ro
 from ledgerloom.operators import records as rc
 from ledgerloom.operators import runs as rn
-from ledgerloom.sources import docx, files
+from ledgerloom.functions import describe
+from ledgerloom.operators import diagnostics as dg
+from ledgerloom.sources import database, docx, files, reports, responses
 
 KEYED = "source_image_id long, idx int, canonical_key string, referencia string"
 ROWS = [(1, 2, "k1", "b"), (1, 1, "k1", "a"), (1, 3, "", "x"), (1, 4, "", "y"), (1, 5, None, "y"), (2, 1, "k1", "c"), (2, 2, "k2", "d")]
@@ -136,3 +139,87 @@ def test_specs_over_any_source(spark):
     assert [tuple(r) for r in q.run_query(source, {"order_by": ["nr"]}, date(2026, 1, 1)).collect()] == [(1, "a"), (2, "b")]
     assert q.run_query(source, {"aggregations": [{"type": "count"}]}, date(2026, 1, 1)).first()[0] == 2
     assert q.preset("latest_n", 500)["limit"] == 50 and q.preset("latest_n", -3)["limit"] == 1
+
+
+def test_tables_over_jdbc(spark):
+    """Written and read back in eight parts; filters and columns reach the database; an empty table, and one of other column names."""
+    url, options, sf = "jdbc:derby:memory:ledger;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}, "/root/testdata/sf0.001"
+    tables = {name: getattr(adapters, name)(spark, sf) for name in database.TABLES}
+    database.write_tables(url, tables, options=options)
+    got = database.scan_tables(spark, url, parts=8, options=options)
+    for name, schema in database.TABLES.items():
+        want = database._plain(tables[name], schema)
+        back = got[name].withColumn("observations", F.to_json("observations")) if name == "deposits" else got[name]
+        assert back.rdd.getNumPartitions() == 8 and back.dtypes == want.dtypes
+        assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
+    wanted = got["deposits"].filter("valor > 150000").select("id", "valor")
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(valor,150000" in plan and "ReadSchema: struct<id:bigint,valor:decimal(14,2)>" in plan
+    assert wanted.count() == tables["deposits"].filter("valor > 150000").count()
+    database.write_table(tables["logs"].limit(0), url, "logs", options=options)
+    assert database.scan_table(spark, url, "logs", parts=8, options=options).count() == 0
+    database.write_table(spark.createDataFrame([(7, "x"), (9, None)], "NR int, Name string"), url, "other", schema="NR int, Name string", options=options)
+    assert sorted(map(tuple, database.scan_table(spark, url, "other", "nr bigint, name string", parts=2, key="nr", options=options).collect())) == [(7, "x"), (9, None)]
+
+
+def test_reports_are_a_file_per_run(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    logs, images = dg.parsed_logs(adapters.trace_logs(spark, sf)), adapters.source_images(spark, sf)
+    stale = dg.stale_runs(adapters.process_runs(spark, sf), adapters.trace_logs(spark, sf), F.lit(adapters.AS_OF_EVENTS).cast("timestamp"))
+    summary = dg.stage_summary(logs, images)
+    parts = (summary, dg.recommendations(dg.stage_summary(logs), images, stale, adapters.trace_logs(spark, sf)), dg.event_rows(adapters.trace_logs(spark, sf)))
+    reports.write_markdown(dg.diagnostic_report(*parts, ordered=False), str(tmp_path / "md"))
+    want = {}
+    for r in dg.diagnostic_report(*parts).collect():
+        want.setdefault(r["process_run_id"], []).append(r["value"])
+    files_of = {int(f.name.split("=")[1]): [p for p in f.iterdir() if p.suffix == ".txt"] for f in (tmp_path / "md").iterdir() if f.is_dir()}
+    assert {k: f[0].read_text().splitlines() for k, f in files_of.items()} == want and all(len(f) == 1 for f in files_of.values())
+
+    runs, deposits = adapters.process_runs(spark, sf), adapters.deposits(spark, sf).withColumn("referencia", F.concat("referencia", F.lit('; "a", b\n')))
+    reports.write_csv(rn.export_report(runs, images, deposits, ordered=False), str(tmp_path / "csv"))
+    back = reports.read_csv(spark, str(tmp_path / "csv")).fillna("", ["OBSERVACIONES"])
+    want = rn.export_report(runs, images, deposits).select(*reports.REPORT_COLUMNS, F.col("process_run_id").alias("run"))
+    assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty() and back.count() > 100
+    # Some runs again: theirs are replaced, the others stay.
+    some = rn.export_report(runs.filter("id % 2 = 0"), images, deposits.withColumn("valor", F.lit(1).cast("decimal(14,2)")), ordered=False)
+    reports.write_csv(some, str(tmp_path / "csv"))
+    again = reports.read_csv(spark, str(tmp_path / "csv"))
+    assert again.count() == want.count() and again.filter("run % 2 = 0 AND VALOR <> 1 OR run % 2 = 1 AND VALOR = 1").isEmpty()
+
+
+def test_first_object_of_a_response(spark):
+    texts = ["no braces", 'x {"a": 1} y {"b": 2}', '{"a": "}{\\\\"} {"', '{"a": "\\"}"} rest', '{"a": {"b": [{}, {"c": "{"}]}} }', '{"a": "cut', '{"a": {"b": 1}', "{}", None, "}{", '"{" {"a": 1}', "{" * 3000 + "}" * 3000 + "x"]
+    def plain(t):
+        if t is None or "{" not in t:
+            return t
+        t, depth, quoted, skip = t[t.index("{"):], 0, False, False
+        for i, c in enumerate(t):
+            if skip:
+                skip = False
+            elif quoted:
+                skip, quoted = c == "\\", c != '"'
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return t[: i + 1]
+        return t
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(responses.first_json_object(F.col("t"))).collect()]
+    assert got == [plain(t) for t in texts]
+
+
+def test_letters_bound_the_likeness(spark):
+    """The bound loses no text, and hardly any real one is asked."""
+    import random
+    from difflib import SequenceMatcher
+
+    random.seed(3)
+    name = describe.PERSON.replace(" ", "")
+    texts = ["".join(random.choice(name + "XYZ") for _ in range(random.randint(1, 18))) for _ in range(300)]
+    texts += ["".join(random.sample(name, len(name)))] + [name[:i] + "Q" + name[i + random.randint(0, 1):] for i in range(len(name))]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(describe.may_reach(F.col("t"), name, describe.PERSON_LIKE)).collect()]
+    like = [SequenceMatcher(None, t, name).ratio() >= describe.PERSON_LIKE for t in texts]
+    assert all(g for g, x in zip(got, like) if x) and any(like) and sum(got) < len(texts) / 4
+    share = describe.asked_share(adapters.receipts(spark, "/root/testdata/sf0.001"), "text").first()
+    assert share["asked"] <= share["n"] / 100
