@@ -2,19 +2,20 @@
 
 1. Texts are told apart by the hash of their lower-case words; copies become one text with a
    multiplicity. Each text gets TREES labels of LABEL MinHash values, and one byte of each value.
-2. The labels of a tree, sorted, are its prefix trie: the texts that share a prefix are neighbours.
-   A text starts from its whole labels, and where these do not reach the target recall the prefix
-   that must match is shortened by one value, down to the one at which texts at the threshold
-   meet in some tree with that probability (6 values for a recall of 0.999). The recall of a text is
-   estimated from the partners it has met: each was met with a probability that follows from
-   its similarity, so partners count with the inverse; one that has met none goes on.
-3. Who meets is compared by all TREES * LABEL bytes; texts whose estimate is not LOOSE apart from
-   the threshold (over five standard errors) are candidates. A node of more than NODE_TEXTS texts is not compared, its
-   texts all become candidates of its first one. Components of the candidates are cut into
-   blocks of bounded size; each pair of blocks is one task that verifies all its pairs of texts
-   exactly, by a product of incidence matrices over the shingles. It returns counts per text and
-   one edge per text to the first of its component there, never the pairs, so copies and large
-   sets do not grow by their square.
+2. The labels of a tree, sorted, are its prefix trie: texts that share a prefix are neighbours. The
+   prefix is shortened down to the length at which texts at the threshold meet in some tree with the
+   target recall (6 values for 0.999): no text needs a shorter one, and none can do with a longer one,
+   as a partner at the threshold may be left whatever closer ones were met.
+3. Who meets is compared by all TREES * LABEL bytes, neighbours at whole labels first, then at prefixes
+   shortened by a value at a time; texts that are connected already are not compared again, so a set of
+   close copies takes about a comparison a text and not one a pair. Texts whose estimate is not LOOSE
+   apart from the threshold (over five standard errors) are candidates. A node of more than NODE_TEXTS
+   texts is not compared, its texts all become candidates of its first one. Components of the
+   candidates are cut into blocks of bounded size, by number of shingles and hash; each pair of blocks is one task
+   that verifies all its pairs of texts exactly, by a product of incidence matrices over the shingles. Blocks
+   whose numbers of shingles are too far apart to be alike are not paired. A task returns counts
+   per text and one edge per text to the first of its component there, never the pairs, so copies and
+   large sets do not grow by their square.
 4. Components of the links are the classes.
 
 Defined results: words are runs of anything but ASCII white space, in lower case; a text of one to
@@ -152,38 +153,41 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(((a == b).mean(axis=-1) - 1 / 256) * 256 / 255, 0, 1)
 
 
-def node_edges(ids: np.ndarray, labels: np.ndarray, sketches: np.ndarray, shortest: int, least: float, recall: float = RECALL, trees: int = TREES) -> list[tuple[int, int]]:
-    """Candidates among the texts of one node, as edges to the first text of their component here.
+def node_edges(ids: np.ndarray, labels: np.ndarray, sketches: np.ndarray, shortest: int, least: float) -> tuple[list[tuple[int, int]], int]:
+    """Candidates among the texts of one node, as edges to the smallest id of their component here, and how many pairs were compared.
 
     labels: (texts, values), a byte of each value of the tree; the node's texts agree in the first
-    `shortest` ones. From whole labels on, the prefix is shortened for the texts whose estimated recall
-    falls short; pairs with such a text are looked at.
+    `shortest` ones. From whole labels on, texts are compared with those before them in the trie that share the
+    prefix, the nearest first, as long as they are not connected; pairs that met at a longer prefix are done.
     """
+    order = np.lexsort((ids, *labels.T[::-1]))
+    ids, labels, sketches = ids[order], labels[order], sketches[order]
     n, label = labels.shape
-    alike = np.stack([estimates(sketches, s) for s in sketches])
-    np.fill_diagonal(alike, 0)
-    same = np.stack([labels[:, k][:, None] == labels[:, k][None, :] for k in range(shortest, label)] or [np.ones((n, n), bool)])
-    found, short = np.zeros((n, n), bool), np.ones(n, bool)
+    top, compared, finer = np.arange(n), 0, np.arange(n)
     for depth in range(label, shortest - 1, -1):
-        together = same[: depth - shortest].all(axis=0)
-        found |= together & (short[:, None] | short[None, :]) & (alike >= least)
-        weight = np.where(found, 1 / np.maximum(met(alike, depth, trees), 1e-9), 0).sum(axis=1)
-        short = found.sum(axis=1) < recall * np.maximum(weight, 1e-9)
-        if not short.any():
-            break
-    top = np.arange(n)
-    while True:
-        before = top.copy()
-        top = np.minimum(top, np.where(found, top[None, :], n).min(axis=1))
-        if (top == before).all():
-            return [(int(ids[i]), int(ids[t])) for i, t in enumerate(top) if i != t]
+        group = np.append(0, np.cumsum((labels[1:, :depth] != labels[:-1, :depth]).any(axis=1)))
+        for i in np.flatnonzero(group[1:] == group[:-1]) + 1:
+            left = np.arange(np.searchsorted(group, group[i]), i)
+            if depth < label:
+                left = left[finer[left] != finer[i]]
+            some = 1
+            while (left := left[top[left] != top[i]]).size:
+                near, left, some = left[-some:], left[:-some], 2 * some
+                compared += near.size
+                for j in near[estimates(sketches[near], sketches[i]) >= least]:
+                    top[top == top[j]] = top[i]
+        finer = group
+    names = np.zeros(n, np.int64)
+    for t in np.unique(top):
+        names[top == t] = ids[top == t].min()
+    return [(int(x), int(t)) for x, t in zip(ids, names, strict=True) if x != t], compared
 
 
 def _bytes(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
-def trie_edges(members: DataFrame, shortest: int, least: float, recall: float, trees: int) -> DataFrame:
+def trie_edges(members: DataFrame, shortest: int, least: float) -> DataFrame:
     """Edges (a, b) within nodes. members: node, text_id, label, sketch, all texts of a node in one partition, sorted by label: the trie in order."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -204,7 +208,7 @@ def trie_edges(members: DataFrame, shortest: int, least: float, recall: float, t
                 out.append(pd.DataFrame({"a": ids[near], "b": ids[near + 1]}))
             for low, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
                 part = slice(low, low + size)
-                edges = node_edges(ids[part], _bytes(whole["label"].iloc[part]), _bytes(whole["sketch"].iloc[part]), shortest, least, recall, trees)
+                edges = node_edges(ids[part], _bytes(whole["label"].iloc[part]), _bytes(whole["sketch"].iloc[part]), shortest, least)[0]
                 out.append(pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64))
             if out:
                 yield pd.concat(out).drop_duplicates()
@@ -231,7 +235,7 @@ def candidate_sets(texts: DataFrame, trees: int = TREES, label: int = LABEL, thr
     tree = F.array_position("nodes", F.col("node")).cast("int") - 1
     members = joined.select("node", "text_id", F.substring(F.col("sketch"), tree * label + 1, F.lit(label)).alias("label"), "sketch")
     ordered = members.repartition("node").sortWithinPartitions("node", "label", "text_id")
-    found = components(large.unionByName(trie_edges(ordered, shortest, threshold - LOOSE, recall, trees)))
+    found = components(large.unionByName(trie_edges(ordered, shortest, threshold - LOOSE)))
     release(nodes, met_there, some)
     return found
 
@@ -294,25 +298,37 @@ def _links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], rows: np
 
 def verified(docs: DataFrame, texts: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, links, text_links): per text and task what it is linked to (b is -1), and tree edges a to b."""
-    members = sets.select(F.col("node").alias("text_id"), "component").join(texts.select("text_id", "text_key", "doc_id", "copies", "n_words"), "text_id")
-    per_set = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
-    blocks = per_set.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("m"))
-    members = materialize(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("m")).cast("int")), "set-members")
+    # Texts of which one has less than `threshold` of the other's shingles are not alike: a class of sizes is paired with itself and the next.
+    size = F.floor(F.log(F.col("n_words").cast("double")) / -float(np.log(threshold)) + 1e-9).cast("int")
+    members = sets.select(F.col("node").alias("text_id"), "component").join(texts.select("text_id", "text_key", "doc_id", "copies", "n_words"), "text_id").withColumn("size", size)
+    per_class = members.groupBy("component", "size").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    per_class = per_class.select("component", "size", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("m"))
+    blocks = materialize(per_class.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("size", "m"))).alias("blocks")), "set-blocks")
+    members = members.join(blocks, "component").withColumn("m", F.element_at("blocks", F.col("size")))
+    members = materialize(members.select("text_id", "text_key", "doc_id", "copies", "component", "size", F.pmod(F.xxhash64("text_id"), F.col("m")).cast("int").alias("block"), "m",
+                                         *[F.coalesce(F.try_element_at("blocks", F.col("size") + k), F.lit(0)).alias(name) for k, name in ((-1, "m_below"), (1, "m_above"))]), "set-members")
     whole = _with_text(docs, members)
-    pairs = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    pairs = pairs.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "text_id", "copies", "text")
+    # A pair of blocks is named (class, block, class, block), the smaller first.
+    own = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.col("size").alias("c1"), F.least("block", o).alias("low"), F.col("size").alias("c2"), F.greatest("block", o).alias("high")))
+    none = F.array().cast("array<struct<c1:int,low:int,c2:int,high:int>>")
+    beside = lambda m, pair: F.when(F.col(m) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(m) - 1, F.lit(0))), pair)).otherwise(none)
+    above = beside("m_above", lambda o: F.struct(F.col("size").alias("c1"), F.col("block").alias("low"), (F.col("size") + 1).alias("c2"), o.alias("high")))
+    below = beside("m_below", lambda o: F.struct((F.col("size") - 1).alias("c1"), o.alias("low"), F.col("size").alias("c2"), F.col("block").alias("high")))
+    pairs = whole.withColumn("pair", F.explode(F.concat(own, above, below))).select("component", "pair.*", "size", "block", "text_id", "copies", "text")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("text_id").sort_values("text_id")
         ids, copies = group["text_id"].to_numpy(), group["copies"].to_numpy()
         sets_ = [shingles(t) for t in group["text"]]
-        rows, columns = (np.flatnonzero(group["block"].to_numpy() == key[k]) for k in (1, 2))
+        size, block = group["size"].to_numpy(), group["block"].to_numpy()
+        rows, columns = (np.flatnonzero((size == key[k]) & (block == key[k + 1])) for k in (1, 3))
         if not rows.size or not columns.size:
             return pd.DataFrame({"a": [], "b": [], "links": [], "text_links": []})
         return _links(ids, copies, sets_, rows, columns, threshold)
 
-    done = pairs.groupBy("component", "low", "high").applyInPandas(run, "a long, b long, links long, text_links long")
-    return materialize(done, "links")
+    done = materialize(pairs.groupBy("component", "c1", "low", "c2", "high").applyInPandas(run, "a long, b long, links long, text_links long"), "links")
+    release(blocks)
+    return done
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -323,7 +339,7 @@ def _sent(rows: DataFrame) -> DataFrame:
 def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members with their text, from the rows of docs that hold the text's smallest doc_id."""
     d = _keyed(docs).select(F.col("text_key").alias("k"), F.col("doc_id").alias("i"), "text")
-    m = _sent(members.select("text_key", "doc_id", "text_id", "component", "m", "block", "copies"))
+    m = _sent(members)
     return d.join(m, (F.col("k") == F.col("text_key")) & F.col("i").eqNullSafe(F.col("doc_id"))).drop("k", "i")
 
 

@@ -104,10 +104,30 @@ def test_prefixes_are_shortened_where_recall_is_short():
     ids = np.array([10, 11, 12, 13])
     # All agree in six values; the first two in all eight, the third in seven, the last in none more.
     labels = np.array([[9] * 6 + [2, 3], [9] * 6 + [2, 3], [9] * 6 + [2, 4], [9] * 6 + [5, 6]], np.uint8)
-    assert near_duplicates.node_edges(ids, labels, sketches, 6, 0.65) == [(11, 10), (12, 10)]
-    # Both texts of a close pair have what they need from their whole labels.
-    assert near_duplicates.node_edges(ids[:2], labels[:2], sketches[:2], 6, 0.65) == [(11, 10)]
-    assert near_duplicates.node_edges(ids[[0, 3]], labels[[0, 3]], sketches[[0, 3]], 6, 0.65) == []
+    assert near_duplicates.node_edges(ids, labels, sketches, 6, 0.65)[0] == [(11, 10), (12, 10)]
+    assert near_duplicates.node_edges(ids[:2], labels[:2], sketches[:2], 6, 0.65) == ([(11, 10)], 1)
+    assert near_duplicates.node_edges(ids[[0, 3]], labels[[0, 3]], sketches[[0, 3]], 6, 0.65) == ([], 1)
+
+
+@pytest.mark.parametrize("sets", [1, 3, 40])
+def test_the_trie_spares_comparisons_and_loses_no_connection(sets):
+    """Near copies of a few texts in one node: about a comparison a text among near copies; those of different texts are all compared; the components are those of all pairs."""
+    rng, n = np.random.default_rng(sets), 240
+    base = rng.integers(0, 256, (sets, 192), dtype=np.uint8)
+    sketches, labels = base[np.arange(n) % sets].copy(), np.full((n, 8), 9, np.uint8)
+    labels[:, 6:] = (np.arange(n) % sets)[:, None] % 200
+    for i in range(n):
+        at = rng.permutation(192)[: int(rng.integers(0, 30))]
+        sketches[i, at] ^= 255
+        labels[i, 8 - int(rng.integers(1, 4)) + 1 :] = int(rng.integers(0, 256))
+    ids = rng.permutation(1000)[:n]
+    edges, compared = near_duplicates.node_edges(ids, labels, sketches, 6, 0.65)
+    alike = np.stack([near_duplicates.estimates(sketches, s) for s in sketches]) >= 0.65
+    top = np.arange(n)
+    while (top != (top := np.array([top[alike[i]].min() for i in range(n)]))).any():
+        pass
+    assert {x: t for x, t in edges} == {int(ids[i]): int(ids[top == top[i]].min()) for i in range(n) if ids[i] != ids[top == top[i]].min()}
+    assert compared < n * (n - 1) / 2 * (0.05 if sets == 1 else 0.7 if sets == 3 else 0.999)
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the test data")
