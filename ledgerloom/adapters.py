@@ -57,7 +57,7 @@ def deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_format(o_orderdate, 'dd/MM/yyyy') AS fecha_consignacion", "CAST(o_orderdate AS DATE) AS fecha_date",
         "concat(lpad(CAST(o_orderkey % 24 AS STRING), 2, '0'), ':', lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')) AS hora_consignacion",
         "concat('REF', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS referencia", "CAST(o_totalprice AS DECIMAL(14,2)) AS valor",
-        "CASE o_orderpriority WHEN '1-URGENT' THEN array('ok') WHEN '2-HIGH' THEN array('Fecha inválida') WHEN '3-MEDIUM' THEN array('error en valor') "
+        "CASE o_orderpriority WHEN '1-URGENT' THEN array('ok') WHEN '2-HIGH' THEN array('Fecha inválida') WHEN '3-MEDIUM' THEN CASE WHEN o_orderkey % 3 = 0 THEN array('Referencia ilegible') ELSE array('error en valor') END "
         "WHEN '4-NOT SPECIFIED' THEN array('Fecha fuera del periodo valido configurado', 'revisar') ELSE CAST(array() AS ARRAY<STRING>) END AS observations",
         "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 = 1 END AS is_current_month",
         # Deposits are stored up to 39 days after their date.
@@ -149,7 +149,7 @@ process_runs AS (
   SELECT o_orderkey AS id, o_custkey AS process_run_id, o_orderkey AS source_image_id, (o_orderkey % 9 + 1)::INT AS sequence_index, strftime(o_orderdate, '%d/%m/%Y') AS fecha_consignacion,
          o_orderdate::DATE AS fecha_date, lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS hora_consignacion,
          'REF' || lpad(o_orderkey::VARCHAR, 8, '0') AS referencia, o_totalprice::DECIMAL(14,2) AS valor,
-         CASE o_orderpriority WHEN '1-URGENT' THEN ['ok'] WHEN '2-HIGH' THEN ['Fecha inválida'] WHEN '3-MEDIUM' THEN ['error en valor']
+         CASE o_orderpriority WHEN '1-URGENT' THEN ['ok'] WHEN '2-HIGH' THEN ['Fecha inválida'] WHEN '3-MEDIUM' THEN CASE WHEN o_orderkey % 3 = 0 THEN ['Referencia ilegible'] ELSE ['error en valor'] END
               WHEN '4-NOT SPECIFIED' THEN ['Fecha fuera del periodo valido configurado', 'revisar'] ELSE []::VARCHAR[] END AS observations,
          CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 = 1 END AS is_current_month, o_orderdate::TIMESTAMP + to_hours((o_orderkey % 940)::INT) AS created_at FROM orders
 ), source_images AS (

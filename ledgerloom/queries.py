@@ -216,7 +216,7 @@ add("clear_runs", lambda s, d: (lambda t: t[0].agg(F.lit("deposits").alias("what
     """SELECT 'deposits' AS what, count(*) AS n FROM deposits WHERE process_run_id NOT IN (SELECT id FROM process_runs WHERE status = 'completed')
     UNION ALL SELECT stage, count(*) FROM trace_logs WHERE stage LIKE 'docx%' OR process_run_id NOT IN (SELECT id FROM process_runs WHERE status = 'completed') GROUP BY stage""")
 add("deposit_to_image", lambda s, d: rn.images_of_deposits(a.source_images(s, d), a.deposits(s, d).filter("valor > 150000")).select("id"), "SELECT id FROM source_images WHERE id IN (SELECT source_image_id FROM deposits WHERE valor > 150000)")
-add("unknown_ids_anti", lambda s, d: rc.unknown_ids_anti(a.logs(s, d).select("id"), a.deposits(s, d).filter("id % 2 = 0")), "SELECT id FROM logs WHERE id NOT IN (SELECT id FROM deposits WHERE id % 2 = 0)")
+add("unknown_ids_anti", lambda s, d: rc.unknown_ids_anti(a.logs(s, d).select("id"), a.deposits(s, d).filter("valor > 100000")), "SELECT id FROM logs WHERE id NOT IN (SELECT id FROM deposits WHERE valor > 100000)")
 CORRECTIONS = lambda s, d: a.logs(s, d).filter("id % 10 = 0").select("id", F.lit("2026-04-22").alias("fecha_consignacion"), F.when(F.col("id") % 20 == 0, "15:45").alias("hora_consignacion"), "created_at")
 add("apply_corrections", lambda s, d: rc.apply_corrections(a.deposits(s, d), CORRECTIONS(s, d), "created_at").select("id", "fecha_consignacion", "hora_consignacion", "manually_corrected"),
     """WITH c AS (SELECT id FROM logs WHERE id % 10 = 0) SELECT d.id, CASE WHEN c.id IS NOT NULL THEN '22/04/2026' ELSE fecha_consignacion END AS fecha_consignacion,
@@ -296,7 +296,8 @@ add("time_budget", lambda s, d: dg.over_budget(a.logs(s, d), 200), "SELECT proce
 add("probable_cause", lambda s, d: dg.stage_summary(a.logs(s, d)).select("process_run_id", dg.probable_cause(F.lit(False), F.col("total_ocr_duration_ms"), F.col("total_llm_duration_ms"), F.col("timeouts")).alias("cause")),
     """SELECT process_run_id, CASE WHEN l > 2 * o AND l > 0 THEN 'llm' WHEN o > 2 * l AND o > 0 THEN 'ocr' WHEN t > 0 THEN 'failures' ELSE 'none' END AS cause FROM (SELECT process_run_id, coalesce(sum(duration_ms) FILTER (WHERE stage = 'ocr' AND status = 'completed'), 0) AS o,
     coalesce(sum(duration_ms) FILTER (WHERE stage = 'llm_structuring' AND status = 'completed'), 0) AS l, count(*) FILTER (WHERE status = 'timeout') AS t FROM logs GROUP BY 1)""")
-add("redact_payload", lambda s, d: a.logs(s, d).select("id", redact.redact_payload(F.concat(F.lit('{"api_key":"x","id":'), F.col("id").cast("string"), F.lit("}"))).alias("payload")), """SELECT id, '{"api_key": "[redacted]", "id": ' || id || '}' AS payload FROM logs""")
+add("redact_payload", lambda s, d: a.logs(s, d).select("id", redact.redact_payload(F.concat(F.lit('{"api_key":"x","id":'), F.col("id").cast("string"), F.lit(',"log":'), F.col("raw_payload"), F.lit("}"))).alias("payload")),
+    """SELECT id, '{"api_key": "[redacted]", "id": ' || id || ', "log": {"duration_ms": ' || duration_ms || ', "status": "' || status || '"}}' AS payload FROM logs""")
 
 # Attempts -------------------------------------------------------------------------------------
 
@@ -332,10 +333,10 @@ add("recommendation", lambda s, d: at.aggregation(a.attempts(s, d)).groupBy("rec
 add("best_ocr_attempt", lambda s, d: at.best_ocr_attempt(a.attempts(s, d).withColumns({"valid_records_count": F.col("valor").cast("int"), "structured_records_count": F.size("records"), "text": F.repeat("strategy", F.col("score") % 4)})),
     """SELECT source_image_id, n AS attempt_number, CASE WHEN n IS NULL THEN e END AS error FROM (SELECT source_image_id, arg_max(attempt_number, struct_pack(v := valor::INT, r := len(records), s := score, l := (score % 4) * 2, a := -attempt_number)) FILTER (WHERE error IS NULL) AS n,
     string_agg(error, '; ' ORDER BY attempt_number) AS e FROM attempts GROUP BY 1)""")
-OCR_TEXTS = lambda s, d: a.attempts(s, d).filter("attempt_number <= 3").select("source_image_id", "attempt_number", "score", "error").join(a.receipts(s, d).select(F.col("id").alias("source_image_id"), "text", "variant"), "source_image_id").withColumn(
+OCR_TEXTS = lambda s, d: a.attempts(s, d).select("source_image_id", "attempt_number", "score", "error").join(a.receipts(s, d).select(F.col("id").alias("source_image_id"), "text", "variant"), "source_image_id").withColumn(
     "text", F.when(F.col("attempt_number") == 1, "ilegible").when(F.col("attempt_number") == 2, F.col("text")).otherwise(F.concat("text", F.lit(" fin"))))
 add("select_structured_candidate", lambda s, d: at.select_structured_candidate(OCR_TEXTS(s, d)).select("source_image_id", "candidates", "attempt_number", "structured_records_count", "valid_records_count", "record.referencia"),
-    """WITH t AS (SELECT a.source_image_id, attempt_number, score, error, variant, ref, (variant IN (0, 1, 5) AND attempt_number > 1)::INT AS k, CASE WHEN attempt_number = 1 THEN 8 ELSE length(text) + CASE WHEN attempt_number = 3 THEN 4 ELSE 0 END END AS n FROM attempts a JOIN receipts r ON r.id = a.source_image_id WHERE attempt_number <= 3 AND error IS NULL),
+    """WITH t AS (SELECT a.source_image_id, attempt_number, score, error, variant, ref, (variant IN (0, 1, 5) AND attempt_number > 1)::INT AS k, CASE WHEN attempt_number = 1 THEN 8 ELSE length(text) + CASE WHEN attempt_number > 2 THEN 4 ELSE 0 END END AS n FROM attempts a JOIN receipts r ON r.id = a.source_image_id WHERE error IS NULL),
     b AS (SELECT source_image_id, count(*) AS candidates, arg_max(struct_pack(a := attempt_number, k := k, r := ref), struct_pack(k := k, s := score, n := n, a := -attempt_number)) AS best FROM t GROUP BY 1)
     SELECT source_image_id, candidates, best.a AS attempt_number, best.k AS structured_records_count, best.k AS valid_records_count, CASE WHEN best.k = 1 THEN best.r END AS referencia FROM b""")
 add("ocr_fallback_used", over(at.ocr_fallbacks, "attempts"),
@@ -361,24 +362,24 @@ add("retry_decision", _retry, """WITH b AS (SELECT id, (['ocr_failed', 'extracti
 
 
 def _retry_log(s: SparkSession, d: str) -> DataFrame:
-    base = VALIDATED(s, d).filter("attempt_number <= 3").withColumns({"retries": F.col("attempt_number") - 1, "error_type": F.when(F.col("error").isNull(), "validation_failed").otherwise("timeout")})
+    base = VALIDATED(s, d).withColumns({"retries": F.col("attempt_number") - 1, "error_type": F.when(F.col("error").isNull(), "validation_failed").otherwise("timeout")})
     decided = base.withColumn("decision", at.retry_decision(F.col("error_type"), F.col("retries"), F.col("confidence"), F.lit("auto"), F.lit("mistral:7b"))).withColumnRenamed("results", "validations")
     return at.retry_issue_log(decided).select("source_image_id", "attempt", "stage", "input.error_type", F.size("input.validation_errors").alias("n_issues"), "output.should_retry", "output.strategy", "output.max_retries_remaining", "decision")
 
 
-add("retry_issue_log", _retry_log, """WITH x AS (SELECT source_image_id, attempt_number AS k, error, confidence AS c, records FROM attempts WHERE attempt_number <= 3),
-  y AS (SELECT *, CASE WHEN error IS NOT NULL THEN CASE k WHEN 1 THEN 'increase_timeout' WHEN 2 THEN 'change_ocr_mode' ELSE 'manual_review' END WHEN c > 0.3 AND c < 0.5 AND k < 3 THEN 'change_llm_model' WHEN c <= 0.3 THEN 'manual_review' ELSE 'skip' END AS strategy FROM x)
+add("retry_issue_log", _retry_log, """WITH x AS (SELECT source_image_id, attempt_number AS k, error, confidence AS c, records FROM attempts),
+  y AS (SELECT *, CASE WHEN k > 3 THEN 'manual_review' WHEN error IS NOT NULL THEN CASE k WHEN 1 THEN 'increase_timeout' WHEN 2 THEN 'change_ocr_mode' ELSE 'manual_review' END WHEN c > 0.3 AND c < 0.5 AND k < 3 THEN 'change_llm_model' WHEN c <= 0.3 THEN 'manual_review' ELSE 'skip' END AS strategy FROM x)
   SELECT source_image_id, k AS attempt, 'retry_decision' AS stage, CASE WHEN error IS NULL THEN 'validation_failed' ELSE 'timeout' END AS error_type, len(list_filter(records, lambda r: r.valor = '1'))::INT AS n_issues,
-  strategy NOT IN ('manual_review', 'skip') AS should_retry, strategy, 4 - k AS max_retries_remaining, CASE WHEN strategy NOT IN ('manual_review', 'skip') THEN 'retry' ELSE 'stop' END AS decision FROM y""")
-add("classify_error", lambda s, d: a.source_images(s, d).select("id", at.classify_error(F.col("error_message")).alias("kind"), at.error_status(F.col("error_message")).alias("status")),
-    "SELECT id, CASE error_message WHEN 'ocr timeout' THEN 'ocr_failed' WHEN 'llm failure' THEN 'extraction_failed' ELSE 'unknown' END AS kind, CASE WHEN error_message = 'ocr timeout' THEN 'timeout' ELSE 'failed' END AS status FROM source_images")
+  strategy NOT IN ('manual_review', 'skip') AS should_retry, strategy, greatest(0, 4 - k) AS max_retries_remaining, CASE WHEN strategy NOT IN ('manual_review', 'skip') THEN 'retry' ELSE 'stop' END AS decision FROM y""")
+add("classify_error", lambda s, d: a.source_images(s, d).select("id", at.classify_error(F.col("error_message")).alias("kind"), at.error_status(F.col("error_message"), F.when(F.col("id") % 3 == 0, "ReadTimeout").when(F.col("id") % 3 == 1, "ValueError")).alias("status")),
+    "SELECT id, CASE error_message WHEN 'ocr timeout' THEN 'ocr_failed' WHEN 'llm failure' THEN 'extraction_failed' ELSE 'unknown' END AS kind, CASE WHEN error_message = 'ocr timeout' OR id % 3 = 0 THEN 'timeout' ELSE 'failed' END AS status FROM source_images")
 
 # Text to records ------------------------------------------------------------------------------
 
 add("extract_record", lambda s, d: extract.with_record(a.receipts(s, d)).select("id", "record.fecha_consignacion", "record.hora_consignacion", "record.referencia", F.col("record.valor").alias("valor"), "reason"),
     "SELECT id, fecha AS fecha_consignacion, hora AS hora_consignacion, referencia, value AS valor, reason FROM parsed")
-add("detect_date", lambda s, d: a.receipts(s, d).filter("variant IN (0, 1, 5)").select("id", dates.detect_date(F.col("text")).alias("day"), dates.detect_time(F.col("text")).alias("clock"), extract.find_reference(F.col("text")).alias("referencia")),
-    "SELECT id, fecha AS day, hora AS clock, referencia FROM parsed WHERE variant IN (0, 1, 5)")
+add("detect_date", lambda s, d: a.receipts(s, d).select("id", dates.detect_date(F.col("text")).alias("day"), dates.detect_time(F.col("text")).alias("clock"), extract.find_reference(F.col("text")).alias("referencia")),
+    "SELECT p.id, CASE WHEN p.variant IN (2, 3) THEN '01/04/2026' WHEN p.variant = 4 THEN NULL ELSE fecha END AS day, hora AS clock, ref AS referencia FROM parsed p JOIN receipts r ON r.id = p.id")
 add("generic_reference", lambda s, d: a.receipts(s, d).select("id", extract.generic_reference(F.expr("CASE id % 3 WHEN 0 THEN ' Banco ' WHEN 1 THEN 'NEQUI' ELSE ref END")).alias("generic")), "SELECT id, id % 3 < 2 AS generic FROM receipts")
 add("extracted_per_day", lambda s, d: extract.with_record(a.receipts(s, d)).filter("record IS NOT NULL").groupBy(dates.parse_date_any(F.col("record.fecha_consignacion")).alias("day")).agg(F.count("*").alias("n"), F.sum("record.valor").alias("total")),
     "SELECT strptime(fecha, '%d/%m/%Y')::DATE AS day, count(*) AS n, sum(value) AS total FROM parsed WHERE reason IS NULL GROUP BY 1")
@@ -555,8 +556,9 @@ def _failed_extractions(s: SparkSession, d: str) -> DataFrame:
     return extract.with_record(answered)
 
 
-add("extraction_failures", lambda s, d: ev.extraction_events(_failed_extractions(s, d).withColumn("llm_failure_event", ev.llm_failure(F.col("response"), F.col("error_class"), F.col("llm_records_count")))).filter("position < 2").select("id", "position", "stage", "reason"),
-    """SELECT id, x.p AS position, CASE WHEN x.p = 1 THEN 'heuristic_fallback_started' ELSE f END AS stage, CASE WHEN x.p = 1 THEN f ELSE '' END AS reason FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'llm_empty_response' ELSE 'llm_invalid_json' END AS f FROM receipts WHERE id % 3 < 2), (VALUES (0), (1)) AS x(p)""")
+add("extraction_failures", lambda s, d: ev.extraction_events(_failed_extractions(s, d).withColumn("llm_failure_event", ev.llm_failure(F.col("response"), F.col("error_class"), F.col("llm_records_count")))).select("id", "position", "stage", "reason"),
+    f"""WITH later AS ({SQL['extraction_events'].removeprefix('WITH ' + a.VIEWS_SQL + ', ').replace('e AS (', 'WITH e AS (', 1).strip()}) SELECT id, position + 2 AS position, stage, reason FROM later WHERE id % 3 < 2
+    UNION ALL SELECT id, x.p AS position, CASE WHEN x.p = 1 THEN 'heuristic_fallback_started' ELSE f END AS stage, CASE WHEN x.p = 1 THEN f ELSE '' END AS reason FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'llm_empty_response' ELSE 'llm_invalid_json' END AS f FROM receipts WHERE id % 3 < 2), (VALUES (0), (1)) AS x(p)""")
 add("structure_summary", lambda s, d: ev.structure_summary(_failed_extractions(s, d)).select("id", "raw_text_chars", "raw_text_sha256", "structured_records_count", "llm_structured_records_count", "heuristic_fallback_started", "heuristic_fallback_used", "response_chars", "empty_provider_response", "ocr_text_truncated_for_llm", "llm_failure_event"),
     """SELECT id, length(text)::INT AS raw_text_chars, sha256(text) AS raw_text_sha256, CASE WHEN id % 3 = 2 OR variant IN (0, 1, 5) THEN 1 ELSE 0 END AS structured_records_count, CASE WHEN id % 3 = 2 THEN 1 ELSE 0 END AS llm_structured_records_count, id % 3 < 2 AS heuristic_fallback_started,
     id % 3 < 2 AND variant IN (0, 1, 5) AS heuristic_fallback_used, CASE WHEN id % 3 = 0 THEN 0 ELSE 2 END AS response_chars, id % 3 = 0 AS empty_provider_response, FALSE AS ocr_text_truncated_for_llm, CASE id % 3 WHEN 0 THEN 'llm_empty_response' WHEN 1 THEN 'llm_invalid_json' END AS llm_failure_event FROM receipts""")
