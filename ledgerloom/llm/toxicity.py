@@ -10,6 +10,8 @@ Training takes a bounded sample of labelled rows on the driver: MAX_TRAIN a labe
 to TRAIN_CHARS characters (longer ones are not learned from, but scored whole as all are). The model
 that goes out to tasks is one number a bucket, BUCKETS in all.
 
+Settings were chosen by cross-validation inside the rows that may be learned from (toxicity_settings.py).
+
 Defined results: null and blank texts get the score of no evidence; without labelled rows of both
 kinds every score is PRIOR; equal texts get equal scores; other columns stay, and where one has the
 name of the new column, that gets underscores in front.
@@ -31,7 +33,7 @@ from ledgerloom.llm.common import fresh, table
 MIN_N, MAX_N, SPAN, BUCKETS, WIDTH = 3, 6, 8, 1 << 18, 8
 MAX_TRAIN, TRAIN_CHARS, STEPS, EPOCHS, RATE, BATCH, DECAY, MAX_BALANCE = 3000, 20_000, 400, (3, 80), 0.3, 64, 3e-3, 4.0
 #: A bucket learns if this share of the toxic texts has it, within these bounds, and so many times the share of the others.
-MIN_SHARE, MIN_TEXTS, MIN_LIFT = 0.02, (3, 6), 2.0
+MIN_SHARE, MIN_TEXTS, MIN_LIFT = 0.02, (3, 6), 3.0
 THRESHOLD, PRIOR = 0.7, 0.1
 CACHE_WORDS = 250_000
 MARKS = ".,;:!?\"'()[]{}#*$%&|<>-_…«»¡¿`~/\\"

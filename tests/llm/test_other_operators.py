@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import graph, html_text, media, near_duplicates, packing, token_counts, toxicity, warc
+from ledgerloom.llm import graph, html_text, media, near_duplicates, packing, token_counts, toxicity, toxicity_settings, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, "Hello, the quick brown fox. " * 9), (2, None), (3, ""), (4, " \n "), (5, "w" * 5000), (6, "the cat " * 4000), (7, "Hello, the quick brown fox. " * 9), (7, "Hello, the quick brown fox. " * 9), (None, "été ñ 漢字 😍 x")]
@@ -462,6 +462,17 @@ def test_counts_equal_plain_search(spark):
     assert clash.columns[-2:] == ["Counts", "_counts"] and clash.first()["Counts"] == "mine"
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the test data")
+def test_settings_are_judged_without_held_out_rows(spark):
+    """Cross-validation sees only rows that may be learned from, scores each by a model of other folds, and leaves the settings as they were."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    sample = toxicity.labelled_sample(docs.select("doc_id", "text"), labels)
+    assert not any(zlib.crc32(b"%d" % d) % 3 == 1 for d in sample["doc_id"])
+    before = toxicity.MIN_LIFT
+    got = toxicity_settings.cross_validated(sample, 2, MIN_LIFT=before)
+    assert toxicity.MIN_LIFT == before and got["toxic"] + got["clean"] == len(sample) and got["found"] > 0.3 and got["called"] < 0.05
+
+
 # Pages ----------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>top</header><nav><ul><li>menu</li></ul></nav><div id="cookie-notice">we use</div>
