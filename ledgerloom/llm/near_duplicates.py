@@ -298,15 +298,18 @@ def _links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], rows: np
 
 def verified(docs: DataFrame, texts: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, links, text_links): per text and task what it is linked to (b is -1), and tree edges a to b."""
-    # Texts of which one has less than `threshold` of the other's shingles are not alike: a class of sizes is paired with itself and the next.
+    # Texts of which one has less than `threshold` of the other's shingles are not alike: in a component of several blocks a class of sizes is paired with itself and the next.
     size = F.floor(F.log(F.col("n_words").cast("double")) / -float(np.log(threshold)) + 1e-9).cast("int")
     members = sets.select(F.col("node").alias("text_id"), "component").join(texts.select("text_id", "text_key", "doc_id", "copies", "n_words"), "text_id").withColumn("size", size)
+    needed = lambda n, w: F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(w) / BLOCK_WORDS)).cast("int")
     per_class = members.groupBy("component", "size").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
-    per_class = per_class.select("component", "size", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("m"))
-    blocks = materialize(per_class.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("size", "m"))).alias("blocks")), "set-blocks")
-    members = members.join(blocks, "component").withColumn("m", F.element_at("blocks", F.col("size")))
-    members = materialize(members.select("text_id", "text_key", "doc_id", "copies", "component", "size", F.pmod(F.xxhash64("text_id"), F.col("m")).cast("int").alias("block"), "m",
-                                         *[F.coalesce(F.try_element_at("blocks", F.col("size") + k), F.lit(0)).alias(name) for k, name in ((-1, "m_below"), (1, "m_above"))]), "set-members")
+    blocks = per_class.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("size", needed("n", "w").alias("m")))).alias("blocks"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    # Most components are one block, whatever their sizes.
+    blocks = materialize(blocks.select("component", F.when(needed("n", "w") > 1, F.col("blocks")).alias("blocks")), "set-blocks")
+    of_class = lambda k: F.coalesce(F.try_element_at("blocks", F.col("size") + k), F.lit(0))
+    members = members.join(blocks, "component").withColumn("size", F.when(F.col("blocks").isNull(), 0).otherwise(F.col("size")))
+    members = members.withColumn("m", F.when(F.col("blocks").isNull(), 1).otherwise(of_class(0)))
+    members = materialize(members.select("text_id", "text_key", "doc_id", "copies", "component", "size", F.pmod(F.xxhash64("text_id"), F.col("m")).cast("int").alias("block"), "m", of_class(-1).alias("m_below"), of_class(1).alias("m_above")), "set-members")
     whole = _with_text(docs, members)
     # A pair of blocks is named (class, block, class, block), the smaller first.
     own = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.col("size").alias("c1"), F.least("block", o).alias("low"), F.col("size").alias("c2"), F.greatest("block", o).alias("high")))
