@@ -97,6 +97,60 @@ def test_merge_equals_plain_fold(spark):
     assert got == wanted
 
 
+def fold_with_counts(rows):
+    """The same with what happens to each candidate: (idx, what, other) and how many went into the first record."""
+    head, seen, merged, told, kept = None, {}, 0, [], []
+    for idx, day, hour, conf in rows:
+        rank = (bool(day) + bool(hour), conf)
+        if head is None:
+            head, best, first, merged = (day, hour), rank, idx, 1
+            seen[day, hour] = idx
+        elif (day, hour) in seen:
+            told.append((idx, "result_duplicate_skipped", seen[day, hour]))
+        elif day and hour and all(head):
+            seen[day, hour] = idx
+            kept.append((idx, 1))
+        else:
+            merged += 1
+            told.append((idx, "result_candidate_merged", first))
+            if rank > best:
+                head, best = (day, hour), rank
+                seen[day, hour] = first
+    return sorted([(first, merged), *kept]), told
+
+
+@pytest.mark.parametrize("stretch", [4096, 7])
+def test_merge_of_a_hot_image(spark, monkeypatch, stretch):
+    """One image, and in it one reference and amount, holds a third of all candidates: reduced in stretches, folded as one after the other."""
+    import random
+
+    random.seed(stretch)
+    monkeypatch.setattr(rc, "STRETCH", stretch)
+    days, hours = [None, "01/04/2026", "02/04/2026"], [None, "", "09:30", "10:00"]
+    rows, groups = [], {}
+    for i in range(900):
+        hot = i % 3 == 0
+        image, ref = (1, "REF100" if i % 6 else "REF200") if hot else (2 + i % 40, f"REF{i % 2}00")
+        day, hour, conf = random.choice(days), random.choice(hours), random.choice([None, 0.0, 0.25, 0.5, 0.75, 0.9, round(random.random(), 3)])
+        if i % 50 == 7:
+            ref = None
+        rows.append((image, "h", i, day, hour, ref, "500", conf))
+        if ref:
+            n_day = day and f"{day[6:]}-{day[3:5]}-{day[:2]}"
+            groups.setdefault((image, ref), []).append((i, n_day or "", hour or "", conf or 0.0))
+    c = spark.createDataFrame(rows, "source_image_id long, content_hash string, idx int, fecha_consignacion string, hora_consignacion string, referencia string, valor string, confidence double")
+    records, events = [], []
+    for (image, _), group in groups.items():
+        kept, told = fold_with_counts(group)
+        records += [(image, *k) for k in kept]
+        events += [(image, *t) for t in told]
+    records += [(r[0], r[2], 1) for r in rows if r[5] is None]
+    assert sorted((r["source_image_id"], r["idx"], r["merged"]) for r in rc.dedup_merge(c).collect()) == sorted(records)
+    assert sorted((r["source_image_id"], r["idx"], r["stage"], r["other"]) for r in rc.dedup_events(c).collect()) == sorted(events)
+    plan = rc.dedup_merge(c)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("MapInPandas") == 1
+
+
 DEPOSITS = [(1, "REFTOOL001", "100000.00", "2026-04-22", ["ok"], -40), (2, "REFTOOL002", "200000.00", "2026-04-15", ["error en valor"], -10), (3, "REFTOOL003", "50000.00", "2026-03-28", ["fecha invalida"], 0)]
 AS_OF = date(2026, 4, 30)
 
