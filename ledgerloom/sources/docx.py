@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import re
 import zipfile
 import zlib
 from collections.abc import Iterator
