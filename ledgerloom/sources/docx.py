@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerloom.functions.dates import SPANISH_MONTHS, _month, _real_date, _year
-from ledgerloom.functions.text import let
+from ledgerloom.functions.text import let, strip
 
 MAX_DOCX_BYTES, MAX_IMAGE_BYTES, MIN_IMAGE_BYTES = 50 * 1024 * 1024, 5 * 1024 * 1024, 32
 # XML names of the format.
@@ -103,9 +103,17 @@ def text_of(content: pd.Series) -> pd.Series:
     return content.map(lambda c: _text_of(bytes(c or b"")))
 
 
-def docx_text(files: DataFrame) -> DataFrame:
-    """path and text of each file, text boxes and links with their paragraph; a damaged file has the empty text."""
-    return files.select("path", text_of("content").alias("text"))
+def docx_text(source: DataFrame) -> DataFrame:
+    """path and text of each file, its paragraphs that hold text a line each; a damaged file has the empty text.
+
+    source: files (path, content), where text boxes and links count with their paragraph, or their raw references, which know runs alone.
+    """
+    if "par" not in source.columns:
+        return source.select("path", text_of("content").alias("text"))
+    runs = F.transform(F.sort_array(F.collect_list(F.struct("run", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    lines = source.groupBy("path", "par").agg(F.array_join(runs, "").alias("line"))
+    told = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("par", "line"))), lambda x: x["line"]), lambda line: line != "")
+    return lines.groupBy("path").agg(strip(F.array_join(told, "\n")).alias("text"))
 
 
 def _join_runs(texts: Column) -> Column:
