@@ -158,3 +158,13 @@ def test_redaction(spark):
     assert '"llm_api_key": "[redacted]"' in got and "[truncated 1000 chars]" in got and "base64-data-url" in got
     assert value(spark, redact.mask_payload, '{"has_token": true, "my_token": "x"}') == '{"has_token": true, "my_token": "***"}'
     assert value(spark, redact.redact_payload, "no json") is None
+
+
+@pytest.mark.parametrize(("fast", "slow", "texts"), [
+    (dates.normalize_date, dates._date_within, ["", None, "2026-04-15", "2026-02-30", "15/04/2026", "31/04/2026", "29/02/2024", "15/04/2026\n", " 15/04/2026", "0026-04-15", "15/04/0026", "15/04/26", "5/4/2026", "00/00/2026", "el 15/04/2026 x", "​15/04/2026"]),
+    (dates.normalize_time, dates._time_within, ["", None, "7:05", "07:05", "23:59", "24:00", "7:60", "7:05\n", " 7:05 ", "0930", "9h30", "007:05", "x 7:05", "​7:05"]),
+    (money.normalize_reference, money._reference_within, ["", None, " ref001 ", "REF001", "a b", "  ", "ref\t1", "ref1\n", "​ref1", "ñandú", " ß ", "a ", "\\Q|ref"]),
+])
+def test_short_ways_read_as_the_patterns_do(spark, fast, slow, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fast(F.col("t")).alias("fast"), slow(F.col("t")).alias("slow")).collect()
+    assert [(r["t"], r["fast"]) for r in rows] == [(r["t"], r["slow"]) for r in rows]
