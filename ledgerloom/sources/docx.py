@@ -9,7 +9,7 @@ import hashlib
 import io
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
@@ -64,14 +64,27 @@ def _rows_of(path: str, data: bytes) -> list[tuple]:
         return [(path, 0, 0, None, None, None, None, "docx_conversion_error")]
 
 
+def stretches(documents: Iterable[list[tuple]], most_rows: int = 2048, most_bytes: int = 8 * 1024 * 1024) -> Iterator[list[tuple]]:
+    """Rows of many documents together, in their order: a frame of its own for each small document would cost more than reading it. Ends behind the document that reaches a bound."""
+    held, size = [], 0
+    for rows in documents:
+        held += rows
+        size += sum(len(r[5] or b"") for r in rows)
+        if len(held) >= most_rows or size >= most_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def raw_references(files: DataFrame) -> DataFrame:
     """A row per run, or per image reference in it; a file that cannot be read is one row with an error."""
     names = [c.split()[0] for c in REFERENCES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(_rows_of(path, bytes(content)), columns=names)
+            for rows in stretches(_rows_of(path, bytes(content)) for path, content in zip(batch["path"], batch["content"], strict=True)):
+                yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, REFERENCES)
 

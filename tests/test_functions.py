@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, describe, extract, money, redact, text, validate
+from ledgerloom.sources import docx
 
 
 def value(spark, column, v, kind="string"):
@@ -168,3 +169,10 @@ def test_redaction(spark):
 def test_short_ways_read_as_the_patterns_do(spark, fast, slow, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fast(F.col("t")).alias("fast"), slow(F.col("t")).alias("slow")).collect()
     assert [(r["t"], r["fast"]) for r in rows] == [(r["t"], r["slow"]) for r in rows]
+
+
+def test_rows_of_documents_go_out_together_within_bounds():
+    small = [[("d", 1, 1, "t", None, None, None, None)] * 2 for _ in range(5)]
+    assert [len(x) for x in docx.stretches(small, most_rows=4)] == [4, 4, 2]
+    large = [[("d", 1, 1, "", "m", b"x" * 10, "h", None)] for _ in range(4)]
+    assert [len(x) for x in docx.stretches(large, most_bytes=20)] == [2, 2] and list(docx.stretches([])) == []
