@@ -187,6 +187,26 @@ def test_reports_are_a_file_per_run(spark, tmp_path):
     assert again.count() == want.count() and again.filter("run % 2 = 0 AND VALOR <> 1 OR run % 2 = 1 AND VALOR = 1").isEmpty()
 
 
+def test_reports_of_all_runs_are_bundled(spark, tmp_path):
+    """As many files as tasks, however many runs there are; each run whole and in order in one of them."""
+    sf = "/root/testdata/sf0.001"
+    runs, images, deposits = adapters.process_runs(spark, sf), adapters.source_images(spark, sf), adapters.deposits(spark, sf).withColumn("referencia", F.concat("referencia", F.lit('; "a", b\r\n ')))
+    reports.bundle_csv(rn.export_report(runs, images, deposits, ordered=False), str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").rglob("*.csv"))) <= 4 and not [f for f in (tmp_path / "csv").iterdir() if f.is_dir()]
+    got = {}
+    for r in reports.read_bundled_csv(spark, str(tmp_path / "csv")).fillna("", ["OBSERVACIONES"]).withColumn("file", F.input_file_name()).collect():
+        got.setdefault((r["run"], r["file"]), []).append(tuple(r[c] for c in reports.REPORT_COLUMNS))
+    want = {}
+    for r in rn.export_report(runs, images, deposits).collect():
+        want.setdefault(r["process_run_id"], []).append(tuple(r[c] for c in reports.REPORT_COLUMNS))
+    assert {run: rows for (run, _), rows in got.items()} == want and len(got) == len(want) > 20
+    lines = spark.createDataFrame([(k % 7, 0, k, x) for k, x in enumerate(["a", "", None, ' b,"c"', "x\ny"] * 9)], "process_run_id long, part int, line int, value string")
+    reports.bundle_markdown(lines, str(tmp_path / "md"))
+    read = reports.read_bundled_markdown(spark, str(tmp_path / "md")).collect()
+    for run in range(7):
+        assert [r["value"] for r in read if r["run"] == run] == [x or "" for k, x in enumerate(["a", "", None, ' b,"c"', "x\ny"] * 9) if k % 7 == run]
+
+
 def test_first_object_of_a_response(spark):
     texts = ["no braces", 'x {"a": 1} y {"b": 2}', '{"a": "}{\\\\"} {"', '{"a": "\\"}"} rest', '{"a": {"b": [{}, {"c": "{"}]}} }', '{"a": "cut', '{"a": {"b": 1}', "{}", None, "}{", '"{" {"a": 1}', "{" * 3000 + "}" * 3000 + "x"]
     def plain(t):
