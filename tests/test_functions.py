@@ -176,3 +176,40 @@ def test_rows_of_documents_go_out_together_within_bounds():
     assert [len(x) for x in docx.stretches(small, most_rows=4)] == [4, 4, 2]
     large = [[("d", 1, 1, "", "m", b"x" * 10, "h", None)] for _ in range(4)]
     assert [len(x) for x in docx.stretches(large, most_bytes=20)] == [2, 2] and list(docx.stretches([])) == []
+
+
+def test_matches_are_found_in_one_pass_with_their_places(spark):
+    """Places as plain Python finds them, also in texts that hold the mark; with_record runs the costly pattern over a text once, but for texts with the mark."""
+    import re
+
+    from ledgerloom.functions import extract, text
+
+    texts = ["", None, "a1b22", "1", "12 \x01 3\x0145", "\x01", "é7ñ88\n9", "x" * 50 + "1a" * 3000, "no"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for got in (df.select("i", text.matches(F.col("t"), r"\d+").alias("m")), text.with_matches(df, F.col("t"), m=r"\d+")):
+        for r in got.collect():
+            want = None if texts[r["i"]] is None else [(m.group(), m.start(), m.end()) for m in re.finditer(r"\d+", texts[r["i"]])]
+            assert (r["m"] if r["m"] is None else list(map(tuple, r["m"]))) == want
+    plan = extract.with_record(df, "t")._jdf.queryExecution().optimizedPlan().toString()
+    # Once for all texts and three times in the branch for those with the mark; it stood there six times, for all texts, before.
+    assert plan.count(extract.MONEY) <= 4
+
+
+def test_looks_before_patterns_lose_no_match(spark):
+    from ledgerloom.functions import extract
+
+    def same(pattern, plain, texts):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows) and any(r["a"] for r in rows)
+
+    texts = ["CUÁNTO valor İMPORTE ımporte MONTO Total  a pagar", "COP 1.000 cop1,000.50 $ 5 000 col$1.000 12345 x1234 \t1.000 2000", "Nequi NÚMERO  NEQUI llave ıdentificación NIT Cédula", "Ref: ABC1 no. 12345 TRANSACCIÓN#X9/2 comprobante 777 operacion-AB1"]
+    for pattern in (extract.MONEY, extract.AMOUNT_LABEL, extract.OTHER_LABEL, extract.REFERENCE_LABEL):
+        same(pattern, pattern[pattern.index("(?i"):], texts)
+
+
+def test_cleaned_text_is_clean_texts_text(spark):
+    from ledgerloom.functions import text
+
+    texts = ["", None, " \n\t", "$ 5  x", "1 . 234 , 50", "3-4-2020 y 3/4/20 a las 10:30 \n\n z ", "03-04-21 5", "€ 7"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.clean_text(F.col("t"))["cleaned"].alias("a"), text.cleaned_text(F.col("t")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
