@@ -76,15 +76,15 @@ class InOrder(StatefulProcessor):
         """Writes the rest of the state."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["us", "id", *(f.name for f in self.extra)]
         first = None
         for part in rows:
-            us = part["created_at"].astype("datetime64[us]").astype("int64")
-            first = min(first or int(us.min()), int(us.min()))
-            self.waiting.appendList([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in part.assign(us=us)[columns].itertuples(index=False)])
+            us = part["created_at"].to_numpy("datetime64[us]").astype("int64").tolist()
+            first = min(us) if first is None else min(first, *us)
+            self.waiting.appendList(list(zip(us, part["id"].tolist(), *(part[f.name].tolist() for f in self.extra), strict=True)))
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
-        yield pd.DataFrame(columns=self.names)
+        # Nothing is told yet: a frame without rows for each key would cost more than the rest.
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
@@ -102,7 +102,7 @@ class InOrder(StatefulProcessor):
                 self.waiting.clear()
         if later:
             self.handle.registerTimer(-(-later[0][0] // 1000))
-        yield pd.DataFrame(out, columns=self.names)
+        return iter([pd.DataFrame(out, columns=self.names)] if out else [])
 
     def close(self) -> None:
         pass

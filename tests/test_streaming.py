@@ -108,3 +108,32 @@ def test_documents_come_once_though_a_batch_is_repeated(spark, tmp_path):
             assert died == [1]
     rows = spark.read.parquet(out)
     assert sorted(r["text"] for r in rows.collect()) == ["text0", "text1", "text2", "text3"] and rows.select("batch").distinct().count() >= 2
+
+
+def test_keys_with_nothing_to_tell_give_no_frame():
+    """Events are put aside as plain values, and no frame without rows is made for their key."""
+    import pandas as pd
+
+    class Kept:
+        def __init__(self):
+            self.rows, self.timers = [], []
+
+        def getListState(self, *_):
+            return self
+
+        def getValueState(self, *_):
+            return self
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    kept = Kept()
+    silence = ev.Silence(300)
+    silence.init(kept)
+    parts = [pd.DataFrame({"created_at": pd.to_datetime(["1970-01-01 00:00:01.000001", "1970-01-01"]), "id": [7, 8], "stage": ["a", None]}), pd.DataFrame({"created_at": pd.to_datetime(["1970-01-01 00:00:05"]), "id": [9], "stage": ["b"]})]
+    assert list(silence.handleInputRows((1,), iter(parts), None)) == []
+    assert kept.rows == [(1_000_001, 7, "a"), (0, 8, None), (5_000_000, 9, "b")] and kept.timers == [0]
+    assert {type(x) for r in kept.rows for x in r} == {int, str, type(None)}
