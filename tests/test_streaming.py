@@ -133,7 +133,7 @@ def test_keys_with_nothing_to_tell_give_no_frame():
     kept = Kept()
     silence = ev.Silence(300)
     silence.init(kept)
-    parts = [pd.DataFrame({"created_at": pd.to_datetime(["1970-01-01 00:00:01.000001", "1970-01-01"]), "id": [7, 8], "stage": ["a", None]}), pd.DataFrame({"created_at": pd.to_datetime(["1970-01-01 00:00:05"]), "id": [9], "stage": ["b"]})]
+    parts = [pd.DataFrame({"created_at": pd.to_datetime(["1970-01-01 00:00:01.000001", "1970-01-01"], format="ISO8601"), "id": [7, 8], "stage": ["a", None]}), pd.DataFrame({"created_at": pd.to_datetime(["1970-01-01 00:00:05"]), "id": [9], "stage": ["b"]})]
     assert list(silence.handleInputRows((1,), iter(parts), None)) == []
     assert kept.rows == [(1_000_001, 7, "a"), (0, 8, None), (5_000_000, 9, "b")] and kept.timers == [0]
     assert {type(x) for r in kept.rows for x in r} == {int, str, type(None)}
