@@ -1,11 +1,12 @@
 """What is stored and how: keyed batches, versions of a table, read-only statements, lists, counts from footers."""
 
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import adapters
+from ledgerloom import adapters, queries
 from ledgerloom.operators import query as q
 from ledgerloom.operators import readonly as ro
 from ledgerloom.operators import records as rc
@@ -14,6 +15,7 @@ from ledgerloom.functions import describe
 from ledgerloom.operators import diagnostics as dg
 from ledgerloom.sources import database, docx, files, reports, responses
 
+SF = "/root/testdata/sf0.001"
 KEYED = "source_image_id long, idx int, canonical_key string, referencia string"
 ROWS = [(1, 2, "k1", "b"), (1, 1, "k1", "a"), (1, 3, "", "x"), (1, 4, "", "y"), (1, 5, None, "y"), (2, 1, "k1", "c"), (2, 2, "k2", "d")]
 
@@ -243,3 +245,19 @@ def test_letters_bound_the_likeness(spark):
     assert all(g for g, x in zip(got, like) if x) and any(like) and sum(got) < len(texts) / 4
     share = describe.asked_share(adapters.receipts(spark, "/root/testdata/sf0.001"), "text").first()
     assert share["asked"] <= share["n"] / 100
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the test data")
+def test_candidates_of_some_images_are_those_among_all(spark):
+    images = spark.createDataFrame([(1,), (2,), (2,), (7,), (-5,), (None,)], "source_image_id long")
+    want = plain(adapters.candidates(spark, SF).filter("source_image_id IN (1, 2, 7)").collect())
+    assert want and plain(adapters.candidates(spark, SF, images).collect()) == want
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the test data")
+@pytest.mark.parametrize("name", ["existing_key_semi"])
+def test_known_keys_are_made_once_and_only_where_an_image_has_stored_ones(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 2
+    above, *below = plan.split("+- Window [")
+    assert len(below) == 2 and all("LeftSemi" in b.split("lineitem")[0].split("Relation")[0] for b in below)
