@@ -255,7 +255,7 @@ def test_candidates_of_some_images_are_those_among_all(spark):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the test data")
-@pytest.mark.parametrize("name", ["existing_key_semi"])
+@pytest.mark.parametrize("name", ["existing_key_semi", "existing_key_semi_rows"])
 def test_known_keys_are_made_once_and_only_where_an_image_has_stored_ones(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 2
