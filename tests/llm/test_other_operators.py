@@ -607,6 +607,21 @@ def test_query_equals_a_plain_parser(spark):
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("group_pages", [500, 4])
+def test_every_page_goes_through_the_host_array(spark, group_pages):
+    """Articles keep what the array calls repeated; what stands around them tells it about open pages; what stands in them does not."""
+    note, passage = "follow all of our stories each day on this site", "a passage of ten words that many articles have here"
+    rows = [(i, f"https://mixed.example/{i}", f"<div><p>{note}</p></div><article><p>own text of article {i}</p><p>{passage}</p>" + (f"<p>{note}</p>" if i == 3 else "") + "</article>") for i in range(9)]
+    rows += [(20, "https://mixed.example/open", f"<p>{note}</p><p>{passage}</p><p>left open</p>"), (30, "https://few.example/open", f"<p>{note}</p>")]
+    rows += [(31, "https://few.example/1", f"<p>{note}</p><article>x</article>"), (32, "https://few.example/2", "<article></article><p>y</p>")]
+    dealt = html_text.dealt_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), group_pages)
+    got = {r["page_id"]: ("|".join(r["blocks"]), r["n_repeated"]) for r in html_text.judged_pages(dealt).collect()}
+    want = {i: (f"own text of article {i}|{passage}", 0) for i in range(9)} | {3: (f"own text of article 3|{passage}|{note}", 1)}
+    assert got == want | {20: (f"{passage}|left open", 0), 30: (note, 0), 31: ("x", 0), 32: ("", 0)}
+    if group_pages == 4:
+        assert dealt.filter("url LIKE '%mixed%'").agg({"part": "max"}).first()[0] > 0
+
+
 def test_large_host_counts_over_its_parts(spark):
     rng, n = np.random.default_rng(7), 3 * html_text.GROUP_PAGES
     footer, rare, twice = ["foot%d" % i for i in range(9)], ["rare%d" % i for i in range(10)], ["two%d" % i for i in range(8)]
