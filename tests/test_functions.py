@@ -213,3 +213,39 @@ def test_cleaned_text_is_clean_texts_text(spark):
     texts = ["", None, " \n\t", "$ 5  x", "1 . 234 , 50", "3-4-2020 y 3/4/20 a las 10:30 \n\n z ", "03-04-21 5", "€ 7"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.clean_text(F.col("t"))["cleaned"].alias("a"), text.cleaned_text(F.col("t")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows)
+
+
+ODD_TEXTS = ["", None, " ", "\n", "\u0085", "abc \u0085", "x\r\n", " a  b\n\n c \n", "$ 5  x", "€12", "1 . 234 , 50", "12.345 .67", "1.23 .45", "1-4-2026", "1/4-2026 y 3/4/20", "3/4/20261",
+             "Referencia ABC-12 Valor 2026 Monto $ 1.000,00 celular 3176771287 total  a pagar 12345", "cuantotal a pagar 50.000\tno. XYZ9", "Numero Nequi 12.345 Referencia nequi", "Valor 1149 ref: M08326455", "Importe 123456789012 banco\x01 7.000",
+             "Comprobante de pago banco\nMonto $ 12.345,50\nFecha 15/04/1998 07:05\nReferencia: M00000001", "Valor $0 Referencia R12345", "valor" + " " * 40 + "$ 9.999 llave 5000" + " x" * 60 + " 8.888"]
+
+
+def test_texts_are_cleaned_as_before_where_patterns_are_left_out(spark):
+    rows = spark.createDataFrame([(t,) for t in ODD_TEXTS], "t string").select(text.clean_text(F.col("t"))["cleaned"].alias("a"), text.cleaned_text(F.col("t")).alias("b"), text.one_blank(F.col("t")).alias("c"), F.regexp_replace("t", "[ \t]+", " ").alias("d")).collect()
+    assert [(r["a"], r["c"]) for r in rows] == [(r["b"], r["d"]) for r in rows]
+
+
+def test_records_are_the_same_without_their_candidates(spark):
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "i int, t string")
+    whole = extract.with_record(df, "t").select("i", "reason", "record", extract.best_amount(F.col("candidates")).alias("best"))
+    lean = extract.with_record(df, "t", candidates=False)
+    assert "candidates" not in lean.columns
+    got = lean.select("i", "reason", "record", extract.best_amount(extract.amount_candidates(F.coalesce(text.one_blank(F.col("t")), F.lit("")))).alias("best"))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, got.collect())) and whole.filter("record IS NOT NULL").count() > 2
+
+
+@pytest.mark.parametrize("given", ["", None, "5", "12.50", "12.500", "1.5", "0.00", "1234567890123456789.25", "12.50\n", "-5", "$5", "٣.٥٠"])
+def test_plain_amounts_read_as_by_patterns(spark, given):
+    assert value(spark, money.parse_currency, given) == value(spark, money._currency_within, given)
+
+
+@pytest.mark.parametrize(("day", "wanted"), [("01/02/2026", "01/02/2026"), (" 01/02/2026\n", "01/02/2026"), ("1/2/2026", None), ("NULL", None), ("5-ABR-26", "05/04/2026"), (None, None)])
+def test_schema_date(spark, day, wanted):
+    got = value(spark, validate.schema_date, day)
+    assert got["value"] == wanted and (got["error"] is None) == (day != "1/2/2026")
+
+
+@pytest.mark.parametrize(("clock", "wanted"), [("07:05", "07:05"), ("23:59", "23:59"), ("24:00", None), ("7:05 p. m.", "19:05"), ("07:05\n", "07:05"), (None, None)])
+def test_time_24h(spark, clock, wanted):
+    got = value(spark, dates.time_24h, clock)
+    assert got["value"] == wanted and (got["error"] is None) == (clock != "24:00")

@@ -336,3 +336,21 @@ def test_images(spark):
     rows = [(1, PNG), (2, b"BM"), (3, b"RIFF0000WEBP" + b"x" * 30), (4, b"z" * 50)]
     got = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "i int, c binary").select("i", docx.validate_image(F.col("c")).alias("v")).orderBy("i").collect()
     assert [r["v"] for r in got] == ["", "too_small", "", "unknown_format"]
+
+
+def test_a_text_is_read_once_an_image(spark, monkeypatch):
+    """Attempts of an image with one text: extraction gets one row for them, all of them count, and the best by score, then the first, stands for them."""
+    good, read = "Referencia MCTX001 Valor $30.000,00", []
+    rows = [(1, 1, "ilegible", 9, None), (1, 2, good, 3, None), (1, 3, good, 5, None), (1, 4, good, 5, ""), (1, 5, good, 99, "llm timeout"), (1, 6, good + " fin", 4, None),
+            (2, 1, good, None, None), (2, 2, good, -1, None), (3, 1, "ilegible", 1, None), (3, 2, "ilegible", 2, None), (4, 1, "", 5, None)]
+    inner = at.with_record
+
+    def counted(df, *args, **kwargs):
+        read.append(df.count())
+        return inner(df, *args, **kwargs)
+
+    monkeypatch.setattr(at, "with_record", counted)
+    texts = spark.createDataFrame(rows, "source_image_id long, attempt_number int, text string, score int, error string")
+    got = at.select_structured_candidate(texts).select("source_image_id", "candidates", "attempt_number", "score", "structured_records_count", "valid_records_count", "record.referencia").collect()
+    assert sorted(map(tuple, got)) == [(1, 5, 3, 5, 1, 1, "MCTX001"), (2, 2, 1, None, 1, 1, "MCTX001"), (3, 2, 2, 2, 0, 0, None)]
+    assert read == [5]
